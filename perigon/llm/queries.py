@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigon.llm import fingerprints
+from perigon.llm import fingerprints, sharding, tokens
 from perigon.llm.common import table
 
 
@@ -12,8 +12,20 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_token_counts": op2_token_counts,
+    "op8_histogram_shards": op8_histogram_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_histogram_shards": sharding.ORACLE,
+}
