@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigon.llm import fingerprints, sharding, tokens
+from perigon.llm import decontamination, fingerprints, sharding, tokens
 from perigon.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -23,9 +27,11 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op8_histogram_shards": op8_histogram_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": decontamination.ORACLE,
     "op8_histogram_shards": sharding.ORACLE,
 }
