@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigon.llm import decontamination, fingerprints, sharding, tokens
+from perigon.llm import decontamination, fingerprints, sharding, substrings, tokens
 from perigon.llm.common import table
 
 
@@ -24,11 +24,16 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
     "op6_decontamination": op6_decontamination,
     "op8_histogram_shards": op8_histogram_shards,
+    "op10_repeated_substrings": op10_repeated_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {
