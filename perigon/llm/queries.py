@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigon.llm import decontamination, fingerprints, sharding, substrings, tokens
+from perigon.llm import decontamination, fingerprints, near_dedup, sharding, substrings, tokens
 from perigon.llm.common import table
 
 
@@ -28,15 +28,21 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(spark, table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
     "op6_decontamination": op6_decontamination,
     "op8_histogram_shards": op8_histogram_shards,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_substrings": op10_repeated_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontamination.ORACLE,
     "op8_histogram_shards": sharding.ORACLE,
+    "op9_near_duplicates": near_dedup.ORACLE,
 }
