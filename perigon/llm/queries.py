@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigon.llm import decontamination, fingerprints, near_dedup, sharding, substrings, tokens
+from perigon.llm import decontamination, fingerprints, near_dedup, sharding, substrings, tokens, toxicity
 from perigon.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +39,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_histogram_shards": op8_histogram_shards,
     "op9_near_duplicates": op9_near_duplicates,
