@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigon.llm import decontamination, fingerprints, near_dedup, sharding, substrings, tokens, toxicity
+from perigon.llm import chat, decontamination, fingerprints, near_dedup, sharding, substrings, tokens, toxicity, warc
 from perigon.llm.common import table
 
 
@@ -16,10 +16,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(spark, table(spark, sf_dir, "conversations"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +47,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
+    "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
+    "op5_chat_windows": op5_chat_windows,
     "op6_decontamination": op6_decontamination,
     "op8_histogram_shards": op8_histogram_shards,
     "op9_near_duplicates": op9_near_duplicates,
@@ -47,6 +57,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
     "op8_histogram_shards": sharding.ORACLE,
     "op9_near_duplicates": near_dedup.ORACLE,
