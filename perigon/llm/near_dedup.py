@@ -252,12 +252,14 @@ def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, siz
 def deduplicated(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = SIZE) -> DataFrame:
     """The documents of which each near-duplicate component keeps its smallest, whole and with their own columns.
 
-    Repeated rows of a kept doc_id are kept once, rows without doc_id all.
+    Of repeated rows of a doc_id one stays; of rows without doc_id all do.
     """
     parts = near_components(spark, docs, percent, size)
-    out = parts.filter(~F.col("kept")).select(F.col("doc_id").alias("gone__")).distinct()
-    kept = docs.join(out, F.col("doc_id") == F.col("gone__"), "left_anti")
-    return kept
+    gone = parts.filter(~F.col("kept")).select(F.col("doc_id").alias("gone__")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("gone__"), "left_anti")
+    if parts.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter(F.col("doc_id").isNull()).unionByName(kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
 
 
 ORACLE = r"""

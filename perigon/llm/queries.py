@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigon.llm import chat, decontamination, fingerprints, near_dedup, sharding, substrings, tokens, toxicity, warc
+from perigon.llm import chat, decontamination, fingerprints, mixing, near_dedup, sharding, substrings, tokens, toxicity, warc
 from perigon.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_chat_windows": op5_chat_windows,
     "op6_decontamination": op6_decontamination,
+    "op7_source_mix": op7_source_mix,
     "op8_histogram_shards": op8_histogram_shards,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_substrings": op10_repeated_substrings,

@@ -28,6 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perigon.llm import common
 
@@ -244,8 +245,8 @@ def with_features(rows: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFra
             got = features(batch.column(len(keep)), shared.value)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], *[pa.array(got[:, k]) for k in range(len(FEATURES))]], names=[*keep, *FEATURES])
 
-    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.select(*keep, "text").mapInArrow(run, ", ".join([*kinds, *[f"{f} double" for f in FEATURES]]))
+    schema = T.StructType([*[rows.schema[c] for c in keep], *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
+    return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
 @dataclass
