@@ -2,21 +2,25 @@
 
 A byte is removed when a string of `window` bytes that covers it also starts in a document with a
 smaller doc_id. Equal strings are found as in suffix sorting by bucket pointers, but with buckets
-that are named by content, so that tasks agree on them: a q-gram's bucket is refined by the bucket
-that starts where it ends (12 bytes -> 24), and again by the buckets at later offsets (24 -> window).
-
-1.  Sampled refinement. Of the 24-gram buckets inside each window the smallest is its anchor; equal
-    windows have equal anchors. Only anchors are exchanged (about 7 % of the positions, 4 bytes
-    each); anchors that two documents have are candidates.
-2.  Full refinement. Windows whose anchor is a candidate are sorted into buckets of all their
-    bytes. Each block of documents first keeps one entry for a bucket, with its smallest doc_id, so
-    that a passage in most documents costs one entry a block. An exchange by bucket gives the
-    smallest doc_id of all; one bit for each entry goes back.
-3.  The windows that a smaller document has are laid over the text.
+that are named by content, so that tasks agree on them: the bucket of a short string is refined by
+the buckets that start at later offsets (12 bytes -> 24 -> window), and each step only looks at what
+the step before could not tell apart.
+
+1.  Of the 24-byte buckets inside a window the smallest is its anchor; equal windows have equal
+    anchors. Anchors (about 7 % of the positions, 4 bytes each) are exchanged; those that two
+    documents have stay.
+2.  The windows that share an anchor follow each other; their extent is refined to a bucket of its
+    own. Where a smaller document has the same extent, all its windows are repeats. An anchor with one
+    extent only is done with; of others, the smallest document of each extent goes on.
+3.  Windows of these are refined to buckets of all their bytes, by the buckets at later offsets.
+
+In each step a block of documents keeps one entry for a bucket, with its smallest doc_id, so that a
+passage in most documents costs one entry a block; an exchange by bucket finds the smallest doc_id of
+all, and bits, one or two for an entry, go back. The windows found are laid over the text.
 
 Texts move once: blocks (about `block_bytes` of text, dealt by a hash of doc_id) are one exchange
-that the three steps share. Bucket names have 64 bits at the end, so n distinct windows collide with
-probability n^2 / 2^65.
+that all steps share. Bucket names have 64 bits, so n distinct windows collide with probability
+n^2 / 2^65.
 
 Edge cases: a null text is an empty one; a row without doc_id is never smaller than another and
 keeps its text; rows with the same doc_id are not smaller than each other.
@@ -60,195 +64,253 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
 
 
+class Piece:
+    """Documents [i, j) of a block: buckets by position, whole windows and the anchors that own them."""
+
+    def __init__(self, i: int, j: int, own: np.ndarray, at: np.ndarray, usable: np.ndarray, window: int):
+        self.i, self.j, self.own, self.at = i, j, own, at
+        self.span = common.SpanHash(own)
+        self.buckets = refine(self.span.windows(GRAM), [0, GRAM])
+        room = np.zeros(len(own) + 1, np.int64)
+        np.add.at(room, at[:-1][usable], 1)
+        np.add.at(room, at[1:][usable] - window + 1, -1)
+        starts = np.flatnonzero(np.cumsum(room))
+        ranked = (self.buckets & ~_PLACE) | np.arange(len(self.buckets), dtype=np.uint64)
+        least = (sliding_min(ranked, window - 2 * GRAM + 1)[starts] & _PLACE).astype(np.int64) if len(starts) else starts
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if len(starts) else starts
+        #: places of the anchors, and the first and last start of the windows of each
+        self.place = least[first]
+        self.first, self.last = starts[first], starts[np.append(first[1:], len(starts)) - 1] if len(starts) else starts
+        self.doc = np.searchsorted(at, self.place, "right") - 1 + i
+
+
 class Block:
-    """The texts of a block in pieces, with the buckets of their 2*GRAM-byte strings and their anchors."""
+    """The texts of a block, its anchors, and what the steps so far have told about them."""
 
-    def __init__(self, rows: pa.Table, window: int):
-        self.window, self.gram = window, 2 * GRAM
+    def __init__(self, rows: pa.Table, window: int, parts: int):
+        self.window, self.parts = window, parts
         ids = rows.column("doc_id").combine_chunks()
-        self.rows = rows
-        self.valid = np.asarray(ids.is_valid()).astype(bool)
+        valid = np.asarray(ids.is_valid()).astype(bool)
         self.ids = np.asarray(ids.fill_null(0), np.int64)
-        self.data, self.offsets = common.utf8(rows.column("text"))
-        self.pieces = list(common.pieces(self.offsets))
+        data, self.offsets = common.utf8(rows.column("text"))
+        usable = (np.diff(self.offsets) >= window) & valid
+        self.pieces = [Piece(i, j, data[self.offsets[i] : self.offsets[j]], self.offsets[i : j + 1] - self.offsets[i], usable[i:j], window) for i, j in common.pieces(self.offsets)]
+        none = np.zeros(0, np.int64)
+        self.id = self.ids[np.concatenate([none, *[p.doc for p in self.pieces]])]
+        names = common.mix(np.concatenate([none.view(np.uint64), *[p.buckets[p.place] for p in self.pieces]]) ^ _LATER)
+        # part in the high half, 32 bits of the name in the low half
+        self.names = ((names >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
+        self.anchor, self.anchor_of = np.unique(self.names, return_inverse=True)
+
+    def split(self, flags: np.ndarray) -> list[np.ndarray]:
+        return np.split(flags, np.cumsum([len(p.place) for p in self.pieces])[:-1]) if self.pieces else []
+
+    def refine_extents(self, shared: np.ndarray) -> None:
+        """Entries of extents of the anchors that two documents have, sorted by part and anchor."""
+        self.shared = shared
+        self.member = np.flatnonzero(shared[self.anchor_of])
+        extents = [np.zeros(0, np.uint64)]
+        for p, of in zip(self.pieces, self.split(shared[self.anchor_of])):
+            first, last = p.first[of], p.last[of]
+            extents.append(common.mix(p.span.spans(first, last + self.window) ^ common.mix((p.place[of] - first).astype(np.uint64))))
+        extents = np.concatenate(extents)
+        names, ids = self.names[self.member], self.id[self.member]
+        order = np.lexsort([extents, names])
+        self.extent, self.extent_name, self.extent_least, entry = distinct(extents[order], ids[order], names[order])
+        self.extent_of = np.empty(len(order), np.int64)
+        self.extent_of[order] = entry
+
+    def refine_windows(self, smaller: np.ndarray, open_: np.ndarray, parts: int) -> None:
+        """Anchors all of whose windows are repeats, and entries of windows of those still open."""
+        self.smaller, self.open = smaller, open_
+        ids = self.id[self.member]
+        least = ids == self.extent_least[self.extent_of]
+        self.gone = np.zeros(len(self.names), bool)
+        self.gone[self.member] = ~least | smaller[self.extent_of]
+        going = np.zeros(len(self.names), bool)
+        going[self.member] = least & open_[self.extent_of]
+        steps = [*range(2 * GRAM, self.window - 2 * GRAM, 2 * GRAM), self.window - 2 * GRAM]
+        self.starts, names, owners = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for p, on in zip(self.pieces, self.split(going)):
+            starts = expand(p.first[on], p.last[on] + 1)
+            found = p.buckets[starts]
+            for d in steps:
+                found = common.mix(found * _LATER + p.buckets[starts + d])
+            self.starts.append(starts)
+            names.append(found)
+            owners.append(self.ids[np.repeat(p.doc[on], p.last[on] - p.first[on] + 1)])
+        names, owners = np.concatenate(names), np.concatenate(owners)
+        part = (names >> np.uint64(40)) % np.uint64(parts)
+        order = np.lexsort([names, part])
+        self.bucket, self.bucket_part, self.bucket_least, entry = distinct(names[order], owners[order], part[order])
+        self.bucket_of = np.empty(len(order), np.int64)
+        self.bucket_of[order] = entry
+        self.owner = owners
+
+
+def distinct(names: np.ndarray, ids: np.ndarray, also: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted names the distinct ones, their value of `also`, smallest id, and each row's entry."""
+    new = np.ones(len(names), bool)
+    new[1:] = names[1:] != names[:-1]
+    first = np.flatnonzero(new)
+    least = np.minimum.reduceat(ids, first) if len(first) else ids[:0]
+    return names[first], also[first], least, np.cumsum(new) - 1
 
-    def buckets(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets by position, and starts of whole windows, of the documents [i, j)."""
-        own = self.data[self.offsets[i] : self.offsets[j]]
-        buckets = refine(common.SpanHash(own).windows(GRAM), [0, GRAM])
-        room = np.zeros(len(own) + 1, np.int64)
-        at = self.offsets[i : j + 1] - self.offsets[i]
-        usable = (np.diff(at) >= self.window) & self.valid[i:j]
-        np.add.at(room, at[:-1][usable], 1)
-        np.add.at(room, at[1:][usable] - self.window + 1, -1)
-        return buckets, np.flatnonzero(np.cumsum(room))
-
-    def least(self, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For each window the place of its smallest bucket, of equal ones the first."""
-        ranked = (buckets & ~_PLACE) | np.arange(len(buckets), dtype=np.uint64)
-        return (sliding_min(ranked, self.window - self.gram + 1)[starts] & _PLACE).astype(np.int64)
-
-    def anchors(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Anchor positions by piece; all anchors' names and documents (ordinals), in this order."""
-        places, names, docs = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, j in self.pieces:
-            buckets, starts = self.buckets(i, j)
-            if not len(starts):
-                places.append(starts)
-                continue
-            place = np.unique(self.least(buckets, starts))
-            places.append(place)
-            names.append(common.mix(buckets[place] ^ _LATER))
-            docs.append(np.searchsorted(self.offsets[i : j + 1], place + self.offsets[i], "right") - 1 + i)
-        return places, np.concatenate(names), np.concatenate(docs)
-
-    def windows(self, places: list[np.ndarray], candidate: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(i, j, starts, buckets of `window` bytes) of the windows whose anchor is a candidate, by piece."""
-        at = 0
-        steps = [*range(0, self.window - self.gram, self.gram), self.window - self.gram]
-        for (i, j), place in zip(self.pieces, places):
-            own = candidate[at : at + len(place)]
-            at += len(place)
-            if not own.any():
-                yield i, j, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-                continue
-            buckets, starts = self.buckets(i, j)
-            starts = starts[own[np.searchsorted(place, self.least(buckets, starts))]]
-            found = buckets[starts]
-            for d in steps[1:]:
-                found = common.mix(found * _LATER + buckets[starts + d])
-            yield i, j, starts, found
-
-
-def _names(names: np.ndarray, parts: int) -> np.ndarray:
-    """Part (high half) and 32 bits of the name (low half)."""
-    return ((names >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
-
-
-def _cut(part: np.ndarray, parts: int) -> np.ndarray:
-    return np.searchsorted(part, np.arange(parts + 1))
-
-
-def _bits(rows: pa.Table, sizes: np.ndarray) -> np.ndarray:
+
+def expand(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All integers of the ranges [first, end), one range after the other."""
+    n = end - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def cuts(part: np.ndarray, parts: int) -> np.ndarray:
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+def packed(flags: np.ndarray) -> bytes:
+    return len(flags).to_bytes(8, "little") + np.packbits(flags).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8, offset=8), count=int.from_bytes(data[:8], "little")).astype(bool)
+
+
+def answers(reply: pa.Table, column: str, cut: np.ndarray) -> np.ndarray:
     """Flags of a block's entries, put together from the parts' replies."""
-    found = np.zeros(int(sizes.sum()), bool)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    for part, bits in zip(rows.column("part").to_pylist(), rows.column("bits").to_pylist()):
-        n = int(sizes[part])
-        found[first[part] : first[part] + n] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    found = np.zeros(int(cut[-1]), bool)
+    for part, bits in zip(reply.column("part").to_pylist(), reply.column(column).to_pylist()):
+        if bits is not None:
+            found[cut[part] : cut[part + 1]] = unpacked(bits)
     return found
 
 
-ENTRIES = "block bigint, part int, names binary, docs binary, ids binary, anchors binary"
-REPLY = "block bigint, part int, bits binary, anchors binary"
+_KINDS = {"block": pa.int64(), "part": pa.int32(), "names": pa.binary(), "more": pa.binary(), "docs": pa.binary(), "ids": pa.binary(), "told": pa.list_(pa.binary())}
+ENTRIES = "block bigint, part int, names binary, more binary, docs binary, ids binary, told array<binary>"
+_REPLIES = {"block": pa.int64(), "part": pa.int32(), "bits": pa.binary(), "open": pa.binary(), "told": pa.list_(pa.binary())}
+REPLY = "block bigint, part int, bits binary, open binary, told array<binary>"
+
+
+def table(kinds: dict, rows: list[tuple]) -> pa.Table:
+    return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())})
 
 
-def _table(columns: dict, kinds: dict) -> pa.Table:
-    return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
+def smallest(least: np.ndarray) -> tuple[bytes, bytes]:
+    """Documents of entries, as numbers among the block's distinct ids."""
+    ids, which = np.unique(least, return_inverse=True)
+    return which.ravel().astype(np.uint32 if len(ids) > 65536 else np.uint16).tobytes(), ids.tobytes()
 
 
-_ENTRY = {"block": pa.int64(), "part": pa.int32(), "names": pa.binary(), "docs": pa.binary(), "ids": pa.binary(), "anchors": pa.binary()}
-_REPLY = {"block": pa.int64(), "part": pa.int32(), "bits": pa.binary(), "anchors": pa.binary()}
+def owners(rows: pa.Table) -> list[np.ndarray]:
+    found = []
+    for docs, ids in zip(rows.column("docs").to_pylist(), rows.column("ids").to_pylist()):
+        ids = np.frombuffer(ids, np.int64)
+        found.append(ids[np.frombuffer(docs, np.uint32 if len(ids) > 65536 else np.uint16)])
+    return found
+
+
+def told(reply: pa.Table) -> list[np.ndarray] | None:
+    """What earlier steps told, which one of the replies to a block carries."""
+    return next(([unpacked(x) for x in t] for t in reply.column("told").to_pylist() if t is not None), None)
 
 
 def anchor_entries(window: int, parts: int):
-    """A block's distinct anchors, by part; docs: a bit for those that two of its documents have."""
+    """A block's distinct anchors, by part; more: flags of those that two of its documents have."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        block = Block(rows, window)
-        _, names, docs = block.anchors()
-        names = _names(names, parts)
-        order = np.argsort(names, kind="stable")
-        names, ids = names[order], block.ids[docs[order]]
-        new = np.concatenate([[True], names[1:] != names[:-1]]) if len(names) else np.zeros(0, bool)
-        differs = np.concatenate([[False], (ids[1:] != ids[:-1]) & ~new[1:]]) if len(names) else new
-        first = np.flatnonzero(new)
-        several = np.add.reduceat(differs, first) > 0 if len(first) else new
-        names = names[first]
-        cut = _cut(names >> np.uint64(32), parts)
-        out = {k: [] for k in _ENTRY}
+        block = Block(rows, window, parts)
+        n = len(block.anchor)
+        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        np.minimum.at(low, block.anchor_of, block.id)
+        np.maximum.at(high, block.anchor_of, block.id)
+        cut = cuts(block.anchor >> np.uint64(32), parts)
+        out = []
         for p in range(parts):
             a, b = cut[p], cut[p + 1]
             if b > a:
-                for k, v in zip(_ENTRY, (key[0].as_py(), p, names[a:b].astype(np.uint32).tobytes(), np.packbits(several[a:b]).tobytes(), None, None)):
-                    out[k].append(v)
-        return _table(out, _ENTRY)
+                out.append((key[0].as_py(), p, block.anchor[a:b].astype(np.uint32).tobytes(), packed(low[a:b] < high[a:b]), None, None, None))
+        return table(_KINDS, out)
 
     return run
 
 
 def shared_anchors(rows: pa.Table) -> pa.Table:
-    """For the entries of a part: a bit for each that two documents have."""
+    """For the entries of a part: which of them two documents have."""
     names = [np.frombuffer(x, np.uint32) for x in rows.column("names").to_pylist()]
-    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)).astype(bool) for x, n in zip(rows.column("docs").to_pylist(), names)]
+    several = [unpacked(x) for x in rows.column("more").to_pylist()]
     every = np.sort(np.concatenate(names))
     twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[n[s] for n, s in zip(names, several)]]))
-    bits = []
-    for n in names:
+    out = []
+    for block, part, n in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), names):
         at = np.minimum(np.searchsorted(twice, n), max(0, len(twice) - 1))
-        bits.append(np.packbits(twice[at] == n if len(twice) else np.zeros(len(n), bool)).tobytes())
-    return _table({"block": rows.column("block").to_pylist(), "part": rows.column("part").to_pylist(), "bits": bits, "anchors": [None] * len(bits)}, _REPLY)
-
-
-class Found:
-    """The distinct windows of a block, sorted by (part, bucket), and the smallest document of each."""
-
-    def __init__(self, rows: pa.Table, flags: np.ndarray | None, reply: pa.Table | None, window: int, anchor_parts: int, parts: int):
-        self.block = block = Block(rows, window)
-        places, names, _ = block.anchors()
-        names = _names(names, anchor_parts)
-        distinct, which = np.unique(names, return_inverse=True)
-        self.flags = _bits(reply, np.diff(_cut(distinct >> np.uint64(32), anchor_parts))) if flags is None else flags[: len(distinct)]
-        self.found = list(block.windows(places, self.flags[which] if len(distinct) else np.zeros(0, bool)))
-        buckets = np.concatenate([np.zeros(0, np.uint64), *[b for _, _, _, b in self.found]])
-        docs = np.concatenate([np.zeros(0, np.int32), *[(np.searchsorted(block.offsets[i : j + 1], s + block.offsets[i], "right") - 1 + i).astype(np.int32) for i, j, s, _ in self.found]])
-        order = np.argsort(buckets)
-        ordered = buckets[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        self.least = np.minimum.reduceat(block.ids[docs[order]], first) if len(first) else np.zeros(0, np.int64)
-        self.entry = np.empty(len(buckets), np.int32)
-        self.entry[order] = np.cumsum(new) - 1
-        self.docs, self.names = docs, ordered[first]
-        self.part = (self.names >> np.uint64(40)) % np.uint64(parts)
+        out.append((block, part, packed(twice[at] == n if len(twice) else np.zeros(len(n), bool)), None, None))
+    return table(_REPLIES, out)
+
+
+def extent_entries(window: int, parts: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, reply: pa.Table) -> pa.Table:
+        if not rows.num_rows or not reply.num_rows:
+            return table(_KINDS, [])
+        block = Block(rows, window, parts)
+        block.refine_extents(answers(reply, "bits", cuts(block.anchor >> np.uint64(32), parts)))
+        cut = cuts(block.extent_name >> np.uint64(32), parts)
+        carrier = key[0].as_py() % parts
+        out = []
+        for p in range(parts):
+            a, b = cut[p], cut[p + 1]
+            if b > a or p == carrier:
+                out.append((key[0].as_py(), p, block.extent_name[a:b].astype(np.uint32).tobytes(), block.extent[a:b].tobytes(), *smallest(block.extent_least[a:b]), [packed(block.shared)] if p == carrier else None))
+        return table(_KINDS, out)
+
+    return run
+
+
+def settled_extents(rows: pa.Table) -> pa.Table:
+    """For the entries of a part: whether a smaller document has the extent; if not, whether the anchor has another."""
+    names = [np.frombuffer(x, np.uint32) for x in rows.column("names").to_pylist()]
+    every, name, ids = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("more").to_pylist()]), np.concatenate(names), np.concatenate(owners(rows))
+    order = np.lexsort([every, name])
+    _, its, least, entry = distinct(every[order], ids[order], name[order])
+    smaller, open_ = np.zeros(len(every), bool), np.zeros(len(every), bool)
+    if len(every):
+        another = np.zeros(len(its), bool)
+        another[1:] = its[1:] == its[:-1]
+        another[:-1] |= another[1:]
+        smaller[order] = least[entry] < ids[order]
+        open_[order] = another[entry]
+    at = np.concatenate([[0], np.cumsum([len(n) for n in names])])
+    return table(_REPLIES, [(block, part, packed(smaller[a:b]), packed(open_[a:b] & ~smaller[a:b]), t) for block, part, t, a, b in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), rows.column("told").to_pylist(), at[:-1], at[1:])])
 
 
 def window_entries(window: int, anchor_parts: int, parts: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, reply: pa.Table) -> pa.Table:
-        out = {k: [] for k in _ENTRY}
         if not rows.num_rows or not reply.num_rows:
-            return _table(out, _ENTRY)
-        found = Found(rows, None, reply, window, anchor_parts, parts)
-        order = np.argsort(found.part, kind="stable")
-        cut = _cut(found.part[order], parts)
-        carrier = key[0].as_py() % parts  # the part that carries the anchors' flags to the last step
+            return table(_KINDS, [])
+        block = Block(rows, window, anchor_parts)
+        block.refine_extents(told(reply)[0])
+        cut = cuts(block.extent_name >> np.uint64(32), anchor_parts)
+        block.refine_windows(answers(reply, "bits", cut), answers(reply, "open", cut), parts)
+        cut = cuts(block.bucket_part, parts)
+        carrier = key[0].as_py() % parts
+        out = []
         for p in range(parts):
-            own = order[cut[p] : cut[p + 1]]
-            if len(own) or p == carrier:
-                ids, which = np.unique(found.least[own], return_inverse=True)
-                flags = np.packbits(found.flags).tobytes() if p == carrier else None
-                for k, v in zip(_ENTRY, (key[0].as_py(), p, found.names[own].tobytes(), which.astype(np.uint32).tobytes(), ids.tobytes(), flags)):
-                    out[k].append(v)
-        return _table(out, _ENTRY)
+            a, b = cut[p], cut[p + 1]
+            if b > a or p == carrier:
+                out.append((key[0].as_py(), p, block.bucket[a:b].tobytes(), None, *smallest(block.bucket_least[a:b]), [packed(block.shared), packed(block.smaller), packed(block.open)] if p == carrier else None))
+        return table(_KINDS, out)
 
     return run
 
 
-def smaller_elsewhere(rows: pa.Table) -> pa.Table:
-    """For the entries of a part: a bit for each bucket that a smaller document has."""
+def settled_windows(rows: pa.Table) -> pa.Table:
+    """For the entries of a part: whether a smaller document has the window."""
     names = [np.frombuffer(x, np.uint64) for x in rows.column("names").to_pylist()]
-    ids = [np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint32)] for d, i in zip(rows.column("docs").to_pylist(), rows.column("ids").to_pylist())]
-    every, own = np.concatenate(names), np.concatenate(ids)
+    every, ids = np.concatenate(names), np.concatenate(owners(rows))
     order = np.argsort(every)
-    ordered = every[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    flags = np.zeros(len(every), bool)
-    if len(first):
-        flags[order] = np.minimum.reduceat(own[order], first)[np.cumsum(new) - 1] < own[order]
-    cut = np.concatenate([[0], np.cumsum([len(n) for n in names])])
-    bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-    return _table({"block": rows.column("block").to_pylist(), "part": rows.column("part").to_pylist(), "bits": bits, "anchors": rows.column("anchors").to_pylist()}, _REPLY)
+    _, _, least, entry = distinct(every[order], ids[order], ids[order])
+    smaller = np.zeros(len(every), bool)
+    smaller[order] = least[entry] < ids[order] if len(every) else False
+    at = np.concatenate([[0], np.cumsum([len(n) for n in names])])
+    return table(_REPLIES, [(block, part, packed(smaller[a:b]), None, t) for block, part, t, a, b in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), rows.column("told").to_pylist(), at[:-1], at[1:])])
 
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -257,41 +319,35 @@ RESULT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:big
 
 def removals(window: int, anchor_parts: int, parts: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, reply: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(SPAN)), "kept": pa.array([], pa.binary())})
-        flags = next((x for x in reply.column("anchors").to_pylist() if x is not None), None)
-        found = None
-        if flags is not None:
-            found = Found(rows, np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool), None, window, anchor_parts, parts)
-            block = found.block
-            order = np.argsort(found.part, kind="stable")
-            sorted_flags = _bits(reply, np.diff(_cut(found.part[order], parts)))
-            smaller = np.empty(len(order), bool)
-            smaller[order] = sorted_flags
-            gone = smaller[found.entry] | (found.least[found.entry] < block.ids[found.docs])
-        else:
-            block = Block(rows, window)
+        block = Block(rows, window, anchor_parts)
+        known = told(reply)
+        gone, starts, repeated = [None] * len(block.pieces), None, None
+        if known is not None and rows.num_rows:
+            block.refine_extents(known[0])
+            block.refine_windows(known[1], known[2], parts)
+            smaller = answers(reply, "bits", cuts(block.bucket_part, parts))
+            repeated = smaller[block.bucket_of] | (block.bucket_least[block.bucket_of] < block.owner)
+            gone, starts = block.split(block.gone), block.starts
         spans, kept, at = [], [], 0
-        by_piece = found.found if found else [(i, j, np.zeros(0, np.int64), None) for i, j in block.pieces]
-        for i, j, starts, _ in by_piece:
-            own = block.data[block.offsets[i] : block.offsets[j]]
-            delta = np.zeros(len(own) + 1, np.int32)
-            if len(starts):
-                cut = starts[gone[at : at + len(starts)]]
-                at += len(starts)
-                delta[cut] += 1
-                delta[cut + window] -= 1
+        for k, p in enumerate(block.pieces):
+            delta = np.zeros(len(p.own) + 1, np.int32)
+            if starts is not None:
+                np.add.at(delta, p.first[gone[k]], 1)
+                np.add.at(delta, p.last[gone[k]] + window, -1)
+                cut = starts[k][repeated[at : at + len(starts[k])]]
+                at += len(starts[k])
+                np.add.at(delta, cut, 1)
+                np.add.at(delta, cut + window, -1)
             covered = np.cumsum(delta[:-1]) > 0
-            for k in range(i, j):
-                a, b = int(block.offsets[k] - block.offsets[i]), int(block.offsets[k + 1] - block.offsets[i])
+            for a, b in zip(p.at[:-1], p.at[1:]):
                 c = covered[a:b]
                 if c.any():
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], c.view(np.int8), [0]])))
                     spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
-                    kept.append(own[a:b][~c].tobytes())
+                    kept.append(p.own[a:b][~c].tobytes())
                 else:
                     spans.append([])
-                    kept.append(own[a:b].tobytes())
+                    kept.append(p.own[a:b].tobytes())
         return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(np.diff(block.offsets)), "spans": pa.array(spans, pa.list_(SPAN)), "kept": pa.array(kept, pa.binary())})
 
     return run
@@ -299,19 +355,25 @@ def removals(window: int, anchor_parts: int, parts: int):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges) and kept (the remaining bytes) of every document."""
-    if not 2 * GRAM < window <= 1 << 16:
-        raise ValueError(f"window must lie between {2 * GRAM + 1} and 65536 bytes")
+    if not 4 * GRAM < window <= 1 << 16:
+        raise ValueError(f"window must lie between {4 * GRAM + 1} and 65536 bytes")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = common.text_bytes(docs)
     blocks, parts = 1 + total // block_bytes, 1 + total // bucket_bytes
     anchor_parts = 1 + parts // 3
     spread = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
     dealt = docs.withColumn("block", F.pmod(spread, F.lit(blocks))).repartition(blocks, "block")
-    entries = dealt.groupBy("block").applyInArrow(anchor_entries(window, anchor_parts), ENTRIES)
-    candidates = entries.repartition(anchor_parts, "part").groupBy("part").applyInArrow(shared_anchors, REPLY)
-    whole = dealt.groupBy("block").cogroup(candidates.groupBy("block")).applyInArrow(window_entries(window, anchor_parts, parts), ENTRIES)
-    smaller = whole.repartition(parts, "part").groupBy("part").applyInArrow(smaller_elsewhere, REPLY)
-    return dealt.groupBy("block").cogroup(smaller.groupBy("block")).applyInArrow(removals(window, anchor_parts, parts), RESULT)
+
+    def replies(entries: DataFrame, n: int, settle):
+        return entries.repartition(n, "part").groupBy("part").applyInArrow(settle, REPLY).groupBy("block")
+
+    def step(reply, run, schema: str) -> DataFrame:
+        return dealt.groupBy("block").cogroup(reply).applyInArrow(run, schema)
+
+    anchors = replies(dealt.groupBy("block").applyInArrow(anchor_entries(window, anchor_parts), ENTRIES), anchor_parts, shared_anchors)
+    extents = replies(step(anchors, extent_entries(window, anchor_parts), ENTRIES), anchor_parts, settled_extents)
+    windows = replies(step(extents, window_entries(window, anchor_parts, parts), ENTRIES), parts, settled_windows)
+    return step(windows, removals(window, anchor_parts, parts), RESULT)
 
 
 def report(docs: DataFrame) -> DataFrame:
