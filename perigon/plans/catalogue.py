@@ -1,6 +1,516 @@
-"""Queries of the observation engine, by name, with DuckDB SQL for the same rows."""
+"""Queries of the observation engine, by name, with DuckDB SQL for the same rows.
+
+Queries on `events` go through the observation adapter. Each pair is written separately for the two
+engines; floating results are rounded on both sides to where their libraries agree.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from perigon.config import CLASSES, DEFAULT, Config
+from perigon.operators import exports, figures, ingest, invariants, powerlaw, quality, rankings, trajectory
+from perigon.sources import events
+
+#: The adapter's species and thresholds that its tables can show.
+CONFIG = Config(focus_species="Genus_click sp4")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _register(name: str, sql: str | None):
+    def keep(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return keep
+
+
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.accepted(events.observations(spark, sf_dir), CONFIG)
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.rows(_accepted(spark, sf_dir), CONFIG)
+
+
+def _rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+_GATE = f"""WITH {events.SQL},
+first AS (
+  SELECT *, min(CASE WHEN captive_cultivated <> 'true' AND latitude <> '' AND longitude <> '' AND (taxon_genus_name <> '' OR scientific_name = 'Nepenthaceae') THEN seq END) OVER (PARTITION BY id) AS fa FROM obs
+), gate AS (
+  SELECT *, CASE WHEN captive_cultivated = 'true' THEN 'captive' WHEN fa IS NOT NULL AND seq > fa THEN 'duplicate' WHEN latitude = '' OR longitude = '' THEN 'no coordinates'
+    WHEN taxon_genus_name = '' AND scientific_name <> 'Nepenthaceae' THEN 'no genus' END AS reason FROM first
+), acc AS (
+  SELECT * EXCLUDE (reason, fa) REPLACE (CASE WHEN taxon_genus_name = '' THEN 'Nepenthes' ELSE taxon_genus_name END AS taxon_genus_name) FROM gate WHERE reason IS NULL
+), posters AS (
+  SELECT user_id, user_login, count(*) AS n, min(seq) AS first_seq FROM acc GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY n DESC, first_seq DESC) AS rank FROM posters
+), species AS (
+  SELECT scientific_name, count(*) AS n, min(seq) AS first_seq FROM acc GROUP BY ALL
+)"""
+
+_EPITHET = "CASE WHEN taxon_hybrid_name <> '' THEN 'x ' || split_part(taxon_hybrid_name, ' ', -1) ELSE split_part(taxon_species_name, ' ', 2) END"
+
+
+@_register(
+    "ingest_accepted",
+    _GATE + " SELECT seq, id, user_id, user_login, latitude, longitude, observed_on, time_observed_at, scientific_name, taxon_genus_name, geoprivacy, taxon_geoprivacy, coordinates_obscured FROM acc",
+)
+def ingest_accepted(spark, sf_dir):
+    columns = ["seq", "id", "user_id", "user_login", "latitude", "longitude", "observed_on", "time_observed_at", "scientific_name", "taxon_genus_name", "geoprivacy", "taxon_geoprivacy", "coordinates_obscured"]
+    return _accepted(spark, sf_dir).select(*columns)
+
+
+@_register("ingest_rejects", _GATE + " SELECT seq, id, reason, scientific_name FROM gate WHERE reason IS NOT NULL")
+def ingest_rejects(spark, sf_dir):
+    return ingest.rejects(events.observations(spark, sf_dir), CONFIG)
+
+
+_PRIVATE = "captive_cultivated <> 'true' AND geoprivacy = 'private' AND (fa IS NULL OR seq <= fa)"
+
+
+@_register("ingest_private_counters", _GATE + f" SELECT count(*) FILTER ({_PRIVATE}) AS private, count(*) FILTER ({_PRIVATE} AND (latitude = '' OR longitude = '')) AS private_without_coordinates FROM gate")
+def ingest_private_counters(spark, sf_dir):
+    return ingest.private_counters(events.observations(spark, sf_dir), CONFIG)
+
+
+@_register(
+    "quality_summary",
+    _GATE
+    + f""", one AS (
+  SELECT count(*) FILTER (reason IS NULL) AS total, count(*) FILTER ({_PRIVATE}) AS private, count(*) FILTER ({_PRIVATE} AND (latitude = '' OR longitude = '')) AS bare,
+    count(*) FILTER (reason IS NULL AND coordinates_obscured = 'true') AS obscured, count(*) FILTER (reason IS NULL AND taxon_species_name = '') AS genus_only,
+    count(*) FILTER (reason IS NULL AND quality_grade = 'research') AS research FROM gate
+), lines AS (
+  SELECT 'accepted' AS metric, total AS value, total AS denominator FROM one UNION ALL SELECT 'private', private, total + bare FROM one
+  UNION ALL SELECT 'private_without_coordinates', bare, total + bare FROM one UNION ALL SELECT 'obscured', obscured, total FROM one
+  UNION ALL SELECT 'not_obscured', total - obscured, total FROM one UNION ALL SELECT 'genus_only', genus_only, total FROM one UNION ALL SELECT 'research_grade', research, total FROM one
+) SELECT metric, value, denominator, round(value::DOUBLE * 100 / denominator, 6) AS pct FROM lines""",
+)
+def quality_summary(spark, sf_dir):
+    return _rounded(quality.summary(events.observations(spark, sf_dir), CONFIG), pct=6)
+
+
+@_register(
+    "quality_value_domains",
+    _GATE
+    + """ SELECT field, value, count(*) AS n, min(seq) AS first_seq FROM (
+  SELECT 'quality_grade' AS field, quality_grade AS value, seq FROM acc UNION ALL SELECT 'geoprivacy', geoprivacy, seq FROM acc
+  UNION ALL SELECT 'taxon_geoprivacy', taxon_geoprivacy, seq FROM acc UNION ALL SELECT 'captive_cultivated', captive_cultivated, seq FROM acc) GROUP BY ALL""",
+)
+def quality_value_domains(spark, sf_dir):
+    return quality.value_domains(_accepted(spark, sf_dir))
+
+
+@_register(
+    "quality_taxa_obscured",
+    _GATE
+    + """ SELECT obscured_taxa, unobscured_taxa, distinct_taxa, round(obscured_taxa * 100.0::DOUBLE / (obscured_taxa + unobscured_taxa), 6) AS pct_obscured FROM (
+  SELECT count(DISTINCT scientific_name) FILTER (taxon_geoprivacy = 'obscured') AS obscured_taxa, count(DISTINCT scientific_name) FILTER (taxon_geoprivacy <> 'obscured') AS unobscured_taxa,
+    count(DISTINCT scientific_name) AS distinct_taxa FROM acc)""",
+)
+def quality_taxa_obscured(spark, sf_dir):
+    return _rounded(quality.taxa_obscured(_accepted(spark, sf_dir)), pct_obscured=6)
+
+
+_SLICES = {
+    "all": "true", "precise": "coordinates_obscured = 'false'", "obscured": "coordinates_obscured = 'true'",
+    "taxon_empty": "taxon_geoprivacy = ''", "taxon_open": "taxon_geoprivacy = 'open'", "taxon_obscured": "taxon_geoprivacy = 'obscured'",
+    "focus_empty": "scientific_name = 'Genus_click sp4' AND taxon_geoprivacy = ''", "focus_open": "scientific_name = 'Genus_click sp4' AND taxon_geoprivacy = 'open'",
+    "focus_empty_open": "scientific_name = 'Genus_click sp4' AND taxon_geoprivacy IN ('', 'open')", "focus_obscured": "scientific_name = 'Genus_click sp4' AND taxon_geoprivacy = 'obscured'",
+    "geoprivacy_empty": "geoprivacy = ''", "geoprivacy_obscured": "geoprivacy = 'obscured'", "geoprivacy_private": "geoprivacy = 'private'",
+}
+_LINE = "id || chr(9) || user_id || chr(9) || user_login || chr(9) || coalesce(private_latitude, latitude) || chr(9) || coalesce(private_longitude, longitude)"
+
+
+@_register("heatmap_slices", _GATE + " " + " UNION ALL ".join(f"SELECT '{n}' AS slice, seq, {_LINE} AS line FROM acc WHERE {p}" for n, p in _SLICES.items()))
+def heatmap_slices(spark, sf_dir):
+    return exports.slices(_accepted(spark, sf_dir), CONFIG)
+
+
+@_register("heatmap_slice_counts", _GATE + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS slice, count(*) AS n FROM acc WHERE {p}" for n, p in _SLICES.items()) + ") WHERE n > 0")
+def heatmap_slice_counts(spark, sf_dir):
+    return exports.slices(_accepted(spark, sf_dir), CONFIG).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register(
+    "gpx_precise",
+    _GATE
+    + f""" SELECT seq, CASE WHEN coalesce(private_latitude, '') <> '' THEN private_latitude ELSE latitude END AS lat,
+  CASE WHEN coalesce(private_longitude, '') <> '' THEN private_longitude ELSE longitude END AS lon, taxon_genus_name || ' ' || {_EPITHET} AS label
+  FROM acc WHERE coordinates_obscured = 'false' OR coalesce(private_latitude, '') <> ''""",
+)
+def gpx_precise(spark, sf_dir):
+    return exports.waypoints(_accepted(spark, sf_dir), precise=True)
+
+
+@_register("gpx_obscured", _GATE + f" SELECT seq, latitude AS lat, longitude AS lon, taxon_genus_name || ' ' || {_EPITHET} AS label FROM acc WHERE coordinates_obscured = 'true' AND coalesce(private_latitude, '') = ''")
+def gpx_obscured(spark, sf_dir):
+    return exports.waypoints(_accepted(spark, sf_dir), precise=False)
+
+
+@_register(
+    "gpx_elements",
+    _GATE
+    + f""" SELECT seq, '  <wpt lat="' || latitude || '" lon="' || longitude || '">' || chr(10) || '    <ele>0.000000</ele>' || chr(10) || '    <name>' || l || '</name>' || chr(10) || '    <cmt>' || l || '</cmt>'
+  || chr(10) || '    <desc>' || l || '</desc>' || chr(10) || '    <cmt></cmt>' || chr(10) || '    <desc></desc>' || chr(10) || '  </wpt>' AS element
+  FROM (SELECT *, taxon_genus_name || ' ' || {_EPITHET} AS l FROM acc) WHERE coordinates_obscured = 'true' AND coalesce(private_latitude, '') = ''""",
+)
+def gpx_elements(spark, sf_dir):
+    return exports.gpx_elements(exports.waypoints(_accepted(spark, sf_dir), precise=False))
+
+
+@_register(
+    "kml_elements",
+    _GATE + f" SELECT seq, '  <Placemark><name>' || taxon_genus_name || ' ' || {_EPITHET} || '</name><Point><coordinates>' || longitude || ',' || latitude || ',0</coordinates></Point></Placemark>' AS element FROM acc WHERE coordinates_obscured = 'true' AND coalesce(private_latitude, '') = ''",
+)
+def kml_elements(spark, sf_dir):
+    return exports.kml_elements(exports.waypoints(_accepted(spark, sf_dir), precise=False))
+
+
+def _clean_sql(compat: bool) -> str:
+    service = "CASE WHEN coalesce(private_{0}, '') <> '' OR coordinates_obscured <> 'true' THEN 'in-precise' ELSE 'in-obscured' END"
+    value = "CASE WHEN coalesce(private_{0}, '') <> '' THEN private_{0} ELSE {0} END"
+    quote = (lambda x: f"'\"' || {x} || '\"'") if compat else (lambda x: f"'\"' || replace({x}, '\"', '\"\"') || '\"'")
+    fields = ["id", service.format("latitude"), value.format("latitude"), *([service.format("longitude")] if compat else []), value.format("longitude"), "''", "taxon_genus_name", _EPITHET]
+    fields += ["split_part(taxon_subspecies_name, ' ', -1)", "split_part(taxon_variety_name, ' ', -1)", "CASE WHEN taxon_hybrid_name <> '' THEN '1' ELSE '0' END", quote("place_country_name"), "replace(observed_on, '-', '/')"]
+    fields += [quote("replace(place_guess, '\"', '')"), quote("user_login"), quote("user_id"), "'unverified'", "CASE WHEN contains(image_url, 'https://images.example.org/') THEN image_url ELSE '' END"]
+    return _GATE + " SELECT seq, " + " || ',' || ".join(f"({f})" for f in fields) + " AS line FROM acc"
+
+
+@_register("clean_export", _clean_sql(False))
+def clean_export(spark, sf_dir):
+    return exports.clean_lines(_accepted(spark, sf_dir), CONFIG)
+
+
+@_register("clean_export_compat", _clean_sql(True))
+def clean_export_compat(spark, sf_dir):
+    return exports.clean_lines(_accepted(spark, sf_dir), CONFIG, compat=True)
+
+
+@_register("poster_counts", _GATE + " SELECT user_id, user_login, count(*) AS n, min(seq) AS first_seq, string_agg('i' || id, ',' ORDER BY seq) AS tags FROM acc GROUP BY user_id, user_login")
+def poster_counts(spark, sf_dir):
+    return rankings.posters(_accepted(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
+
+
+@_register("posters_csv", _GATE + ", head AS (SELECT user_id, arg_min(user_login, seq) AS user_login, min(seq) AS first_seq FROM acc GROUP BY user_id) SELECT h.user_id, h.user_login, p.n, h.first_seq FROM head h JOIN posters p ON p.user_id = h.user_id AND p.user_login = h.user_login")
+def posters_csv(spark, sf_dir):
+    return rankings.posters_csv(_accepted(spark, sf_dir))
+
+
+_LABEL = "scientific_name || CASE WHEN contains(scientific_name, ' ') THEN '' ELSE ' (unclassified)' END"
+
+
+@_register("species_counts_alpha", _GATE + f" SELECT row_number() OVER (ORDER BY scientific_name DESC) AS position, {_LABEL} AS label, n, n + 2 AS text_x FROM species")
+def species_counts_alpha(spark, sf_dir):
+    from pyspark.sql import Window
+
+    bars = figures.species_bars(_accepted(spark, sf_dir), "name")  # a row for each species
+    return bars.select(F.row_number().over(Window.orderBy(F.desc("scientific_name"))).cast("bigint").alias("position"), "label", "n", F.col("annotation.x").alias("text_x"))
+
+
+@_register("species_counts_rank", _GATE + f" SELECT row_number() OVER (ORDER BY n DESC, first_seq DESC) AS rank, {_LABEL} AS label, n, NOT contains(scientific_name, ' ') AS unclassified FROM species")
+def species_counts_rank(spark, sf_dir):
+    bars = figures.species_bars(_accepted(spark, sf_dir), "count")
+    return bars.select("rank", "label", "n", (~F.contains("scientific_name", F.lit(" "))).alias("unclassified"))
+
+
+@_register("species_rank_frequency", _GATE + " SELECT row_number() OVER (ORDER BY n DESC, first_seq DESC) AS rank, n, scientific_name FROM species WHERE contains(scientific_name, ' ')")
+def species_rank_frequency(spark, sf_dir):
+    return figures.species_line(_accepted(spark, sf_dir))
+
+
+@_register("species_unclassified", _GATE + " SELECT count(*) AS species, count(*) FILTER (NOT contains(scientific_name, ' ')) AS unclassified FROM species")
+def species_unclassified(spark, sf_dir):
+    counts = rankings.species_counts(_accepted(spark, sf_dir))
+    return counts.agg(F.count(F.lit(1)).alias("species"), F.count_if(~F.contains("scientific_name", F.lit(" "))).alias("unclassified"))
+
+
+@_register("poster_rank_frequency", _GATE + " SELECT rank, n, user_id, user_login FROM ranked")
+def poster_rank_frequency(spark, sf_dir):
+    return figures.poster_line(_accepted(spark, sf_dir))
+
+
+@_register("poster_bars_all", _GATE + " SELECT rank, user_id || '-' || user_login AS key, n FROM ranked")
+def poster_bars_all(spark, sf_dir):
+    return figures.poster_bars(_accepted(spark, sf_dir), CONFIG)
+
+
+@_register("poster_top", _GATE + " SELECT rank, user_id || '-' || user_login AS key, n FROM ranked WHERE n > 10")
+def poster_top(spark, sf_dir):
+    return figures.poster_bars(_accepted(spark, sf_dir), CONFIG, top_only=True)
+
+
+@_register("poster_log_axis", _GATE + " SELECT round(log10(max(rank)) + 0.1, 6) AS x_high, round(log10(max(n)) + 0.1, 6) AS y_high FROM ranked")
+def poster_log_axis(spark, sf_dir):
+    return _rounded(figures.log_axis(figures.poster_line(_accepted(spark, sf_dir))), x_high=6, y_high=6)
+
+
+@_register("poster_frequent", _GATE + " SELECT user_id, user_login, n, first_seq, rank FROM ranked WHERE n >= 80")
+def poster_frequent(spark, sf_dir):
+    return rankings.frequent_posters(_accepted(spark, sf_dir), CONFIG).select("user_id", "user_login", "n", "first_seq", "rank")
+
+
+@_register(
+    "poster_half_mass",
+    _GATE
+    + """, w AS (SELECT n, sum(n) OVER () AS total, count(*) OVER () AS posters, coalesce(sum(n) OVER (ORDER BY n, first_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM posters)
+  SELECT (max(posters) - count(*) FILTER (total - before > total // 2))::BIGINT AS people, (max(total) - coalesce(sum(n) FILTER (total - before > total // 2), 0))::BIGINT AS posts,
+    max(total)::BIGINT AS total, max(posters)::BIGINT AS posters FROM w""",
+)
+def poster_half_mass(spark, sf_dir):
+    return rankings.half_mass(rankings.poster_counts(_accepted(spark, sf_dir)))
+
+
+@_register("poster_low_contributors", _GATE + " SELECT k AS at_most, count(*) FILTER (n <= k) AS people, round(count(*) FILTER (n <= k) * 100.0::DOUBLE / count(*), 6) AS pct FROM posters, (VALUES (5::BIGINT), (3), (2), (1)) AS t(k) GROUP BY k")
+def poster_low_contributors(spark, sf_dir):
+    return _rounded(rankings.low_contributors(rankings.poster_counts(_accepted(spark, sf_dir))), pct=6)
+
+
+def _fit_sql(before: str, counts: str, xmin: int | None) -> str:
+    zeta = " + ".join(f"pow({{q}} + {k}, -alpha)" for k in range(powerlaw.HEAD))
+    a = f"({{q}} + {powerlaw.HEAD})"
+    zeta += f" + pow({a}, 1 - alpha) / (alpha - 1) + pow({a}, -alpha) / 2 + alpha * pow({a}, -alpha - 1) / 12 - alpha * (alpha + 1) * (alpha + 2) * pow({a}, -alpha - 3) / 720"
+    zeta += f" + alpha * (alpha + 1) * (alpha + 2) * (alpha + 3) * (alpha + 4) * pow({a}, -alpha - 5) / 30240"
+    candidates = "SELECT v AS xmin FROM freq WHERE v < (SELECT max(v) FROM freq)" if xmin is None else f"SELECT {xmin}::BIGINT AS xmin"
+    return f"""{before} freq AS (SELECT n::BIGINT AS v, count(*) AS c FROM ({counts}) WHERE n >= 1 GROUP BY 1), cand AS ({candidates}),
+pairs AS (SELECT xmin, v, sum(c) OVER w AS n, 1 + sum(c) OVER w / sum(c * ln(v / (xmin - 0.5::DOUBLE))) OVER w AS alpha,
+  coalesce(sum(c) OVER (PARTITION BY xmin ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(c) OVER w AS below
+  FROM cand JOIN freq ON v >= xmin WINDOW w AS (PARTITION BY xmin)),
+fits AS (SELECT xmin, max(n)::BIGINT AS n, max(alpha) AS alpha, max((alpha - 1) / sqrt(n)) AS sigma,
+  max(abs(below - (1 - CASE WHEN v = xmin THEN 1.0::DOUBLE ELSE ({zeta.format(q='v')}) / ({zeta.format(q='xmin')}) END))) AS ks FROM pairs GROUP BY xmin)
+SELECT xmin, n, round(alpha, 6) AS alpha, round(sigma, 6) AS sigma, round(ks, 6) AS ks FROM fits ORDER BY fits.ks, xmin LIMIT 1"""
+
+
+def _fitted(counts: DataFrame, xmin: int | None = None) -> DataFrame:
+    return _rounded(powerlaw.fit(counts, xmin), alpha=6, sigma=6, ks=6)
+
+
+def _classified(spark, sf_dir):
+    return rankings.species_counts(_accepted(spark, sf_dir)).filter(F.contains("scientific_name", F.lit(" ")))
+
+
+_CLASSIFIED = "SELECT n FROM species WHERE contains(scientific_name, ' ')"
+
+
+@_register("powerlaw_species_auto", _fit_sql(_GATE + ",", _CLASSIFIED, None))
+def powerlaw_species_auto(spark, sf_dir):
+    return _fitted(_classified(spark, sf_dir))
+
+
+@_register("powerlaw_species_xmin2", _fit_sql(_GATE + ",", _CLASSIFIED, 2))
+def powerlaw_species_xmin2(spark, sf_dir):
+    return _fitted(_classified(spark, sf_dir), 2)
+
+
+@_register("powerlaw_species_xmin1", _fit_sql(_GATE + ",", _CLASSIFIED, 1))
+def powerlaw_species_xmin1(spark, sf_dir):
+    return _fitted(_classified(spark, sf_dir), 1)
+
+
+@_register("powerlaw_posters_auto", _fit_sql(_GATE + ",", "SELECT n FROM posters", None))
+def powerlaw_posters_auto(spark, sf_dir):
+    return _fitted(rankings.poster_counts(_accepted(spark, sf_dir)))
+
+
+@_register("powerlaw_orders_per_customer", _fit_sql("WITH", "SELECT count(*) AS n FROM orders GROUP BY o_custkey", None))
+def powerlaw_orders_per_customer(spark, sf_dir):
+    return _fitted(spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")))
+
+
+@_register("powerlaw_lineitems_per_part", _fit_sql("WITH", "SELECT count(*) AS n FROM lineitem GROUP BY l_partkey", None))
+def powerlaw_lineitems_per_part(spark, sf_dir):
+    return _fitted(spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")))
+
+
+@_register("powerlaw_tokens", _fit_sql("WITH", "SELECT count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY w", None))
+def powerlaw_tokens(spark, sf_dir):
+    tokens = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", " ")).alias("w"))
+    return _fitted(tokens.filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+
+
+_WALK = (
+    _GATE
+    + """, dated AS (
+  SELECT user_id, user_login, seq, id, CASE WHEN coordinates_obscured = 'true' THEN 'iN-o' ELSE 'iN-p' END || id AS tag, observed_on AS dayno,
+    CASE WHEN split_part(time_observed_at, ' ', 2) = '' THEN '00:00:00' ELSE split_part(time_observed_at, ' ', 2) END AS clock, latitude::DOUBLE AS lat, longitude::DOUBLE AS lon, coordinates_obscured AS obscured, time_observed_at <> '' AS timed
+  FROM acc WHERE observed_on <> '' AND try_cast(split_part(observed_on, '-', 1) AS INTEGER) > 1950
+), o1 AS (
+  SELECT *, epoch((dayno || ' ' || clock)::TIMESTAMP)::BIGINT AS secs, row_number() OVER (PARTITION BY user_id, dayno ORDER BY clock, seq) AS rn FROM dated
+), o2 AS (
+  SELECT *, CASE WHEN rn = 1 THEN obscured <> 'true' ELSE obscured = 'false' END AS placed, rn = 1 OR obscured = 'false' AS anchor FROM o1
+), o3 AS (
+  SELECT *, last(CASE WHEN anchor THEN {'lat': lat, 'lon': lon, 'secs': secs} END IGNORE NULLS) OVER b AS f, count(*) FILTER (placed) OVER b AS placed_before, count(*) FILTER (anchor) OVER b AS run
+  FROM o2 WINDOW b AS (PARTITION BY user_id, dayno ORDER BY clock, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), o4 AS (
+  SELECT *, CASE WHEN anchor AND rn > 1 THEN (secs - f.secs)::DOUBLE END AS elapsed, CASE WHEN anchor AND rn > 1 THEN CASE WHEN lat = f.lat AND lon = f.lon THEN 0.0::DOUBLE ELSE 6371009.0::DOUBLE * atan2(sqrt(pow(cos(radians(f.lat)) * sin(radians(f.lon - lon)), 2)
+    + pow(cos(radians(lat)) * sin(radians(f.lat)) - sin(radians(lat)) * cos(radians(f.lat)) * cos(radians(f.lon - lon)), 2)), sin(radians(lat)) * sin(radians(f.lat)) + cos(radians(lat)) * cos(radians(f.lat)) * cos(radians(f.lon - lon))) END END AS metres FROM o3
+), o5 AS (
+  SELECT *, CASE WHEN elapsed > 0 THEN metres * 3.6 / elapsed WHEN elapsed IS NOT NULL THEN -1.0 END::DOUBLE AS kmh FROM o4
+), walk AS (
+  SELECT *, CASE WHEN rn = 1 THEN CASE WHEN placed THEN 'first' ELSE 'obscured' END WHEN NOT anchor THEN 'obscured' WHEN placed_before = 0 THEN 'first' WHEN kmh > 200 THEN 'kmh_over_200' WHEN kmh > 80 THEN 'kmh_80_200'
+    WHEN kmh > 25 THEN 'kmh_25_80' WHEN kmh > 10 THEN 'kmh_10_25' WHEN kmh > 5 THEN 'kmh_5_10' WHEN kmh > 0 THEN 'kmh_0_5' WHEN elapsed = 0 THEN 'instantaneous' ELSE 'stationary' END AS cls FROM o5
+), days AS (
+  SELECT user_id, dayno, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY dayno) AS day_idx FROM dated GROUP BY user_id, dayno
+), hist AS (
+  SELECT user_id, count(*) FILTER (obscured <> 'true') AS precise, count(*) FILTER (obscured = 'true') AS obscured, count(*) FILTER (timed) AS with_time, count(*) FILTER (NOT timed) AS without_time, """
+    + ", ".join(f"count(*) FILTER (cls = '{c}') AS cls_{c}" for c, _ in CLASSES)
+    + """ FROM walk GROUP BY user_id
+), people AS (
+  SELECT user_id, arg_max(user_login, seq) AS label, count(*) AS accepted FROM acc GROUP BY user_id
+), active AS (
+  SELECT user_id, min(dayno) AS first_day, max(dayno) AS last_day, count(DISTINCT dayno) AS days, count(*) AS observations FROM dated GROUP BY user_id
+)"""
+)
+
+
+@_register("trajectory_rows", _WALK + " SELECT user_id, user_login, seq, tag, dayno, clock, secs, lat, lon, obscured, timed FROM o1")
+def trajectory_rows(spark, sf_dir):
+    return _dated(spark, sf_dir).select("user_id", "user_login", "seq", "tag", F.col("day").alias("dayno"), "clock", F.col("at").alias("secs"), "lat", "lon", "obscured", "timed")
+
+
+@_register("trajectory_days", _WALK + " SELECT user_id, dayno, n, day_idx FROM days")
+def trajectory_days(spark, sf_dir):
+    return trajectory.days(_dated(spark, sf_dir)).select("user_id", F.col("day").alias("dayno"), "n", "day_idx")
+
+
+@_register("trajectory_speed", _WALK + " SELECT user_id, seq, elapsed, round(metres, 3) AS metres, round(kmh, 4) AS kmh FROM walk WHERE elapsed IS NOT NULL")
+def trajectory_speed(spark, sf_dir):
+    walk = trajectory.walked(_dated(spark, sf_dir)).filter(F.col("elapsed").isNotNull())
+    return _rounded(walk.select("user_id", "seq", "elapsed", "metres", "kmh"), metres=3, kmh=4)
+
+
+@_register("trajectory_classes", _WALK + " SELECT user_id, seq, rn::BIGINT AS rn, placed, anchor, cls FROM walk")
+def trajectory_classes(spark, sf_dir):
+    return trajectory.walked(_dated(spark, sf_dir)).select("user_id", "seq", F.col("rn").cast("bigint").alias("rn"), "placed", "anchor", "cls")
+
+
+@_register("person_speed_histogram", _WALK + " SELECT * FROM hist")
+def person_speed_histogram(spark, sf_dir):
+    return trajectory.histogram(_dated(spark, sf_dir))
+
+
+@_register(
+    "person_summary",
+    _WALK
+    + """ SELECT user_id, label, first_day, last_day, coalesce(days, 0) AS days, coalesce(observations, 0) AS observations, accepted - coalesce(observations, 0) AS missed,
+  coalesce(split_part(last_day, '-', 1)::BIGINT - split_part(first_day, '-', 1)::BIGINT + 1, 0) AS years, CASE WHEN split_part(last_day, '-', 1) = split_part(first_day, '-', 1) THEN '%m/%Y' ELSE '%Y' END AS tick_format,
+  7::BIGINT AS ticks, CASE WHEN days > 95 THEN 20 ELSE 0 END::BIGINT AS margin_extra FROM people LEFT JOIN active USING (user_id)""",
+)
+def person_summary(spark, sf_dir):
+    accepted = _accepted(spark, sf_dir)
+    return trajectory.summary(accepted, trajectory.rows(accepted, CONFIG))
+
+
+_MARKS = (
+    _WALK
+    + """, m1 AS (
+  SELECT w.*, day_idx, last({'lat': lat, 'lon': lon}) OVER (PARTITION BY w.user_id, w.dayno, run ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e, count(*) OVER (PARTITION BY w.user_id, w.dayno, run) AS share
+  FROM walk w JOIN days d ON d.user_id = w.user_id AND d.dayno = w.dayno
+), m2 AS (
+  SELECT *, CASE WHEN rn = 1 THEN 0.0::DOUBLE ELSE log2(CASE WHEN e.lat = f.lat AND e.lon = f.lon THEN 0.0::DOUBLE ELSE 6371009.0::DOUBLE * atan2(sqrt(pow(cos(radians(f.lat)) * sin(radians(f.lon - e.lon)), 2)
+    + pow(cos(radians(e.lat)) * sin(radians(f.lat)) - sin(radians(e.lat)) * cos(radians(f.lat)) * cos(radians(f.lon - e.lon)), 2)), sin(radians(e.lat)) * sin(radians(f.lat)) + cos(radians(e.lat)) * cos(radians(f.lat)) * cos(radians(f.lon - e.lon))) END + 1) / share END AS spacing FROM m1
+), m3 AS (
+  SELECT *, CASE WHEN rn = 1 THEN 0.0::DOUBLE ELSE sum(spacing) OVER (PARTITION BY user_id, dayno ORDER BY rn ROWS UNBOUNDED PRECEDING) + 8 * (rn - 2) END AS off FROM m2
+), marks AS (
+  SELECT user_id, day_idx, dayno, rn::BIGINT AS rn, tag, cls, CASE WHEN rn = 1 THEN 'first' ELSE 'inner' END AS kind, CASE WHEN clock = '00:00:00' THEN 'circle' WHEN rn = 1 THEN 'square' ELSE 'rect' END AS shape,
+    CASE cls WHEN 'obscured' THEN 'rgb(255,255,255)' WHEN 'first' THEN 'rgb(128,128,128)' """
+    + " ".join(f"WHEN '{c}' THEN '{DEFAULT.palette[k]}'" for c, k in CLASSES if k is not None)
+    + """ END AS fill, off FROM m3
+)"""
+)
+
+
+@_register(
+    "profile_markers",
+    _MARKS
+    + """ SELECT user_id, day_idx, dayno, rn, tag, cls, kind, shape, fill, CASE WHEN cls = 'obscured' THEN CASE WHEN rn = 1 THEN 'rgb(0,0,0)' ELSE 'DarkGrey' END ELSE fill END AS line_color,
+  CASE WHEN cls = 'obscured' THEN 1 ELSE 0 END::BIGINT AS line_width, round(off + 4, 4) AS x0, round(off + 12, 4) AS x1, -4.0::DOUBLE AS y0, 4.0::DOUBLE AS y1 FROM marks""",
+)
+def profile_markers(spark, sf_dir):
+    return _rounded(trajectory.markers(_dated(spark, sf_dir), CONFIG).drop("offset").withColumnRenamed("day", "dayno"), x0=4, x1=4)
+
+
+@_register("profile_first_markers", _MARKS + " SELECT user_id, day_idx, dayno, tag, shape, fill FROM marks WHERE kind = 'first'")
+def profile_first_markers(spark, sf_dir):
+    return trajectory.markers(_dated(spark, sf_dir), CONFIG).filter("kind = 'first'").select("user_id", "day_idx", F.col("day").alias("dayno"), "tag", "shape", "fill")
+
+
+_BARS = ["precise", "obscured", "0", "with_time", "without_time", "0", *[f"cls_{c}" for c, _ in CLASSES]]
+
+
+@_register(
+    "histogram_vector",
+    _WALK
+    + " SELECT user_id, "
+    + " || ',' || ".join(f"({b})::VARCHAR" for b in _BARS)
+    + f" AS bars, precise + obscured AS sum_places, with_time + without_time AS sum_times, {' + '.join(f'cls_{c}' for c, _ in CLASSES)} AS sum_classes FROM hist",
+)
+def histogram_vector(spark, sf_dir):
+    return trajectory.histogram_vector(trajectory.histogram(_dated(spark, sf_dir))).withColumn("bars", F.array_join("bars", ","))
+
+
+@_register(
+    "histogram_ticks",
+    _WALK
+    + """, u AS (SELECT user_id, precise + obscured AS total, CASE WHEN precise + obscured > 400 THEN 100 WHEN precise + obscured > 200 THEN 50 WHEN precise + obscured > 100 THEN 25 WHEN precise + obscured > 80 THEN 20 ELSE 10 END::BIGINT AS unit FROM hist)
+  SELECT user_id, total, unit, array_to_string(list_transform(range((total + unit - 1) // unit), lambda k: k * unit), ',') AS ticks FROM u""",
+)
+def histogram_ticks(spark, sf_dir):
+    return trajectory.histogram_ticks(trajectory.histogram(_dated(spark, sf_dir))).withColumn("ticks", F.array_join("ticks", ","))
+
+
+@_register(
+    "trajectory_log_lines",
+    _WALK
+    + """ SELECT user_id, seq, tag || ', ' || lat::VARCHAR || ', ' || lon::VARCHAR || ', ' || replace(dayno, '-', '/') || ', ' || clock || ', ' ||
+  CASE WHEN rn = 1 THEN 'first entry of the day' WHEN NOT anchor THEN 'obscured' ELSE printf('%.1f', elapsed) || 's, ' || printf('%.1f', round(metres, 1)) || 'm, ' || printf('%.1f', round(kmh, 1)) || 'km/h' END AS line FROM walk""",
+)
+def trajectory_log_lines(spark, sf_dir):
+    return trajectory.log_lines(_dated(spark, sf_dir)).select("user_id", "seq", "line")
+
+
+@_register("person_selection", _GATE + " SELECT rank AS person_rank, user_id FROM ranked WHERE n >= 80")
+def person_selection(spark, sf_dir):
+    return rankings.selected_people(_accepted(spark, sf_dir), config=CONFIG)
+
+
+@_register("person_selection_list", _GATE + " SELECT k AS person_rank, user_id FROM (VALUES (1::BIGINT, '3'), (2, '1'), (3, '4'), (4, '1'), (5, '999999')) AS t(k, user_id) WHERE user_id IN (SELECT user_id FROM acc)")
+def person_selection_list(spark, sf_dir):
+    return rankings.selected_people(_accepted(spark, sf_dir), ["3", "1", "4", "1", "999999"], CONFIG)
+
+
+@_register(
+    "person_file_labels",
+    _WALK + " SELECT rank AS person_rank, r.user_id, CASE WHEN rank < 10 THEN '0' ELSE '' END || rank::VARCHAR || '-' || replace(label, '@', '_') AS label FROM ranked r JOIN people USING (user_id) WHERE n >= 80",
+)
+def person_file_labels(spark, sf_dir):
+    accepted = _accepted(spark, sf_dir)
+    people = rankings.selected_people(accepted, config=CONFIG).join(trajectory.summary(accepted, trajectory.rows(accepted, CONFIG)), "user_id")
+    return people.select("person_rank", "user_id", figures.file_label(F.col("person_rank"), F.col("label")).alias("label"))
+
+
+@_register("invariant_violations", _GATE + " SELECT 'none' AS rule, 'none' AS subject WHERE false")
+def invariant_violations(spark, sf_dir):
+    return invariants.violations(_accepted(spark, sf_dir), CONFIG)
+
+
+@_register("figure_histogram_specs", None)
+def figure_histogram_specs(spark, sf_dir):
+    return figures.histogram_spec(trajectory.histogram(_dated(spark, sf_dir)), CONFIG)
+
+
+@_register("figure_profile_specs", None)
+def figure_profile_specs(spark, sf_dir):
+    return figures.profile_spec(trajectory.markers(_dated(spark, sf_dir), CONFIG))
