@@ -32,8 +32,12 @@ def rows(accepted: DataFrame, config: Config = DEFAULT) -> DataFrame:
     )
 
 
-_DAY = Window.partitionBy("user_id", "day").orderBy("clock", "seq")
-_BEFORE = _DAY.rowsBetween(Window.unboundedPreceding, -1)
+def _day():
+    return Window.partitionBy("user_id", "day").orderBy("clock", "seq")
+
+
+def _before():
+    return _day().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def walked(dated: DataFrame) -> DataFrame:
@@ -43,14 +47,14 @@ def walked(dated: DataFrame) -> DataFrame:
     class of a day's first precise row is `first`; obscured rows have the class `obscured`.
     """
     first = F.col("rn") == 1
-    known = dated.withColumn("rn", F.row_number().over(_DAY)).withColumns(
+    known = dated.withColumn("rn", F.row_number().over(_day())).withColumns(
         {
             "placed": F.when(first, F.col("obscured") != "true").otherwise(F.col("obscured") == "false"),
             "anchor": first | (F.col("obscured") == "false"),
         }
     )
-    anchor = F.last(F.when(F.col("anchor"), F.struct("lat", "lon", "at")), ignorenulls=True).over(_BEFORE)
-    placed_before = F.coalesce(F.count_if("placed").over(_BEFORE), F.lit(0))
+    anchor = F.last(F.when(F.col("anchor"), F.struct("lat", "lon", "at")), ignorenulls=True).over(_before())
+    placed_before = F.coalesce(F.count_if("placed").over(_before()), F.lit(0))
     back = known.withColumns({"from": anchor, "placed_before": placed_before})
     measured = F.col("anchor") & (F.col("rn") > 1)
     back = back.withColumn("elapsed", F.when(measured, (F.col("at") - F.col("from.at")).cast("double")))
@@ -103,7 +107,7 @@ def summary(accepted: DataFrame, dated: DataFrame) -> DataFrame:
     first, last = F.split_part("first_day", F.lit("-"), F.lit(1)).cast("bigint"), F.split_part("last_day", F.lit("-"), F.lit(1)).cast("bigint")
     return joined.select(
         "user_id", "label", "first_day", "last_day", "days", "observations", (F.col("accepted") - F.col("observations")).alias("missed"),
-F.coalesce(last - first + 1, F.lit(0)).alias("years"), F.when(last == first, "%m/%Y").otherwise("%Y").alias("tick_format"), F.lit(7).cast("bigint").alias("ticks"),
+        F.coalesce(last - first + 1, F.lit(0)).alias("years"), F.when(last == first, "%m/%Y").otherwise("%Y").alias("tick_format"), F.lit(7).cast("bigint").alias("ticks"),
         F.when(F.col("days") > 95, 20).otherwise(0).cast("bigint").alias("margin_extra"),
     )
 
@@ -114,7 +118,7 @@ def markers(dated: DataFrame, config: Config = DEFAULT) -> DataFrame:
     Obscured rows and the precise row that ends their run share the logarithmic spacing of the
     distance that the run covers; so do the rows of a run that the day ends.
     """
-    walk = walked(dated).withColumn("run", F.coalesce(F.count_if("anchor").over(_BEFORE), F.lit(0)))
+    walk = walked(dated).withColumn("run", F.coalesce(F.count_if("anchor").over(_before()), F.lit(0)))
     run = Window.partitionBy("user_id", "day", "run")
     ordered = run.orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     whole = F.last(F.struct("lat", "lon")).over(ordered)
@@ -122,7 +126,7 @@ def markers(dated: DataFrame, config: Config = DEFAULT) -> DataFrame:
     span = geo.great_circle(F.col("end.lat"), F.col("end.lon"), F.col("from.lat"), F.col("from.lon"))
     spaced = spaced.withColumn("spacing", F.when(F.col("rn") > 1, geo.log_spacing(span) / F.col("share")).otherwise(0.0))
     first = F.col("rn") == 1
-    offset = F.sum("spacing").over(_DAY.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + config.marker * (F.col("rn") - 2)
+    offset = F.sum("spacing").over(_day().rowsBetween(Window.unboundedPreceding, Window.currentRow)) + config.marker * (F.col("rn") - 2)
     spaced = spaced.withColumn("offset", F.when(first, 0.0).otherwise(offset))
     fill = F.when(F.col("cls") == "obscured", WHITE).when(F.col("cls") == "first", GRAY)
     for name, colour in CLASSES:
