@@ -37,7 +37,7 @@ def test_predicates_are_decided_on_headers(spark, tmp_path):
     found = warc.read_warc(spark, str(tmp_path / "a"), payload="none")
     assert found.count() >= len(PAGES) and found.filter("payload is not null").count() == 0
     chosen = found.filter("record_type = 'revisit' and target_uri like 'http://a%'")
-    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    plan = spark._jvm.PythonSQLUtils.explainString(chosen._jdf.queryExecution(), "formatted")
     assert "Filter (" not in plan and "EqualTo(record_type,revisit)" in plan
     assert [r.record_id for r in chosen.collect()] == ["<urn:page:7>"]
     assert found.filter("not (record_type in ('response', 'warcinfo'))").count() == 4 - 1
