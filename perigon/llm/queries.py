@@ -66,4 +66,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontamination.ORACLE,
     "op8_histogram_shards": sharding.ORACLE,
     "op9_near_duplicates": near_dedup.ORACLE,
+    "op10_repeated_substrings": substrings.ORACLE,
 }

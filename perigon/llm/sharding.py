@@ -192,7 +192,8 @@ WITH RECURSIVE bits AS (
   SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), k AS (
   SELECT doc_id, (strlen(t) + 1)::BIGINT AS size, ('0x' || substr(md5(t), 1, 15))::BIGINT AS key,
-    xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT),
+    xor(list_reduce(flatten(list_transform(list_transform(range((length(h) + 511) // 512), lambda k: substr(h, (512 * k + 1)::BIGINT, 512)),
+      lambda part: list_transform(range(length(part) // 2), lambda i: ('0x' || substr(part, (2 * i + 1)::BIGINT, 2))::BIGINT))),
       lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
   FROM d, bits
 ), u AS (

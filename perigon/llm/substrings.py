@@ -380,3 +380,26 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return remove_repeats(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (
+  SELECT doc_id, length(h) // 2 AS n, k, substr(h, 512 * k + 1, 610) AS h FROM (SELECT doc_id, h, unnest(range((length(h) + 511) // 512)) AS k FROM d)
+), w AS (
+  SELECT doc_id, 256 * k + i AS b, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 256 * k + i + 50 <= n THEN substr(h, 2 * i + 1, 100) END AS s
+  FROM (SELECT *, unnest(range(least(256, n - 256 * k))) AS i FROM g)
+), f AS (
+  SELECT s, min(doc_id) AS least FROM w WHERE s IS NOT NULL GROUP BY s
+), c AS (
+  SELECT doc_id, b, x, coalesce(max(CASE WHEN least < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM w LEFT JOIN f USING (s)
+), e AS (
+  SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS was FROM c
+), r AS (
+  SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (gone = 1 AND was = 0) AS n_spans, string_agg(x, '' ORDER BY b) FILTER (gone = 0) AS kept FROM e GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
