@@ -30,8 +30,9 @@ SHARDS = 16
 TOLERANCE = 0.01
 BITS = 12
 FEW = 4096
-#: A key with at least this share of the rows gets cells of its own, by tie.
+#: A key with at least this share of the rows, and HEAVY_ROWS of them, gets cells of its own, by tie.
 HEAVY = 0.002
+HEAVY_ROWS = 256
 
 
 def text_key(text: Column) -> Column:
@@ -143,7 +144,7 @@ def histogram_sort(rows: DataFrame, key: Column, tie: Column, size: Column, shar
     shard = F.lit(0)
     for k, t in cuts:
         shard = shard + F.when((F.col("key") > k) | ((F.col("key") == k) & (F.col("tie") >= t)), 1).otherwise(0)
-    counts = plain.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(FEW, int(HEAVY * ends["n"])))
+    counts = plain.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(HEAVY_ROWS, int(HEAVY * ends["n"])))
     often = sorted(r["key"] for r in counts.select("key").collect())  # at most 1 / HEAVY keys
     turn = F.lit(0)
     for k in often:
