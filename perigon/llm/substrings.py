@@ -163,8 +163,11 @@ def expand(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def cuts(part: np.ndarray, parts: int) -> np.ndarray:
-    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+def runs(part: np.ndarray, also: int | None = None) -> list[tuple[int, int, int]]:
+    """(part, first, end) of the parts that sorted entries have, and of `also` if they do not have it."""
+    found, first = np.unique(part, return_index=True)
+    out = list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(part)]))
+    return out if also is None or also in found else [*out, (also, 0, 0)]
 
 
 def packed(flags: np.ndarray) -> bytes:
@@ -175,12 +178,12 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8, offset=8), count=int.from_bytes(data[:8], "little")).astype(bool)
 
 
-def answers(reply: pa.Table, column: str, cut: np.ndarray) -> np.ndarray:
-    """Flags of a block's entries, put together from the parts' replies."""
-    found = np.zeros(int(cut[-1]), bool)
-    for part, bits in zip(reply.column("part").to_pylist(), reply.column(column).to_pylist()):
-        if bits is not None:
-            found[cut[part] : cut[part + 1]] = unpacked(bits)
+def answers(reply: pa.Table, column: str, part: np.ndarray) -> np.ndarray:
+    """Flags of a block's entries, sorted by part, put together from the parts' replies."""
+    found = np.zeros(len(part), bool)
+    bits = dict(zip(reply.column("part").to_pylist(), reply.column(column).to_pylist()))
+    for p, a, b in runs(part):
+        found[a:b] = unpacked(bits[p])
     return found
 
 
@@ -222,12 +225,9 @@ def anchor_entries(window: int, parts: int):
         low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
         np.minimum.at(low, block.anchor_of, block.id)
         np.maximum.at(high, block.anchor_of, block.id)
-        cut = cuts(block.anchor >> np.uint64(32), parts)
         out = []
-        for p in range(parts):
-            a, b = cut[p], cut[p + 1]
-            if b > a:
-                out.append((key[0].as_py(), p, block.anchor[a:b].astype(np.uint32).tobytes(), packed(low[a:b] < high[a:b]), None, None, None))
+        for p, a, b in runs(block.anchor >> np.uint64(32)):
+            out.append((key[0].as_py(), p, block.anchor[a:b].astype(np.uint32).tobytes(), packed(low[a:b] < high[a:b]), None, None, None))
         return table(_KINDS, out)
 
     return run
@@ -251,14 +251,11 @@ def extent_entries(window: int, parts: int):
         if not rows.num_rows or not reply.num_rows:
             return table(_KINDS, [])
         block = Block(rows, window, parts)
-        block.refine_extents(answers(reply, "bits", cuts(block.anchor >> np.uint64(32), parts)))
-        cut = cuts(block.extent_name >> np.uint64(32), parts)
+        block.refine_extents(answers(reply, "bits", block.anchor >> np.uint64(32)))
         carrier = key[0].as_py() % parts
         out = []
-        for p in range(parts):
-            a, b = cut[p], cut[p + 1]
-            if b > a or p == carrier:
-                out.append((key[0].as_py(), p, block.extent_name[a:b].astype(np.uint32).tobytes(), block.extent[a:b].tobytes(), *smallest(block.extent_least[a:b]), [packed(block.shared)] if p == carrier else None))
+        for p, a, b in runs(block.extent_name >> np.uint64(32), carrier):
+            out.append((key[0].as_py(), p, block.extent_name[a:b].astype(np.uint32).tobytes(), block.extent[a:b].tobytes(), *smallest(block.extent_least[a:b]), [packed(block.shared)] if p == carrier else None))
         return table(_KINDS, out)
 
     return run
@@ -287,15 +284,12 @@ def window_entries(window: int, anchor_parts: int, parts: int):
             return table(_KINDS, [])
         block = Block(rows, window, anchor_parts)
         block.refine_extents(told(reply)[0])
-        cut = cuts(block.extent_name >> np.uint64(32), anchor_parts)
-        block.refine_windows(answers(reply, "bits", cut), answers(reply, "open", cut), parts)
-        cut = cuts(block.bucket_part, parts)
+        part = block.extent_name >> np.uint64(32)
+        block.refine_windows(answers(reply, "bits", part), answers(reply, "open", part), parts)
         carrier = key[0].as_py() % parts
         out = []
-        for p in range(parts):
-            a, b = cut[p], cut[p + 1]
-            if b > a or p == carrier:
-                out.append((key[0].as_py(), p, block.bucket[a:b].tobytes(), None, *smallest(block.bucket_least[a:b]), [packed(block.shared), packed(block.smaller), packed(block.open)] if p == carrier else None))
+        for p, a, b in runs(block.bucket_part, carrier):
+            out.append((key[0].as_py(), p, block.bucket[a:b].tobytes(), None, *smallest(block.bucket_least[a:b]), [packed(block.shared), packed(block.smaller), packed(block.open)] if p == carrier else None))
         return table(_KINDS, out)
 
     return run
@@ -325,7 +319,7 @@ def removals(window: int, anchor_parts: int, parts: int):
         if known is not None and rows.num_rows:
             block.refine_extents(known[0])
             block.refine_windows(known[1], known[2], parts)
-            smaller = answers(reply, "bits", cuts(block.bucket_part, parts))
+            smaller = answers(reply, "bits", block.bucket_part)
             repeated = smaller[block.bucket_of] | (block.bucket_least[block.bucket_of] < block.owner)
             gone, starts = block.split(block.gone), block.starts
         spans, kept, at = [], [], 0
