@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,9 @@ K = 128
 SIZE = 5
 #: Text bytes in a range of consecutive documents; ranges are dealt to tasks by hash.
 RANGE_BYTES = 4 << 20
-MOST_RANGES = 2000
+MOST_RANGES = 40_000
+CUT_GROUP = 256
+MOST_CELLS = 256
 
 
 def sketches(texts: pa.Array, k: int = K, size: int = SIZE) -> list[np.ndarray]:
@@ -148,6 +151,34 @@ def compare(pairs: DataFrame, a: str, b: str, k: int = K) -> DataFrame:
     return got.withColumns({"resemblance": F.col("likeness__.resemblance"), "containment": F.col("likeness__.containment")}).drop("likeness__")
 
 
+def id_cuts(docs: DataFrame, low: int, top: int, ranges: int, target: int) -> list[int]:
+    """Ids of documents, ascending and below `top`, that cut them into ranges of about `target` bytes.
+
+    Bytes are counted over all partitions in at least four cells of evenly spaced ids for each range.
+    Where ids are so dense that a cell has twice the target, the heaviest cells are counted again in
+    smaller ones; MOST_CELLS of them a round bound the rows sent.
+    """
+    cuts: list[int] = []
+    todo, shift = [(low, top + 1)], max(0, (top - low).bit_length() - max(12, (4 * ranges).bit_length()))
+    while todo:
+        inside = None
+        for a, b in todo:
+            one = (F.col("doc_id") >= a) & (F.col("doc_id") < b)
+            inside = one if inside is None else inside | one
+        cell = F.shiftright(F.col("doc_id") - F.lit(low), shift)
+        found = docs.filter(inside).groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text").cast("bigint")).alias("n"), F.max("doc_id").alias("last")).collect()
+        held = 0
+        for _, n, last in sorted((r["cell"], r["n"], r["last"]) for r in found):
+            held += n
+            if held >= target:
+                cuts.append(last)
+                held = 0
+        heavy = sorted(((r["n"], r["cell"]) for r in found if r["n"] > 2 * target), reverse=True)[:MOST_CELLS] if shift else []
+        todo = [(low + (k << shift), low + ((k + 1) << shift)) for _, k in heavy]
+        shift = max(0, shift - 8)
+    return sorted(set(cuts) - {top})
+
+
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Documents dealt so that each meets the next one by descending doc_id: (part, tail, doc_id, text), sorted.
 
@@ -157,24 +188,28 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     last; equal ids are ordered by their text.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.max("doc_id").alias("top")).first()
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).first()
     ranges = ranges or max(1, min(MOST_RANGES, (size["bytes"] or 0) // RANGE_BYTES))
-    cuts = []
-    if ranges > 1 and size["top"] is not None:
-        at = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", at, 20 * ranges).alias("c")).first()["c"]) - {size["top"]})
-    array = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(array, lambda c: c >= F.col("doc_id"))))
+    cuts = [] if ranges == 1 or size["top"] is None else id_cuts(docs, size["low"], size["top"], ranges, -(-(size["bytes"] or 1) // ranges))
+    # cuts at or above an id, counted in two steps: whole groups of cuts, then the cuts of one group
+    groups = [cuts[k : k + CUT_GROUP] for k in range(0, len(cuts), CUT_GROUP)]
+    array = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
+    tops = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")
+    nested = F.from_json(F.lit(json.dumps([*groups, []])), "array<array<bigint>>")
+    whole = F.size(F.filter(tops, lambda c: c < F.col("doc_id")))
+    below = whole * CUT_GROUP + F.size(F.filter(F.element_at(nested, whole + 1), lambda c: c < F.col("doc_id")))
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.lit(len(cuts)) - below)
     first = F.lit(True) if size["top"] is None else F.col("doc_id").eqNullSafe(F.lit(size["top"]))
     own = F.struct(F.col("part__").alias("part"), F.lit(0).alias("tail"))
     places = F.array_compact(
         F.array(
             own,
-            F.when(F.array_contains(array, F.col("doc_id")), F.struct((F.col("part__") - 1).alias("part"), F.lit(1).alias("tail"))),
+            F.when(F.col("cut__"), F.struct((F.col("part__") - 1).alias("part"), F.lit(1).alias("tail"))),
             F.when(first, F.struct(F.lit(len(cuts)).alias("part"), F.lit(1).alias("tail"))),
         )
     )
-    dealt = docs.withColumn("part__", part).select(F.explode(places).alias("p"), "doc_id", "text").select("p.part", "p.tail", "doc_id", "text")
+    # a cut is the largest id of its range: the range below begins where the number of cuts at or above changes
+    dealt = docs.withColumns({"part__": part, "cut__": F.coalesce(F.array_contains(array, F.col("doc_id")), F.lit(False))}).select(F.explode(places).alias("p"), "doc_id", "text").select("p.part", "p.tail", "doc_id", "text")
     tasks = max(1, -(-(len(cuts) + 1) // 4))
     order: list[Column] = [F.col("part"), F.col("tail"), F.col("doc_id").desc_nulls_last(), F.col("text")]
     return dealt.repartition(tasks, "part").sortWithinPartitions(*order)

@@ -59,3 +59,14 @@ def test_small_sets_are_exact_and_parts_merge(spark):
 
 def test_empty_table(spark):
     assert fp.edited_fingerprints(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_cuts_follow_dense_ids(spark):
+    """Half of the ids lie close together, the others far apart; no range is much heavier than its share."""
+    rows = [(k, "x" * 10) for k in range(3000)] + [(10**15 + k * 10**12, "x" * 10) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cuts = fp.id_cuts(df, 0, rows[-1][0], 12, 60_000 // 12)
+    ids = sorted(r[0] for r in rows)
+    bounds = [-1, *cuts, ids[-1]]
+    assert set(cuts) <= set(ids)
+    assert max(sum(a < i <= b for i in ids) for a, b in zip(bounds, bounds[1:])) <= 1100 and len(cuts) >= 8
