@@ -197,7 +197,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     tops = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")
     nested = F.from_json(F.lit(json.dumps([*groups, []])), "array<array<bigint>>")
     whole = F.size(F.filter(tops, lambda c: c < F.col("doc_id")))
-    below = whole * CUT_GROUP + F.size(F.filter(F.element_at(nested, whole + 1), lambda c: c < F.col("doc_id")))
+    below = F.least(whole * CUT_GROUP, F.lit(len(cuts))) + F.size(F.filter(F.element_at(nested, whole + 1), lambda c: c < F.col("doc_id")))
     part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.lit(len(cuts)) - below)
     first = F.lit(True) if size["top"] is None else F.col("doc_id").eqNullSafe(F.lit(size["top"]))
     own = F.struct(F.col("part__").alias("part"), F.lit(0).alias("tail"))

@@ -1,7 +1,9 @@
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from perigon.llm import fingerprints as fp
@@ -36,6 +38,18 @@ def test_edited_texts_meet_the_next_document(spark):
         assert all(len(v) == 1 for (d, _), v in by_text.items() if d == 5)
 
 
+@pytest.mark.parametrize("group", [256, 3])
+def test_no_document_is_lost_between_ranges(spark, monkeypatch, group):
+    monkeypatch.setattr(fp, "CUT_GROUP", group)
+    rng = random.Random(group)
+    rows = [(k * k - 500, " ".join(str(rng.random()) for _ in range(rng.randint(0, 20)))) for k in range(300)] + [(None, "x"), (None, None), (225 - 500, "again")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for ranges in (2, 7, 40):
+        got = fp.edited_fingerprints(df, ranges=ranges).collect()
+        assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=str) == brute(rows)
+        assert fp.with_next(df, ranges).agg(F.count_distinct("part")).first()[0] > ranges / 2
+
+
 def test_small_sets_are_exact_and_parts_merge(spark):
     texts = ["a b c d e f g h i j", "a b c d e f g x y z", "", None, "short one"]
     s = fp.sketches(pa.array(texts))
