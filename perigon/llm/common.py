@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,21 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 1 << 20
 
 
+def sent_to_workers(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless their path has it already."""
+    root = Path(__file__).resolve().parents[2]
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    name = "perigon-package.zip"
+    if any(p and Path(p, "perigon", "llm").is_dir() for p in paths) or name in spark.sparkContext._python_includes:
+        return
+    with zipfile.ZipFile(Path(tempfile.mkdtemp(), name), "w") as archive:
+        for file in sorted(root.glob("perigon/**/*.py")):
+            archive.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(archive.filename)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sent_to_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
