@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from perigon.llm import common
 
 
+#: A node of more neighbours, and of more than its share of all, is a hub.
+HUB = 500
+MOST_HUBS = 1000
+
+
 def components(spark: SparkSession, edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, root): each node that has an edge, with the smallest node of its component.
 
@@ -16,8 +21,13 @@ def components(spark: SparkSession, edges: DataFrame, label: str = "components")
     for each node and a join. Each round is written to the shared folder.
     """
 
-    def smallest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    def with_smallest(pairs: DataFrame, n: int) -> DataFrame:
+        """Pairs (u, v) with m, the smallest of u and its neighbours. A hub's pairs are not brought together."""
+        limit = max(HUB, 2 * n // MOST_HUBS)
+        least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("c"))
+        hubs = F.broadcast(least.filter(F.col("c") > limit).select("u", "m"))  # at most MOST_HUBS rows, as there are 2 n pairs
+        others = pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.filter(F.col("c") <= limit).select("u", "m"), "u")
+        return pairs.join(hubs, "u").unionByName(others)
 
     def state(pairs: DataFrame):
         return pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id", "root").cast("decimal(38,0)")).alias("s")).first()
@@ -30,9 +40,9 @@ def components(spark: SparkSession, edges: DataFrame, label: str = "components")
             break
         last = now
         both = edges.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(edges.select(F.col("root").alias("u"), F.col("id").alias("v")))
-        large = both.join(smallest(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_smallest(both, now["n"]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.filter(F.col("u") > F.col("v"))
-        small = down.join(smallest(down), "u")
+        small = with_smallest(down, now["n"])
         edges = small.select(F.col("v").alias("id"), F.col("m").alias("root")).unionByName(small.select(F.col("u").alias("id"), F.col("m").alias("root")))
         edges = common.written(edges.filter(F.col("id") != F.col("root")).distinct(), spark, label)
     return edges.unionByName(edges.select(F.col("root").alias("id"), "root").distinct())

@@ -14,9 +14,12 @@ first: neighbours in each order, from deep to shallow, are joined when their ful
 enough. What is left in different components is compared at the least depth, most central documents
 first. Since only components are wanted, documents that are in one already are not compared again.
 
-A region whose sets exceed `block_shingles` is dealt into blocks, and pairs of blocks are compared
-by different tasks, so that no task holds more than two blocks; nothing is capped. Links between
-blocks are then closed by another round of components.
+A region whose sets exceed `block_shingles` is first thinned: the full set of each of its documents is
+compared with those of a few pivots, the most central ones, and what is linked through them is one
+component from then on. Its documents are then dealt into blocks by component, and pairs of blocks
+are compared by different tasks, except for blocks of one component. So a region that is mostly one
+group of near copies costs about one comparison for each, no task holds more than two blocks, and
+nothing is capped. Links are closed by another round of components.
 
 Edge cases: a text that is null or has no words has an empty set and is linked with nothing, as is a
 row without doc_id; rows that share a doc_id are one document with several texts.
@@ -38,6 +41,9 @@ SIZE = 5
 DEPTH = 5
 MISS = 1e-6
 BLOCK_SHINGLES = 2_000_000
+PIVOTS = 8
+#: Bytes of pivots' sets that are sent to all tasks; regions beyond are not thinned, smallest first.
+PIVOT_BYTES = 64 << 20
 #: Rows of (id, region) up to which they are sent to all tasks instead of moving the texts.
 BROADCAST_ROWS = 500_000
 _ROWS = 1 << 13
@@ -203,18 +209,77 @@ def linker(percent: int, trees: int):
 
 
 def with_sets(docs: DataFrame, trees: int, size: int) -> DataFrame:
-    """(region, doc_id, blocks, members, labels) from (region, doc_id, blocks, text); members: the set's hashes, sorted."""
+    """(region, doc_id, block, others, members, labels) from (region, doc_id, block, others, text); members: the set's hashes, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(trees, size)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                rows = [(one.tobytes(), label.tobytes()) for one, label in signer.rows(part.column(3))]
-                got = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["region", "doc_id", "blocks", "members", "labels"])
+                rows = [(one.tobytes(), label.tobytes()) for one, label in signer.rows(part.column(4))]
+                got = pa.RecordBatch.from_arrays([*[part.column(c) for c in range(4)], pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["region", "doc_id", "block", "others", "members", "labels"])
                 yield got.filter(pa.array([len(r[0]) > 0 for r in rows], pa.bool_()))
 
-    return docs.select("region", "doc_id", "blocks", "text").mapInArrow(run, "region bigint, doc_id bigint, blocks bigint, members binary, labels binary")
+    return docs.select("region", "doc_id", "block", "others", "text").mapInArrow(run, "region bigint, doc_id bigint, block bigint, others array<bigint>, members binary, labels binary")
+
+
+def chosen(docs: DataFrame, regions: DataFrame, n: int) -> DataFrame:
+    """Texts of the documents in regions: these are sent to all tasks while they are few, else texts are exchanged."""
+    return docs.join(F.broadcast(regions) if n <= BROADCAST_ROWS else regions, "doc_id")
+
+
+def pivot_links(spark: SparkSession, docs: DataFrame, large: DataFrame, labelled: DataFrame, percent: int, trees: int, size: int) -> DataFrame:
+    """Links (id, root) between documents of large regions and the pivots of these. large: (doc_id, region)."""
+    inside = labelled.join(large.withColumnRenamed("doc_id", "id"), "id")
+    shared = inside.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    centre = inside.join(shared, ["region", "label"]).groupBy("region", "id").agg(F.sum("n").alias("n"))
+    best = centre.groupBy("region", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("p")).agg(F.max_by("id", F.struct("n", "id")).alias("doc_id"))
+    rows = chosen(docs, large, large.count()).withColumns({"block": F.lit(0).cast("bigint"), "others": F.array().cast("array<bigint>")})
+    members = common.written(with_sets(rows, trees, size).select("region", "doc_id", "members"), spark, "large-regions")
+    sets = members.join(best.select("region", "doc_id"), ["region", "doc_id"])
+    weight = sets.groupBy("region").agg(F.sum(F.octet_length("members").cast("bigint")).alias("bytes"))
+    found, room = {}, PIVOT_BYTES
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).join(weight, "region").orderBy(F.desc("n"), "region").limit(PIVOT_BYTES // 1024).collect()
+    kept = []
+    for r in sizes:
+        if r["bytes"] <= room:
+            kept.append(r["region"])
+            room -= r["bytes"]
+    for r in sets.join(F.broadcast(spark.createDataFrame([(k,) for k in kept], "region bigint")), "region").collect():  # at most PIVOT_BYTES
+        found.setdefault(r["region"], []).append((r["doc_id"], np.frombuffer(r["members"], np.uint64)))
+    sent = spark.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, roots = [], []
+            for region, doc, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                own = np.frombuffer(own, np.uint64)
+                for pivot, other in sent.value.get(region, ()):
+                    both = np.count_nonzero(other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own)
+                    if pivot != doc and 100 * both >= percent * (len(own) + len(other) - both):
+                        ids.append(doc)
+                        roots.append(pivot)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["id", "root"])
+
+    return common.written(members.mapInArrow(run, "id bigint, root bigint"), spark, "pivot-links")
+
+
+def dealt(regions: DataFrame, sizes: DataFrame, block_shingles: int) -> DataFrame:
+    """Regions' documents with their block and the blocks to compare it with.
+
+    regions: (doc_id, region, group), group being what the document is known to be linked with or
+    null; sizes: (doc_id, n_shingles).
+    """
+    parts = regions.join(sizes, "doc_id").groupBy("region", "group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / block_shingles)).cast("bigint").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct("group", "n")))  # a region has at most PIVOTS groups
+    first = F.transform("parts", lambda p, k: F.struct(p["group"].alias("group"), F.aggregate(F.slice("parts", F.lit(1), k), F.lit(0).cast("bigint"), lambda n, q: n + q["n"]).alias("first"), p["n"].alias("n")))
+    listed = parts.groupBy("region").agg(listed.alias("parts")).withColumn("parts", first)
+    rows = regions.join(listed, "region")
+    own = F.filter("parts", lambda p: p["group"].eqNullSafe(F.col("group")))[0]
+    block = own["first"] + F.pmod(F.xxhash64("doc_id"), own["n"])
+    apart = F.filter("parts", lambda p: F.col("group").isNull() | ~p["group"].eqNullSafe(F.col("group")))
+    others = F.flatten(F.transform(apart, lambda p: F.sequence(p["first"], p["first"] + p["n"] - 1)))
+    return rows.select("doc_id", "region", block.alias("block"), others.alias("others"))
 
 
 def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = SIZE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -227,24 +292,28 @@ def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, siz
     classes = common.written(classes, spark, "classes")
     labelled = classes.select("id", F.explode("labels").alias("label"))
     stars = labelled.groupBy("label").agg(F.min("id").alias("root"), F.max("id").alias("most")).filter(F.col("root") < F.col("most"))
-    regions = graph.components(spark, labelled.join(stars, "label").select("id", "root"), "regions").withColumnRenamed("root", "region")
-    sizes = regions.join(classes.select("id", "n_shingles"), "id").groupBy("region").agg(F.sum("n_shingles").alias("n"))
-    large = sizes.filter(F.col("n") > block_shingles).select("region", F.ceil(F.col("n") / block_shingles).cast("bigint").alias("blocks"))
-    regions = common.written(regions.join(large, "region", "left").select(F.col("id").alias("doc_id"), "region", F.coalesce("blocks", F.lit(1)).cast("bigint").alias("blocks")).distinct(), spark, "regions")
-    found = regions.agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("blocks")).first()
-    chosen = docs.join(F.broadcast(regions) if found["n"] <= BROADCAST_ROWS else regions, "doc_id")
-    members = with_sets(chosen, trees, size).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    grouped = members.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    regions = graph.components(spark, labelled.join(stars, "label").select("id", "root"), "regions").select(F.col("id").alias("doc_id"), F.col("root").alias("region"))
+    sizes = classes.select(F.col("id").alias("doc_id"), "n_shingles")
+    large = regions.join(sizes, "doc_id").groupBy("region").agg(F.sum("n_shingles").alias("n")).filter(F.col("n") > block_shingles).select("region")
+    large = common.written(large, spark, "large")
+    known = None
+    if large.isEmpty():
+        regions = regions.select("doc_id", "region", F.lit(0).cast("bigint").alias("block"), F.array(F.lit(0).cast("bigint")).alias("others"))
+    else:
+        known = pivot_links(spark, docs, regions.join(large, "region").select("doc_id", "region"), labelled, percent, trees, size)
+        groups = graph.components(spark, known, "groups").select(F.col("id").alias("doc_id"), F.col("root").alias("group"))
+        regions = dealt(regions.join(groups, "doc_id", "left"), sizes, block_shingles)
+    regions = common.written(regions, spark, "regions")
+    members = with_sets(chosen(docs, regions, regions.count()), trees, size).withColumn("other", F.explode("others"))
+    grouped = members.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     grouped = grouped.select("region", "low", "high", "doc_id", "block", "members", "labels").repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
     links = grouped.mapInArrow(linker(percent, trees), "id bigint, root bigint")
-    if (found["blocks"] or 1) > 1:
-        links = graph.components(spark, links, "links")
+    if known is not None:
+        links = graph.components(spark, links.unionByName(known), "links")
     else:
         links = common.written(links.groupBy("id").agg(F.min("root").alias("root")), spark, "links")
     tops = classes.select(*set_key, "id").join(links, "id", "left").select(*set_key, F.coalesce("root", "id").alias("top"))
     result = signed.select("doc_id", *set_key).join(tops, set_key, "left")
-    # rows that share a doc_id are one document: its smallest component counts
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("top")).otherwise(F.col("doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -1,11 +1,16 @@
 import random
 
+import pytest
+
 from perigon.llm import graph
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub,most", [(500, 1000), (3, 50)])
+def test_components(spark, monkeypatch, hub, most):
+    monkeypatch.setattr(graph, "HUB", hub)
+    monkeypatch.setattr(graph, "MOST_HUBS", most)
     rng = random.Random(1)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)] + [(7, 2000 + k) for k in range(90)]
     of = {}
 
     def find(x):
