@@ -5,32 +5,39 @@ a source's block i may be placed from slot floor(i / w) on and must be placed be
 ceil((i + 1) / w); of the blocks that may be placed, the one with the earliest deadline is. Then at
 every slot each source is less than one block away from its share.
 
-Weights are whole multiples of 1 / RESOLUTION, so a schedule repeats after RESOLUTION slots, and only
-one period is worked out. A source that runs out leaves; the others go on, with their weights scaled
-up, in a new phase with a period of its own. Nothing is dropped or repeated. From a block's number,
-its slot is a lookup and some arithmetic; schedules are small (phases x RESOLUTION numbers).
+Weights are whole multiples of a thousandth of an average source's share. A source that runs out
+leaves; the others go on, with their weights scaled up. Nothing is dropped or repeated. All sources
+are scheduled, however many there are: their sizes are a table, one task works out the slots from
+it, holding a few numbers for each source, and sends them on as it goes; each cell of rows is joined
+with the slots of its own blocks.
 
 Ranks within a source come from cells of the hash: rows before a cell are counted, and rows are
 numbered inside their cell, so that no task holds a source.
 
-Edge cases: null sources are a source; sources beyond the MOST_SOURCES largest share one place;
-sources without a weight, or with one of zero, come after all others; repeated rows are rows of their
+Edge cases: null sources are a source; sources without a weight, or with one of zero, come after all others; repeated rows are rows of their
 own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+import math
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from fractions import Fraction
+from itertools import accumulate, islice
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16
 RESOLUTION = 1000
+#: Without effect: sources are not pooled. A test sets it.
 MOST_SOURCES = 256
 CELL_BITS = 8
+#: Slots of the schedule that are sent on at a time.
+BATCH = 1 << 16
 
 
 def whole_weights(weights: dict, resolution: int = RESOLUTION) -> dict:
@@ -98,45 +105,91 @@ def tempered(counts: dict) -> dict:
     return {s: n**0.5 for s, n in counts.items()}
 
 
+def turns(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, block) of slot 0, 1, 2 and so on, by earliest deadline among released blocks.
+
+    Sources take part with their exact weights until their last block. When every source j has had
+    min(blocks, weight * v) blocks, T(v) slots have passed, the sum of these; block i is released at
+    floor(T(i / w)) and due at ceil(T((i + 1) / w)). All in whole numbers; what is held is a few
+    numbers for each source.
+    """
+    names = [s for s, n in blocks.items() if n > 0]
+    exact = {s: Fraction(weights.get(s) or 0) for s in names}
+    for own, share in (([s for s in names if exact[s] > 0], exact), ([s for s in names if exact[s] <= 0], dict.fromkeys(names, Fraction(1)))):
+        unit = math.lcm(*{share[s].denominator for s in own})
+        w = [int(share[s] * unit) for s in own]
+        n = [blocks[s] for s in own]
+        order = sorted(range(len(own)), key=lambda k: Fraction(n[k], w[k]))
+        ends = [n[k] / w[k] for k in order]  # rounded in the order of the exact values
+        done = [0, *accumulate(n[k] for k in order)]
+        active = [sum(w), *(sum(w) - x for x in accumulate(w[k] for k in order))]
+
+        def passed(i: int, k: int) -> tuple[int, int]:
+            """T(i / w[k]), rounded down and up."""
+            j = bisect_left(ends, i / w[k])
+            while j < len(order) and n[order[j]] * w[k] < i * w[order[j]]:
+                j += 1
+            down, over = divmod(i * active[j], w[k])
+            return done[j] + down, done[j] + down + (over > 0)
+
+        coming = [(0, k, 0) for k in range(len(own))]
+        ready: list = []
+        for t in range(done[-1]):
+            while coming and coming[0][0] <= t:
+                _, k, i = coming[0]
+                release, deadline = passed(i + 1, k)
+                heapq.heappush(ready, (deadline, k, i))
+                if i + 1 < n[k]:
+                    heapq.heapreplace(coming, (release, k, i + 1))
+                else:
+                    heapq.heappop(coming)
+            deadline, k, i = heapq.heappop(ready)
+            if deadline <= t:
+                raise ValueError("weights add up to more than one block a slot")
+            yield own[k], i
+
+
+def scheduler(weights: dict | Callable, block_rows: int, resolution: int) -> Callable:
+    """Maps all sources and their sizes to the slot of each of their blocks, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r["missing__"], r["name__"], r["n__"]) for batch in batches for r in batch.to_pylist())
+        sizes = {None if missing else name: n for missing, name, n in found}
+        wanted = weights(sizes) if callable(weights) else {s if s is None else str(s): w for s, w in weights.items()}
+        wanted = {s: w for s in sizes if (w := wanted.get(s) or 0) > 0}
+        if wanted:
+            wanted = whole_weights(wanted, max(resolution, resolution * len(wanted)))
+        slots = enumerate(turns({s: -(-n // block_rows) for s, n in sizes.items()}, wanted))
+        while part := list(islice(slots, BATCH)):
+            names, blocks = [s for _, (s, _) in part], [i for _, (_, i) in part]
+            yield pa.RecordBatch.from_arrays([pa.array([s is None for s in names]), pa.array([s or "" for s in names], pa.string()), pa.array(blocks, pa.int64()), pa.array([t for t, _ in part], pa.int64())], names=["missing__", "name__", "block__", "slot__"])
+
+    return run
+
+
 def with_places(docs: DataFrame, weights: dict | Callable = tempered, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
     """The rows with `slot` (of their block) and `place` (slot * block_rows + place in the block), which orders the mix.
 
     weights: target weight by source, or a function from the sources' sizes to such weights.
     """
-    spark: SparkSession = docs.sparkSession
-    counts = docs.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.orderBy(F.desc("n"), "s").limit(MOST_SOURCES).collect()  # at most MOST_SOURCES rows
-    names = [r["s"] for r in largest]
-    sizes = {k: r["n"] for k, r in enumerate(largest)}
-    rest = docs.count() - sum(sizes.values())
-    number = F.lit(len(names))
-    if names:
-        listed = F.array(*[F.lit(s).cast("string") for s in names if s is not None]).cast("array<string>")
-        order = [k for k, s in enumerate(names) if s is not None]
-        at = F.array_position(listed, F.col("source").cast("string"))
-        number = F.when(at > 0, F.element_at(F.array(*[F.lit(k) for k in order]), at.cast("int"))) if order else F.lit(None).cast("int")
-        missing = names.index(None) if None in names else len(names)
-        number = F.coalesce(number, F.when(F.col("source").isNull(), F.lit(missing)), F.lit(len(names)))
-    if rest:
-        sizes[len(names)] = rest
-    wanted = weights({("" if k >= len(names) else names[k], k): n for k, n in sizes.items()}) if callable(weights) else {("" if k >= len(names) else names[k], k): (weights.get(names[k], 0) if k < len(names) else 0) for k in sizes}
-    wanted = {k: w for (_, k), w in wanted.items()}
-    plan = phases({k: -(-n // block_rows) for k, n in sizes.items()}, wanted, resolution)
-    table = spark.createDataFrame(plan or [(0, 0, 0, 0, 1, [0])], "number__ int, first__ bigint, blocks__ bigint, before__ bigint, each__ int, slots__ array<int>")
+    source = ["missing__", "name__"]
+    cell = [*source, "cell__"]
     spread = F.xxhash64("doc_id")
-    rows = docs.withColumns({"number__": number.cast("int"), "spread__": spread, "cell__": F.shiftrightunsigned(spread, 64 - CELL_BITS)})
-    cells = rows.groupBy("number__", "cell__").agg(F.count(F.lit(1)).alias("n__"))
-    before = F.sum("n__").over(Window.partitionBy("number__").orderBy("cell__").rowsBetween(Window.unboundedPreceding, -1))
-    starts = cells.select("number__", "cell__", F.coalesce(before, F.lit(0)).alias("start__"))  # at most MOST_SOURCES * 2^CELL_BITS rows
-    inside = F.row_number().over(Window.partitionBy("number__", "cell__").orderBy(F.shiftrightunsigned("spread__", 1), "spread__", "doc_id"))
-    ranked = rows.withColumn("row__", inside).join(F.broadcast(starts), ["number__", "cell__"])
-    ranked = ranked.withColumn("rank__", F.col("start__") + F.col("row__") - 1).withColumn("block__", F.floor(F.col("rank__") / block_rows).cast("bigint"))
-    turn = F.broadcast(table.withColumnRenamed("number__", "source__"))
-    placed = ranked.join(turn, (F.col("number__") == F.col("source__")) & (F.col("block__") >= F.col("first__")) & (F.col("block__") < F.col("first__") + F.col("blocks__")))
-    local = F.col("block__") - F.col("first__")
-    slot = F.col("before__") + F.floor(local / F.col("each__")).cast("bigint") * resolution + F.element_at("slots__", (local % F.col("each__") + 1).cast("int"))
+    rows = docs.withColumns({"missing__": F.col("source").isNull(), "name__": F.coalesce(F.col("source").cast("string"), F.lit("")), "spread__": spread, "cell__": F.shiftrightunsigned(spread, 64 - CELL_BITS)})
+    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n__"))
+    sizes = cells.groupBy(*source).agg(F.sum("n__").alias("n__"))
+    schedule = sizes.repartition(1).mapInArrow(scheduler(weights, block_rows, resolution), "missing__ boolean, name__ string, block__ bigint, slot__ bigint")  # one task: a row for each source
+    before = F.sum("n__").over(Window.partitionBy(*source).orderBy("cell__").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cells.withColumn("start__", F.coalesce(before, F.lit(0)))
+    blocks = F.sequence(F.floor(F.col("start__") / block_rows), F.floor((F.col("start__") + F.col("n__") - 1) / block_rows))
+    needed = starts.select(*cell, "start__", F.explode(blocks).alias("block__"))
+    turn = needed.join(schedule, [*source, "block__"]).groupBy(*cell, "start__").agg(F.array_sort(F.collect_list("slot__")).alias("slots__"))  # a source's slots rise with its blocks
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy(F.shiftrightunsigned("spread__", 1), "spread__", "doc_id"))
+    placed = rows.withColumn("row__", inside).join(turn, cell).withColumn("rank__", F.col("start__") + F.col("row__") - 1)
+    local = F.floor(F.col("rank__") / block_rows) - F.floor(F.col("start__") / block_rows)
+    slot = F.element_at("slots__", (local + 1).cast("int"))
     own = [c for c in docs.columns if c not in ("slot", "place")]
-    return placed.withColumn("slot", slot.cast("bigint")).select(*own, "slot", (F.col("slot") * block_rows + F.col("rank__") % block_rows).cast("bigint").alias("place"))
+    return placed.withColumn("slot", slot).select(*own, "slot", (F.col("slot") * block_rows + F.col("rank__") % block_rows).cast("bigint").alias("place"))
 
 
 def report(docs: DataFrame) -> DataFrame:

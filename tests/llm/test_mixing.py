@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -51,3 +52,33 @@ def test_few_names_for_very_many_sources(spark, monkeypatch):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 20).cast("string").alias("source"))
     placed = mixing.with_places(docs, block_rows=2).collect()
     assert len({r.place for r in placed}) == 500
+
+
+def furthest(order, blocks, weights):
+    """The largest distance, in blocks, of a source from its exact share at any slot until one runs out."""
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    have, most = dict.fromkeys(weights, 0), Fraction(0)
+    for t, s in enumerate(order):
+        have[s] += 1
+        most = max(most, *(abs(have[x] - share[x] * (t + 1)) for x in weights))
+        if have[s] == blocks[s]:
+            break
+    return most
+
+
+def slots_of(placed):
+    return [s for _, s in sorted({(r.slot, r.source) for r in placed})]
+
+
+def test_small_sources_keep_their_own_weights(spark):
+    # 300 sources of 4 rows and one of 2,000: by square roots the small ones have nine tenths of the mix
+    docs = spark.range(3200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1200, F.concat(F.lit("s"), F.col("id") % 300)).otherwise("hot").alias("source"))
+    placed = mixing.with_places(docs, block_rows=1).collect()
+    assert sorted(r.place for r in placed) == list(range(3200))
+    blocks = {f"s{k}": 4 for k in range(300)} | {"hot": 2000}
+    assert furthest(slots_of(placed), blocks, {s: n**0.5 for s, n in blocks.items()}) < 1.01
+    # a source beyond the 256 largest with half of the weight
+    placed = mixing.with_places(docs, {"hot": 1, "s299": 1}, block_rows=1).collect()
+    assert {r.slot for r in placed if r.source == "s299"} <= set(range(8))
+    assert max(r.slot for r in placed if r.source == "hot") == 2003
