@@ -5,7 +5,7 @@ a source's block i may be placed from slot floor(i / w) on and must be placed be
 ceil((i + 1) / w); of the blocks that may be placed, the one with the earliest deadline is. Then at
 every slot each source is less than one block away from its share.
 
-Weights are whole multiples of a thousandth of an average source's share. A source that runs out
+Weights are exact, so the distance does not grow with the number of slots. A source that runs out
 leaves; the others go on, with their weights scaled up. Nothing is dropped or repeated. All sources
 are scheduled, however many there are: their sizes are a table, one task works out the slots from
 it, holding a few numbers for each source, and sends them on as it goes; each cell of rows is joined
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16
+#: For `whole_weights` and `phases`, schedules of a fixed period, which the mix no longer uses; tests do.
 RESOLUTION = 1000
 #: Without effect: sources are not pooled. A test sets it.
 MOST_SOURCES = 256
@@ -149,16 +150,13 @@ def turns(blocks: dict, weights: dict) -> Iterator[tuple]:
             yield own[k], i
 
 
-def scheduler(weights: dict | Callable, block_rows: int, resolution: int) -> Callable:
+def scheduler(weights: dict | Callable, block_rows: int) -> Callable:
     """Maps all sources and their sizes to the slot of each of their blocks, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((r["missing__"], r["name__"], r["n__"]) for batch in batches for r in batch.to_pylist())
         sizes = {None if missing else name: n for missing, name, n in found}
         wanted = weights(sizes) if callable(weights) else {s if s is None else str(s): w for s, w in weights.items()}
-        wanted = {s: w for s in sizes if (w := wanted.get(s) or 0) > 0}
-        if wanted:
-            wanted = whole_weights(wanted, max(resolution, resolution * len(wanted)))
         slots = enumerate(turns({s: -(-n // block_rows) for s, n in sizes.items()}, wanted))
         while part := list(islice(slots, BATCH)):
             names, blocks = [s for _, (s, _) in part], [i for _, (_, i) in part]
@@ -167,7 +165,7 @@ def scheduler(weights: dict | Callable, block_rows: int, resolution: int) -> Cal
     return run
 
 
-def with_places(docs: DataFrame, weights: dict | Callable = tempered, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
+def with_places(docs: DataFrame, weights: dict | Callable = tempered, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows with `slot` (of their block) and `place` (slot * block_rows + place in the block), which orders the mix.
 
     weights: target weight by source, or a function from the sources' sizes to such weights.
@@ -178,7 +176,7 @@ def with_places(docs: DataFrame, weights: dict | Callable = tempered, block_rows
     rows = docs.withColumns({"missing__": F.col("source").isNull(), "name__": F.coalesce(F.col("source").cast("string"), F.lit("")), "spread__": spread, "cell__": F.shiftrightunsigned(spread, 64 - CELL_BITS)})
     cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n__"))
     sizes = cells.groupBy(*source).agg(F.sum("n__").alias("n__"))
-    schedule = sizes.repartition(1).mapInArrow(scheduler(weights, block_rows, resolution), "missing__ boolean, name__ string, block__ bigint, slot__ bigint")  # one task: a row for each source
+    schedule = sizes.repartition(1).mapInArrow(scheduler(weights, block_rows), "missing__ boolean, name__ string, block__ bigint, slot__ bigint")  # one task: a row for each source
     before = F.sum("n__").over(Window.partitionBy(*source).orderBy("cell__").rowsBetween(Window.unboundedPreceding, -1))
     starts = cells.withColumn("start__", F.coalesce(before, F.lit(0)))
     blocks = F.sequence(F.floor(F.col("start__") / block_rows), F.floor((F.col("start__") + F.col("n__") - 1) / block_rows))

@@ -82,3 +82,27 @@ def test_small_sources_keep_their_own_weights(spark):
     placed = mixing.with_places(docs, {"hot": 1, "s299": 1}, block_rows=1).collect()
     assert {r.slot for r in placed if r.source == "s299"} <= set(range(8))
     assert max(r.slot for r in placed if r.source == "hot") == 2003
+
+
+def test_exact_weights_over_many_slots():
+    rng = random.Random(4)
+    cases = [(dict.fromkeys("abc", 1500), dict.fromkeys("abc", 1)), (dict.fromkeys("abc", 1500), dict.fromkeys("abc", 1 / 3)), ({"a": 4000, "b": 40}, {"a": 0.99999, "b": 0.00001}), (dict.fromkeys(range(64), 20), dict.fromkeys(range(64), 0.1))]
+    cases += [({k: rng.randint(1, 900) for k in range(n)}, {k: rng.choice([rng.random(), rng.randint(1, 4), 1e-6]) for k in range(n)}) for n in range(1, 9)]
+    for blocks, weights in cases:
+        order = list(mixing.turns(blocks, weights))
+        assert sorted(order) == sorted((s, i) for s, n in blocks.items() for i in range(n))
+        assert furthest([s for s, _ in order], blocks, weights) < 1
+        # also when sources have run out: between the shares of all before and after each block
+        w = {s: Fraction(x) for s, x in weights.items()}
+
+        def passed(v):
+            return sum(min(n, w[s] * v) for s, n in blocks.items())
+
+        for t, (s, i) in list(enumerate(order))[:: 1 + len(order) // 500]:
+            assert passed(i / w[s]) < t + 1 and t < passed((i + 1) / w[s])
+
+
+def test_rows_of_equal_sources_over_many_slots(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"))
+    placed = mixing.with_places(docs, block_rows=1).collect()
+    assert furthest(slots_of(placed), dict.fromkeys("012", 3000), dict.fromkeys("012", 1)) < 1
