@@ -7,8 +7,9 @@ every window is filed under its rarest word, rarity being counted over the whole
 document has that word, the word's place in the window fixes where the window must start: it has to
 lie inside the document (bounds of position and length), and then all its words are compared.
 
-The benchmark goes to the tasks in blocks of at most `block_bytes` of text, one block after the
-other over all documents, so that what a task holds has a fixed bound. No document is shuffled.
+The benchmark goes to the tasks in blocks of about `block_bytes` of text, one block after the
+other over all documents; a block is released on the driver and in the tasks before the next is
+read, so that what either holds has a bound, unless a single item is longer. No document is shuffled.
 
 Edge cases: null and empty texts have no words; items without words have no windows; repeated items
 count once for each item_id; columns of the result replace document columns of the same name.
@@ -132,16 +133,21 @@ SPANS = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.S
 SPAN_ARROW = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Windows]:
-    """The benchmark's windows in blocks that are dealt by item and have about block_bytes of text each."""
+def blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[tuple[Windows, bool]]:
+    """The benchmark's windows in blocks that are dealt by item and have about block_bytes of text each; whether it is the last."""
     benchmark = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     n = 1 + common.text_bytes(benchmark) // block_bytes
     block = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    for k in range(n):
+
+    def read(k: int) -> Windows:
         rows = (benchmark.filter(block == k) if n > 1 else benchmark).collect()  # about block_bytes
-        found = Windows([r["item_id"] for r in rows], [r["text"] for r in rows], width)
-        if len(found.length):
-            yield found
+        return Windows([r["item_id"] for r in rows], [r["text"] for r in rows], width)
+
+    for k in range(n):
+        found = read(k)
+        if len(found.length) or k == n - 1:
+            yield found, k == n - 1
+        del found
 
 
 def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -157,13 +163,14 @@ def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[
     columns = list(dict.fromkeys([*keep, "text"]))
     rows = docs.select(*columns).withColumns({"n_words": F.lit(0).cast("bigint"), "n_hit": F.lit(0).cast("bigint"), "spans": F.array().cast(SPANS), "items": F.array().cast(T.ArrayType(item_type))})
     schema = T.StructType([*[docs.schema[c] for c in columns], *added])
-    found = list(blocks(spark, benchmark, width, block_bytes)) or [Windows([], [], width)]
-    for turn, windows in enumerate(found):
+    for windows, last in blocks(benchmark, width, block_bytes):
         windows.file(frequency(docs, windows))
         shared = spark.sparkContext.broadcast(windows)
-        if turn:
-            rows = common.written(rows, spark, "decontamination")
         rows = rows.mapInArrow(marker(shared, columns, item_arrow), schema)
+        if not last:
+            rows = common.written(rows, spark, "decontamination")
+            shared.destroy()
+        del windows, shared
     return rows.select(*keep, *[f.name for f in added])
 
 
@@ -185,6 +192,7 @@ def frequency(docs: DataFrame, windows: Windows) -> np.ndarray:
     sums = docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     for r in sums.collect():  # one row for each word of the block
         have[r["word"]] = r["n"]
+    shared.destroy()
     return have
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import weakref
 
 from perigon.llm import decontamination as dc
 
@@ -61,3 +62,21 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert dc.report(spark, d.limit(0), b).count() == 0
     assert {r.contaminated for r in dc.report(spark, d, b.limit(0)).collect()} == {False}
+
+
+def test_one_block_at_a_time_on_the_driver(spark, monkeypatch):
+    alive, most, made = weakref.WeakSet(), [], dc.Windows.__init__
+
+    def counted(self, *given):
+        most.append(len(alive))
+        alive.add(self)
+        made(self, *given)
+
+    monkeypatch.setattr(dc.Windows, "__init__", counted)
+    docs, items = tables()
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = dc.mark(spark, d, b, ["doc_id"], block_bytes=300).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got], key=str) == brute(docs, items)
+    assert len(most) > 2 and max(most) == 0, most
+    blank = spark.createDataFrame([(k, ". " * 200) for k in range(9)], "item_id bigint, text string")
+    assert {(r.doc_id, r.n_words, r.n_hit) for r in dc.mark(spark, d, blank, ["doc_id"], block_bytes=300).collect()} == {(k, len(words(t)), 0) for k, t in docs}
