@@ -1,7 +1,10 @@
-"""Observations that arrive as Parquet files, gated and counted as they come.
+"""Observations that arrive as Parquet files, filtered and counted as they come.
 
-The gate's rule is over all rows of an id in the order of seq; in a stream it is kept per id in
-state, which holds the smallest accepted seq only.
+This is not the batch gate, which takes the first eligible row of an id by seq over all rows. Here
+the first eligible row to arrive is taken. Its id is remembered until the watermark passes its
+arrival plus the delay: a copy after that is accepted again, and an eligible row that comes later
+than the watermark is dropped. Only if all copies of an id arrive within the delay and in the order
+of seq are the results the same.
 """
 
 from __future__ import annotations
