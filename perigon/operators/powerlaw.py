@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 HEAD = 20
 
 
-def zeta(s: Column, q: Column) -> Column:
-    """Hurwitz zeta: HEAD terms of the sum and an Euler-Maclaurin tail."""
+def zeta(s: Column, q: Column, unit: Column) -> Column:
+    """Hurwitz zeta of (s, q) times unit^s: HEAD terms of the sum and an Euler-Maclaurin tail.
+
+    The scale keeps it from underflowing: with unit <= q all terms are at most 1, and for q = unit the first is 1.
+    """
     total = F.lit(0.0)
     for k in range(HEAD):
-        total = total + F.pow(q + k, -s)
+        total = total + F.pow((q + k) / unit, -s)
     a = q + HEAD
-    tail = F.pow(a, 1 - s) / (s - 1) + F.pow(a, -s) / 2 + s * F.pow(a, -s - 1) / 12
-    return total + tail - s * (s + 1) * (s + 2) * F.pow(a, -s - 3) / 720 + s * (s + 1) * (s + 2) * (s + 3) * (s + 4) * F.pow(a, -s - 5) / 30240
+    rest = a / (s - 1) + 0.5 + s / (12 * a) - s * (s + 1) * (s + 2) / (720 * F.pow(a, F.lit(3.0))) + s * (s + 1) * (s + 2) * (s + 3) * (s + 4) / (30240 * F.pow(a, F.lit(5.0)))
+    return total + F.pow(a / unit, -s) * rest
 
 
 def frequencies(counts: DataFrame, column: str = "n") -> DataFrame:
@@ -28,22 +31,28 @@ def frequencies(counts: DataFrame, column: str = "n") -> DataFrame:
 
 
 def fits(table: DataFrame, xmin: int | None = None) -> DataFrame:
-    """xmin, n, alpha, sigma and ks for the given lower bound, or for every candidate."""
+    """xmin, n, alpha, sigma and ks for the given lower bound, or for every candidate.
+
+    V distinct counts of N things that were counted have V^2 <= 2 N, so the sorted pass over the table
+    and the broadcast of candidates stay small. Only the distances take pairs, V^2 / 2 of them.
+    """
+    weighed = F.col("c") * F.log("v")
     if xmin is None:
-        top = table.agg(F.max("v").alias("top"))
-        candidates = table.crossJoin(F.broadcast(top)).filter(F.col("v") < F.col("top")).select(F.col("v").alias("xmin"))  # `top` is one row
+        falling = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        tails = table.select("v", F.sum("c").over(falling).alias("n"), F.sum(weighed).over(falling).alias("logs"), F.max("v").over(falling).alias("top"))
+        candidates = tails.filter(F.col("v") < F.col("top")).select(F.col("v").alias("xmin"), "n", "logs")
     else:
-        candidates = table.sparkSession.range(1).select(F.lit(xmin).cast("bigint").alias("xmin"))
-    # distinct values only, so the pairs are few however many rows were counted
-    pairs = candidates.join(table, F.col("v") >= F.col("xmin"))
-    whole = Window.partitionBy("xmin")
-    n = F.sum("c").over(whole)
-    logs = F.sum(F.col("c") * F.log(F.col("v") / (F.col("xmin") - 0.5))).over(whole)
-    below = F.coalesce(F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = pairs.select("xmin", "v", "c", n.alias("n"), (1 + n / logs).alias("alpha"), (below / n).alias("below"))
-    at_least = F.when(F.col("v") == F.col("xmin"), F.lit(1.0)).otherwise(zeta(F.col("alpha"), F.col("v").cast("double")) / zeta(F.col("alpha"), F.col("xmin").cast("double")))
-    gap = F.abs(F.col("below") - (1 - at_least))
-    return rows.withColumn("gap", gap).groupBy("xmin").agg(F.max("n").cast("bigint").alias("n"), F.max("alpha").alias("alpha"), F.max((F.col("alpha") - 1) / F.sqrt("n")).alias("sigma"), F.max("gap").alias("ks"))
+        tails = table.filter(F.col("v") >= xmin).agg(F.sum("c").alias("n"), F.sum(weighed).alias("logs"))
+        candidates = tails.filter("n is not null").select(F.lit(xmin).cast("bigint").alias("xmin"), "n", "logs")
+    # ln v > ln (xmin - 1/2) for every v from xmin on, so the sum is above 0
+    candidates = candidates.withColumn("alpha", 1 + F.col("n") / (F.col("logs") - F.col("n") * F.log(F.col("xmin") - 0.5)))
+    values = table.withColumn("from_here", F.sum("c").over(Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    pairs = values.join(F.broadcast(candidates), F.col("v") >= F.col("xmin"))
+    v, unit = F.col("v").cast("double"), F.col("xmin").cast("double")
+    at_least = F.when(F.col("v") == F.col("xmin"), F.lit(1.0)).otherwise(zeta(F.col("alpha"), v, unit) / zeta(F.col("alpha"), unit, unit))
+    gap = F.abs(at_least - F.col("from_here") / F.col("n"))
+    own = pairs.groupBy("xmin", "n", "alpha").agg(F.max(gap).alias("ks"))
+    return own.select("xmin", F.col("n").cast("bigint").alias("n"), "alpha", ((F.col("alpha") - 1) / F.sqrt("n")).alias("sigma"), "ks")
 
 
 def fit(counts: DataFrame, xmin: int | None = None, column: str = "n") -> DataFrame:

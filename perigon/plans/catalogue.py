@@ -279,10 +279,10 @@ def poster_low_contributors(spark, sf_dir):
 
 
 def _fit_sql(before: str, counts: str, xmin: int | None) -> str:
-    zeta = " + ".join(f"pow({{q}} + {k}, -alpha)" for k in range(powerlaw.HEAD))
+    zeta = " + ".join(f"pow(({{q}} + {k}) / xmin::DOUBLE, -alpha)" for k in range(powerlaw.HEAD))  # times xmin^alpha, so that nothing underflows
     a = f"({{q}} + {powerlaw.HEAD})"
-    zeta += f" + pow({a}, 1 - alpha) / (alpha - 1) + pow({a}, -alpha) / 2 + alpha * pow({a}, -alpha - 1) / 12 - alpha * (alpha + 1) * (alpha + 2) * pow({a}, -alpha - 3) / 720"
-    zeta += f" + alpha * (alpha + 1) * (alpha + 2) * (alpha + 3) * (alpha + 4) * pow({a}, -alpha - 5) / 30240"
+    zeta += f" + pow({a} / xmin::DOUBLE, -alpha) * ({a} / (alpha - 1) + 0.5 + alpha / (12 * {a}) - alpha * (alpha + 1) * (alpha + 2) / (720 * pow({a}, 3))"
+    zeta += f" + alpha * (alpha + 1) * (alpha + 2) * (alpha + 3) * (alpha + 4) / (30240 * pow({a}, 5)))"
     candidates = "SELECT v AS xmin FROM freq WHERE v < (SELECT max(v) FROM freq)" if xmin is None else f"SELECT {xmin}::BIGINT AS xmin"
     return f"""{before} freq AS (SELECT n::BIGINT AS v, count(*) AS c FROM ({counts}) WHERE n >= 1 GROUP BY 1), cand AS ({candidates}),
 pairs AS (SELECT xmin, v, sum(c) OVER w AS n, 1 + sum(c) OVER w / sum(c * ln(v / (xmin - 0.5::DOUBLE))) OVER w AS alpha,

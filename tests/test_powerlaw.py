@@ -30,3 +30,19 @@ def test_against_the_definitions(spark, xmin):
 def test_nothing_to_fit(spark):
     assert powerlaw.fit(spark.createDataFrame([(3,)], "n bigint")).count() == 0
     assert powerlaw.fit(spark.createDataFrame([], "n bigint")).count() == 0
+
+
+def test_large_narrow_counts(spark):
+    """alpha is large here, so that powers of the counts themselves underflow."""
+    values = [1000] * 100 + [1001] + [998] * 3 + [1002, 1003, 1010]
+    got = powerlaw.fits(powerlaw.frequencies(spark.createDataFrame([(v,) for v in values], "n bigint"))).collect()
+    assert sorted(r.xmin for r in got) == [998, 1000, 1001, 1002, 1003]
+
+    def ratio(s, v, xmin):
+        return sum(((v + k) / xmin) ** -s for k in range(100_000)) / sum(((xmin + k) / xmin) ** -s for k in range(100_000))
+
+    for r in got:
+        tail = [v for v in values if v >= r.xmin]
+        alpha = 1 + len(tail) / sum(math.log(v / (r.xmin - 0.5)) for v in tail)
+        ks = max(abs(sum(x >= v for x in tail) / len(tail) - ratio(alpha, v, r.xmin)) for v in set(tail))
+        assert (r.n, r.alpha, r.ks) == pytest.approx((len(tail), alpha, ks), rel=1e-6)
