@@ -20,7 +20,10 @@ PIECE_BYTES = 1 << 20
 
 
 def sent_to_workers(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, unless their path has it already."""
+    """Sends this package to the Python workers, unless their path has it already.
+
+    Everything that starts Python on a caller's rows calls this first.
+    """
     root = Path(__file__).resolve().parents[2]
     paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     name = "perigon-package.zip"
@@ -40,10 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a temporary folder is set.
+    Only where the session names none and runs on one machine, a temporary folder is set; a cluster
+    without the setting is an error, since its executors do not see each other's folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="perigon-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -55,7 +61,17 @@ def written(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """The same rows, written once to the shared folder as Parquet; lineage ends there."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_path = path
+    return found
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of tables from `written` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -78,7 +94,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges [i, j) that hold about `most` bytes each; a row is never cut."""
+    """Row ranges [i, j) of about `most` bytes each; a longer row is a range of its own, to be walked in parts."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
@@ -86,6 +102,23 @@ def pieces(offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def parts(data: np.ndarray, gap: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Byte ranges of a text, of about `most` bytes each, that cut no word: each but the last ends before a gap byte."""
+    a, n = 0, len(data)
+    while n - a > most:
+        b = a + most
+        while b < n:
+            found = np.flatnonzero(gap[data[b : b + most]])
+            if len(found):
+                b += int(found[0])
+                break
+            b += most
+        yield a, min(b, n)
+        a = min(b, n)
+    if a < n:
+        yield a, n
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit."""
     x = x ^ (x >> np.uint64(32))
@@ -108,13 +141,14 @@ class SpanHash:
     @classmethod
     def reserve(cls, n: int) -> None:
         if len(cls.power) <= n:
-            steps = np.full(max(n + 1, PIECE_BYTES + 1), cls.BASE, np.uint64)
+            steps = np.full(max(n + 1, 2 * PIECE_BYTES), cls.BASE, np.uint64)
             steps[0] = 1
             cls.power = np.cumprod(steps, dtype=np.uint64)
             steps[1:] = cls.INVERSE
             cls.inverse = np.cumprod(steps, dtype=np.uint64)
 
     def __init__(self, data: np.ndarray):
+        """data: about a piece; the tables of powers that all buffers share are as long as the longest."""
         n = len(data)
         self.reserve(n)
         self.sums = np.zeros(n + 1, np.uint64)
@@ -186,13 +220,54 @@ def shingles(word_hash: np.ndarray, row_words: np.ndarray, size: int) -> tuple[n
     return mix(found), out_offsets
 
 
-def shingle_rows(data: np.ndarray, offsets: np.ndarray, size: int = 5, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of the rows of a buffer whose case is already folded, piece by piece."""
-    found, counts = [], [np.zeros(1, np.int64)]
+def word_pieces(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For rows [i, j): hashes of their words, starts and ends within their row, and the number of words before each row.
+
+    Rows longer than a piece come in several parts, each with i and j = i + 1.
+    """
     for i, j in pieces(offsets):
-        own = data[offsets[i] : offsets[j]]
-        start, end, row_words = words(own, offsets[i : j + 1] - offsets[i], gap)
-        h, o = shingles(SpanHash(own).spans(start, end), row_words, size)
-        found.append(h)
-        counts.append(np.diff(o))
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.cumsum(np.concatenate(counts))
+        own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if j == i + 1 and len(own) > PIECE_BYTES:
+            for a, b in parts(own, gap):
+                start, end, rows = words(own[a:b], np.array([0, b - a]), gap)
+                yield i, j, SpanHash(own[a:b]).spans(start, end), start + a, end + a, rows
+        else:
+            start, end, rows = words(own, at, gap)
+            base = np.repeat(at[:-1], np.diff(rows))
+            yield i, j, SpanHash(own).spans(start, end), start - base, end - base, rows
+
+
+def shingle_rows(data: np.ndarray, offsets: np.ndarray, size: int = 5, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of the rows of a buffer whose case is already folded, and the n+1 offsets of the rows among them.
+
+    A row longer than a piece is walked in parts; each begins with the last size - 1 words before it.
+    """
+    found: list[np.ndarray] = []
+    counts = np.zeros(len(offsets) - 1, np.int64)
+    row, tail = None, np.zeros(0, np.uint64)
+
+    def end() -> None:
+        # a long row of fewer words than a shingle has one, of all its words
+        if row is not None and not counts[row] and len(tail):
+            found.append(shingles(tail, np.array([0, len(tail)]), size)[0])
+            counts[row] = 1
+
+    for i, j, hashes, _, _, rows in word_pieces(data, offsets, gap):
+        if i != row:
+            end()
+            row, tail = None, np.zeros(0, np.uint64)
+        if j == i + 1 and offsets[j] - offsets[i] > PIECE_BYTES:
+            row = i
+            hashes = np.concatenate([tail, hashes])
+            if len(hashes) >= size:
+                found.append(shingles(hashes, np.array([0, len(hashes)]), size)[0])
+                counts[i] += len(found[-1])
+                tail = hashes[len(hashes) - size + 1 :]
+            else:
+                tail = hashes
+        else:
+            h, o = shingles(hashes, rows, size)
+            found.append(h)
+            counts[i:j] = np.diff(o)
+    end()
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(counts)])

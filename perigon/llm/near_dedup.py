@@ -1,25 +1,27 @@
 """MinHash near-deduplication with an LSH forest.
 
 A document's set holds the hashes of its distinct runs of `size` words (ASCII case folded, words
-between ASCII white space; all words of a shorter text as one run). Its signature is `trees` labels
-of DEPTH minima each. Tree t of the forest is the order of all documents by their signature read
-from label t on, around to label t - 1. In every order, documents with a common prefix of at least
-one label are candidates; `trees` follows from the threshold so that a pair at the threshold shares
-no label with probability below MISS.
-
-Work is adaptive in depth. Documents with equal sets are one class from the start. Classes that are
-joined by common labels form regions (connected components of stars, one for each label, so that a
-label of n documents gives n - 1 edges). Inside a region the longest common prefixes are compared
-first: neighbours in each order, from deep to shallow, are joined when their full sets are similar
-enough. What is left in different components is compared at the least depth, most central documents
-first. Since only components are wanted, documents that are in one already are not compared again.
-
-A region whose sets exceed `block_shingles` is first thinned: the full set of each of its documents is
-compared with those of a few pivots, the most central ones, and what is linked through them is one
-component from then on. Its documents are then dealt into blocks by component, and pairs of blocks
-are compared by different tasks, except for blocks of one component. So a region that is mostly one
-group of near copies costs about one comparison for each, no task holds more than two blocks, and
-nothing is capped. Links are closed by another round of components.
+between ASCII white space; all words of a shorter text as one run). Its signature is a row of minima,
+LEAST for each of `trees` trees. Tree t of the forest is the order of all documents by their signature
+read from its own minima on, around to those before. Documents with equal sets are one class.
+
+1.  Each order is sorted by Spark: one range exchange by (tree's first LEAST minima, the minima after
+    them) and a sort. Neighbours in an order with a longest common prefix of at least LEAST minima
+    are candidates; `trees` follows from the threshold so that a pair at the threshold has no such
+    prefix with probability below MISS. A prefix shared by n documents gives n - 1 neighbours, and a
+    prefix shared by a third of all is cut by the minima after it, so no task holds it.
+2.  Candidates join documents to regions (connected components). In a region documents are compared by
+    full sets, the longest common prefixes first, down to the least. Only components are wanted, so
+    documents that are together already are not compared again.
+3.  Where a region is too large for a task, it is worked on deeper: the branches of common prefixes of
+    at least DEEPER minima in it are contracted to their centres, each document is compared with the
+    centres of its branch and of its region, and what is linked is one group from then on. What is
+    left is dealt into blocks by group, and pairs of blocks are compared, but not blocks of one group.
+    No task holds more than two blocks, and nothing is capped.
+
+Inside a task, candidates come from an inverted list of each set's rarest members: sets of n members
+that are to share most of them share one of the rarest (100 - percent) % of either, so near misses
+are not tried pair by pair.
 
 Edge cases: a text that is null or has no words has an empty set and is linked with nothing, as is a
 row without doc_id; rows that share a doc_id are one document with several texts.
@@ -38,161 +40,242 @@ from pyspark.sql import functions as F
 from perigon.llm import common, graph
 
 SIZE = 5
-DEPTH = 5
+#: Minima of a prefix that makes candidates, and of one that makes a branch of a large region.
+LEAST = 5
+DEEPER = 9
+#: Minima after the first LEAST that orders and longest common prefixes look at.
+BELOW = 8
 MISS = 1e-6
+#: Members and documents of a block.
 BLOCK_SHINGLES = 2_000_000
+BLOCK_DOCS = 512
 PIVOTS = 8
-#: Bytes of pivots' sets that are sent to all tasks; regions beyond are not thinned, smallest first.
-PIVOT_BYTES = 64 << 20
-#: Rows of (id, region) up to which they are sent to all tasks instead of moving the texts.
+#: Rows of (id, region, group), 24 bytes each, up to which they are sent to all tasks instead of moving the texts.
 BROADCAST_ROWS = 500_000
 _ROWS = 1 << 13
 
 
 def tree_count(percent: int) -> int:
-    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** DEPTH)))
+    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** LEAST)))
 
 
 class Signer:
     def __init__(self, trees: int, size: int = SIZE):
         self.trees, self.size = trees, size
-        seeds = common.mix(np.arange(1, 2 * trees * DEPTH + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-        self.flip, self.times = seeds[: trees * DEPTH], seeds[trees * DEPTH :] | np.uint64(1)
+        seeds = common.mix(np.arange(1, 2 * trees * LEAST + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        self.flip, self.times = seeds[: trees * LEAST], seeds[trees * LEAST :] | np.uint64(1)
 
-    def labels(self, one: np.ndarray) -> np.ndarray:
-        least = np.full(self.trees * DEPTH, np.iinfo(np.uint64).max)
+    def minima(self, one: np.ndarray) -> np.ndarray:
+        least = np.full(self.trees * LEAST, np.iinfo(np.uint64).max)
         for i in range(0, len(one), _ROWS):
             values = one[i : i + _ROWS, None] ^ self.flip
             values *= self.times
             np.minimum(least, values.min(axis=0), out=least)
+        return least
+
+    def prefixes(self, least: np.ndarray) -> np.ndarray:
+        """One number for the first LEAST minima of each tree."""
         label = np.arange(1, self.trees + 1, dtype=np.uint64)
-        for k in range(DEPTH):
-            label = common.mix(label * np.uint64(0x9E3779B97F4A7C15) + least.reshape(self.trees, DEPTH)[:, k])
+        for k in range(LEAST):
+            label = common.mix(label * np.uint64(0x9E3779B97F4A7C15) + least.reshape(self.trees, LEAST)[:, k])
         return label
 
     def rows(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The set (sorted) and labels of each text."""
+        """The set (sorted) and minima of each text."""
         data, offsets = common.utf8(texts)
         for i, j in common.pieces(offsets):
             found, at = common.shingle_rows(common.lower_ascii(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i], self.size)
             for a, b in zip(at[:-1], at[1:]):
                 one = np.unique(found[a:b])
-                yield one, self.labels(one) if len(one) else np.zeros(0, np.uint64)
+                yield one, self.minima(one) if len(one) else one
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, labels array<bigint>"
+SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, prefixes array<bigint>, minima binary"
 
 
 def signatures(docs: DataFrame, trees: int, size: int = SIZE) -> DataFrame:
-    """For each document the size and two hashes of its set, and its labels."""
+    """For each document the size and two hashes of its set, its trees' prefixes and 16 bits of each of its minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(trees, size)
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                n, a, b, labels, at = [], [], [], [], [0]
-                for one, label in signer.rows(part.column(1)):
+                n, a, b, labels, at, minima = [], [], [], [np.zeros(0, np.uint64)], [0], []
+                for one, least in signer.rows(part.column(1)):
                     n.append(len(one))
                     a.append(int(common.mix(one).sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(common.mix(one ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
-                    labels.append(label)
-                    at.append(at[-1] + len(label))
+                    labels.append(signer.prefixes(least) if len(one) else least)
+                    at.append(at[-1] + len(labels[-1]))
+                    minima.append((common.mix(least) >> np.uint64(48)).astype(">u2").tobytes())
                 flat = pa.array(np.concatenate(labels).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], names=["doc_id", "n_shingles", "set_a", "set_b", "labels"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(minima, pa.binary())],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "prefixes", "minima"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours (id, root, depth) with a common prefix, from rows (prefix, below, id) in order, and the task's first and last row."""
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        prefix, ids = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+        below = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(n, BELOW)
+        ends = []
+        if last is None:
+            ends.append(0)
+        else:
+            prefix, ids, below = np.append(last[0], prefix), np.append(last[1], ids), np.concatenate([last[2], below])
+        same = np.flatnonzero(prefix[1:] == prefix[:-1])
+        depth = LEAST + np.cumprod(below[same] == below[same + 1], axis=1).sum(axis=1)
+        a, b = ids[same], ids[same + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(depth.astype(np.int32)), pa.nulls(len(a), pa.int64())], names=["id", "root", "depth", "prefix"])
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:1]), pa.array(ids[:1]), pa.array([0], pa.int32()), pa.array(prefix[:1])], names=["id", "root", "depth", "prefix"])
+        last = prefix[-1:], ids[-1:], below[-1:]
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(last[1]), pa.array(last[1]), pa.array([0], pa.int32()), pa.array(last[0])], names=["id", "root", "depth", "prefix"])
+
+
+def candidates(spark: SparkSession, classes: DataFrame, trees: int) -> DataFrame:
+    """(id, root, depth): neighbours in the trees' orders and the length of their common prefix, LEAST or more.
+
+    classes: (id, prefixes, minima). Where a prefix runs over several tasks, their first and last rows
+    with that prefix (two a task at most) are joined by their smallest.
+    """
+    around = F.concat("minima", F.substring("minima", 1, 2 * (BELOW + LEAST)))
+    rows = classes.select("id", F.posexplode("prefixes").alias("tree", "prefix"), around.alias("around"))
+    rows = rows.select("prefix", F.substring("around", (F.col("tree") + 1) * 2 * LEAST + 1, F.lit(2 * BELOW)).alias("below"), "id")
+    ordered = rows.repartitionByRange("prefix", "below").sortWithinPartitions("prefix", "below", "id")
+    found = common.written(ordered.mapInArrow(neighbours, "id bigint, root bigint, depth int, prefix bigint"), spark, "neighbours")
+    ends = found.filter("depth = 0").groupBy("prefix").agg(F.min("id").alias("root"), F.collect_set("id").alias("ids"))
+    across = ends.select(F.explode("ids").alias("id"), "root", F.lit(LEAST).alias("depth")).filter("id <> root")
+    return found.filter("depth > 0").select("id", "root", "depth").unionByName(across)
+
+
 class Region:
-    """Documents (ids, sets, labels) among which the links at `percent` are wanted."""
+    """Documents (ids, sets, prefixes) among which the links at `percent` are wanted."""
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | None, percent: int):
-        self.ids, self.sets, self.labels, self.side, self.percent = ids, sets, labels, side, percent
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], prefixes: list[bytes], side: np.ndarray | None, percent: int):
+        self.percent, self.side = percent, side
         self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # members are numbered from rare to common
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        row = np.repeat(np.arange(len(sets)), self.sizes)
+        token = rank[token.ravel()]
+        self.tokens = token[np.lexsort([token, row])]
+        self.n_tokens = len(count)
+        self.prefixes = prefixes
         self.of = np.unique(ids, return_inverse=True)[1].ravel()  # rows with one id are together
 
-    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Which of the others' full sets are similar enough to that of i."""
-        own = self.sets[i]
-        flat = np.concatenate([self.sets[j] for j in others])
-        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-        common_n = np.add.reduceat((own[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(self.sizes[others])[:-1]]))
-        return 100 * common_n >= self.percent * (self.sizes[i] + self.sizes[others] - common_n)
-
-    def may(self, i, j) -> np.ndarray:
-        """Sizes allow a link, and the two are to be compared here."""
-        small, large = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
-        ok = 100 * small >= self.percent * large
-        return ok if self.side is None else ok & (self.side[i] != self.side[j])
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.of[i], self.of[j]
-        if a != b:
-            self.of[self.of == max(a, b)] = min(a, b)
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs (a, b) are similar enough by their full sets."""
+
+        def flat(rows: np.ndarray) -> np.ndarray:
+            n = self.sizes[rows]
+            first = np.repeat(self.at[rows] - (np.cumsum(n) - n), n)
+            return np.repeat(np.arange(len(rows)), n) * self.n_tokens + self.tokens[first + np.arange(int(n.sum()))]
+
+        x, y = flat(a), flat(b)
+        place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = np.bincount(x[y[place] == x] // self.n_tokens, minlength=len(a))
+        return 100 * both >= self.percent * (self.sizes[a] + self.sizes[b] - both)
+
+    def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Still apart, of sizes that allow a link, and to be compared here."""
+        x, y = self.sizes[a], self.sizes[b]
+        ok = (self.of[a] != self.of[b]) & (100 * np.minimum(x, y) >= self.percent * np.maximum(x, y))
+        return ok if self.side is None else ok & (self.side[a] != self.side[b])
+
+    def try_pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Compares pairs in their order, a limited number of members at a time, and joins what is linked."""
+        while len(a):
+            open_ = self.may(a, b)
+            a, b = a[open_], b[open_]
+            some = max(1, int(np.searchsorted(np.cumsum(self.sizes[a] + self.sizes[b]), 1 << 18)))
+            if len(a):
+                yes = self.linked(a[:some], b[:some])
+                self.join(a[:some][yes], b[:some][yes])
+            a, b = a[some:], b[some:]
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            old, new = graph.smallest(self.of[a], self.of[b])
+            at = np.minimum(np.searchsorted(old, self.of), len(old) - 1)
+            self.of = np.where(old[at] == self.of, new[at], self.of)
+
+    def done(self) -> bool:
+        return bool((self.of == self.of[0]).all())
 
     def solve(self) -> np.ndarray:
         """The component of each row."""
-        n, trees = self.labels.shape
-        checked = set()
-        # neighbours with the longest common prefixes first
-        pairs = []
-        for t in range(trees):
-            order = np.lexsort([self.labels[:, (t + k) % trees] for k in (3, 2, 1, 0)])
-            a, b = order[:-1], order[1:]
-            depth, same = np.zeros(n - 1, np.int64), np.ones(n - 1, bool)
-            for k in range(4):
-                same &= self.labels[a, (t + k) % trees] == self.labels[b, (t + k) % trees]
-                depth += same
-            keep = (depth > 0) & self.may(a, b)
-            pairs += zip((-depth[keep]).tolist(), a[keep].tolist(), b[keep].tolist())
-        for _, a, b in sorted(pairs):
-            pair = (min(a, b), max(a, b))
-            if self.of[a] != self.of[b] and pair not in checked:
-                checked.add(pair)
-                if self.similar(a, np.array([b]))[0]:
-                    self.join(a, b)
-        if (self.of == self.of[0]).all():
+        n = len(self.sizes)
+        if n <= 8:
+            self.try_pairs(*np.triu_indices(n, 1))
             return self.of
-        # then all candidates that are still apart, most central documents first
-        centre = np.zeros(n, np.int64)
+        labels = np.stack([np.frombuffer(p, np.uint64) for p in self.prefixes])
+        trees = labels.shape[1]
+        found = []
         for t in range(trees):
-            _, which, count = np.unique(self.labels[:, t], return_inverse=True, return_counts=True)
-            centre += count[which.ravel()]
-        order = np.argsort(-centre, kind="stable")
-        for place, i in enumerate(order[:-1]):
-            rest = order[place + 1 :]
-            rest = rest[(self.of[rest] != self.of[i]) & self.may(i, rest)]
-            rest = rest[(self.labels[rest] == self.labels[i]).any(axis=1)] if len(rest) else rest
-            while len(rest):
-                some, rest = rest[:256], rest[256:]
-                for j in some[self.similar(i, some)]:
-                    self.join(i, j)
-                rest = rest[self.of[rest] != self.of[i]]
+            order = np.lexsort([labels[:, (t + k) % trees] for k in (3, 2, 1, 0)])
+            a, b = order[:-1], order[1:]
+            depth = np.cumprod([labels[a, (t + k) % trees] == labels[b, (t + k) % trees] for k in range(4)], axis=0).sum(axis=0)
+            found.append(np.stack([-depth, np.minimum(a, b), np.maximum(a, b)])[:, depth > 0])
+        # the longest common prefixes first
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        self.try_pairs(pairs[1], pairs[2])
+        if not self.done():
+            self.try_lists()
         return self.of
 
-
-def linker(percent: int, trees: int):
+    def try_lists(self) -> None:
+        """Compares what is still apart and shares one of the rarest members of both."""
+        head = self.sizes - -(-self.percent * self.sizes // 100) + 1
+        first = np.repeat(self.at[:-1] - (np.cumsum(head) - head), head)
+        token, row = self.tokens[first + np.arange(int(head.sum()))], np.repeat(np.arange(len(head)), head)
+        order = np.argsort(token, kind="stable")
+        token, row = token[order], row[order]
+        begin, end = np.searchsorted(token, token, "left"), np.searchsorted(token, token, "right")
+        for i in np.argsort(-self.sizes, kind="stable"):
+            own = self.tokens[self.at[i] : self.at[i] + head[i]]
+            place = np.searchsorted(token, own)
+            others = np.concatenate([row[begin[p] : end[p]] for p in place])
+            others, shared = np.unique(others, return_counts=True)
+            open_ = self.may(np.full(len(others), i), others)
+            if open_.any():
+                others = others[open_][np.argsort(-shared[open_], kind="stable")]
+                self.try_pairs(np.full(len(others), i), others)
+
+
+def linker(percent: int):
     """Arrow function over rows sorted by (region, low, high): links (id, root) inside each group."""
 
     def solved(rows: list) -> tuple[list[int], list[int]]:
         if len(rows) < 2:
             return [], []
-        ids = np.array([r[1] for r in rows], np.int64)
-        blocks = np.array([r[2] for r in rows])
-        region = Region(ids, [np.frombuffer(r[3], np.uint64) for r in rows], np.stack([np.frombuffer(r[4], np.uint64) for r in rows]), blocks if blocks.min() != blocks.max() else None, percent)
+        ids, blocks = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+        region = Region(ids, [np.frombuffer(r[2], np.uint64) for r in rows], [r[3] for r in rows], blocks if blocks.min() != blocks.max() else None, percent)
         of = region.solve()
-        _, which = np.unique(of, return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        roots = np.minimum.reduceat(ids[order], np.flatnonzero(np.diff(which[order], prepend=-1)))[which]
+        order = np.argsort(of, kind="stable")
+        first = np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1]))
+        roots = np.empty(len(ids), np.int64)
+        roots[order] = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(ids))))
         away = roots != ids
         return ids[away].tolist(), roots[away].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, ids, roots = None, [], [], []
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(7)]
-            for region, low, high, doc, block, members, labels in zip(*columns):
+            for region, low, high, *row in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if (region, low, high) != key:
                     a, b = solved(rows)
                     ids += a
@@ -201,113 +284,139 @@ def linker(percent: int, trees: int):
                     if len(ids) > 50_000:
                         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["id", "root"])
                         ids, roots = [], []
-                rows.append((region, doc, block, members, labels))
+                rows.append(row)
         a, b = solved(rows)
         yield pa.RecordBatch.from_arrays([pa.array(ids + a, pa.int64()), pa.array(roots + b, pa.int64())], names=["id", "root"])
 
     return run
 
 
+SETS = "region bigint, group bigint, doc_id bigint, members binary, prefixes binary"
+
+
 def with_sets(docs: DataFrame, trees: int, size: int) -> DataFrame:
-    """(region, doc_id, block, others, members, labels) from (region, doc_id, block, others, text); members: the set's hashes, sorted."""
+    """(region, group, doc_id, members, prefixes) from (region, group, doc_id, text); members: the set's hashes, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(trees, size)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                rows = [(one.tobytes(), label.tobytes()) for one, label in signer.rows(part.column(4))]
-                got = pa.RecordBatch.from_arrays([*[part.column(c) for c in range(4)], pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["region", "doc_id", "block", "others", "members", "labels"])
+                rows = [(one.tobytes(), signer.prefixes(least).tobytes() if len(one) else b"") for one, least in signer.rows(part.column(3))]
+                got = pa.RecordBatch.from_arrays([*[part.column(c) for c in range(3)], pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["region", "group", "doc_id", "members", "prefixes"])
                 yield got.filter(pa.array([len(r[0]) > 0 for r in rows], pa.bool_()))
 
-    return docs.select("region", "doc_id", "block", "others", "text").mapInArrow(run, "region bigint, doc_id bigint, block bigint, others array<bigint>, members binary, labels binary")
+    return docs.select("region", "group", "doc_id", "text").mapInArrow(run, SETS)
 
 
 def chosen(docs: DataFrame, regions: DataFrame, n: int) -> DataFrame:
-    """Texts of the documents in regions: these are sent to all tasks while they are few, else texts are exchanged."""
+    """Texts of the documents in regions: three numbers each go to all tasks while they are few, else texts are exchanged."""
     return docs.join(F.broadcast(regions) if n <= BROADCAST_ROWS else regions, "doc_id")
 
 
-def pivot_links(spark: SparkSession, docs: DataFrame, large: DataFrame, labelled: DataFrame, percent: int, trees: int, size: int) -> DataFrame:
-    """Links (id, root) between documents of large regions and the pivots of these. large: (doc_id, region)."""
-    inside = labelled.join(large.withColumnRenamed("doc_id", "id"), "id")
-    shared = inside.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    centre = inside.join(shared, ["region", "label"]).groupBy("region", "id").agg(F.sum("n").alias("n"))
-    best = centre.groupBy("region", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("p")).agg(F.max_by("id", F.struct("n", "id")).alias("doc_id"))
-    rows = chosen(docs, large, large.count()).withColumns({"block": F.lit(0).cast("bigint"), "others": F.array().cast("array<bigint>")})
-    members = common.written(with_sets(rows, trees, size).select("region", "doc_id", "members"), spark, "large-regions")
-    sets = members.join(best.select("region", "doc_id"), ["region", "doc_id"])
-    weight = sets.groupBy("region").agg(F.sum(F.octet_length("members").cast("bigint")).alias("bytes"))
-    found, room = {}, PIVOT_BYTES
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).join(weight, "region").orderBy(F.desc("n"), "region").limit(PIVOT_BYTES // 1024).collect()
-    kept = []
-    for r in sizes:
-        if r["bytes"] <= room:
-            kept.append(r["region"])
-            room -= r["bytes"]
-    for r in sets.join(F.broadcast(spark.createDataFrame([(k,) for k in kept], "region bigint")), "region").collect():  # at most PIVOT_BYTES
-        found.setdefault(r["region"], []).append((r["doc_id"], np.frombuffer(r["members"], np.uint64)))
-    sent = spark.sparkContext.broadcast(found)
+def centre_links(spark: SparkSession, docs: DataFrame, large: DataFrame, near: DataFrame, percent: int, trees: int, size: int) -> DataFrame:
+    """Links (id, root) between documents of large regions and the centres of their branches and regions.
+
+    large: (doc_id, region), near: candidates. A centre is the document with most neighbours of a hash
+    class of a region, PIVOTS a region, or of a branch. Documents meet centres in salted groups of
+    about BLOCK_DOCS, so that a region of any size is dealt evenly; centres are copied to each group.
+    """
+    inside = near.join(large.withColumnRenamed("doc_id", "id"), "id")
+    n_near = inside.select("id", "region").unionByName(inside.select(F.col("root").alias("id"), "region")).groupBy("id", "region").agg(F.count(F.lit(1)).alias("n"))
+    best = n_near.groupBy("region", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("p")).agg(F.max_by("id", F.struct("n", "id")).alias("doc_id"))
+    branches = graph.components(spark, inside.filter(F.col("depth") >= DEEPER).select("id", "root"), "branches")
+    tops = n_near.join(branches, "id").groupBy("root").agg(F.max_by("id", F.struct("n", "id")).alias("doc_id"))
+    sets = common.written(with_sets(chosen(docs, large.withColumn("group", F.lit(None).cast("bigint")), large.count()), trees, size).select("region", "doc_id", "members"), spark, "large-regions")
+    parts = sets.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("parts"))
+
+    def dealt(rows: DataFrame, key: str, kind: int, salt) -> DataFrame:
+        return rows.select(F.col(key).alias("key"), salt.alias("salt"), F.lit(kind).alias("kind"), "doc_id", "members")
+
+    spread = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))
+    by_region = dealt(sets.join(parts, "region"), "region", 1, spread).unionByName(dealt(sets.join(best, ["region", "doc_id"]).join(parts, "region"), "region", 0, every))
+    member_of = sets.join(branches.select(F.col("id").alias("doc_id"), F.col("root").alias("branch")), "doc_id")
+    branch_parts = branches.groupBy(F.col("root").alias("branch")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("parts"))
+    by_branch = dealt(member_of.join(branch_parts, "branch"), "branch", 1, spread).unionByName(dealt(member_of.join(tops.select("doc_id"), "doc_id").join(branch_parts, "branch"), "branch", 0, every))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, centres = None, []
         for batch in batches:
             ids, roots = [], []
-            for region, doc, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for key, salt, kind, doc, own in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if (key, salt) != group:
+                    group, centres = (key, salt), []
                 own = np.frombuffer(own, np.uint64)
-                for pivot, other in sent.value.get(region, ()):
+                if kind == 0:
+                    centres.append((doc, own))
+                    continue
+                for centre, other in centres:
                     both = np.count_nonzero(other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own)
-                    if pivot != doc and 100 * both >= percent * (len(own) + len(other) - both):
+                    if centre != doc and 100 * both >= percent * (len(own) + len(other) - both):
                         ids.append(doc)
-                        roots.append(pivot)
+                        roots.append(centre)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["id", "root"])
 
-    return common.written(members.mapInArrow(run, "id bigint, root bigint"), spark, "pivot-links")
+    found = []
+    for rows in (by_region, by_branch):
+        found.append(rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "kind").mapInArrow(run, "id bigint, root bigint"))
+    return common.written(found[0].unionByName(found[1]), spark, "centre-links")
 
 
-def dealt(regions: DataFrame, sizes: DataFrame, block_shingles: int) -> DataFrame:
-    """Regions' documents with their block and the blocks to compare it with.
+def paired(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Documents of large regions with their block, once for each pair (low, high) of blocks to compare.
 
-    regions: (doc_id, region, group), group being what the document is known to be linked with or
-    null; sizes: (doc_id, n_shingles).
+    parts: (region, group, n), the blocks of each group; group is what the documents are known to be
+    linked with, null for those apart. Blocks of one group are not paired, a block of documents apart
+    is paired with itself too.
     """
-    parts = regions.join(sizes, "doc_id").groupBy("region", "group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / block_shingles)).cast("bigint").alias("n"))
-    listed = F.array_sort(F.collect_list(F.struct("group", "n")))  # a region has at most PIVOTS groups
+    listed = F.array_sort(F.collect_list(F.struct(F.coalesce("group", F.lit(-(1 << 63))).alias("group"), "n")))
     first = F.transform("parts", lambda p, k: F.struct(p["group"].alias("group"), F.aggregate(F.slice("parts", F.lit(1), k), F.lit(0).cast("bigint"), lambda n, q: n + q["n"]).alias("first"), p["n"].alias("n")))
-    listed = parts.groupBy("region").agg(listed.alias("parts")).withColumn("parts", first)
-    rows = regions.join(listed, "region")
-    own = F.filter("parts", lambda p: p["group"].eqNullSafe(F.col("group")))[0]
-    block = own["first"] + F.pmod(F.xxhash64("doc_id"), own["n"])
-    apart = F.filter("parts", lambda p: F.col("group").isNull() | ~p["group"].eqNullSafe(F.col("group")))
-    others = F.flatten(F.transform(apart, lambda p: F.sequence(p["first"], p["first"] + p["n"] - 1)))
-    return rows.select("doc_id", "region", block.alias("block"), others.alias("others"))
-
-
-def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = SIZE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    table = parts.groupBy("region").agg(listed.alias("parts")).withColumn("parts", first)  # two groups at least for each centre
+    flat = table.select("region", F.explode("parts").alias("p")).select("region", "p.*")
+    total = table.select("region", F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["n"]).alias("blocks"))
+    own = members.withColumn("group", F.coalesce("group", F.lit(-(1 << 63)))).join(flat, ["region", "group"]).join(total, "region")
+    own = own.withColumn("block", F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("n")))
+    apart = F.col("group") == -(1 << 63)
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    others = F.when(apart, every).otherwise(F.filter(every, lambda b: (b < F.col("first")) | (b >= F.col("first") + F.col("n"))))
+    own = own.withColumn("other", F.explode(others))
+    return own.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "block", "members", "prefixes")
+
+
+def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = SIZE, block_shingles: int = BLOCK_SHINGLES, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, for every row."""
+    common.sent_to_workers(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     trees = tree_count(percent)
     signed = common.written(signatures(docs, trees, size), spark, "signatures")
     set_key = ["set_a", "set_b", "n_shingles"]
-    classes = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*set_key).agg(F.min("doc_id").alias("id"), F.first("labels").alias("labels"))
-    classes = common.written(classes, spark, "classes")
-    labelled = classes.select("id", F.explode("labels").alias("label"))
-    stars = labelled.groupBy("label").agg(F.min("id").alias("root"), F.max("id").alias("most")).filter(F.col("root") < F.col("most"))
-    regions = graph.components(spark, labelled.join(stars, "label").select("id", "root"), "regions").select(F.col("id").alias("doc_id"), F.col("root").alias("region"))
-    sizes = classes.select(F.col("id").alias("doc_id"), "n_shingles")
-    large = regions.join(sizes, "doc_id").groupBy("region").agg(F.sum("n_shingles").alias("n")).filter(F.col("n") > block_shingles).select("region")
-    large = common.written(large, spark, "large")
-    known = None
-    if large.isEmpty():
-        regions = regions.select("doc_id", "region", F.lit(0).cast("bigint").alias("block"), F.array(F.lit(0).cast("bigint")).alias("others"))
-    else:
-        known = pivot_links(spark, docs, regions.join(large, "region").select("doc_id", "region"), labelled, percent, trees, size)
+    classes = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*set_key).agg(F.min_by(F.struct("prefixes", "minima"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
+    classes = common.written(classes.select(*set_key, "id", "s.*"), spark, "classes")
+    near = candidates(spark, classes, trees)
+    regions = graph.components(spark, near.select("id", "root"), "regions").select(F.col("id").alias("doc_id"), F.col("root").alias("region"))
+    sizes = regions.join(classes.select(F.col("id").alias("doc_id"), "n_shingles"), "doc_id")
+    blocks = F.ceil(F.greatest(F.sum("n_shingles") / block_shingles, F.count(F.lit(1)) / block_docs)).cast("bigint")
+    large = common.written(sizes.groupBy("region").agg(blocks.alias("n")).filter("n > 1"), spark, "large")
+    known, none = None, F.lit(None).cast("bigint")
+    regions = regions.withColumn("group", none)
+    if not large.isEmpty():
+        inside = common.written(sizes.join(large.select("region"), "region"), spark, "inside")
+        known = centre_links(spark, docs, inside.select("doc_id", "region"), near, percent, trees, size)
         groups = graph.components(spark, known, "groups").select(F.col("id").alias("doc_id"), F.col("root").alias("group"))
-        regions = dealt(regions.join(groups, "doc_id", "left"), sizes, block_shingles)
-    regions = common.written(regions, spark, "regions")
-    members = with_sets(chosen(docs, regions, regions.count()), trees, size).withColumn("other", F.explode("others"))
-    grouped = members.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    grouped = grouped.select("region", "low", "high", "doc_id", "block", "members", "labels").repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
-    links = grouped.mapInArrow(linker(percent, trees), "id bigint, root bigint")
+        regions = regions.drop("group").join(groups, "doc_id", "left")
+        parts = common.written(inside.join(groups, "doc_id", "left").groupBy("region", "group").agg(blocks.alias("n")), spark, "parts")
+    regions = common.written(regions.select("doc_id", "region", "group"), spark, "regions")
+    members = with_sets(chosen(docs, regions, regions.count()), trees, size)
+    whole = F.lit(0).cast("bigint")
+    columns = ["region", "low", "high", "doc_id", "block", "members", "prefixes"]
+    if known is None:
+        grouped = members.withColumns({"low": whole, "high": whole, "block": whole}).select(*columns)
+    else:
+        members = common.written(members, spark, "members")
+        small = members.join(large.select("region"), "region", "left_anti").withColumns({"low": whole, "high": whole, "block": whole}).select(*columns)
+        grouped = small.unionByName(paired(members.join(large.select("region"), "region"), parts))
+    links = grouped.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high").mapInArrow(linker(percent), "id bigint, root bigint")
     if known is not None:
         links = graph.components(spark, links.unionByName(known), "links")
     else:
@@ -321,14 +430,17 @@ def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, siz
 def deduplicated(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = SIZE) -> DataFrame:
     """The documents of which each near-duplicate component keeps its smallest, whole and with their own columns.
 
-    Of repeated rows of a doc_id one stays; of rows without doc_id all do.
+    Of repeated rows of a doc_id the one with the smallest text stays (null first; equal rows count as
+    one); of rows without doc_id all do.
     """
     parts = near_components(spark, docs, percent, size)
     gone = parts.filter(~F.col("kept")).select(F.col("doc_id").alias("gone__")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("gone__"), "left_anti")
     if parts.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
-    return kept.filter(F.col("doc_id").isNull()).unionByName(kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    known = kept.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.struct(*kept.columns).alias("whole__"))
+    one = known.groupBy("doc_id").agg(F.min_by("whole__", F.struct("text", F.xxhash64(F.to_json("whole__")))).alias("whole__"))
+    return kept.filter(F.col("doc_id").isNull()).unionByName(one.select("whole__.*"))
 
 
 ORACLE = r"""

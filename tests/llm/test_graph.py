@@ -5,12 +5,12 @@ import pytest
 from perigon.llm import graph
 
 
-@pytest.mark.parametrize("hub,most", [(500, 1000), (3, 50)])
-def test_components(spark, monkeypatch, hub, most):
-    monkeypatch.setattr(graph, "HUB", hub)
-    monkeypatch.setattr(graph, "MOST_HUBS", most)
+@pytest.mark.parametrize("few,held", [(graph.FEW, graph.HELD), (0, 7)])
+def test_components(spark, monkeypatch, few, held):
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "HELD", held)
     rng = random.Random(1)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)] + [(7, 2000 + k) for k in range(90)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)] + [(7, 2000 + k) for k in range(90)] + [(2000 + k, 5000 - k) for k in range(0, 90, 2)]
     of = {}
 
     def find(x):
