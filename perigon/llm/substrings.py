@@ -1,26 +1,26 @@
 """Removal of repeated substrings by bucket-pointer refinement over all documents.
 
 A byte is removed when a string of `window` bytes that covers it also starts in a document with a
-smaller doc_id. Equal strings are found as in suffix sorting by bucket pointers, but with buckets
-that are named by content, so that tasks agree on them: the bucket of a short string is refined by
-the buckets that start at later offsets (12 bytes -> 24 -> window), and each step only looks at what
-the step before could not tell apart.
-
-1.  Of the 24-byte buckets inside a window the smallest is its anchor; equal windows have equal
-    anchors. Anchors (about 7 % of the positions, 4 bytes each) are exchanged; those that two
-    documents have stay.
-2.  The windows that share an anchor follow each other; their extent is refined to a bucket of its
-    own. Where a smaller document has the same extent, all its windows are repeats. An anchor with one
-    extent only is done with; of others, the smallest document of each extent goes on.
-3.  Windows of these are refined to buckets of all their bytes, by the buckets at later offsets.
-
-In each step a block of documents keeps one entry for a bucket, with its smallest doc_id, so that a
-passage in most documents costs one entry a block; an exchange by bucket finds the smallest doc_id of
-all, and bits, one or two for an entry, go back. The windows found are laid over the text.
+smaller doc_id. Sorting every position of a corpus is too much to exchange, so positions are first
+dealt to parts in a way that keeps equal windows together, and refined there.
+
+1.  Of the strings of GRAM bytes inside a window the one of smallest hash is its anchor; equal windows
+    have equal anchors at equal places. 32 bits of each distinct anchor of a block of documents (about
+    7 % of the positions) are exchanged; anchors that one document alone has are dropped. Equality of
+    hashes keeps an anchor, it never removes a byte.
+2.  The windows of an anchor follow each other. The bytes they span, its extent, go to the anchor's
+    part, each distinct extent of a block once, with the smallest doc_id that has it. Anchors in many
+    blocks are dealt by single windows instead, so that a phrase that a third of all documents have
+    with different neighbours is no hot group.
+3.  In a part, windows are refined by bucket pointers: buckets of 8-byte strings get numbers, and a
+    string of twice the length gets its bucket from the numbers of its halves, (bucket at i, bucket at
+    i + length), sorted again; windows end with two overlapping strings. Numbers stand for bytes that
+    are equal, so no step can confuse two strings. A bucket of one position is settled and goes no
+    further. The smallest doc_id of each window's bucket decides, and a bit for each window goes back.
+4.  The windows found are laid over the text.
 
 Texts move once: blocks (about `block_bytes` of text, dealt by a hash of doc_id) are one exchange
-that all steps share. Bucket names have 64 bits, so n distinct windows collide with probability
-n^2 / 2^65.
+that all steps share. Long texts are walked in pieces that overlap by a window.
 
 Edge cases: a null text is an empty one; a row without doc_id is never smaller than another and
 keeps its text; rows with the same doc_id are not smaller than each other.
@@ -29,6 +29,7 @@ keeps its text; rows with the same doc_id are not smaller than each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,23 +39,19 @@ from pyspark.sql import functions as F
 from perigon.llm import common
 
 WINDOW = 50
-GRAM = 12
+GRAM = 24
 BLOCK_BYTES = 4 << 20
-#: Text bytes for which one task sorts buckets.
-BUCKET_BYTES = 8 << 20
+#: Text bytes for which one task looks at anchors, and for which one task refines extents.
+ANCHOR_BYTES = 24 << 20
+PART_BYTES = 2 << 20
+#: Partitions of blocks and of parts at most; beyond, a partition holds several, one after the other.
+MOST_PARTITIONS = 20_000
+#: Blocks that have an anchor, from which on it is dealt by single windows.
+HOT = 256
 _PLACE = np.uint64((1 << 30) - 1)
 _LATER = np.uint64(0x9FB21C651E98DF25)
 
 
-def refine(buckets: np.ndarray, offsets: list[int]) -> np.ndarray:
-    """Buckets of longer strings, each named by the buckets at its offsets (the first is 0)."""
-    n = max(0, len(buckets) - offsets[-1])
-    found = buckets[:n].copy()
-    for d in offsets[1:]:
-        found = common.mix(found * _LATER + buckets[d : d + n])
-    return found
-
-
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     have, size = values, 1
     while size * 2 <= width:
@@ -64,103 +61,125 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
 
 
-class Piece:
-    """Documents [i, j) of a block: buckets by position, whole windows and the anchors that own them."""
+def expand(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All integers of the ranges [first, end), one range after the other."""
+    n = end - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
-    def __init__(self, i: int, j: int, own: np.ndarray, at: np.ndarray, usable: np.ndarray, window: int):
-        self.i, self.j, self.own, self.at = i, j, own, at
-        self.span = common.SpanHash(own)
-        self.buckets = refine(self.span.windows(GRAM), [0, GRAM])
-        room = np.zeros(len(own) + 1, np.int64)
-        np.add.at(room, at[:-1][usable], 1)
-        np.add.at(room, at[1:][usable] - window + 1, -1)
-        starts = np.flatnonzero(np.cumsum(room))
-        ranked = (self.buckets & ~_PLACE) | np.arange(len(self.buckets), dtype=np.uint64)
-        least = (sliding_min(ranked, window - 2 * GRAM + 1)[starts] & _PLACE).astype(np.int64) if len(starts) else starts
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if len(starts) else starts
-        #: places of the anchors, and the first and last start of the windows of each
-        self.place = least[first]
-        self.first, self.last = starts[first], starts[np.append(first[1:], len(starts)) - 1] if len(starts) else starts
-        self.doc = np.searchsorted(at, self.place, "right") - 1 + i
+
+def same_strings(data: np.ndarray, hashes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal strings of a buffer, and the first string of each number. Hashes only sort: bytes are compared."""
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    of = of.ravel()
+    other = first[of]
+    todo = np.flatnonzero(other != np.arange(len(of)))
+    ok = bool((length[todo] == length[other[todo]]).all())
+    for k in range(0, len(todo), 1 << 14):
+        if not ok:
+            break
+        a, b = todo[k : k + (1 << 14)], other[todo[k : k + (1 << 14)]]
+        ok = bool((data[expand(start[a], start[a] + length[a])] == data[expand(start[b], start[b] + length[b])]).all())
+    if ok:
+        return of, first
+    known: dict[bytes, int] = {}
+    of = np.array([known.setdefault(data[s : s + n].tobytes(), len(known)) for s, n in zip(start.tolist(), length.tolist())], np.int64)
+    return of, np.unique(of, return_index=True)[1]
+
+
+@dataclass
+class Anchors:
+    """Anchors of a block: hash of each, first start and number of its windows (in the block's bytes), its row."""
+
+    name: np.ndarray
+    first: np.ndarray
+    windows: np.ndarray
+    row: np.ndarray
+    extent: np.ndarray | None
+
+    @staticmethod
+    def of(data: np.ndarray, offsets: np.ndarray, usable: np.ndarray, window: int, extents: bool) -> Anchors:
+        """extents: whether hashes of the bytes that the windows of each anchor span are wanted."""
+        none = np.zeros(0, np.int64)
+        found = [(none.view(np.uint64), none, none, none, none.view(np.uint64))]
+        for i, j in common.pieces(offsets):
+            low, high = int(offsets[i]), int(offsets[j])
+            for a in range(low, high, common.PIECE_BYTES) if j == i + 1 else [low]:
+                b = min(high, a + common.PIECE_BYTES + window - 1) if j == i + 1 else high
+                own = data[a:b]
+                starts = np.zeros(0, np.int64)
+                if j == i + 1:
+                    if usable[i]:
+                        starts = np.arange(max(0, min(common.PIECE_BYTES, b - a - window + 1)))
+                else:
+                    rows = np.flatnonzero(usable[i:j]) + i
+                    starts = expand(offsets[rows] - low, offsets[rows + 1] - low - window + 1)
+                if not len(starts):
+                    continue
+                span = common.SpanHash(own)
+                grams = span.windows(GRAM)
+                ranked = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+                place = (sliding_min(ranked, window - GRAM + 1)[starts] & _PLACE).astype(np.int64)
+                new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
+                row = np.searchsorted(offsets, first + a, "right") - 1
+                found.append((common.mix(grams[place[new]] ^ _LATER), first + a, last - first + 1, row, span.spans(first, last + window) if extents else none.view(np.uint64)))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        return Anchors(*columns[:4], columns[4] if extents else None)
+
+
+def keyed(names: np.ndarray, parts: int) -> np.ndarray:
+    """The part in the high half, 32 bits of the name in the low half."""
+    return ((names >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
 
 
 class Block:
-    """The texts of a block, its anchors, and what the steps so far have told about them."""
+    """The texts of a block, its anchors, and their distinct names sorted by part."""
 
-    def __init__(self, rows: pa.Table, window: int, parts: int):
-        self.window, self.parts = window, parts
+    def __init__(self, rows: pa.Table, window: int, parts: int, extents: bool):
+        self.window = window
         ids = rows.column("doc_id").combine_chunks()
         valid = np.asarray(ids.is_valid()).astype(bool)
         self.ids = np.asarray(ids.fill_null(0), np.int64)
-        data, self.offsets = common.utf8(rows.column("text"))
-        usable = (np.diff(self.offsets) >= window) & valid
-        self.pieces = [Piece(i, j, data[self.offsets[i] : self.offsets[j]], self.offsets[i : j + 1] - self.offsets[i], usable[i:j], window) for i, j in common.pieces(self.offsets)]
-        none = np.zeros(0, np.int64)
-        self.id = self.ids[np.concatenate([none, *[p.doc for p in self.pieces]])]
-        names = common.mix(np.concatenate([none.view(np.uint64), *[p.buckets[p.place] for p in self.pieces]]) ^ _LATER)
-        # part in the high half, 32 bits of the name in the low half
-        self.names = ((names >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
-        self.anchor, self.anchor_of = np.unique(self.names, return_inverse=True)
-
-    def split(self, flags: np.ndarray) -> list[np.ndarray]:
-        return np.split(flags, np.cumsum([len(p.place) for p in self.pieces])[:-1]) if self.pieces else []
-
-    def refine_extents(self, shared: np.ndarray) -> None:
-        """Entries of extents of the anchors that two documents have, sorted by part and anchor."""
-        self.shared = shared
-        self.member = np.flatnonzero(shared[self.anchor_of])
-        extents = [np.zeros(0, np.uint64)]
-        for p, of in zip(self.pieces, self.split(shared[self.anchor_of])):
-            first, last = p.first[of], p.last[of]
-            extents.append(common.mix(p.span.spans(first, last + self.window) ^ common.mix((p.place[of] - first).astype(np.uint64))))
-        extents = np.concatenate(extents)
-        names, ids = self.names[self.member], self.id[self.member]
-        order = np.lexsort([extents, names])
-        self.extent, self.extent_name, self.extent_least, entry = distinct(extents[order], ids[order], names[order])
-        self.extent_of = np.empty(len(order), np.int64)
-        self.extent_of[order] = entry
-
-    def refine_windows(self, smaller: np.ndarray, open_: np.ndarray, parts: int) -> None:
-        """Anchors all of whose windows are repeats, and entries of windows of those still open."""
-        self.smaller, self.open = smaller, open_
-        ids = self.id[self.member]
-        least = ids == self.extent_least[self.extent_of]
-        self.gone = np.zeros(len(self.names), bool)
-        self.gone[self.member] = ~least | smaller[self.extent_of]
-        going = np.zeros(len(self.names), bool)
-        going[self.member] = least & open_[self.extent_of]
-        steps = [*range(2 * GRAM, self.window - 2 * GRAM, 2 * GRAM), self.window - 2 * GRAM]
-        self.starts, names, owners = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for p, on in zip(self.pieces, self.split(going)):
-            starts = expand(p.first[on], p.last[on] + 1)
-            found = p.buckets[starts]
-            for d in steps:
-                found = common.mix(found * _LATER + p.buckets[starts + d])
-            self.starts.append(starts)
-            names.append(found)
-            owners.append(self.ids[np.repeat(p.doc[on], p.last[on] - p.first[on] + 1)])
-        names, owners = np.concatenate(names), np.concatenate(owners)
-        part = (names >> np.uint64(40)) % np.uint64(parts)
-        order = np.lexsort([names, part])
-        self.bucket, self.bucket_part, self.bucket_least, entry = distinct(names[order], owners[order], part[order])
-        self.bucket_of = np.empty(len(order), np.int64)
-        self.bucket_of[order] = entry
-        self.owner = owners
-
-
-def distinct(names: np.ndarray, ids: np.ndarray, also: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted names the distinct ones, their value of `also`, smallest id, and each row's entry."""
-    new = np.ones(len(names), bool)
-    new[1:] = names[1:] != names[:-1]
-    first = np.flatnonzero(new)
-    least = np.minimum.reduceat(ids, first) if len(first) else ids[:0]
-    return names[first], also[first], least, np.cumsum(new) - 1
-
-
-def expand(first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All integers of the ranges [first, end), one range after the other."""
-    n = end - first
-    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        self.data, self.offsets = common.utf8(rows.column("text"))
+        self.anchors = Anchors.of(self.data, self.offsets, (np.diff(self.offsets) >= window) & valid, window, extents)
+        self.names, self.name_of = np.unique(keyed(self.anchors.name, parts), return_inverse=True)
+        self.name_of = self.name_of.ravel()
+
+    def deal(self, shared: np.ndarray, hot: np.ndarray, parts: int) -> None:
+        """Entries: the distinct extents of shared anchors, or the distinct windows of hot ones, sorted by part."""
+        own = shared[self.name_of]
+        single = own & hot[self.name_of]
+        a = self.anchors
+        whole = np.flatnonzero(own & ~single)
+        first = [a.first[whole], expand(a.first[single], a.first[single] + a.windows[single])]
+        # windows of hot anchors are named by their own bytes
+        hashes, names = [a.extent[whole]], [a.name[whole]]
+        for k in range(0, len(first[1]), 1 << 15):
+            some = first[1][k : k + (1 << 15)]
+            flat = self.data[expand(some, some + self.window)]
+            h = common.SpanHash(flat).spans(np.arange(len(some)) * self.window, (np.arange(len(some)) + 1) * self.window)
+            hashes.append(h)
+            names.append(common.mix(h ^ _LATER))
+        self.first = np.concatenate(first)
+        self.windows = np.concatenate([a.windows[whole], np.ones(len(first[1]), np.int64)])
+        self.doc = self.ids[np.concatenate([a.row[whole], np.repeat(a.row[single], a.windows[single])])]
+        length = self.windows + self.window - 1
+        entry, lead = same_strings(self.data, np.concatenate(hashes), self.first, length)
+        part = (np.concatenate(names)[lead] >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.entry, self.lead, self.part = place[entry], lead[order], part[order]
+        self.least = np.full(len(order), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.entry, self.doc)
+
+    def bytes_of(self, some: np.ndarray) -> bytes:
+        """The bytes of entries, one after the other."""
+        out = []
+        for k in range(0, len(some), 1 << 15):
+            at = self.lead[some[k : k + (1 << 15)]]
+            out.append(self.data[expand(self.first[at], self.first[at] + self.windows[at] + self.window - 1)].tobytes())
+        return b"".join(out)
 
 
 def runs(part: np.ndarray, also: int | None = None) -> list[tuple[int, int, int]]:
@@ -180,131 +199,156 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def answers(reply: pa.Table, column: str, part: np.ndarray) -> np.ndarray:
     """Flags of a block's entries, sorted by part, put together from the parts' replies."""
-    found = np.zeros(len(part), bool)
     bits = dict(zip(reply.column("part").to_pylist(), reply.column(column).to_pylist()))
-    for p, a, b in runs(part):
-        found[a:b] = unpacked(bits[p])
-    return found
+    found = [unpacked(bits[p]) for p, a, b in runs(part)]
+    return np.concatenate(found) if found else np.zeros(0, bool)
 
 
-_KINDS = {"block": pa.int64(), "part": pa.int32(), "names": pa.binary(), "more": pa.binary(), "docs": pa.binary(), "ids": pa.binary(), "told": pa.list_(pa.binary())}
-ENTRIES = "block bigint, part int, names binary, more binary, docs binary, ids binary, told array<binary>"
-_REPLIES = {"block": pa.int64(), "part": pa.int32(), "bits": pa.binary(), "open": pa.binary(), "told": pa.list_(pa.binary())}
-REPLY = "block bigint, part int, bits binary, open binary, told array<binary>"
+_KINDS = {"block": pa.int64(), "part": pa.int32(), "names": pa.binary(), "data": pa.binary(), "docs": pa.binary(), "ids": pa.binary(), "told": pa.list_(pa.binary())}
+ENTRIES = "block bigint, part int, names binary, data binary, docs binary, ids binary, told array<binary>"
+_REPLIES = {"block": pa.int64(), "part": pa.int32(), "bits": pa.binary(), "hot": pa.binary(), "told": pa.list_(pa.binary())}
+REPLY = "block bigint, part int, bits binary, hot binary, told array<binary>"
 
 
 def table(kinds: dict, rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())})
 
 
-def smallest(least: np.ndarray) -> tuple[bytes, bytes]:
-    """Documents of entries, as numbers among the block's distinct ids."""
-    ids, which = np.unique(least, return_inverse=True)
-    return which.ravel().astype(np.uint32 if len(ids) > 65536 else np.uint16).tobytes(), ids.tobytes()
+def numbered(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Documents of entries, as numbers among the distinct ones."""
+    known, which = np.unique(ids, return_inverse=True)
+    return which.ravel().astype(np.uint32 if len(known) > 65536 else np.uint16).tobytes(), known.tobytes()
 
 
-def owners(rows: pa.Table) -> list[np.ndarray]:
-    found = []
+def owners(rows: pa.Table) -> np.ndarray:
+    found = [np.zeros(0, np.int64)]
     for docs, ids in zip(rows.column("docs").to_pylist(), rows.column("ids").to_pylist()):
         ids = np.frombuffer(ids, np.int64)
         found.append(ids[np.frombuffer(docs, np.uint32 if len(ids) > 65536 else np.uint16)])
-    return found
-
-
-def told(reply: pa.Table) -> list[np.ndarray] | None:
-    """What earlier steps told, which one of the replies to a block carries."""
-    return next(([unpacked(x) for x in t] for t in reply.column("told").to_pylist() if t is not None), None)
+    return np.concatenate(found)
 
 
 def anchor_entries(window: int, parts: int):
-    """A block's distinct anchors, by part; more: flags of those that two of its documents have."""
+    """A block's distinct anchors, by part; data: flags of those that two of its documents have."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        block = Block(rows, window, parts)
-        n = len(block.anchor)
+        block = Block(rows, window, parts, False)
+        n = len(block.names)
         low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-        np.minimum.at(low, block.anchor_of, block.id)
-        np.maximum.at(high, block.anchor_of, block.id)
+        ids = block.ids[block.anchors.row]
+        np.minimum.at(low, block.name_of, ids)
+        np.maximum.at(high, block.name_of, ids)
         out = []
-        for p, a, b in runs(block.anchor >> np.uint64(32)):
-            out.append((key[0].as_py(), p, block.anchor[a:b].astype(np.uint32).tobytes(), packed(low[a:b] < high[a:b]), None, None, None))
+        for p, a, b in runs(block.names >> np.uint64(32)):
+            out.append((key[0].as_py(), p, block.names[a:b].astype(np.uint32).tobytes(), packed(low[a:b] < high[a:b]), None, None, None))
         return table(_KINDS, out)
 
     return run
 
 
-def shared_anchors(rows: pa.Table) -> pa.Table:
-    """For the entries of a part: which of them two documents have."""
-    names = [np.frombuffer(x, np.uint32) for x in rows.column("names").to_pylist()]
-    several = [unpacked(x) for x in rows.column("more").to_pylist()]
-    every = np.sort(np.concatenate(names))
-    twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[n[s] for n, s in zip(names, several)]]))
-    out = []
-    for block, part, n in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), names):
-        at = np.minimum(np.searchsorted(twice, n), max(0, len(twice) - 1))
-        out.append((block, part, packed(twice[at] == n if len(twice) else np.zeros(len(n), bool)), None, None))
-    return table(_REPLIES, out)
-
-
-def extent_entries(window: int, parts: int):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, reply: pa.Table) -> pa.Table:
-        if not rows.num_rows or not reply.num_rows:
-            return table(_KINDS, [])
-        block = Block(rows, window, parts)
-        block.refine_extents(answers(reply, "bits", block.anchor >> np.uint64(32)))
-        carrier = key[0].as_py() % parts
+def shared_anchors(hot: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """For the entries of a part: which of them two documents have, and which `hot` blocks have."""
+        names = [np.frombuffer(x, np.uint32) for x in rows.column("names").to_pylist()]
+        several = [unpacked(x) for x in rows.column("data").to_pylist()]
+        every, of, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+        inside = np.zeros(len(every), bool)
+        inside[of.ravel()[np.concatenate(several)]] = True
+        twice, often = (count > 1) | inside, count >= hot
+        ends = np.cumsum([len(n) for n in names])
         out = []
-        for p, a, b in runs(block.extent_name >> np.uint64(32), carrier):
-            out.append((key[0].as_py(), p, block.extent_name[a:b].astype(np.uint32).tobytes(), block.extent[a:b].tobytes(), *smallest(block.extent_least[a:b]), [packed(block.shared)] if p == carrier else None))
-        return table(_KINDS, out)
+        for block, part, at in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), np.split(of.ravel(), ends[:-1])):
+            out.append((block, part, packed(twice[at]), packed(often[at]), None))
+        return table(_REPLIES, out)
 
     return run
 
 
-def settled_extents(rows: pa.Table) -> pa.Table:
-    """For the entries of a part: whether a smaller document has the extent; if not, whether the anchor has another."""
-    names = [np.frombuffer(x, np.uint32) for x in rows.column("names").to_pylist()]
-    every, name, ids = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("more").to_pylist()]), np.concatenate(names), np.concatenate(owners(rows))
-    order = np.lexsort([every, name])
-    _, its, least, entry = distinct(every[order], ids[order], name[order])
-    smaller, open_ = np.zeros(len(every), bool), np.zeros(len(every), bool)
-    if len(every):
-        another = np.zeros(len(its), bool)
-        another[1:] = its[1:] == its[:-1]
-        another[:-1] |= another[1:]
-        smaller[order] = least[entry] < ids[order]
-        open_[order] = another[entry]
-    at = np.concatenate([[0], np.cumsum([len(n) for n in names])])
-    return table(_REPLIES, [(block, part, packed(smaller[a:b]), packed(open_[a:b] & ~smaller[a:b]), t) for block, part, t, a, b in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), rows.column("told").to_pylist(), at[:-1], at[1:])])
-
-
-def window_entries(window: int, anchor_parts: int, parts: int):
+def extent_entries(window: int, anchor_parts: int, parts: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, reply: pa.Table) -> pa.Table:
         if not rows.num_rows or not reply.num_rows:
             return table(_KINDS, [])
-        block = Block(rows, window, anchor_parts)
-        block.refine_extents(told(reply)[0])
-        part = block.extent_name >> np.uint64(32)
-        block.refine_windows(answers(reply, "bits", part), answers(reply, "open", part), parts)
+        block = Block(rows, window, anchor_parts, True)
+        part = block.names >> np.uint64(32)
+        shared, hot = answers(reply, "bits", part), answers(reply, "hot", part)
+        block.deal(shared, hot, parts)
         carrier = key[0].as_py() % parts
         out = []
-        for p, a, b in runs(block.bucket_part, carrier):
-            out.append((key[0].as_py(), p, block.bucket[a:b].tobytes(), None, *smallest(block.bucket_least[a:b]), [packed(block.shared), packed(block.smaller), packed(block.open)] if p == carrier else None))
+        for p, a, b in runs(block.part, carrier):
+            out.append((key[0].as_py(), p, block.windows[block.lead[a:b]].astype(np.uint16).tobytes(), block.bytes_of(np.arange(a, b)), *numbered(block.least[a:b]), [packed(shared), packed(hot)] if p == carrier else None))
         return table(_KINDS, out)
 
     return run
 
 
-def settled_windows(rows: pa.Table) -> pa.Table:
-    """For the entries of a part: whether a smaller document has the window."""
-    names = [np.frombuffer(x, np.uint64) for x in rows.column("names").to_pylist()]
-    every, ids = np.concatenate(names), np.concatenate(owners(rows))
-    order = np.argsort(every)
-    _, _, least, entry = distinct(every[order], ids[order], ids[order])
-    smaller = np.zeros(len(every), bool)
-    smaller[order] = least[entry] < ids[order] if len(every) else False
-    at = np.concatenate([[0], np.cumsum([len(n) for n in names])])
-    return table(_REPLIES, [(block, part, packed(smaller[a:b]), None, t) for block, part, t, a, b in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), rows.column("told").to_pylist(), at[:-1], at[1:])])
+def buckets(data: np.ndarray, at: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Bucket of the window at each start: equal for equal bytes, -1 for a window that no other equals.
+
+    at: offsets of the strings of the buffer, at which nothing is read across.
+    """
+    n, size = len(data), 8
+    end = np.repeat(at[1:], np.diff(at))
+
+    def named(places: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Numbers of the buckets of several places; a place by itself is settled."""
+        found = np.full(n, -1)
+        _, of, count = np.unique(key, return_inverse=True, return_counts=True)
+        number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)
+        found[places] = number[of.ravel()]
+        return found
+
+    places = np.flatnonzero(np.arange(size, n + size) <= end)
+    key = np.zeros(len(places), np.uint64)
+    for k in range(size):
+        key |= data[places + k].astype(np.uint64) << np.uint64(8 * k)
+    pointer = named(places, key)
+    while 2 * size < window:
+        places = np.flatnonzero((pointer[:-size] >= 0) & (pointer[size:] >= 0) & (np.arange(2 * size, n + size) <= end[:-size]))
+        pointer = named(places, pointer[places] * n + pointer[places + size])
+        size *= 2
+    a, b = pointer[starts], pointer[starts + window - size]
+    open_ = np.flatnonzero((a >= 0) & (b >= 0))
+    found = np.full(len(starts), -1)
+    _, of, count = np.unique(a[open_] * n + b[open_], return_inverse=True, return_counts=True)
+    found[open_] = np.where(count > 1, np.arange(len(count)), -1)[of.ravel()]
+    return found
+
+
+def settled(window: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """For the windows of a part's entries: whether a smaller document has them."""
+        number = [np.frombuffer(x, np.uint16).astype(np.int64) for x in rows.column("names").to_pylist()]
+        windows, ids = np.concatenate(number), owners(rows)
+        data = np.frombuffer(b"".join(rows.column("data").to_pylist()), np.uint8)
+        length = windows + window - 1
+        at = np.concatenate([[0], np.cumsum(length)])
+        hashes = np.zeros(len(windows), np.uint64)
+        k = 0
+        while k < len(windows):  # about a piece at a time
+            m = max(k + 1, int(np.searchsorted(at, at[k] + common.PIECE_BYTES, "right")) - 1)
+            hashes[k:m] = common.SpanHash(data[at[k] : at[m]]).spans(at[k:m] - at[k], at[k + 1 : m + 1] - at[k])
+            k = m
+        same, lead = same_strings(data, hashes, at[:-1], length)
+        least = np.full(len(lead), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, ids)
+        # the windows of each distinct extent, in the smallest document that has it
+        own_at = np.concatenate([[0], np.cumsum(length[lead])])
+        own = data[expand(at[:-1][lead], at[1:][lead])]
+        starts = expand(own_at[:-1], own_at[:-1] + windows[lead])
+        doc = np.repeat(least, windows[lead])
+        bucket = buckets(own, own_at, starts, window)
+        several = np.flatnonzero(bucket >= 0)
+        smallest = np.full(int(bucket.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, bucket[several], doc[several])
+        repeated = np.zeros(len(starts), bool)
+        repeated[several] = smallest[bucket[several]] < doc[several]
+        first = np.cumsum(windows[lead]) - windows[lead]
+        flags = repeated[expand(first[same], first[same] + windows)] | np.repeat(least[same] < ids, windows)
+        ends = np.concatenate([[0], np.cumsum([int(n.sum()) for n in number])])
+        out = [(block, part, packed(flags[a:b]), None, told) for block, part, told, a, b in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), rows.column("told").to_pylist(), ends[:-1], ends[1:])]
+        return table(_REPLIES, out)
+
+    return run
 
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -313,61 +357,66 @@ RESULT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:big
 
 def removals(window: int, anchor_parts: int, parts: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, reply: pa.Table) -> pa.Table:
-        block = Block(rows, window, anchor_parts)
-        known = told(reply)
-        gone, starts, repeated = [None] * len(block.pieces), None, None
+        known = next(([unpacked(x) for x in t] for t in reply.column("told").to_pylist() if t is not None), None)
         if known is not None and rows.num_rows:
-            block.refine_extents(known[0])
-            block.refine_windows(known[1], known[2], parts)
-            smaller = answers(reply, "bits", block.bucket_part)
-            repeated = smaller[block.bucket_of] | (block.bucket_least[block.bucket_of] < block.owner)
-            gone, starts = block.split(block.gone), block.starts
-        spans, kept, at = [], [], 0
-        for k, p in enumerate(block.pieces):
-            delta = np.zeros(len(p.own) + 1, np.int32)
-            if starts is not None:
-                np.add.at(delta, p.first[gone[k]], 1)
-                np.add.at(delta, p.last[gone[k]] + window, -1)
-                cut = starts[k][repeated[at : at + len(starts[k])]]
-                at += len(starts[k])
-                np.add.at(delta, cut, 1)
-                np.add.at(delta, cut + window, -1)
-            covered = np.cumsum(delta[:-1]) > 0
-            for a, b in zip(p.at[:-1], p.at[1:]):
-                c = covered[a:b]
-                if c.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], c.view(np.int8), [0]])))
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
-                    kept.append(p.own[a:b][~c].tobytes())
-                else:
-                    spans.append([])
-                    kept.append(p.own[a:b].tobytes())
-        return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(np.diff(block.offsets)), "spans": pa.array(spans, pa.list_(SPAN)), "kept": pa.array(kept, pa.binary())})
+            block = Block(rows, window, anchor_parts, True)
+            block.deal(*known, parts)
+            flags = answers(reply, "bits", block.part)
+            n = block.windows[block.lead]
+            first = (np.cumsum(n) - n)[block.entry]
+            later = block.least[block.entry] < block.doc
+            data, offsets = block.data, block.offsets
+            delta = np.zeros(len(data) + 1, np.int32)
+            np.add.at(delta, block.first[later], 1)
+            np.add.at(delta, block.first[later] + block.windows[later] + window - 1, -1)
+            here = np.flatnonzero(~later)
+            for k in range(0, len(here), 1 << 15):
+                some = here[k : k + (1 << 15)]
+                gone = flags[expand(first[some], first[some] + block.windows[some])]
+                starts = expand(block.first[some], block.first[some] + block.windows[some])[gone]
+                np.add.at(delta, starts, 1)
+                np.add.at(delta, starts + window, -1)
+            covered = np.cumsum(delta[:-1], dtype=np.int32) > 0
+            del delta
+        else:
+            data, offsets = common.utf8(rows.column("text"))
+            covered = np.zeros(len(data), bool)
+        spans, kept = [], []
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            c = covered[a:b]
+            if c.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], c.view(np.int8), [0]])))
+                spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
+                kept.append(data[a:b][~c].tobytes())
+            else:
+                spans.append([])
+                kept.append(data[a:b].tobytes())
+        return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "spans": pa.array(spans, pa.list_(SPAN)), "kept": pa.array(kept, pa.binary())})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges) and kept (the remaining bytes) of every document."""
-    if not 4 * GRAM < window <= 1 << 16:
-        raise ValueError(f"window must lie between {4 * GRAM + 1} and 65536 bytes")
+    if not 2 * GRAM < window <= 1 << 16:
+        raise ValueError(f"window must lie between {2 * GRAM + 1} and 65536 bytes")
+    common.sent_to_workers(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = common.text_bytes(docs)
-    blocks, parts = 1 + total // block_bytes, 1 + total // bucket_bytes
-    anchor_parts = 1 + parts // 3
-    spread = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    dealt = docs.withColumn("block", F.pmod(spread, F.lit(blocks))).repartition(blocks, "block")
+    blocks, parts = 1 + total // block_bytes, 1 + total // part_bytes
+    anchor_parts = 1 + total // ANCHOR_BYTES
+    spread = F.xxhash64("doc_id", "text")  # rows of one doc_id need not meet
+    dealt = docs.withColumn("block", F.pmod(spread, F.lit(blocks))).repartition(min(blocks, MOST_PARTITIONS), "block")
 
     def replies(entries: DataFrame, n: int, settle):
-        return entries.repartition(n, "part").groupBy("part").applyInArrow(settle, REPLY).groupBy("block")
+        return entries.repartition(min(n, MOST_PARTITIONS), "part").groupBy("part").applyInArrow(settle, REPLY).groupBy("block")
 
     def step(reply, run, schema: str) -> DataFrame:
         return dealt.groupBy("block").cogroup(reply).applyInArrow(run, schema)
 
-    anchors = replies(dealt.groupBy("block").applyInArrow(anchor_entries(window, anchor_parts), ENTRIES), anchor_parts, shared_anchors)
-    extents = replies(step(anchors, extent_entries(window, anchor_parts), ENTRIES), anchor_parts, settled_extents)
-    windows = replies(step(extents, window_entries(window, anchor_parts, parts), ENTRIES), parts, settled_windows)
-    return step(windows, removals(window, anchor_parts, parts), RESULT)
+    anchors = replies(dealt.groupBy("block").applyInArrow(anchor_entries(window, anchor_parts), ENTRIES), anchor_parts, shared_anchors(hot))
+    extents = replies(step(anchors, extent_entries(window, anchor_parts, parts), ENTRIES), parts, settled(window))
+    return step(extents, removals(window, anchor_parts, parts), RESULT)
 
 
 def report(docs: DataFrame) -> DataFrame:
