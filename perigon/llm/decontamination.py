@@ -2,17 +2,24 @@
 
 Words are runs of digits, letters and non-ASCII characters, ASCII case folded. A window is `width`
 consecutive words of an item (all words of a shorter one); a document contains a window when its
-words stand there in that order. Containment of a whole window makes one token of it necessary, so
-every window is filed under its rarest word, rarity being counted over the whole corpus. Where a
-document has that word, the word's place in the window fixes where the window must start: it has to
-lie inside the document (bounds of position and length), and then all its words are compared.
+words stand there in that order. Containment of a whole window makes each of its shingles (SHINGLE
+words, or all of a shorter window) necessary.
 
-The benchmark goes to the tasks in blocks of about `block_bytes` of text, one block after the
-other over all documents; a block is released on the driver and in the tasks before the next is
-read, so that what either holds has a bound, unless a single item is longer. No document is shuffled.
+1.  The items' windows and their shingles are a table. A bitmap of fixed size, set for the shingles
+    of all windows, picks the shingles of documents that are counted.
+2.  Windows are joined with these counts. One that has a shingle which no document has cannot occur
+    and goes; the others are filed under their rarest shingle, their prefix.
+3.  Filed windows go to the tasks, `block_windows` of them at a time: with the usual benchmark that is
+    one pass over the documents. Where a document has a prefix, its place in the window fixes where the window
+    must start: the window has to lie inside the document (bounds of position and length), and then
+    all its words are compared.
+
+The driver and the tasks hold the bitmap (BITMAP bits at most) or one block of windows, whatever the
+size of the benchmark. No document is shuffled.
 
 Edge cases: null and empty texts have no words; items without words have no windows; repeated items
-count once for each item_id; columns of the result replace document columns of the same name.
+count once for each item_id, which may be of any type and null; columns of the result replace document
+columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,11 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from perigon.llm import common
 
 WIDTH = 10
-BLOCK_BYTES = 8 << 20
+SHINGLE = 3
+BLOCK_WINDOWS = 100_000
+#: Bits of the bitmap at most (32 MB), and of one row of it.
+BITMAP = 1 << 28
+CHUNK = 1 << 19
+#: Distinct shingles that a task counts before it sends the counts on.
+COUNTED = 200_000
+#: Pairs of a document's place and a window that are compared at a time.
+PAIRS = 1 << 18
 GAP = np.ones(256, bool)
 GAP[0x30:0x3A] = False
 GAP[0x61:0x7B] = False
@@ -38,76 +54,174 @@ GAP[0x80:] = False
 def hashed_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For pieces [i, j) of the rows: word hashes, starts and ends within their row, and words before each row."""
     data, offsets = common.utf8(texts)
-    for i, j in common.pieces(offsets):
-        own = common.lower_ascii(data[offsets[i] : offsets[j]])
-        at = offsets[i : j + 1] - offsets[i]
-        start, end, rows = common.words(own, at, GAP)
-        base = np.repeat(at[:-1], np.diff(rows))
-        yield i, j, common.SpanHash(own).spans(start, end), start - base, end - base, rows
+    held: list = []
+    for i, j, hashes, start, end, rows in common.word_pieces(common.lower_ascii(data), offsets, GAP):
+        if held and held[0] != i:
+            yield whole(*held)
+            held = []
+        if j == i + 1 and offsets[j] - offsets[i] > common.PIECE_BYTES:
+            held = held or [i, [], [], []]
+            for part, new in zip(held[1:], (hashes, start, end)):
+                part.append(new)
+        else:
+            yield i, j, hashes, start, end, rows
+    if held:
+        yield whole(*held)
+
+
+def whole(i: int, hashes: list, start: list, end: list):
+    """A long row from its parts."""
+    hashes = np.concatenate(hashes)
+    return i, i + 1, hashes, np.concatenate(start), np.concatenate(end), np.array([0, len(hashes)])
+
+
+def shingles(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of `size` words that cross no row's start, and the places of their first words."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return hashes[:0], np.zeros(0, np.int64)
+    found = np.full(n, np.uint64(size * 0xC4CEB9FE1A85EC53 % 2**64))
+    for k in range(size):
+        found = common.mix(found + hashes[k : k + n])
+    inside = np.ones(len(hashes) + 1, bool)
+    for k in range(1, size):
+        inside[np.maximum(rows - k, 0)[rows >= k]] = False
+    place = np.flatnonzero(inside[:n])
+    return found[place], place
+
+
+def windows_of(width: int):
+    """Arrow function: the windows of each item as (item_id, n, words, tokens): word hashes and shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, hashes, _, _, rows in hashed_words(batch.column(1)):
+                for row in range(i, j):
+                    own = hashes[rows[row - i] : rows[row - i + 1]]
+                    n = min(width, len(own))
+                    for a in range(0, len(own) - n + 1 if n else 0, 4096):
+                        b = min(a + 4096, len(own) - n + 1)
+                        words = np.lib.stride_tricks.sliding_window_view(own, n)[a:b]
+                        size = min(n, SHINGLE)
+                        tokens, _ = shingles(own[a : b + n - 1], np.array([0, b - a + n - 1]), size)
+                        each = np.lib.stride_tricks.sliding_window_view(tokens, n - size + 1)
+                        count = pa.array(np.arange(len(words) + 1, dtype=np.int32) * (n - size + 1))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([batch.column(0)[row]] * len(words), batch.column(0).type), pa.array(np.full(len(words), n), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary()), pa.ListArray.from_arrays(count, pa.array(each.ravel().view(np.int64)))],
+                            names=["item_id", "n", "words", "tokens"],
+                        )
+
+    return run
+
+
+def bitmap(tokens: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the tokens, packed; gathered in rows of CHUNK bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for low in batch.column(1):
+                flags = np.zeros(min(bits, CHUNK), bool)
+                flags[np.asarray(low.values)] = True
+                rows.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["chunk", "bits"])
+
+    bit = F.pmod("token", F.lit(bits))
+    chunks = tokens.select(F.floor(bit / CHUNK).cast("bigint").alias("chunk"), F.pmod(bit, F.lit(CHUNK)).cast("int").alias("low")).distinct().groupBy("chunk").agg(F.collect_list("low").alias("low"))
+    found = np.zeros(max(1, bits // 8), np.uint8)
+    for r in chunks.mapInArrow(run, "chunk bigint, bits binary").collect():  # bits / 8 bytes
+        at = r["chunk"] * CHUNK // 8
+        found[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return found
+
+
+def counted(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(token, n): shingles of documents whose bit is set, and how often they occur."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, mask = shared.value, np.uint64(8 * len(shared.value) - 1)
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+        for batch in batches:
+            for _, _, hashes, _, _, rows in hashed_words(batch.column(0)):
+                for size in sizes:
+                    tokens, _ = shingles(hashes, rows, size)
+                    bit = tokens & mask
+                    held.append(tokens[(flags[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                if sum(map(len, held)) > COUNTED:
+                    yield out()
+        if held:
+            yield out()
+
+    found = docs.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    found = common.written(found, docs.sparkSession, "shingle-counts")
+    shared.destroy()
+    return found
+
+
+def filed(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(words, n, token, place, items): windows that may occur, their rarest shingle, its place, and the items that have them."""
+    spark = docs.sparkSession
+    items = benchmark.select("item_id", "text").mapInArrow(windows_of(width), T.StructType([benchmark.schema["item_id"], *T._parse_datatype_string("n bigint, words binary, tokens array<bigint>").fields]))
+    windows = items.groupBy("words").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.collect_set(F.struct("item_id")).alias("items"))
+    windows = common.written(windows, spark, "windows")
+    tokens = windows.select("words", F.posexplode("tokens").alias("place", "token"))
+    about = tokens.agg(F.approx_count_distinct("token").alias("n")).first()["n"]
+    bits = min(BITMAP, 1 << (16 * max(about, 64)).bit_length())
+    sizes = sorted(r["n"] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("n")).distinct().collect())  # SHINGLE sizes at most
+    counts = counted(docs, bitmap(tokens.select("token"), bits), sizes)
+    rare = tokens.join(counts.withColumnRenamed("n", "often"), "token").groupBy("words").agg(F.min(F.struct("often", "place", "token")).alias("rare"), F.count(F.lit(1)).alias("known"))
+    rare = windows.join(rare, "words").filter(F.col("known") == F.size("tokens"))
+    rare = common.written(rare.select("words", "n", "rare.token", "rare.place", "items"), spark, "filed")
+    common.removed(windows, counts)
+    return rare
 
 
 class Windows:
-    """All windows of some items, filed under their rarest words."""
-
-    def __init__(self, item_ids: list, texts: list[str | None], width: int = WIDTH):
-        self.width = width
-        hashes, rows = [np.zeros(0, np.uint64)], [0]
-        for _, _, h, _, _, r in hashed_words(pa.array(texts, pa.large_string())):
-            rows += [rows[-1] + int(x) for x in r[1:]]
-            hashes.append(h)
-        words = np.concatenate(hashes)
-        counts = np.diff(rows)
-        ids = np.array([i for i, n in enumerate(counts) if n], np.int64)
-        length = np.minimum(counts[ids], width) if len(ids) else np.zeros(0, np.int64)
-        each = counts[ids] - length + 1 if len(ids) else length
-        item = np.repeat(ids, each)
-        first = np.repeat(np.asarray(rows[:-1], np.int64)[ids] - (np.cumsum(each) - each), each) + np.arange(int(each.sum())) if len(ids) else length
-        n = np.repeat(length, each)
-        table = np.zeros((len(first), width), np.uint64)
-        for k in range(width):
-            has = k < n
-            table[has, k] = words[first[has] + k]
-        both = np.concatenate([table, n[:, None].astype(np.uint64)], axis=1)
-        distinct, which = np.unique(both, axis=0, return_inverse=True) if len(both) else (both, np.zeros(0, np.int64))
-        self.table, self.length = np.ascontiguousarray(distinct[:, :width]), distinct[:, width].astype(np.int64)
-        self.ids = item_ids
-        pairs = np.unique(np.stack([which.ravel(), item]), axis=1) if len(item) else np.zeros((2, 0), np.int64)
-        self.item_of = pairs[1]
-        self.items_at = np.searchsorted(pairs[0], np.arange(len(distinct) + 1))
-        self.vocabulary = np.unique(words)
-
-    def count(self, hashes: np.ndarray, into: np.ndarray) -> None:
-        """Adds the occurrences of the vocabulary."""
-        if len(self.vocabulary):
-            at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-            into += np.bincount(at[self.vocabulary[at] == hashes], minlength=len(self.vocabulary))
-
-    def file(self, frequency: np.ndarray) -> None:
-        """Files each window under its rarest word (of equally rare ones the first)."""
-        rarity = np.full(self.table.shape, np.iinfo(np.int64).max)
-        inside = np.arange(self.width) < self.length[:, None]
-        rarity[inside] = frequency[np.searchsorted(self.vocabulary, self.table[inside])]
-        offset = rarity.argmin(axis=1) if len(rarity) else np.zeros(0, np.int64)
-        key = self.table[np.arange(len(offset)), offset]
-        order = np.argsort(key, kind="stable")
-        self.offset, self.window = offset[order], order
-        self.keys, begin = np.unique(key[order], return_index=True)
-        self.begin = np.append(begin, len(order))
+    """A block of filed windows, sorted by their prefixes."""
+
+    def __init__(self, rows: pa.Table, width: int = WIDTH):
+        self.width, n = width, rows.num_rows
+        self.length = np.asarray(rows.column("n"), np.int64)
+        self.table = np.zeros((n, width), np.uint64)
+        words = np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint64)
+        self.table[np.arange(width) < self.length[:, None]] = words
+        self.offset = np.asarray(rows.column("place"), np.int64)
+        key = np.asarray(rows.column("token"), np.int64).view(np.uint64)
+        self.order = np.argsort(key, kind="stable")
+        self.keys, begin = np.unique(key[self.order], return_index=True)
+        self.begin = np.append(begin, n)
+        self.sizes = sorted(set(np.minimum(self.length, SHINGLE).tolist()))
+        self.items = [[x["item_id"] for x in items] for items in rows.column("items").to_pylist()]
 
     def find(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, window) of every occurrence; rows: words before each row."""
-        none = np.zeros(0, np.int64)
-        if not len(self.keys) or not len(hashes):
-            return none, none
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        place = np.flatnonzero(self.keys[at] == hashes)
-        at = at[place]
-        each = self.begin[at + 1] - self.begin[at]
-        total = int(each.sum())
-        entry = np.repeat(self.begin[at] - (np.cumsum(each) - each), each) + np.arange(total)
-        place = np.repeat(place, each)
-        row = np.searchsorted(rows, place, "right") - 1
-        start, window = place - self.offset[entry], self.window[entry]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for size in self.sizes:
+            tokens, place = shingles(hashes, rows, size)
+            at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
+            has = np.flatnonzero(self.keys[at] == tokens)
+            at, place = at[has], place[has]
+            each = self.begin[at + 1] - self.begin[at]
+            ends = np.cumsum(each)
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+                found.append(self.compare(hashes, rows, place[a:b], at[a:b], each[a:b]))
+                a = b
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def compare(self, hashes, rows, place, at, each) -> tuple[np.ndarray, np.ndarray]:
+        entry = np.repeat(self.begin[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        window = self.order[entry]
+        start = np.repeat(place, each) - self.offset[window]
+        row = np.searchsorted(rows, np.repeat(place, each), "right") - 1
         ok = (start >= rows[row]) & (start + self.length[window] <= rows[row + 1])
         start, window = start[ok], window[ok]
         for k in range(self.width):
@@ -133,69 +247,35 @@ SPANS = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.S
 SPAN_ARROW = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 
 
-def blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[tuple[Windows, bool]]:
-    """The benchmark's windows in blocks that are dealt by item and have about block_bytes of text each; whether it is the last."""
-    benchmark = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = 1 + common.text_bytes(benchmark) // block_bytes
-    block = F.pmod(F.xxhash64("item_id"), F.lit(n))
-
-    def read(k: int) -> Windows:
-        rows = (benchmark.filter(block == k) if n > 1 else benchmark).collect()  # about block_bytes
-        return Windows([r["item_id"] for r in rows], [r["text"] for r in rows], width)
-
-    for k in range(n):
-        found = read(k)
-        if len(found.length) or k == n - 1:
-            yield found, k == n - 1
-        del found
-
-
-def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The columns `keep` (all) of each document with n_words, n_hit, spans of hit words and ids of found items.
 
     `spans` are the maximal runs of hit words, as word numbers and byte ranges of the text.
     """
+    common.sent_to_workers(spark)
     item_type = benchmark.schema["item_id"].dataType
-    item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type.simpleString()]
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(item_type))]
     names = {f.name for f in added}
     keep = [c for c in (keep or docs.columns) if c not in names]
     columns = list(dict.fromkeys([*keep, "text"]))
     rows = docs.select(*columns).withColumns({"n_words": F.lit(0).cast("bigint"), "n_hit": F.lit(0).cast("bigint"), "spans": F.array().cast(SPANS), "items": F.array().cast(T.ArrayType(item_type))})
     schema = T.StructType([*[docs.schema[c] for c in columns], *added])
-    for windows, last in blocks(benchmark, width, block_bytes):
-        windows.file(frequency(docs, windows))
-        shared = spark.sparkContext.broadcast(windows)
-        rows = rows.mapInArrow(marker(shared, columns, item_arrow), schema)
-        if not last:
+    windows = filed(docs, benchmark, width)
+    blocks = max(1, -(-windows.count() // block_windows))
+    last: list[DataFrame] = []
+    for k in range(blocks):
+        own = windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
+        shared = spark.sparkContext.broadcast(Windows(own.toArrow(), width))  # about block_windows rows
+        rows = rows.mapInArrow(marker(shared, columns, to_arrow_type(item_type)), schema)
+        if k < blocks - 1:
             rows = common.written(rows, spark, "decontamination")
             shared.destroy()
-        del windows, shared
+            common.removed(*last)
+            last = [rows]
+        del shared
     return rows.select(*keep, *[f.name for f in added])
 
 
-def frequency(docs: DataFrame, windows: Windows) -> np.ndarray:
-    """Occurrences of the windows' words over all documents, summed in each task before they are sent."""
-    have = np.zeros(len(windows.vocabulary), np.int64)
-    if not len(have):
-        return have
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(shared.value.vocabulary), np.int64)
-        for batch in batches:
-            for _, _, hashes, _, _, _ in hashed_words(batch.column(0)):
-                shared.value.count(hashes, counts)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["word", "n"])
-
-    sums = docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    for r in sums.collect():  # one row for each word of the block
-        have[r["word"]] = r["n"]
-    shared.destroy()
-    return have
-
-
 def marker(shared, columns: list[str], item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
@@ -203,17 +283,14 @@ def marker(shared, columns: list[str], item_type: pa.DataType):
             for i, j, hashes, start, end, rows in hashed_words(batch.column(columns.index("text"))):
                 part = batch.slice(i, j - i)
                 where, which = windows.find(hashes, rows)
-                delta = np.zeros(len(hashes) + 1, np.int64)
+                delta = np.zeros(len(hashes) + 1, np.int32)
                 np.add.at(delta, where, 1)
                 np.add.at(delta, where + windows.length[which], -1)
                 hit = np.cumsum(delta[:-1]) > 0
-                at = np.searchsorted(rows, where, "right") - 1
                 items: list = [None] * (j - i)
-                each = windows.items_at[which + 1] - windows.items_at[which]
-                total = int(each.sum())
-                entry = np.repeat(windows.items_at[which] - (np.cumsum(each) - each), each) + np.arange(total)
-                for row, item in np.unique(np.stack([np.repeat(at, each), windows.item_of[entry]]), axis=1).T:
-                    items[row] = (items[row] or set()) | {windows.ids[item]}
+                pairs = np.unique(np.stack([np.searchsorted(rows, where, "right") - 1, which]), axis=1)
+                for row, window in pairs.T.tolist():
+                    items[row] = (items[row] or set()) | set(windows.items[window])
                 # what earlier blocks found
                 for row, (old_spans, old_items) in enumerate(zip(part.column(len(columns) + 2).to_pylist(), part.column(len(columns) + 3).to_pylist())):
                     for s in old_spans:

@@ -2,6 +2,8 @@ import random
 import re
 import weakref
 
+import pyarrow as pa
+
 from perigon.llm import decontamination as dc
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -29,6 +31,10 @@ def brute(docs, items, width=10):
     return sorted(out, key=str)
 
 
+def brute_sets(docs, items):
+    return [(doc, n, h, found) for doc, n, h, found in brute(docs, [(str(i), t) for i, t in items])]
+
+
 def tables(seed=3):
     rng = random.Random(seed)
     vocabulary = ["a", "b", "c", "the", "Of", "x1", "naïve", "zz"]
@@ -41,8 +47,8 @@ def tables(seed=3):
 def test_against_brute_force_in_one_and_many_blocks(spark):
     docs, items = tables()
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    for size in (8 << 20, 300):
-        got = dc.mark(spark, d, b, ["doc_id"], block_bytes=size).collect()
+    for most in (dc.BLOCK_WINDOWS, 60):
+        got = dc.mark(spark, d, b, ["doc_id"], block_windows=most).collect()
         assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got], key=str) == brute(docs, items)
         for r in got:
             assert sum(s.end_word - s.first_word for s in r.spans) == r.n_hit
@@ -75,8 +81,40 @@ def test_one_block_at_a_time_on_the_driver(spark, monkeypatch):
     monkeypatch.setattr(dc.Windows, "__init__", counted)
     docs, items = tables()
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    got = dc.mark(spark, d, b, ["doc_id"], block_bytes=300).collect()
+    got = dc.mark(spark, d, b, ["doc_id"], block_windows=60).collect()
     assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got], key=str) == brute(docs, items)
     assert len(most) > 2 and max(most) == 0, most
     blank = spark.createDataFrame([(k, ". " * 200) for k in range(9)], "item_id bigint, text string")
-    assert {(r.doc_id, r.n_words, r.n_hit) for r in dc.mark(spark, d, blank, ["doc_id"], block_bytes=300).collect()} == {(k, len(words(t)), 0) for k, t in docs}
+    assert {(r.doc_id, r.n_words, r.n_hit) for r in dc.mark(spark, d, blank, ["doc_id"], block_windows=60).collect()} == {(k, len(words(t)), 0) for k, t in docs}
+
+
+def test_items_over_the_same_words_and_long_texts(spark, monkeypatch):
+    """Many windows under one shingle, compared a few pairs at a time; texts and items of many pieces."""
+    from perigon.llm import common
+
+    monkeypatch.setattr(common, "PIECE_BYTES", 400)
+    monkeypatch.setattr(dc, "PAIRS", 50)
+    rng = random.Random(4)
+    items = [(f"i{k}", " ".join(rng.choice("ab") for _ in range(12))) for k in range(40)] + [("long", " ".join(rng.choice("abc") + str(rng.randrange(30)) for _ in range(400))), (None, "a b a")]
+    long = " ".join(rng.choice("ab") for _ in range(1500))
+    docs = [(1, long), (2, "x " * 300 + items[40][1][200:900] + " y" * 300), (3, "a b a"), (4, "a b")]
+    rows = pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}).to_batches()
+    found = [r for b in dc.windows_of(10)(iter(rows)) for r in b.to_pylist()]
+    by = {}
+    for r in found:
+        by.setdefault(r["words"], (r["n"], r["tokens"], []))[2].append({"item_id": r["item_id"]})
+    table = pa.table({"words": pa.array(list(by), pa.binary()), "n": [v[0] for v in by.values()], "token": [v[1][-1] for v in by.values()], "place": [len(v[1]) - 1 for v in by.values()], "items": [v[2] for v in by.values()]})
+    class Shared:
+        value = dc.Windows(table)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs], "n_words": [0] * 4, "n_hit": [0] * 4, "spans": pa.array([[]] * 4, pa.list_(dc.SPAN_ARROW)), "items": pa.array([[]] * 4, pa.list_(pa.string()))})
+    got = [r for b in dc.marker(Shared, ["doc_id", "text"], pa.string())(iter([batch])) for r in b.to_pylist()]
+    want = {d: (n, h, {None if i == "None" else i for i in found}) for d, n, h, found in brute_sets(docs, items)}
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], set(r["items"])) for r in got} == want
+    for r in got:
+        assert sum(s["end_word"] - s["first_word"] for s in r["spans"]) == r["n_hit"]
+
+
+def test_ids_of_other_types(spark):
+    d = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(1.5, "Two three"), (None, "four"), (2.5, "five")], "item_id double, text string")
+    assert {r.doc_id: list(r["items"]) for r in dc.mark(spark, d, b, ["doc_id"]).collect()} == {1: [1.5], 2: [None]}
