@@ -12,10 +12,12 @@ it, holding a few numbers for each source, and sends them on as it goes; each ce
 with the slots of its own blocks.
 
 Ranks within a source come from cells of the hash: rows before a cell are counted, and rows are
-numbered inside their cell, so that no task holds a source.
+numbered inside their cell, so that no task holds a source. The number of cells follows from that of
+all rows.
 
-Edge cases: null sources are a source; sources without a weight, or with one of zero, come after all others; repeated rows are rows of their
-own; an empty table gives no rows.
+Edge cases: null sources are a source; sources without a weight, or with one of zero, come after all
+others; repeated rows are rows of their own; rows without doc_id are one cell of their source; an
+empty table gives no rows. The columns slot and place replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -31,76 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from perigon.llm import common
+
 BLOCK_ROWS = 16
-#: For `whole_weights` and `phases`, schedules of a fixed period, which the mix no longer uses; tests do.
-RESOLUTION = 1000
-#: Without effect: sources are not pooled. A test sets it.
-MOST_SOURCES = 256
-CELL_BITS = 8
+#: Rows of a cell, about; a source has 256 cells at least.
+CELL_ROWS = 1 << 16
 #: Slots of the schedule that are sent on at a time.
 BATCH = 1 << 16
 
 
-def whole_weights(weights: dict, resolution: int = RESOLUTION) -> dict:
-    """Weights as whole numbers of sum `resolution`, at least 1 each, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: Fraction(w) / Fraction(total) * resolution for s, w in weights.items()}
-    found = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (found[s] - exact[s], str(s)))
-    k = 0
-    while (rest := resolution - sum(found.values())) != 0:
-        s = order[k % len(order)] if rest > 0 else max(found, key=lambda s: (found[s] - exact[s] if found[s] > 1 else -resolution, str(s)))
-        found[s] += 1 if rest > 0 else -1
-        k += 1
-    return found
-
-
-def period(weights: dict) -> list:
-    """One period of the schedule: the source of each slot, by earliest deadline among released blocks."""
-    slots = sum(weights.values())
-    waiting: list = []
-    for s, n in weights.items():
-        for i in range(n):
-            waiting.append((i * slots // n, -(-(i + 1) * slots // n), str(s), s))
-    waiting.sort(key=lambda x: x[:3], reverse=True)
-    ready: list = []
-    found = []
-    for t in range(slots):
-        while waiting and waiting[-1][0] <= t:
-            released, deadline, name, s = waiting.pop()
-            heapq.heappush(ready, (deadline, name, released, len(waiting), s))
-        deadline, _, _, _, s = heapq.heappop(ready)
-        if deadline <= t:
-            raise ValueError("weights add up to more than one block a slot")
-        found.append(s)
-    return found
-
-
-def phases(blocks: dict, weights: dict, resolution: int = RESOLUTION) -> list[tuple]:
-    """(source, first block, blocks, slots before, blocks a period, their slots in it) for each source and phase."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    out, before = [], 0
-    while left:
-        active = {s: weights.get(s, 0) for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1)
-        whole = whole_weights(active, resolution)
-        slots = {s: [] for s in whole}
-        for t, s in enumerate(period(whole)):
-            slots[s].append(t)
-        # the phase ends when the first source has placed its last block
-        end = min((left[s] - 1) // n * resolution + slots[s][(left[s] - 1) % n] for s, n in whole.items()) + 1
-        for s, n in whole.items():
-            placed = end // resolution * n + sum(t < end % resolution for t in slots[s])
-            if placed:
-                out.append((s, done[s], placed, before, n, slots[s]))
-            done[s] += placed
-            left[s] -= placed
-            if not left[s]:
-                del left[s]
-        before += end
-    return out
-
-
 def tempered(counts: dict) -> dict:
     """Weights by the square root of the sources' sizes."""
     return {s: n**0.5 for s, n in counts.items()}
@@ -170,10 +111,12 @@ def with_places(docs: DataFrame, weights: dict | Callable = tempered, block_rows
 
     weights: target weight by source, or a function from the sources' sizes to such weights.
     """
+    common.sent_to_workers(docs.sparkSession)
     source = ["missing__", "name__"]
     cell = [*source, "cell__"]
     spread = F.xxhash64("doc_id")
-    rows = docs.withColumns({"missing__": F.col("source").isNull(), "name__": F.coalesce(F.col("source").cast("string"), F.lit("")), "spread__": spread, "cell__": F.shiftrightunsigned(spread, 64 - CELL_BITS)})
+    bits = min(24, max(8, (docs.count() // CELL_ROWS).bit_length()))
+    rows = docs.withColumns({"missing__": F.col("source").isNull(), "name__": F.coalesce(F.col("source").cast("string"), F.lit("")), "spread__": spread, "cell__": F.shiftrightunsigned(spread, 64 - bits)})
     cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n__"))
     sizes = cells.groupBy(*source).agg(F.sum("n__").alias("n__"))
     schedule = sizes.repartition(1).mapInArrow(scheduler(weights, block_rows), "missing__ boolean, name__ string, block__ bigint, slot__ bigint")  # one task: a row for each source

@@ -1,22 +1,25 @@
 """Sharding by histogram sort: exact splitters from counted bytes, then one exchange.
 
-Rows are ordered by (key, tie). Boundaries between shards are found without sorting anything: each
-round counts, over all partitions, the exact bytes in the cells between evenly spaced probes inside
-every boundary's open range, and keeps the one cell in which the wanted share of bytes is passed. A
-round divides the range by 4,096; it ends when the cell holds few rows (these are looked at one by
-one) or a single key. A single key with many rows is divided further by the tie. Then each row's
-shard is known from the splitters alone, and one exchange, by (shard, cell), numbers the rows: a
-cell's first slot is the number of rows in the cells before it, so that no task ever holds a shard.
+Rows are ordered by (key, tie, also). Boundaries between shards are found without sorting anything:
+each round counts, over all partitions, the exact bytes in the cells between evenly spaced probes
+inside every boundary's open range, and keeps the one cell in which the wanted share of bytes is
+passed. A round divides the range by 4,096; it ends when the cell holds few rows (these are looked at
+one by one) or a single value. A single key with many rows is divided further by the tie, and a
+single tie by `also`. Then each row's shard is known from the splitters alone, and one exchange, by
+(shard, cell), numbers the rows: a cell's first slot is the number of rows in the cells before it, so
+that no task ever holds a shard. Keys, and pairs of key and tie, with many rows have cells of their own.
 
 Only DataFrame functions are used. Cells, splitters and looked-at rows have fixed bounds.
 
 Law `bytes`: a unit (a row, or all rows of a key that together have at most `tolerance` of a shard's
 share) lies in shard floor(shards * middle / total), middle being the bytes before it plus half its
-own. So copies stay together where that costs little, and sizes differ by about one unit at most.
+own. So copies stay together where that costs little, and sizes differ by about one unit at most:
+groups of equal texts beyond `tolerance` of a share are cut where the boundary falls.
 
 Edge cases: a null text has no bytes (size 1, as the empty text); rows without a doc_id come before
-all others of their key; repeated rows are rows like any other; an empty table gives no rows. Rows
-that agree in key and tie, if over 4,096, count as one unit.
+all others of their key; repeated rows are rows like any other, told apart by a row number; an empty
+table gives no rows. Columns of the result replace columns of the same name; names that end in two
+underscores are used inside.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ FEW = 4096
 #: A key with at least this share of the rows, and HEAVY_ROWS of them, gets cells of its own, by tie.
 HEAVY = 0.002
 HEAVY_ROWS = 256
+LEVELS = ("key__", "tie__", "also__")
 
 
 def text_key(text: Column) -> Column:
@@ -61,7 +65,7 @@ def _open_cells(rows: DataFrame, column: str, bits: int, wanted: dict[int, int],
         for low, high in sorted(last):
             one = (F.col(column) >= low) & (F.col(column) < high)
             inside = one if inside is None else inside | one
-        counted = rows.filter(inside).groupBy(_cell(F.col(column), shift).alias("cell")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        counted = rows.filter(inside).groupBy(_cell(F.col(column), shift).alias("cell")).agg(F.sum("size__").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         found = sorted((r["cell"], r["bytes"], r["rows"]) for r in counted.collect())  # at most 2^BITS cells for each boundary
         for i in todo:
             low, high, at, _, _ = cells[i]
@@ -77,9 +81,9 @@ def _open_cells(rows: DataFrame, column: str, bits: int, wanted: dict[int, int],
         shift = max(0, shift - BITS)
 
 
-def splitters(rows: DataFrame, bits: int, tie_bits: int, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """First (key, tie) of the shards 1 and up. rows: key, tie and size, all non-negative."""
-    total = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
+def splitters(rows: DataFrame, bits: list[int], shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[tuple[int, ...]]:
+    """First (key, tie, also) of the shards 1 and up. rows: LEVELS, not negative and below 2^bits, and size__."""
+    total = rows.agg(F.sum("size__").alias("n")).first()["n"] or 0
     if not total or shards < 2:
         return []
     light = int(tolerance * total / shards)
@@ -87,76 +91,101 @@ def splitters(rows: DataFrame, bits: int, tie_bits: int, shards: int = SHARDS, t
     def shard(before: int, size: int) -> int:
         return shards * (2 * before + size) // (2 * total)
 
+    def filled(*first: int) -> tuple[int, ...]:
+        return (*first, *[0] * (len(LEVELS) - len(first)))
+
     goal = {i: -(-i * total // shards) for i in range(1, shards)}
-    cells = _open_cells(rows, "key", bits, goal, 0)
-    firsts: dict[int, tuple[int, int]] = {}
-    few, heavy = {}, {}
-    for i, (low, high, before, size, n) in cells.items():
-        if n <= FEW:
-            few.setdefault((low, high, before, None), []).append(i)
-        elif size <= light:
-            firsts[i] = (low, 0) if shard(before, size) >= i else (high, 0)
-        else:
-            heavy.setdefault((low, before), []).append(i)
-    for (key, before), own in heavy.items():
-        for i, (low, high, at, size, n) in _open_cells(rows.filter(F.col("key") == key), "tie", tie_bits, {i: goal[i] for i in own}, before).items():
+    firsts: dict[int, tuple[int, ...]] = {}
+    few: dict[tuple, list[int]] = {}
+    # values of the levels before, bytes before them, and the boundaries inside
+    todo: list[tuple[tuple[int, ...], int, list[int]]] = [((), 0, list(goal))]
+    while todo:
+        fixed, at, own = todo.pop()
+        part = rows
+        for column, value in zip(LEVELS, fixed):
+            part = part.filter(F.col(column) == value)
+        deeper: dict[tuple, list[int]] = {}
+        for i, (low, high, before, size, n) in _open_cells(part, LEVELS[len(fixed)], bits[len(fixed)], {i: goal[i] for i in own}, at).items():
             if n <= FEW:
-                few.setdefault((low, high, at, key), []).append(i)
+                few.setdefault((fixed, low, high, before), []).append(i)
+            elif not fixed and size <= light or len(fixed) == len(LEVELS) - 1:
+                firsts[i] = filled(*fixed, low) if shard(before, size) >= i else filled(*fixed, high)
             else:
-                firsts[i] = (key, low) if shard(at, size) >= i else (key, high)
-    for (low, high, before, key), own in few.items():
-        where = (F.col("key") >= low) & (F.col("key") < high) if key is None else (F.col("key") == key) & (F.col("tie") >= low) & (F.col("tie") < high)
-        found = sorted((r["key"], r["tie"], r["size"]) for r in rows.filter(where).select("key", "tie", "size").collect())  # at most FEW rows
+                deeper.setdefault(((*fixed, low), before), []).append(i)
+        todo += [(values, before, inside) for (values, before), inside in deeper.items()]
+    for (fixed, low, high, before), own in few.items():
+        level = len(fixed)
+        part = rows.filter((F.col(LEVELS[level]) >= low) & (F.col(LEVELS[level]) < high))
+        for column, value in zip(LEVELS, fixed):
+            part = part.filter(F.col(column) == value)
+        found = sorted((*(r[c] for c in LEVELS), r["size__"]) for r in part.select(*LEVELS, "size__").collect())  # at most FEW rows
         sums: dict[int, int] = {}
-        for k, _, size in found:
-            sums[k] = sums.get(k, 0) + size
+        for *values, size in found:
+            sums[values[0]] = sums.get(values[0], 0) + size
         units, at, last = [], before, None
-        for k, t, size in found:
-            whole = key is None and sums[k] <= light
-            if whole and k == last:
+        for *values, size in found:
+            whole = not fixed and sums[values[0]] <= light
+            if whole and values[0] == last:
                 continue
-            units.append((k, 0 if whole else t, at, sums[k] if whole else size))
-            at += units[-1][3]
-            last = k
+            units.append((filled(values[0]) if whole else tuple(values), at, sums[values[0]] if whole else size))
+            at += units[-1][2]
+            last = values[0]
         for i in own:
-            after = (high, 0) if key is None else (key, high)
-            firsts[i] = next(((k, t) for k, t, b, size in units if shard(b, size) >= i), after)
+            firsts[i] = next((first for first, b, size in units if shard(b, size) >= i), filled(*fixed, high))
     return [firsts[i] for i in sorted(firsts)]
 
 
-def histogram_sort(rows: DataFrame, key: Column, tie: Column, size: Column, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows with `shard` and `slot` (gapless from 0 in each shard, in the order of key and tie).
+def histogram_sort(rows: DataFrame, key: Column, tie: Column, size: Column, shards: int = SHARDS, tolerance: float = TOLERANCE, also: Column | None = None) -> DataFrame:
+    """The rows with `shard` and `slot` (gapless from 0 in each shard, in the order of key, tie and also).
 
-    key and tie are bigint; a null counts as the smallest.
+    key, tie and also are bigint; a null counts as the smallest. Rows that agree in all of them lie in
+    one shard once they are over FEW.
     """
-    keyed = rows.withColumns({"key": key, "tie": tie, "size__": size.cast("bigint")})
-    ends = keyed.agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("tie").alias("t0"), F.max("tie").alias("t1"), F.count(F.lit(1)).alias("n")).first()
-
-    def from_zero(column: str, low: int | None, high: int | None) -> tuple[Column, int]:
-        low, high = low or 0, high or 0
-        return F.coalesce(F.col(column) - F.lit(low) + 1, F.lit(0)), (high - low + 1).bit_length()
-
-    whole_key, bits = from_zero("key", ends["k0"], ends["k1"])
-    whole_tie, tie_bits = from_zero("tie", ends["t0"], ends["t1"])
-    keyed = keyed.withColumns({"key": whole_key, "tie": whole_tie})
-    plain = keyed.select("key", "tie", F.col("size__").alias("size"))
-    cuts = splitters(plain, bits, tie_bits, shards, tolerance)
+    keyed = rows.withColumns({"key__": key, "tie__": tie, "also__": F.lit(0).cast("bigint") if also is None else also, "size__": size.cast("bigint")})
+    ends = keyed.agg(*[f(c).alias(f"{name}{c}") for c in LEVELS for f, name in ((F.min, "low_"), (F.max, "high_"))], F.count(F.lit(1)).alias("n")).first()
+    bits = []
+    for column in LEVELS:
+        low, high = ends[f"low_{column}"] or 0, ends[f"high_{column}"] or 0
+        keyed = keyed.withColumn(column, F.coalesce(F.col(column) - F.lit(low) + 1, F.lit(0)))
+        bits.append((high - low + 1).bit_length())
+    plain = keyed.select(*LEVELS, "size__")
     shard = F.lit(0)
-    for k, t in cuts:
-        shard = shard + F.when((F.col("key") > k) | ((F.col("key") == k) & (F.col("tie") >= t)), 1).otherwise(0)
-    counts = plain.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(HEAVY_ROWS, int(HEAVY * ends["n"])))
-    often = sorted(r["key"] for r in counts.select("key").collect())  # at most 1 / HEAVY keys
-    turn = F.lit(0)
-    for k in often:
-        turn = turn + F.when(F.col("key") > k, 2).when(F.col("key") == k, 1).otherwise(0)
-    placed = keyed.withColumns({"shard": shard.cast("int"), "turn__": turn, "bin__": _cell(F.col("key"), max(0, bits - BITS)), "part__": F.when(turn % 2 == 1, _cell(F.col("tie"), max(0, tie_bits - BITS // 2))).otherwise(F.lit(0))})
-    cell = ["shard", "bin__", "turn__", "part__"]
-    sums = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n__"))
-    first = F.sum("n__").over(Window.partitionBy("shard").orderBy("bin__", "turn__", "part__").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select(*cell, F.coalesce(first, F.lit(0)).alias("first__"))  # at most shards + 2^BITS + 2^(BITS/2) / HEAVY cells
-    numbered = placed.withColumn("row__", F.row_number().over(Window.partitionBy(*cell).orderBy("key", "tie")))
-    joined = numbered.join(F.broadcast(starts), cell)
-    return joined.withColumn("slot", (F.col("first__") + F.col("row__") - 1).cast("bigint")).drop("key", "tie", "size__", "turn__", "bin__", "part__", "row__", "first__")
+    for values in splitters(plain, bits, shards, tolerance):
+        later, same = F.lit(False), F.lit(True)
+        for column, value in zip(LEVELS, values):
+            later = later | (same & (F.col(column) > value))
+            same = same & (F.col(column) == value)
+        shard = shard + F.when(later | same, 1).otherwise(0)
+    # heavy keys, and heavy pairs of key and tie: at most 1 / HEAVY of each
+    least = max(HEAVY_ROWS, int(HEAVY * ends["n"]))
+    turns = []
+    for level in (1, 2):
+        counts = plain.groupBy(*LEVELS[:level]).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+        turn = F.lit(0)
+        for values in sorted(tuple(r) for r in counts.select(*LEVELS[:level]).collect()):
+            inside = F.lit(True)
+            for column, value in zip(LEVELS[: level - 1], values):
+                inside = inside & (F.col(column) == value)
+            turn = turn + F.when(inside & (F.col(LEVELS[level - 1]) > values[-1]), 2).when(inside & (F.col(LEVELS[level - 1]) == values[-1]), 1).otherwise(0)
+        turns.append(turn)
+    placed = keyed.withColumns(
+        {
+            "shard": shard.cast("int"),
+            "bin__": _cell(F.col("key__"), max(0, bits[0] - BITS)),
+            "turn__": turns[0],
+            "part__": F.when(turns[0] % 2 == 1, _cell(F.col("tie__"), max(0, bits[1] - BITS // 2))).otherwise(F.lit(0)),
+            "again__": F.when(turns[0] % 2 == 1, turns[1]).otherwise(F.lit(0)),
+            "piece__": F.when((turns[0] % 2 == 1) & (turns[1] % 2 == 1), _cell(F.col("also__"), max(0, bits[2] - BITS // 2))).otherwise(F.lit(0)),
+        }
+    )
+    inner = ["bin__", "turn__", "part__", "again__", "piece__"]
+    sums = placed.groupBy("shard", *inner).agg(F.count(F.lit(1)).alias("n__"))
+    first = F.sum("n__").over(Window.partitionBy("shard").orderBy(*inner).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select("shard", *inner, F.coalesce(first, F.lit(0)).alias("first__"))  # at most shards + 2^BITS + 2 * 2^(BITS/2) / HEAVY cells
+    numbered = placed.withColumn("row__", F.row_number().over(Window.partitionBy("shard", *inner).orderBy(*LEVELS)))
+    joined = numbered.join(F.broadcast(starts), ["shard", *inner])
+    own = [c for c in rows.columns if c not in ("shard", "slot")]
+    return joined.select(*own, "shard", (F.col("first__") + F.col("row__") - 1).cast("bigint").alias("slot"))
 
 
 def size_of(text: Column) -> Column:
@@ -166,7 +195,8 @@ def size_of(text: Column) -> Column:
 def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under the law `bytes`).
 
-    Texts are read once; what is counted, refined and exchanged are their keys and sizes.
+    Texts are read once; what is counted, refined and exchanged are their keys and sizes. The number
+    that tells equal rows apart is written with them, so that it stays what it is.
     """
     text = F.col("text")
     light = docs.select(
@@ -174,16 +204,21 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS,
         size_of(text).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("bigint").alias("text_crc32"),
         text_key(text).alias("text_key"),
+        F.monotonically_increasing_id().alias("row"),
     )
     light = common.written(light, spark, "shard-keys")
-    placed = histogram_sort(light, F.col("text_key"), F.col("doc_id"), F.col("size"), shards, tolerance)
+    placed = histogram_sort(light, F.col("text_key"), F.col("doc_id"), F.col("size"), shards, tolerance, F.col("row"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes whole documents as one folder per shard, rows in slot order within each file."""
-    where = placed.select("doc_id", "shard", "slot")
-    docs.join(where, "doc_id").repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE) -> None:
+    """Writes whole documents as one folder per shard, rows in slot order within each file, with `slot`.
+
+    Rows are placed themselves, not looked up by doc_id, so rows without one and repeated ones stay.
+    """
+    text = F.col("text")
+    placed = histogram_sort(docs, text_key(text), F.col("doc_id").cast("bigint"), size_of(text), shards, tolerance)
+    placed.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 ORACLE = """

@@ -1,3 +1,4 @@
+import math
 import random
 from fractions import Fraction
 
@@ -6,29 +7,6 @@ from pyspark.sql import functions as F
 from perigon.llm import mixing
 
 
-def test_every_prefix_is_less_than_a_block_off():
-    rng = random.Random(1)
-    for _ in range(60):
-        weights = {f"s{k}": rng.random() + 0.01 for k in range(rng.randint(1, 12))}
-        q = rng.choice([50, 100, 1000])
-        whole = mixing.whole_weights(weights, q)
-        assert sum(whole.values()) == q and min(whole.values()) >= 1
-        counts = dict.fromkeys(whole, 0)
-        for t, s in enumerate(mixing.period(whole)):
-            counts[s] += 1
-            assert all(abs(counts[x] - whole[x] * (t + 1) / q) < 1 for x in whole)
-
-
-def test_phases_place_every_block_once():
-    rng = random.Random(2)
-    for _ in range(40):
-        blocks = {f"s{k}": rng.randint(0, 300) for k in range(rng.randint(1, 9))}
-        slots = []
-        for _, _, n, before, each, own in mixing.phases(blocks, {s: rng.random() for s in blocks}, 100):
-            slots += [before + i // each * 100 + own[i % each] for i in range(n)]
-        assert sorted(slots) == list(range(sum(blocks.values())))
-
-
 def test_rows(spark):
     rng = random.Random(3)
     rows = [(k, rng.choice(["hot"] * 5 + ["a", "b", None]), "t", k) for k in range(3000)] + [(None, "a", None, 0), (5, "hot", "again", 0)]
@@ -47,13 +25,6 @@ def test_rows(spark):
     assert mixing.with_places(docs.limit(0)).count() == 0
 
 
-def test_few_names_for_very_many_sources(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
-    docs = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 20).cast("string").alias("source"))
-    placed = mixing.with_places(docs, block_rows=2).collect()
-    assert len({r.place for r in placed}) == 500
-
-
 def furthest(order, blocks, weights):
     """The largest distance, in blocks, of a source from its exact share at any slot until one runs out."""
     total = sum(map(Fraction, weights.values()))
@@ -106,3 +77,40 @@ def test_rows_of_equal_sources_over_many_slots(spark):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"))
     placed = mixing.with_places(docs, block_rows=1).collect()
     assert furthest(slots_of(placed), dict.fromkeys("012", 3000), dict.fromkeys("012", 1)) < 1
+
+
+def brute_slots(blocks, weights):
+    """The slots of all blocks by trying every source at every slot, from the definition."""
+    left, done, order = dict(blocks), dict.fromkeys(blocks, 0), []
+    w = {s: Fraction(x) for s, x in weights.items()}
+
+    def passed(v):
+        return sum(min(Fraction(n), w[s] * v) for s, n in blocks.items())
+
+    for t in range(sum(blocks.values())):
+        ready = [s for s in blocks if left[s] and passed(done[s] / w[s]) < t + 1]
+        best = min(ready, key=lambda s: (math.ceil(passed((done[s] + 1) / w[s])), list(blocks).index(s)))
+        order.append((best, done[best]))
+        left[best] -= 1
+        done[best] += 1
+    return order
+
+
+def test_registered_form_against_brute_force(spark):
+    """All rows of the query, with the weights it uses: square roots of the sources' sizes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = docs.limit(40).unionByName(docs.limit(3).withColumn("source", F.lit(None).cast(docs.schema["source"].dataType)))
+    both = docs.unionByName(extra)
+    got = mixing.report(both).collect()
+    sizes = {}
+    for r in both.select("source").collect():
+        sizes[r.source] = sizes.get(r.source, 0) + 1
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = brute_slots({s: -(-sizes[s] // mixing.BLOCK_ROWS) for s in names}, {s: sizes[s] ** 0.5 for s in names})
+    slots = {}
+    for r in got:
+        slots.setdefault(r.slot, []).append(r)
+    assert [slots[t][0].source for t in range(len(want))] == [s for s, _ in want]
+    for t, (s, i) in enumerate(want):
+        assert {r.source for r in slots[t]} == {s} and sorted(r.place - t * mixing.BLOCK_ROWS for r in slots[t]) == list(range(min(mixing.BLOCK_ROWS, sizes[s] - i * mixing.BLOCK_ROWS)))
+    assert sorted((r.doc_id, str(r.source)) for r in got) == sorted((r.doc_id, str(r.source)) for r in both.collect())

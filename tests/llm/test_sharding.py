@@ -57,7 +57,31 @@ def test_documents(spark):
 
 
 def test_shards_on_disk(spark, tmp_path):
-    df = spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id bigint, text string")
-    sharding.write_shards(df, sharding.shard_documents(spark, df, shards=4), str(tmp_path / "s"))
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 200 and back.select("shard").distinct().count() == 4
+    rows = [(k, f"text {k}") for k in range(200)] + [(None, "none"), (None, "none"), (7, "again"), (7, None)]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id bigint, text string, slot int")
+    sharding.write_shards(df, str(tmp_path / "s"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(rows, key=str) and {r.shard for r in back} == set(range(4))
+    for shard in range(4):
+        assert sorted(r.slot for r in back if r.shard == shard) == list(range(sum(r.shard == shard for r in back)))
+
+
+def test_very_many_equal_rows_are_cut_where_the_boundary_falls(spark):
+    """10,000 rows that agree in text and doc_id, and 10,000 of one text without one: over FEW, under one key and tie."""
+    rows = spark.range(10_000).select(F.lit(5).cast("bigint").alias("doc_id"), F.lit("same").alias("text"))
+    more = spark.range(10_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("none").alias("text"))
+    other = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    got = sharding.shard_documents(spark, rows.unionByName(more).unionByName(other)).collect()
+    sums, slots = {}, {}
+    for r in got:
+        sums[r.shard] = sums.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 26_000 and set(sums) == set(range(16)) and max(sums.values()) - min(sums.values()) <= 20
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_own_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(k, k % 5, 10, "k", "t", "s") for k in range(300)], "a bigint, b bigint, c bigint, key string, tie string, size string")
+    got = sharding.histogram_sort(df, F.col("a"), F.col("b"), F.col("c"), 3)
+    assert got.columns == [*df.columns, "shard", "slot"] and {(r.key, r.tie, r["size"]) for r in got.collect()} == {("k", "t", "s")}
+    assert sorted((r.shard, r.slot, r.a) for r in got.collect()) == [(k // 100, k % 100, k) for k in range(300)]
