@@ -113,67 +113,79 @@ class Lexicon:
         return weight, strong
 
 
+def sums(own: np.ndarray, at: np.ndarray, lexicon: Lexicon, insults: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over each row of a piece of text, and its largest weight. Counts of parts of a row add up."""
+    n = len(at) - 1
+    lower = common.lower_ascii(own)
+
+    def per_row(flags, rows=at):
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return total[rows[1:]] - total[rows[:-1]]
+
+    start, end, rows = common.words(lower, at, WORD_GAP)
+    hashes = common.SpanHash(lower)
+    whole = hashes.spans(start, end)
+    row = np.repeat(np.arange(n), np.diff(rows))
+    insult = member(whole, insults)
+    weight, strong = lexicon.weigh(hashes, start, end, whole)
+    hit = insult | (weight > 0)
+    you = member(whole, second)
+    yous = np.concatenate([[0], np.cumsum(you)])
+    where = np.flatnonzero(hit)
+    near = np.zeros(len(hit), bool)
+    near[where] = yous[np.minimum(where + NEAR + 1, rows[row[where] + 1])] > yous[np.maximum(where - NEAR, rows[row[where]])]
+    capital = np.concatenate([[0], np.cumsum(_UPPER[own])])
+    digit = np.concatenate([[0], np.cumsum(_DIGIT[own])])
+    shouted = (capital[end] - capital[start] == end - start) & (end - start >= 3)
+    digits = digit[end] - digit[start]
+    mixed = (digits > 0) & (digits < end - start)
+    single = end - start == 1
+    spelled = np.zeros(len(single), bool)
+    if len(single) > 3:
+        spelled[:-3] = single[:-3] & single[1:-2] & single[2:-1] & single[3:] & (row[:-3] == row[3:])
+    follows = np.zeros(len(own), bool)
+    follows[1:] = (own[1:] == own[:-1]) & _PUNCTUATION[own[1:]]
+    inner = np.zeros(len(own), bool)
+    inner[1:-1] = _SIGNS[own[1:-1]] & _LETTER[own[:-2]] & _LETTER[own[2:]]
+    # the same text with digits and signs read as letters, other punctuation dropped
+    stays = _STAYS[own]
+    moved = np.concatenate([[0], np.cumsum(stays)])
+    plain = _PLAIN[lower[stays]]
+    pstart, pend, prows = common.words(plain, moved[at], common.SPACE)
+    phash = common.SpanHash(plain)
+    pwhole = phash.spans(pstart, pend)
+    top = np.zeros(n)
+    np.maximum.at(top, row, weight)
+    counts = [
+        per_row(insult, rows), per_row(weight > 0, rows), per_row(strong, rows), np.bincount(row, weight, n), per_row(you, rows), per_row(near, rows),
+        per_row(_UPPER[own]), per_row(_LETTER[own]), per_row(shouted, rows), per_row(own == 33), per_row(own == 63), per_row(_PUNCTUATION[own]), per_row(follows),
+        per_row(mixed, rows), per_row(inner), per_row(member(pwhole, insults), prows), per_row(lexicon.weigh(phash, pstart, pend, pwhole)[1], prows), per_row(spelled, rows),
+        np.diff(rows), np.diff(at),
+    ]
+    return np.stack(counts, axis=1).astype(float), top
+
+
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """One row of FEATURES for each text."""
+    """One row of FEATURES for each text. Texts longer than a piece are walked in parts that end at white space."""
     insults, second = hashed(INSULTS), hashed(SECOND_PERSON)
     data, offsets = common.utf8(texts)
     out = np.zeros((len(offsets) - 1, len(FEATURES)))
     for i, j in common.pieces(offsets):
         own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        n = j - i
-        size = np.maximum(np.diff(at), 1)
-        lower = common.lower_ascii(own)
-
-        def per_row(flags, rows=at):
-            sums = np.concatenate([[0], np.cumsum(flags)])
-            return sums[rows[1:]] - sums[rows[:-1]]
-
-        start, end, rows = common.words(lower, at, WORD_GAP)
-        hashes = common.SpanHash(lower)
-        whole = hashes.spans(start, end)
-        count = np.maximum(np.diff(rows), 1)
-        row = np.repeat(np.arange(n), np.diff(rows))
-        insult = member(whole, insults)
-        weight, strong = lexicon.weigh(hashes, start, end, whole)
-        hit = insult | (weight > 0)
-        you = member(whole, second)
-        yous = np.concatenate([[0], np.cumsum(you)])
-        where = np.flatnonzero(hit)
-        near = np.zeros(len(hit), bool)
-        near[where] = yous[np.minimum(where + NEAR + 1, rows[row[where] + 1])] > yous[np.maximum(where - NEAR, rows[row[where]])]
-        capital = np.concatenate([[0], np.cumsum(_UPPER[own])])
-        digit = np.concatenate([[0], np.cumsum(_DIGIT[own])])
-        shouted = (capital[end] - capital[start] == end - start) & (end - start >= 3)
-        digits = digit[end] - digit[start]
-        mixed = (digits > 0) & (digits < end - start)
-        single = end - start == 1
-        spelled = np.zeros(len(single), bool)
-        if len(single) > 3:
-            run = single[:-3] & single[1:-2] & single[2:-1] & single[3:] & (row[:-3] == row[3:])
-            spelled[:-3] = run
-        follows = np.zeros(len(own), bool)
-        follows[1:] = (own[1:] == own[:-1]) & _PUNCTUATION[own[1:]]
-        inner = np.zeros(len(own), bool)
-        inner[1:-1] = _SIGNS[own[1:-1]] & _LETTER[own[:-2]] & _LETTER[own[2:]]
-        # the same text with digits and signs read as letters, other punctuation dropped
-        stays = _STAYS[own]
-        moved = np.concatenate([[0], np.cumsum(stays)])
-        plain = _PLAIN[lower[stays]]
-        pstart, pend, prows = common.words(plain, moved[at], common.SPACE)
-        phash = common.SpanHash(plain)
-        pwhole = phash.spans(pstart, pend)
-        hidden = per_row(member(pwhole, insults), prows) - per_row(insult, rows)
-        hidden_weight = per_row(lexicon.weigh(phash, pstart, pend, pwhole)[1], prows) - per_row(strong, rows)
-        top = np.zeros(n)
-        np.maximum.at(top, row, weight)
-        letters = np.maximum(per_row(_LETTER[own]), 1)
-        insult_n, strong_n = per_row(insult, rows), per_row(strong, rows)
+        if j == i + 1 and len(own) > common.PIECE_BYTES:
+            c, top = np.zeros((1, 1)), np.zeros(1)
+            for a, b in common.parts(own, common.SPACE):
+                some, most = sums(own[a:b], np.array([0, b - a]), lexicon, insults, second)
+                c, top = c + some, np.maximum(top, most)
+        else:
+            c, top = sums(own, at, lexicon, insults, second)
+        insult, known, strong, weight, you, near, upper, letter, shouted, exclaim, question, punctuation, follows, mixed, inner, hidden, hidden_strong, spelled, words, size = c.T
+        count, letters, size = np.maximum(words, 1), np.maximum(letter, 1), np.maximum(size, 1)
         out[i:j] = np.stack([
-            insult_n / count, np.log1p(insult_n), per_row(weight > 0, rows) / count, strong_n / count, np.log1p(strong_n), np.bincount(row, weight, n) / count, top,
-            per_row(you, rows) / count, per_row(near, rows) / count, per_row(_UPPER[own]) / letters, per_row(shouted, rows) / count,
-            per_row(own == 33) / size, per_row(own == 63) / size, per_row(_PUNCTUATION[own]) / size, per_row(follows) / size,
-            per_row(mixed, rows) / count, per_row(inner) / count, np.maximum(hidden, 0) / count, np.maximum(hidden_weight, 0) / count, per_row(spelled, rows) / count,
-            np.log1p(np.diff(rows)), per_row(_LETTER[own]) / count,
+            insult / count, np.log1p(insult), known / count, strong / count, np.log1p(strong), weight / count, top,
+            you / count, near / count, upper / letters, shouted / count, exclaim / size, question / size, punctuation / size, follows / size,
+            mixed / count, inner / count, np.maximum(hidden - insult, 0) / count, np.maximum(hidden_strong - strong, 0) / count, spelled / count,
+            np.log1p(words), letter / count,
         ], axis=1)
     return out
 
@@ -203,12 +215,18 @@ def learn_lexicon(rows: DataFrame, most: int = ENTRIES) -> Lexicon:
             label = np.asarray(batch.column(1), dtype=float) > 0.5
             data, offsets = common.utf8(batch.column(0))
             for i, j in common.pieces(offsets):
-                own, at = common.lower_ascii(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
-                start, end, rows = common.words(own, at, WORD_GAP)
-                hashes = common.SpanHash(own)
-                row = np.repeat(np.arange(j - i), np.diff(rows)).astype(np.uint64)
-                got = [(name, row[of]) for of, name in entries(hashes, start, end, hashes.spans(start, end))]
-                names, of = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64)
+                long = j == i + 1 and offsets[j] - offsets[i] > common.PIECE_BYTES
+                got = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+                for a, b in common.parts(data[offsets[i] : offsets[j]], common.SPACE) if long else [(0, offsets[j] - offsets[i])]:
+                    own = common.lower_ascii(data[offsets[i] + a : offsets[i] + b])
+                    at = np.array([0, b - a]) if long else offsets[i : j + 1] - offsets[i]
+                    start, end, rows = common.words(own, at, WORD_GAP)
+                    hashes = common.SpanHash(own)
+                    row = np.repeat(np.arange(j - i), np.diff(rows))
+                    for of, name in entries(hashes, start, end, hashes.spans(start, end)):
+                        got.append((np.unique(name), np.zeros(0, np.int64)) if long else (name, row[of]))
+                names = np.concatenate([g[0] for g in got])
+                of = np.zeros(len(names), np.int64) if long else np.concatenate([g[1] for g in got])
                 order = np.lexsort([of, names])
                 names, of = names[order], of[order]
                 new = np.ones(len(names), bool)
@@ -238,6 +256,7 @@ def learn_lexicon(rows: DataFrame, most: int = ENTRIES) -> Lexicon:
 
 def with_features(rows: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame:
     """The columns `keep` and FEATURES of each row's text."""
+    common.sent_to_workers(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)  # at most ENTRIES entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,12 +285,11 @@ class Model:
             got = self.calibration.transform(got)
         else:
             got = got.withColumn("calibrated__", F.col("raw__"))
-        # the trees' own probability, in a small share, orders texts that calibration holds equal
-        score = 0.98 * F.col("calibrated__") + 0.02 * F.col("raw__")
-        return got.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias(out))
+        return got.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("calibrated__"))).alias(out))
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    common.sent_to_workers(spark)
     rows = common.written(labelled(docs, labels, sample), spark, "labelled")
     lexicon = learn_lexicon(rows.filter("fold < 5"))
     share = rows.agg(F.avg("label").alias("share")).first()["share"] or 0.0
@@ -287,10 +305,34 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     calibration = None
     if {(True, 0.0), (True, 1.0)} <= classes:
         late = model.transform(known.filter("fold >= 8")).select("label", vector_to_array("probability")[1].alias("raw__"))
-        calibration = IsotonicRegression(labelCol="label", featuresCol="raw__", predictionCol="calibrated__").fit(late)
+        calibration = calibrated(spark, late)
     return Model(lexicon, model, calibration, share)
 
 
+def calibrated(spark: SparkSession, late: DataFrame):
+    """Isotonic regression of label on raw__, with its steps joined by lines.
+
+    A step holds many raw values equal. Its level is kept at the middle of the step, and between the
+    middles of two steps the score rises, so it also orders texts within a step. `late` is a part of the sample.
+    """
+    model = IsotonicRegression(labelCol="label", featuresCol="raw__", predictionCol="calibrated__").fit(late)
+    steps: dict[float, list[float]] = {}
+    for x, y in zip(model.boundaries.tolist(), model.predictions.tolist()):  # two values a step
+        steps.setdefault(y, []).append(x)
+    middles = [((min(x) + max(x)) / 2, y, 1.0) for y, x in sorted(steps.items())]
+    knots = spark.createDataFrame(middles, "raw__ double, label double, weight double")
+    return IsotonicRegression(labelCol="label", featuresCol="raw__", predictionCol="calibrated__").fit(knots)
+
+
+def calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:
+    """One row: rows, and the mean distance of mean score and share of label 1 over equal bins of the score.
+
+    scored: score and label.
+    """
+    by = scored.groupBy(F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("score") - F.avg("label")).alias("gap"))
+    return by.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("error"))
+
+
 def report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from LIMIT on) of every document."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
