@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that the array code looks at in one go; a longer text is one piece by itself.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def sent_to_workers(spark: SparkSession) -> None:
@@ -83,7 +83,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column, one after another, and the n+1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, b"")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -103,12 +105,15 @@ def pieces(offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int,
 
 
 def parts(data: np.ndarray, gap: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Byte ranges of a text, of about `most` bytes each, that cut no word: each but the last ends before a gap byte."""
+    """Byte ranges of a text, of about `most` bytes each, that cut no word: each but the last ends before a gap byte.
+
+    Case is folded first, since gaps are told for folded bytes.
+    """
     a, n = 0, len(data)
     while n - a > most:
         b = a + most
         while b < n:
-            found = np.flatnonzero(gap[data[b : b + most]])
+            found = np.flatnonzero(gap[lower_ascii(data[b : b + most])])
             if len(found):
                 b += int(found[0])
                 break
@@ -223,22 +228,24 @@ def shingles(word_hash: np.ndarray, row_words: np.ndarray, size: int) -> tuple[n
 def word_pieces(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For rows [i, j): hashes of their words, starts and ends within their row, and the number of words before each row.
 
-    Rows longer than a piece come in several parts, each with i and j = i + 1.
+    Rows longer than a piece come in several parts, each with i and j = i + 1. ASCII case is folded.
     """
     for i, j in pieces(offsets):
         own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         if j == i + 1 and len(own) > PIECE_BYTES:
             for a, b in parts(own, gap):
-                start, end, rows = words(own[a:b], np.array([0, b - a]), gap)
-                yield i, j, SpanHash(own[a:b]).spans(start, end), start + a, end + a, rows
+                some = lower_ascii(own[a:b])
+                start, end, rows = words(some, np.array([0, b - a]), gap)
+                yield i, j, SpanHash(some).spans(start, end), start + a, end + a, rows
         else:
+            own = lower_ascii(own)
             start, end, rows = words(own, at, gap)
             base = np.repeat(at[:-1], np.diff(rows))
             yield i, j, SpanHash(own).spans(start, end), start - base, end - base, rows
 
 
 def shingle_rows(data: np.ndarray, offsets: np.ndarray, size: int = 5, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of the rows of a buffer whose case is already folded, and the n+1 offsets of the rows among them.
+    """Shingle hashes of the rows of a buffer, ASCII case folded, and the n+1 offsets of the rows among them.
 
     A row longer than a piece is walked in parts; each begins with the last size - 1 words before it.
     """

@@ -55,7 +55,7 @@ def hashed_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     """For pieces [i, j) of the rows: word hashes, starts and ends within their row, and words before each row."""
     data, offsets = common.utf8(texts)
     held: list = []
-    for i, j, hashes, start, end, rows in common.word_pieces(common.lower_ascii(data), offsets, GAP):
+    for i, j, hashes, start, end, rows in common.word_pieces(data, offsets, GAP):
         if held and held[0] != i:
             yield whole(*held)
             held = []

@@ -7,7 +7,8 @@ containment and the number of distinct shingles; all are exact while a set has a
 
 Edge cases: a null text is an empty one; a text of fewer words than `size` has one shingle, all its
 words; a text without words has the empty sketch, written as the empty string. Two empty sketches
-resemble each other fully, an empty and another not at all.
+resemble each other fully, an empty and another not at all. For the edited texts, rows without a
+doc_id come last and, like rows of one doc_id, are one range, ordered by their text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ K = 128
 SIZE = 5
 #: Text bytes in a range of consecutive documents; ranges are dealt to tasks by hash.
 RANGE_BYTES = 4 << 20
+#: Beyond MOST_RANGES * RANGE_BYTES of text ranges grow. A range is streamed in order, so only its sort on disk grows.
 MOST_RANGES = 40_000
 CUT_GROUP = 256
 MOST_CELLS = 256
@@ -35,7 +37,7 @@ MOST_CELLS = 256
 
 def sketches(texts: pa.Array, k: int = K, size: int = SIZE) -> list[np.ndarray]:
     data, offsets = common.utf8(texts)
-    found, at = common.shingle_rows(common.lower_ascii(data), offsets, size)
+    found, at = common.shingle_rows(data, offsets, size)
     return [np.unique(found[i:j])[:k] for i, j in zip(at[:-1], at[1:])]
 
 
@@ -187,17 +189,18 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     last, so that no document needs another task's rows. Texts move once. Rows without an id come
     last; equal ids are ordered by their text.
     """
+    common.sent_to_workers(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).first()
     ranges = ranges or max(1, min(MOST_RANGES, (size["bytes"] or 0) // RANGE_BYTES))
     cuts = [] if ranges == 1 or size["top"] is None else id_cuts(docs, size["low"], size["top"], ranges, -(-(size["bytes"] or 1) // ranges))
     # cuts at or above an id, counted in two steps: whole groups of cuts, then the cuts of one group
     groups = [cuts[k : k + CUT_GROUP] for k in range(0, len(cuts), CUT_GROUP)]
-    array = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
-    tops = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")
+    tops = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")  # a row looks at the groups' last cuts and the cuts of one group
     nested = F.from_json(F.lit(json.dumps([*groups, []])), "array<array<bigint>>")
     whole = F.size(F.filter(tops, lambda c: c < F.col("doc_id")))
-    below = F.least(whole * CUT_GROUP, F.lit(len(cuts))) + F.size(F.filter(F.element_at(nested, whole + 1), lambda c: c < F.col("doc_id")))
+    group = F.element_at(nested, whole + 1)
+    below = F.least(whole * CUT_GROUP, F.lit(len(cuts))) + F.size(F.filter(group, lambda c: c < F.col("doc_id")))
     part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.lit(len(cuts)) - below)
     first = F.lit(True) if size["top"] is None else F.col("doc_id").eqNullSafe(F.lit(size["top"]))
     own = F.struct(F.col("part__").alias("part"), F.lit(0).alias("tail"))
@@ -209,7 +212,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         )
     )
     # a cut is the largest id of its range: the range below begins where the number of cuts at or above changes
-    dealt = docs.withColumns({"part__": part, "cut__": F.coalesce(F.array_contains(array, F.col("doc_id")), F.lit(False))}).select(F.explode(places).alias("p"), "doc_id", "text").select("p.part", "p.tail", "doc_id", "text")
+    dealt = docs.withColumns({"part__": part, "cut__": F.coalesce(F.exists(group, lambda c: c == F.col("doc_id")), F.lit(False))}).select(F.explode(places).alias("p"), "doc_id", "text").select("p.part", "p.tail", "doc_id", "text")
     tasks = max(1, -(-(len(cuts) + 1) // 4))
     order: list[Column] = [F.col("part"), F.col("tail"), F.col("doc_id").desc_nulls_last(), F.col("text")]
     return dealt.repartition(tasks, "part").sortWithinPartitions(*order)

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perigon.llm import common, graph
@@ -43,8 +43,8 @@ SIZE = 5
 #: Minima of a prefix that makes candidates, and of one that makes a branch of a large region.
 LEAST = 5
 DEEPER = 9
-#: Minima after the first LEAST that orders and longest common prefixes look at.
-BELOW = 8
+#: Minima after the first LEAST that orders and longest common prefixes look at, 16 bits of each.
+BELOW = 4
 MISS = 1e-6
 #: Members and documents of a block.
 BLOCK_SHINGLES = 2_000_000
@@ -52,6 +52,8 @@ BLOCK_DOCS = 512
 PIVOTS = 8
 #: Rows of (id, region, group), 24 bytes each, up to which they are sent to all tasks instead of moving the texts.
 BROADCAST_ROWS = 500_000
+#: Stands for the groups that share blocks.
+SHARED = -(1 << 63)
 _ROWS = 1 << 13
 
 
@@ -80,40 +82,44 @@ class Signer:
             label = common.mix(label * np.uint64(0x9E3779B97F4A7C15) + least.reshape(self.trees, LEAST)[:, k])
         return label
 
+    def below(self, least: np.ndarray) -> np.ndarray:
+        """The BELOW minima after the first LEAST of each tree, as one number that sorts like them."""
+        short = common.mix(least) >> np.uint64(48)
+        at = (np.arange(self.trees)[:, None] + 1) * LEAST + np.arange(BELOW)
+        return (short[at % len(short)] << np.arange(48, -1, -16, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
     def rows(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The set (sorted) and minima of each text."""
         data, offsets = common.utf8(texts)
         for i, j in common.pieces(offsets):
-            found, at = common.shingle_rows(common.lower_ascii(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i], self.size)
+            found, at = common.shingle_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], self.size)
             for a, b in zip(at[:-1], at[1:]):
                 one = np.unique(found[a:b])
                 yield one, self.minima(one) if len(one) else one
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, prefixes array<bigint>, minima binary"
+SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, prefixes array<bigint>, below array<bigint>"
 
 
 def signatures(docs: DataFrame, trees: int, size: int = SIZE) -> DataFrame:
-    """For each document the size and two hashes of its set, its trees' prefixes and 16 bits of each of its minima."""
+    """For each document the size and two hashes of its set, its trees' prefixes and what follows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(trees, size)
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                n, a, b, labels, at, minima = [], [], [], [np.zeros(0, np.uint64)], [0], []
+                n, a, b, labels, below, at = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [0]
                 for one, least in signer.rows(part.column(1)):
                     n.append(len(one))
                     a.append(int(common.mix(one).sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(common.mix(one ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
-                    labels.append(signer.prefixes(least) if len(one) else least)
-                    at.append(at[-1] + len(labels[-1]))
-                    minima.append((common.mix(least) >> np.uint64(48)).astype(">u2").tobytes())
-                flat = pa.array(np.concatenate(labels).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(minima, pa.binary())],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "prefixes", "minima"],
-                )
+                    if len(one):
+                        labels.append(signer.prefixes(least))
+                        below.append(signer.below(least))
+                    at.append(at[-1] + (trees if len(one) else 0))
+                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(x).view(np.int64))) for x in (labels, below)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *lists], names=["doc_id", "n_shingles", "set_a", "set_b", "prefixes", "below"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
@@ -126,7 +132,7 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         prefix, ids = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-        below = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(n, BELOW)
+        below = np.asarray(batch.column(1)).astype(">i8").view(">u2").reshape(n, BELOW)
         ends = []
         if last is None:
             ends.append(0)
@@ -146,12 +152,10 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(spark: SparkSession, classes: DataFrame, trees: int) -> DataFrame:
     """(id, root, depth): neighbours in the trees' orders and the length of their common prefix, LEAST or more.
 
-    classes: (id, prefixes, minima). Where a prefix runs over several tasks, their first and last rows
+    classes: (id, prefixes, below). Where a prefix runs over several tasks, their first and last rows
     with that prefix (two a task at most) are joined by their smallest.
     """
-    around = F.concat("minima", F.substring("minima", 1, 2 * (BELOW + LEAST)))
-    rows = classes.select("id", F.posexplode("prefixes").alias("tree", "prefix"), around.alias("around"))
-    rows = rows.select("prefix", F.substring("around", (F.col("tree") + 1) * 2 * LEAST + 1, F.lit(2 * BELOW)).alias("below"), "id")
+    rows = classes.select("id", F.explode(F.arrays_zip("prefixes", "below")).alias("p")).select(F.col("p.prefixes").alias("prefix"), F.col("p.below").alias("below"), "id")
     ordered = rows.repartitionByRange("prefix", "below").sortWithinPartitions("prefix", "below", "id")
     found = common.written(ordered.mapInArrow(neighbours, "id bigint, root bigint, depth int, prefix bigint"), spark, "neighbours")
     ends = found.filter("depth = 0").groupBy("prefix").agg(F.min("id").alias("root"), F.collect_set("id").alias("ids"))
@@ -363,25 +367,27 @@ def centre_links(spark: SparkSession, docs: DataFrame, large: DataFrame, near: D
     return common.written(found[0].unionByName(found[1]), spark, "centre-links")
 
 
-def paired(members: DataFrame, parts: DataFrame) -> DataFrame:
+def paired(members: DataFrame, parts: DataFrame, block_shingles: int, block_docs: int) -> DataFrame:
     """Documents of large regions with their block, once for each pair (low, high) of blocks to compare.
 
-    parts: (region, group, n), the blocks of each group; group is what the documents are known to be
-    linked with, null for those apart. Blocks of one group are not paired, a block of documents apart
-    is paired with itself too.
+    parts: (region, group, docs, shingles); group is what the documents are known to be linked with,
+    null for those apart. A group beyond a block has blocks of its own, which are not paired with each
+    other; all others share blocks, a group in one, which are paired with themselves too.
     """
-    listed = F.array_sort(F.collect_list(F.struct(F.coalesce("group", F.lit(-(1 << 63))).alias("group"), "n")))
-    first = F.transform("parts", lambda p, k: F.struct(p["group"].alias("group"), F.aggregate(F.slice("parts", F.lit(1), k), F.lit(0).cast("bigint"), lambda n, q: n + q["n"]).alias("first"), p["n"].alias("n")))
-    table = parts.groupBy("region").agg(listed.alias("parts")).withColumn("parts", first)  # two groups at least for each centre
-    flat = table.select("region", F.explode("parts").alias("p")).select("region", "p.*")
-    total = table.select("region", F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["n"]).alias("blocks"))
-    own = members.withColumn("group", F.coalesce("group", F.lit(-(1 << 63)))).join(flat, ["region", "group"]).join(total, "region")
-    own = own.withColumn("block", F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("n")))
-    apart = F.col("group") == -(1 << 63)
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("shingles") / block_shingles, F.col("docs") / block_docs))).cast("bigint")
+    sized = parts.withColumn("n", blocks).withColumn("own", F.when(F.col("group").isNotNull() & (F.col("n") > 1), F.col("group")).otherwise(F.lit(SHARED)))
+    table = sized.groupBy("region", "own").agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).withColumn("n", blocks)
+    # a region has few groups that large: each has block_docs documents, or block_shingles members, at least
+    before = Window.partitionBy("region").orderBy("own")
+    table = table.select("region", "own", "n", (F.sum("n").over(before) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy("region")).alias("blocks"))
+    large = sized.filter(F.col("own") != SHARED).select("region", "group", "own")
+    placed = members.join(large, ["region", "group"], "left").withColumn("own", F.coalesce("own", F.lit(SHARED))).join(table, ["region", "own"])
+    together = F.when(F.col("own") == SHARED, F.coalesce("group", "doc_id")).otherwise(F.col("doc_id"))
+    placed = placed.withColumn("block", F.col("first") + F.pmod(F.xxhash64(together), F.col("n")))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
-    others = F.when(apart, every).otherwise(F.filter(every, lambda b: (b < F.col("first")) | (b >= F.col("first") + F.col("n"))))
-    own = own.withColumn("other", F.explode(others))
-    return own.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "block", "members", "prefixes")
+    others = F.when(F.col("own") == SHARED, every).otherwise(F.filter(every, lambda b: (b < F.col("first")) | (b >= F.col("first") + F.col("n"))))
+    placed = placed.withColumn("other", F.explode(others))
+    return placed.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "block", "members", "prefixes")
 
 
 def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = SIZE, block_shingles: int = BLOCK_SHINGLES, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -391,7 +397,7 @@ def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, siz
     trees = tree_count(percent)
     signed = common.written(signatures(docs, trees, size), spark, "signatures")
     set_key = ["set_a", "set_b", "n_shingles"]
-    classes = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*set_key).agg(F.min_by(F.struct("prefixes", "minima"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
+    classes = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*set_key).agg(F.min_by(F.struct("prefixes", "below"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
     classes = common.written(classes.select(*set_key, "id", "s.*"), spark, "classes")
     near = candidates(spark, classes, trees)
     regions = graph.components(spark, near.select("id", "root"), "regions").select(F.col("id").alias("doc_id"), F.col("root").alias("region"))
@@ -405,7 +411,8 @@ def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, siz
         known = centre_links(spark, docs, inside.select("doc_id", "region"), near, percent, trees, size)
         groups = graph.components(spark, known, "groups").select(F.col("id").alias("doc_id"), F.col("root").alias("group"))
         regions = regions.drop("group").join(groups, "doc_id", "left")
-        parts = common.written(inside.join(groups, "doc_id", "left").groupBy("region", "group").agg(blocks.alias("n")), spark, "parts")
+        parts = inside.join(groups, "doc_id", "left").groupBy("region", "group").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
+        parts = common.written(parts, spark, "parts")
     regions = common.written(regions.select("doc_id", "region", "group"), spark, "regions")
     members = with_sets(chosen(docs, regions, regions.count()), trees, size)
     whole = F.lit(0).cast("bigint")
@@ -415,7 +422,7 @@ def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, siz
     else:
         members = common.written(members, spark, "members")
         small = members.join(large.select("region"), "region", "left_anti").withColumns({"low": whole, "high": whole, "block": whole}).select(*columns)
-        grouped = small.unionByName(paired(members.join(large.select("region"), "region"), parts))
+        grouped = small.unionByName(paired(members.join(large.select("region"), "region"), parts, block_shingles, block_docs))
     links = grouped.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high").mapInArrow(linker(percent), "id bigint, root bigint")
     if known is not None:
         links = graph.components(spark, links.unionByName(known), "links")

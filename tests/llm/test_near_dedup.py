@@ -66,8 +66,8 @@ def corpus(seed=4):
 def test_against_brute_force_with_and_without_blocks(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for percent, block in ((85, near_dedup.BLOCK_SHINGLES), (80, 2000)):
-        got = near_dedup.near_components(spark, df, percent, block_shingles=block).collect()
+    for percent, block, most in ((85, near_dedup.BLOCK_SHINGLES, near_dedup.BLOCK_DOCS), (80, 2000, near_dedup.BLOCK_DOCS), (80, near_dedup.BLOCK_SHINGLES, 5)):
+        got = near_dedup.near_components(spark, df, percent, block_shingles=block, block_docs=most).collect()
         assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == brute(rows, percent)
         assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
