@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's documents. All but the last return the columns of `documents`.
+
+Edge cases: null and empty texts score as such, are linked with nothing, contain no passage and weigh
+one byte; rows without doc_id stay unless a score or a passage rejects them; of repeated doc_ids one
+row stays; an empty table gives no rows; further columns come along up to the last stage.
 """
 
 from __future__ import annotations
@@ -33,15 +37,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, text_crc32, place, shard and slot: shards of near equal bytes.
+    """doc_id, source, size, text_crc32, shard and slot: shards of near equal bytes.
 
-    The key of the sort is the place in the mix, which follows from the documents alone, so each
-    shard is a stretch of the mix and has its weights.
+    The key of the sort is a row's place in the files of the mix (number of the file, then of the row),
+    so each shard is a stretch of the mix and has its weights. Rows that come from no files keep the
+    order in which Spark gives them.
     """
     text = F.coalesce("text", F.lit(""))
-    light = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", sharding.size_of(text).alias("size"), F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32"))
-    placed = common.written(mixing.with_places(light), spark, "places")
-    return sharding.histogram_sort(placed, F.col("place"), F.col("doc_id"), F.col("size")).select("doc_id", "source", "size", "text_crc32", "place", "shard", "slot")
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), "source", sharding.size_of(text).alias("size"), F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32")]
+    if docs.inputFiles():
+        name = F.col("_metadata.file_name")
+        part = F.regexp_extract(name, r"part-(\d+)", 1).try_cast("bigint")
+        piece = F.coalesce(F.regexp_extract(name, r"-c(\d+)", 1).try_cast("bigint"), F.lit(0))
+        place = [part.alias("file"), (F.shiftleft(piece, 40) + F.col("_metadata.row_index")).alias("row")]
+    else:
+        place = [F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("row")]
+    light = common.written(docs.select(*columns, *place), spark, "places")
+    placed = sharding.histogram_sort(light, F.col("file"), F.col("row"), F.col("size"), tolerance=0)
+    return placed.select("doc_id", "source", "size", "text_crc32", "shard", "slot")
 
 
 STAGES = [
