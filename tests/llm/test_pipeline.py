@@ -1,5 +1,5 @@
 import corpus_pipeline
-from perigon.llm import common, decontamination, near_dedup, toxicity
+from perigon.llm import common, decontamination, mixing, near_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,5 +22,29 @@ def test_stages_against_their_own_inputs(spark):
     dirty = {r.doc_id for r in decontamination.report(spark, seen[2], common.table(spark, SF, "benchmark")).filter("contaminated").collect()}
     assert ids[3] == ids[2] - dirty and ids[4] == ids[3] and ids[5] == ids[4]
     shards = seen[5].toPandas().sort_values(["shard", "slot"])
-    assert shards.place.is_monotonic_increasing
+    # the shards follow each other as the mix does
+    mix = mixing.with_places(seen[3]).select("doc_id", "place").toPandas().sort_values("place")
+    assert list(shards.doc_id) == list(mix.doc_id)
+    sums = shards.groupby("shard")["size"].sum()
+    assert len(sums) == 16 and sums.max() - sums.min() <= 2 * shards["size"].max()
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "shard", "slot").collect())) == sorted(zip(shards.doc_id, shards.shard, shards.slot))
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and long rows, and a table without rows, through all stages."""
+    docs = common.table(spark, SF, "documents")
+    long = " ".join(f"word{k}" for k in range(200_000))
+    odd = spark.createDataFrame([(None, None, None), (None, "", "x"), (900_001, None, None), (900_002, long, "y"), (900_002, long + " more", "y"), (900_003, "rare words only once", None)], "doc_id bigint, text string, source string")
+    both = docs.limit(60).unionByName(odd, allowMissingColumns=True)
+    for rows, least in ((both, 4), (both.limit(0), 0)):
+        seen = common.written(rows, spark, "odd")
+        for name, stage in corpus_pipeline.STAGES:
+            seen = common.written(stage(spark, seen, SF), spark, f"odd-{name}")
+        ids = [r.doc_id for r in seen.collect()]
+        assert len(ids) >= least and ids.count(900_002) == (1 if least else 0) and ids.count(None) == (2 if least else 0)
+
+
+def test_rows_from_no_files(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", "s") for k in range(50)], "doc_id bigint, text string, source string")
+    got = corpus_pipeline.shard(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in got) == list(range(50)) and {r.shard for r in got} == set(range(16))
