@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import uuid
 import zipfile
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,13 +100,46 @@ def write_kml(points: DataFrame, path: str) -> None:
     write_document(kml_elements(points), path, KML_HEAD, "</Document></kml>")
 
 
+def kmz_parts(points: DataFrame) -> DataFrame:
+    """(part, content): the points of each partition, in the order of seq, as a KMZ archive; made in the tasks, of about a partition's size."""
+
+    def run(batches):
+        held = io.BytesIO()
+        n = 0
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(zipfile.ZipInfo("doc.kml"), "w") as file:
+            file.write((KML_HEAD + "\n").encode())
+            for batch in batches:
+                for element in batch.column(0).to_pylist():
+                    file.write((element + "\n").encode())
+                    n += 1
+            file.write(b"</Document></kml>\n")
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([held.getvalue()], pa.binary())], names=["part", "content"])
+
+    return kml_elements(points).repartitionByRange("seq").sortWithinPartitions("seq").select("element").mapInArrow(run, "part int, content binary")
+
+
 def write_kmz(points: DataFrame, path: str) -> None:
-    """A KMZ archive on the driver's disk, streamed row by row (for exports of a size that one file can have)."""
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive, archive.open("doc.kml", "w") as file:
-        file.write((KML_HEAD + "\n").encode())
-        for row in kml_elements(points).orderBy("seq").toLocalIterator():
-            file.write((row["element"] + "\n").encode())
-        file.write(b"</Document></kml>\n")
+    """KMZ archives part-00000.kmz and so on below a folder: tasks write them there, nothing passes the driver.
+
+    The folder must be one that all executors reach. An archive is written under a name of its own and
+    renamed when whole, so a repeated task replaces it by the same content.
+    """
+    jvm = points.sparkSession._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(points.sparkSession._jsc.hadoopConfiguration())
+    whole = system.makeQualified(folder).toString()
+    system.mkdirs(folder)
+
+    def save(rows) -> None:
+        for row in rows:
+            target, below = pafs.FileSystem.from_uri(whole)
+            attempt = f"{below}/_{uuid.uuid4().hex}"
+            with target.open_output_stream(attempt) as out:
+                out.write(bytes(row["content"]))
+            target.move(attempt, f"{below}/part-{row['part']:05d}.kmz")
+
+    kmz_parts(points).foreachPartition(save)
 
 
 #: Header of the clean export.

@@ -37,7 +37,7 @@ def poster_line(accepted: DataFrame) -> DataFrame:
 
 def poster_bars(accepted: DataFrame, config: Config = DEFAULT, top_only: bool = False) -> DataFrame:
     rows = rankings.top_posters(accepted, config) if top_only else rankings.ranked(rankings.poster_counts(accepted))
-    return rows.select("rank", F.concat_ws("-", "user_id", "user_login").alias("key"), "n")
+    return rows.select("rank", F.concat_ws("-", "user_id", "user_login").alias("key"), "n", _annotation().alias("annotation"))
 
 
 def log_axis(rows: DataFrame) -> DataFrame:
@@ -45,20 +45,40 @@ def log_axis(rows: DataFrame) -> DataFrame:
     return rows.agg((F.log10(F.max("rank")) + 0.1).alias("x_high"), (F.log10(F.max("n")) + 0.1).alias("y_high"))
 
 
+#: Shapes below the histogram's bars: slot, shape, fill, line, line width, left and right edge in pixels from the slot's
+#: middle. A number as colour is a colour of the palette.
+GLYPHS = (
+    (0, "rect", BLACK, BLACK, 0, -23.0, -3.0),
+    (0, "circle", BLACK, BLACK, 0, 3.0, 23.0),
+    (1, "rect", WHITE, BLACK, 1, -23.0, -3.0),
+    (1, "circle", WHITE, BLACK, 1, 3.0, 23.0),
+    (3, "rect", BLACK, BLACK, 0, -23.0, -3.0),
+    (3, "rect", WHITE, BLACK, 1, 3.0, 23.0),
+    (4, "circle", BLACK, BLACK, 0, -23.0, -3.0),
+    (4, "circle", WHITE, BLACK, 1, 3.0, 23.0),
+    (6, "rect", GRAY, GRAY, 0, -23.0, -3.0),
+    (6, "circle", GRAY, GRAY, 0, 3.0, 23.0),
+    (7, "rect", 7, 7, 0, -10.0, 10.0),
+    (8, "rect", 0, 0, 0, -10.0, 10.0),
+    (9, "rect", 1, 1, 0, -10.0, 10.0),
+    (10, "rect", 2, 2, 0, -10.0, 10.0),
+    (11, "rect", 3, 3, 0, -10.0, 10.0),
+    (12, "rect", 4, 4, 0, -10.0, 10.0),
+    (13, "rect", 5, 5, 0, -10.0, 10.0),
+    (14, "rect", 6, 6, 0, -10.0, 10.0),
+)
+#: Upper and lower edge of all of them.
+GLYPH_EDGES = (-30.0, -10.0)
+
+
 def glyphs(config: Config = DEFAULT) -> list[dict]:
-    """Shapes below the histogram's bars, in pixels from each slot."""
-    size = 10.0
-    left, middle, right = (-2.3 * size, -0.3 * size), (-size, size), (0.3 * size, 2.3 * size)
-    found = []
-    for slot, fill, line, width in ((0, BLACK, BLACK, 0), (1, WHITE, BLACK, 1), (6, GRAY, GRAY, 0)):
-        found.append(dict(slot=slot, shape="rect", fill=fill, line=line, width=width, x0=left[0], x1=left[1]))
-        found.append(dict(slot=slot, shape="circle", fill=fill, line=line, width=width, x0=right[0], x1=right[1]))
-    for slot, shape in ((3, "rect"), (4, "circle")):
-        found.append(dict(slot=slot, shape=shape, fill=BLACK, line=BLACK, width=0, x0=left[0], x1=left[1]))
-        found.append(dict(slot=slot, shape=shape, fill=WHITE, line=BLACK, width=1, x0=right[0], x1=right[1]))
-    for slot, (_, colour) in enumerate(CLASSES[1:], 7):
-        found.append(dict(slot=slot, shape="rect", fill=config.palette[colour], line=config.palette[colour], width=0, x0=middle[0], x1=middle[1]))
-    return [g | {"y0": -3 * size, "y1": -size} for g in found]
+    """The shapes of GLYPHS with the palette's colours."""
+
+    def colour(c: str | int) -> str:
+        return c if isinstance(c, str) else config.palette[c]
+
+    low, high = GLYPH_EDGES
+    return [dict(slot=slot, shape=shape, fill=colour(fill), line=colour(line), width=width, x0=x0, x1=x1, y0=low, y1=high) for slot, shape, fill, line, width, x0, x1 in GLYPHS]
 
 
 def bar_colours(config: Config = DEFAULT) -> list[str]:
@@ -93,6 +113,11 @@ def rank_spec(rows: DataFrame, title: str, log: bool = False) -> DataFrame:
     return rows.select("rank", F.to_json(F.struct(F.lit(title).alias("title"), F.col("rank").alias("x"), F.col("n").alias("y"), F.lit(log).alias("log"))).alias("spec"))
 
 
+def bar_spec(rows: DataFrame, title: str, key: str = "key") -> DataFrame:
+    """JSON rows of a bar chart, one for each bar, with its annotation."""
+    return rows.select("rank", F.to_json(F.struct(F.lit(title).alias("title"), F.col(key).alias("y"), F.col("n").alias("x"), "annotation")).alias("spec"))
+
+
 def write_html(spec_rows: DataFrame, path: str, title: str) -> None:
     """A static page per part of the data: the specifications as JSON lines in a script element."""
     safe = F.replace("spec", F.lit("<"), F.lit("\\u003c"))

@@ -7,22 +7,28 @@ accepted; a copy that was rejected before does not stand in the way of a later g
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigon.config import DEFAULT, Config
 
 
-def gated(obs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Every row with `reason` (null: accepted) and `seen` (an accepted row of the id came before)."""
+def eligible(config: Config = DEFAULT) -> tuple[Column, Column, Column, Column]:
+    """Conditions on a single row (wild, placed, named), and its genus, repaired where the name stands for it."""
     family, genus = config.monotypic
     wild = F.coalesce(F.col("captive_cultivated"), F.lit("")) != "true"
     placed = (F.col("latitude") != "") & (F.col("longitude") != "")
     named = (F.col("taxon_genus_name") != "") | (F.col("scientific_name") == family)
+    repaired = F.when((F.col("taxon_genus_name") == "") & (F.col("scientific_name") == family), genus).otherwise(F.col("taxon_genus_name"))
+    return wild, placed, named, repaired
+
+
+def gated(obs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Every row with `reason` (null: accepted) and `seen` (an accepted row of the id came before)."""
+    wild, placed, named, repaired = eligible(config)
     first = F.min(F.when(wild & placed & named, F.col("seq"))).over(Window.partitionBy("id"))
     seen = F.coalesce(F.col("seq") > first, F.lit(False))
     reason = F.when(~wild, "captive").when(seen, "duplicate").when(~placed, "no coordinates").when(~named, "no genus")
-    repaired = F.when((F.col("taxon_genus_name") == "") & (F.col("scientific_name") == family), genus).otherwise(F.col("taxon_genus_name"))
     return obs.withColumns({"reason": reason, "seen": seen, "wild": wild, "placed": placed, "taxon_genus_name": repaired})
 
 

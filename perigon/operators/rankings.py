@@ -21,6 +21,12 @@ def posters(accepted: DataFrame) -> DataFrame:
     return accepted.groupBy("user_id", "user_login").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.transform(tags, lambda x: x["tag"]).alias("tags"))
 
 
+def poster_tags(accepted: DataFrame) -> DataFrame:
+    """The observation tags of each poster as rows, numbered in input order; `posters` has them in one row, for reports."""
+    place = F.row_number().over(Window.partitionBy("user_id", "user_login").orderBy("seq"))
+    return accepted.select("user_id", "user_login", place.cast("bigint").alias("place"), F.concat(F.lit("i"), "id").alias("tag"))
+
+
 def poster_counts(accepted: DataFrame) -> DataFrame:
     return accepted.groupBy("user_id", "user_login").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 

@@ -154,7 +154,7 @@ def log_lines(dated: DataFrame) -> DataFrame:
 
 def write_log(people: DataFrame, accepted: DataFrame, path: str, config: Config = DEFAULT) -> None:
     """The log of the selected people, a banner before each, in the order of their rank."""
-    dated = rows(accepted, config).join(F.broadcast(people.select("user_id").distinct()), "user_id", "left_semi")
+    dated = rows(accepted, config).join(people.select("user_id").distinct(), "user_id", "left_semi")
     rule = "=" * 28
     banner = summary(accepted, dated).filter(F.col("days") > 0).select(
         "user_id", F.lit("").alias("day"), F.lit("").alias("clock"), F.lit(-1).cast("bigint").alias("seq"),

@@ -6,14 +6,16 @@ engines; floating results are rounded on both sides to where their libraries agr
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from perigon.config import CLASSES, DEFAULT, Config
+from perigon.config import CLASSES, DEFAULT, OBS_COLUMNS, OPTIONAL_COLUMNS, Config
 from perigon.operators import exports, figures, ingest, invariants, powerlaw, quality, rankings, trajectory
-from perigon.sources import events
+from perigon.sources import csv_exports, events
 
 #: The adapter's species and thresholds that its tables can show.
 CONFIG = Config(focus_species="Genus_click sp4")
@@ -214,8 +216,6 @@ _LABEL = "scientific_name || CASE WHEN contains(scientific_name, ' ') THEN '' EL
 
 @_register("species_counts_alpha", _GATE + f" SELECT row_number() OVER (ORDER BY scientific_name DESC) AS position, {_LABEL} AS label, n, n + 2 AS text_x FROM species")
 def species_counts_alpha(spark, sf_dir):
-    from pyspark.sql import Window
-
     bars = figures.species_bars(_accepted(spark, sf_dir), "name")  # a row for each species
     return bars.select(F.row_number().over(Window.orderBy(F.desc("scientific_name"))).cast("bigint").alias("position"), "label", "n", F.col("annotation.x").alias("text_x"))
 
@@ -242,14 +242,23 @@ def poster_rank_frequency(spark, sf_dir):
     return figures.poster_line(_accepted(spark, sf_dir))
 
 
-@_register("poster_bars_all", _GATE + " SELECT rank, user_id || '-' || user_login AS key, n FROM ranked")
+def _annotated(bars: DataFrame) -> DataFrame:
+    return bars.select("rank", "key", "n", F.col("annotation.x").alias("text_x"), F.col("annotation.text").alias("text"))
+
+
+@_register("poster_tags", _GATE + " SELECT user_id, user_login, row_number() OVER (PARTITION BY user_id, user_login ORDER BY seq) AS place, 'i' || id AS tag FROM acc")
+def poster_tags(spark, sf_dir):
+    return rankings.poster_tags(_accepted(spark, sf_dir))
+
+
+@_register("poster_bars_all", _GATE + " SELECT rank, user_id || '-' || user_login AS key, n, n + 2 AS text_x, n::VARCHAR AS text FROM ranked")
 def poster_bars_all(spark, sf_dir):
-    return figures.poster_bars(_accepted(spark, sf_dir), CONFIG)
+    return _annotated(figures.poster_bars(_accepted(spark, sf_dir), CONFIG))
 
 
-@_register("poster_top", _GATE + " SELECT rank, user_id || '-' || user_login AS key, n FROM ranked WHERE n > 10")
+@_register("poster_top", _GATE + " SELECT rank, user_id || '-' || user_login AS key, n, n + 2 AS text_x, n::VARCHAR AS text FROM ranked WHERE n > 10")
 def poster_top(spark, sf_dir):
-    return figures.poster_bars(_accepted(spark, sf_dir), CONFIG, top_only=True)
+    return _annotated(figures.poster_bars(_accepted(spark, sf_dir), CONFIG, top_only=True))
 
 
 @_register("poster_log_axis", _GATE + " SELECT round(log10(max(rank)) + 0.1, 6) AS x_high, round(log10(max(n)) + 0.1, 6) AS y_high FROM ranked")
@@ -506,11 +515,84 @@ def invariant_violations(spark, sf_dir):
     return invariants.violations(_accepted(spark, sf_dir), CONFIG)
 
 
-@_register("figure_histogram_specs", None)
+def _json(value) -> str:
+    return json.dumps(value, separators=(",", ":")).replace("'", "''")
+
+
+@_register(
+    "figure_histogram_specs",
+    _WALK
+    + """, u AS (SELECT *, precise + obscured AS total, CASE WHEN precise + obscured > 400 THEN 100 WHEN precise + obscured > 200 THEN 50 WHEN precise + obscured > 100 THEN 25 WHEN precise + obscured > 80 THEN 20 ELSE 10 END::BIGINT AS unit FROM hist)
+  SELECT user_id, '{"width":1000,"height":700,"bars":[' || """
+    + " || ',' || ".join(f"({b})::VARCHAR" for b in _BARS)
+    + f""" || '],"colours":{_json(figures.bar_colours(CONFIG))},"ticks":[' || array_to_string(list_transform(range((total + unit - 1) // unit), lambda k: k * unit), ',') || '],"shapes":{_json(figures.glyphs(CONFIG))}}}' AS spec FROM u""",
+)
 def figure_histogram_specs(spark, sf_dir):
     return figures.histogram_spec(trajectory.histogram(_dated(spark, sf_dir)), CONFIG)
 
 
-@_register("figure_profile_specs", None)
+def _profile_sql(width: int) -> str:
+    box = """'{"rn":' || rn || ',"kind":"' || kind || '","shape":"' || shape || '","fill":"' || fill || '","line_color":"' || CASE WHEN cls = 'obscured' THEN CASE WHEN rn = 1 THEN 'rgb(0,0,0)' ELSE 'DarkGrey' END ELSE fill END
+      || '","line_width":' || CASE WHEN cls = 'obscured' THEN '1' ELSE '0' END || ',"x0":' || round(off + 4, 4)::VARCHAR || ',"x1":' || round(off + 12, 4)::VARCHAR || ',"y0":-4.0,"y1":4.0}'"""
+    return _MARKS + f""" SELECT user_id, dayno, day_idx, '{{"width":{width},"height":1200,"x":"' || dayno || '","y":' || day_idx || ',"markers":[' || string_agg({box}, ',' ORDER BY rn) || ']}}' AS spec FROM marks GROUP BY user_id, dayno, day_idx"""
+
+
+def _profile_specs(spark, sf_dir, wide: bool) -> DataFrame:
+    marks = _rounded(trajectory.markers(_dated(spark, sf_dir), CONFIG), x0=4, x1=4)
+    return figures.profile_spec(marks, wide).withColumnRenamed("day", "dayno")
+
+
+@_register("figure_profile_specs", _profile_sql(1200))
 def figure_profile_specs(spark, sf_dir):
-    return figures.profile_spec(trajectory.markers(_dated(spark, sf_dir), CONFIG))
+    return _profile_specs(spark, sf_dir, wide=False)
+
+
+@_register("figure_profile_specs_wide", _profile_sql(1600))
+def figure_profile_specs_wide(spark, sf_dir):
+    return _profile_specs(spark, sf_dir, wide=True)
+
+
+def _line_sql(title: str, log: bool) -> str:
+    return f"""'{{"title":"{title}","x":' || rank || ',"y":' || n || ',"log":{str(log).lower()}}}'"""
+
+
+def _bar_sql(title: str, key: str) -> str:
+    return f"""'{{"title":"{title}","y":' || to_json({key}) || ',"x":' || n || ',"annotation":{{"x":' || (n + 2) || ',"text":"' || n || '"}}}}'"""
+
+
+@_register(
+    "figure_rank_specs",
+    _GATE
+    + f""", words AS (SELECT row_number() OVER (ORDER BY n DESC, first_seq DESC) AS rank, n FROM species WHERE contains(scientific_name, ' '))
+  SELECT 'species' AS chart, rank, {_line_sql("species", True)} AS spec FROM words UNION ALL SELECT 'posters', rank, {_line_sql("posters", True)} FROM ranked
+  UNION ALL SELECT 'posters-bars', rank, {_bar_sql("posters-bars", "user_id || '-' || user_login")} FROM ranked
+  UNION ALL SELECT 'posters-top', rank, {_bar_sql("posters-top", "user_id || '-' || user_login")} FROM ranked WHERE n > 10""",
+)
+def figure_rank_specs(spark, sf_dir):
+    accepted = _accepted(spark, sf_dir)
+    charts = {
+        "species": figures.rank_spec(figures.species_line(accepted), "species", log=True),
+        "posters": figures.rank_spec(figures.poster_line(accepted), "posters", log=True),
+        "posters-bars": figures.bar_spec(figures.poster_bars(accepted, CONFIG), "posters-bars"),
+        "posters-top": figures.bar_spec(figures.poster_bars(accepted, CONFIG, top_only=True), "posters-top"),
+    }
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("chart"), "rank", "spec") for name, rows in charts.items()])
+
+
+_CSV_COLUMNS = [c for c in OBS_COLUMNS if c not in OPTIONAL_COLUMNS]
+
+
+@_register(
+    "csv_exports",
+    f"WITH {events.SQL} SELECT family_rank, row_number() OVER (PARTITION BY family_rank ORDER BY seq) AS place, {', '.join(_CSV_COLUMNS)}, {', '.join(f'CASE WHEN family_rank > 0 THEN {c} END AS {c}' for c in OPTIONAL_COLUMNS)} FROM obs",
+)
+def csv_exports_query(spark, sf_dir):
+    """The observations written as two families' exports and read back: files that are not there, surplus and reordered columns, one file without the private coordinates."""
+    folder = csv_exports.scratch(spark, "exports")
+    obs = events.observations(spark, sf_dir)
+    for rank, family in enumerate(CONFIG.families[:2]):
+        columns = [*reversed(_CSV_COLUMNS), *(OPTIONAL_COLUMNS if rank else ())]
+        csv_exports.write_family(obs.filter(F.col("family_rank") == rank).withColumn("surplus", F.lit("x, y")), f"{folder}/{family}.csv", [columns[0], "surplus", *columns[1:]])
+    back = csv_exports.read_exports(spark, folder, CONFIG)
+    place = F.row_number().over(Window.partitionBy("family_rank").orderBy("seq"))
+    return back.select("family_rank", place.cast("bigint").alias("place"), *_CSV_COLUMNS, *OPTIONAL_COLUMNS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,22 @@ def read_family(spark: SparkSession, path: str, rank: int) -> DataFrame:
     return raw.select(*cells, F.lit(rank).alias("family_rank"), seq.alias("seq"))
 
 
+def write_family(obs: DataFrame, path: str, columns: list[str]) -> None:
+    """One export as a single file, as the reader expects it, rows in the order of seq. For exports of a size that one file can have."""
+    one = obs.coalesce(1).sortWithinPartitions("seq").select(*columns)
+    one.write.csv(path, header=True, quote='"', escape='"', encoding="UTF-8", emptyValue="", nullValue="")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new name in the folder that driver and executors share; a temporary folder only where Spark runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="perigon-")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)

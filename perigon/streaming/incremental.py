@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from perigon.config import DEFAULT, Config
+from perigon.operators import ingest
 
 
 def observation_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 16) -> DataFrame:
@@ -22,11 +23,7 @@ def observation_stream(spark: SparkSession, folder: str, schema: StructType, fil
 
 def accepted_stream(obs: DataFrame, delay: str = "7 days", config: Config = DEFAULT) -> DataFrame:
     """Eligible rows, the first of each id within the watermark's delay. obs has an event time `arrived`."""
-    family, genus = config.monotypic
-    wild = F.coalesce(F.col("captive_cultivated"), F.lit("")) != "true"
-    placed = (F.col("latitude") != "") & (F.col("longitude") != "")
-    named = (F.col("taxon_genus_name") != "") | (F.col("scientific_name") == family)
-    repaired = F.when((F.col("taxon_genus_name") == "") & (F.col("scientific_name") == family), genus).otherwise(F.col("taxon_genus_name"))
+    wild, placed, named, repaired = ingest.eligible(config)
     good = obs.filter(wild & placed & named).withColumn("taxon_genus_name", repaired)
     return good.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["id"])
 

@@ -33,9 +33,16 @@ def test_waypoints(spark, tmp_path):
     exports.write_kml(hidden, str(tmp_path / "k"))
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "g")).collect())
     assert text.startswith("<?xml") and text.rstrip().endswith("</gpx>") and text.count("<wpt") == 3
-    exports.write_kmz(hidden, str(tmp_path / "a.kmz"))
-    with zipfile.ZipFile(tmp_path / "a.kmz") as archive:
-        assert b"<Placemark>" in archive.read("doc.kml")
+    exports.write_kmz(exports.waypoints(obs).repartition(3), str(tmp_path / "a"))
+    exports.write_kmz(hidden.limit(0), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").iterdir())
+    found = ""
+    for part in sorted((tmp_path / "a").glob("part-*.kmz")):
+        with zipfile.ZipFile(part) as archive:
+            text = archive.read("doc.kml").decode()
+            assert text.startswith(exports.KML_HEAD) and text.endswith("</Document></kml>\n")
+            found += text
+    assert found.count("<Placemark>") == 3 and len(list((tmp_path / "a").iterdir())) >= 1
 
 
 def test_clean_lines(spark, tmp_path):
@@ -72,3 +79,19 @@ def test_figures(spark):
     assert len(figures.glyphs()) == 6 + 4 + 8 and len(figures.bar_colours()) == 15
     bars = figures.species_bars(observations(spark, [{"scientific_name": "Drosera"}, {}])).collect()
     assert {r.label for r in bars} == {"Drosera (unclassified)", "Drosera rotundifolia"}
+
+
+def test_posters_csv(spark, tmp_path):
+    obs = observations(spark, [{"user_id": u, "user_login": name} for u, name in [("2", "bo"), ("1", "an"), ("2", "bo"), ("1", "an-new"), ("3", "cy, x")]])
+    rankings.write_posters_csv(obs, str(tmp_path / "p"))
+    lines = [r.value for part in sorted((tmp_path / "p").glob("part-*")) for r in spark.read.text(str(part)).collect()]
+    assert lines == ["2,bo,2", "1,an,1", '3,"cy, x",1']
+    tags = rankings.poster_tags(obs).collect()
+    assert sorted((r.user_id, r.user_login, r.place, r.tag) for r in tags) == [("1", "an", 1, "i1"), ("1", "an-new", 1, "i3"), ("2", "bo", 1, "i0"), ("2", "bo", 2, "i2"), ("3", "cy, x", 1, "i4")]
+
+
+def test_pages_of_specifications(spark, tmp_path):
+    obs = observations(spark, [{"user_id": "1", "user_login": "a</script>"}, {"user_id": "2"}])
+    figures.write_html(figures.bar_spec(figures.poster_bars(obs), "posters"), str(tmp_path / "h"), "posters")
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "h")).collect())
+    assert text.count("<script") == 2 and "a\\u003c/script>" in text and "<!DOCTYPE html>" in text
