@@ -126,6 +126,7 @@ WINDOWS = "conv_id bigint, window bigint, text string, loss array<struct<start:b
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, path: str | None = None) -> DataFrame:
     """Windows of all conversations: conv_id, window, text, loss (ranges of characters), repeated (leading turns), n_tokens."""
     path = path or tokens.tokenizer_path()
+    common.sent_to_workers(conversations.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder_for(path)

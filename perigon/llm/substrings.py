@@ -67,6 +67,15 @@ def expand(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def merged(start: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The ranges [start, end) laid together: starts and ends of the maximal runs, which end where a row does."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    row = np.searchsorted(offsets, start, "right")
+    new = np.append(True, (start[1:] > end[:-1]) | (row[1:] != row[:-1]))[: len(start)]
+    return np.stack([start[new], end[np.append(np.flatnonzero(new)[1:], len(start)) - 1] if len(start) else end])
+
+
 def same_strings(data: np.ndarray, hashes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of equal strings of a buffer, and the first string of each number. Hashes only sort: bytes are compared."""
     _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
@@ -99,8 +108,8 @@ class Anchors:
     @staticmethod
     def of(data: np.ndarray, offsets: np.ndarray, usable: np.ndarray, window: int, extents: bool) -> Anchors:
         """extents: whether hashes of the bytes that the windows of each anchor span are wanted."""
-        none = np.zeros(0, np.int64)
-        found = [(none.view(np.uint64), none, none, none, none.view(np.uint64))]
+        none = np.zeros(0, np.uint64)
+        found = [(none, none.astype(np.int64), none.astype(np.uint16), none.astype(np.int32), none)]
         for i, j in common.pieces(offsets):
             low, high = int(offsets[i]), int(offsets[j])
             for a in range(low, high, common.PIECE_BYTES) if j == i + 1 else [low]:
@@ -122,9 +131,9 @@ class Anchors:
                 new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
                 first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
                 row = np.searchsorted(offsets, first + a, "right") - 1
-                found.append((common.mix(grams[place[new]] ^ _LATER), first + a, last - first + 1, row, span.spans(first, last + window) if extents else none.view(np.uint64)))
-        columns = [np.concatenate(c) for c in zip(*found)]
-        return Anchors(*columns[:4], columns[4] if extents else None)
+                found.append((common.mix(grams[place[new]] ^ _LATER), first + a, (last - first + 1).astype(np.uint16), row.astype(np.int32), span.spans(first, last + window) if extents else none))
+        columns = [np.concatenate([f[k] for f in found]) for k in range(5 if extents else 4)]
+        return Anchors(*columns, *([] if extents else [None]))
 
 
 def keyed(names: np.ndarray, parts: int) -> np.ndarray:
@@ -150,7 +159,7 @@ class Block:
         own = shared[self.name_of]
         single = own & hot[self.name_of]
         a = self.anchors
-        whole = np.flatnonzero(own & ~single)
+        whole, single = np.flatnonzero(own & ~single), np.flatnonzero(single)
         first = [a.first[whole], expand(a.first[single], a.first[single] + a.windows[single])]
         # windows of hot anchors are named by their own bytes
         hashes, names = [a.extent[whole]], [a.name[whole]]
@@ -161,7 +170,7 @@ class Block:
             hashes.append(h)
             names.append(common.mix(h ^ _LATER))
         self.first = np.concatenate(first)
-        self.windows = np.concatenate([a.windows[whole], np.ones(len(first[1]), np.int64)])
+        self.windows = np.concatenate([a.windows[whole].astype(np.int64), np.ones(len(first[1]), np.int64)])
         self.doc = self.ids[np.concatenate([a.row[whole], np.repeat(a.row[single], a.windows[single])])]
         length = self.windows + self.window - 1
         entry, lead = same_strings(self.data, np.concatenate(hashes), self.first, length)
@@ -174,12 +183,12 @@ class Block:
         np.minimum.at(self.least, self.entry, self.doc)
 
     def bytes_of(self, some: np.ndarray) -> bytes:
-        """The bytes of entries, one after the other."""
+        """The bytes of entries, one after the other, compressed."""
         out = []
         for k in range(0, len(some), 1 << 15):
             at = self.lead[some[k : k + (1 << 15)]]
             out.append(self.data[expand(self.first[at], self.first[at] + self.windows[at] + self.window - 1)].tobytes())
-        return b"".join(out)
+        return pa.compress(b"".join(out), codec="zstd", asbytes=True)
 
 
 def runs(part: np.ndarray, also: int | None = None) -> list[tuple[int, int, int]]:
@@ -319,7 +328,8 @@ def settled(window: int):
         """For the windows of a part's entries: whether a smaller document has them."""
         number = [np.frombuffer(x, np.uint16).astype(np.int64) for x in rows.column("names").to_pylist()]
         windows, ids = np.concatenate(number), owners(rows)
-        data = np.frombuffer(b"".join(rows.column("data").to_pylist()), np.uint8)
+        sizes = [int((n + window - 1).sum()) for n in number]
+        data = np.frombuffer(b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(rows.column("data").to_pylist(), sizes)), np.uint8)
         length = windows + window - 1
         at = np.concatenate([[0], np.cumsum(length)])
         hashes = np.zeros(len(windows), np.uint64)
@@ -366,31 +376,32 @@ def removals(window: int, anchor_parts: int, parts: int):
             first = (np.cumsum(n) - n)[block.entry]
             later = block.least[block.entry] < block.doc
             data, offsets = block.data, block.offsets
-            delta = np.zeros(len(data) + 1, np.int32)
-            np.add.at(delta, block.first[later], 1)
-            np.add.at(delta, block.first[later] + block.windows[later] + window - 1, -1)
+            first_of, last_of = [block.first[later]], [block.first[later] + block.windows[later] - 1]
             here = np.flatnonzero(~later)
             for k in range(0, len(here), 1 << 15):
                 some = here[k : k + (1 << 15)]
-                gone = flags[expand(first[some], first[some] + block.windows[some])]
-                starts = expand(block.first[some], block.first[some] + block.windows[some])[gone]
-                np.add.at(delta, starts, 1)
-                np.add.at(delta, starts + window, -1)
-            covered = np.cumsum(delta[:-1], dtype=np.int32) > 0
-            del delta
+                size = block.windows[some]
+                gone = flags[expand(first[some], first[some] + size)]
+                # runs of repeated windows inside each entry
+                edge = np.zeros(len(gone) + 1, bool)
+                edge[np.cumsum(size) - size] = True
+                start = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone[:-1])))
+                end = np.flatnonzero(gone & (edge[1:] | ~np.append(gone[1:], False)))
+                shift = np.repeat(block.first[some] - (np.cumsum(size) - size), size)
+                first_of.append(start + shift[start])
+                last_of.append(end + shift[end])
+            data, offsets = block.data, block.offsets
+            removed = merged(np.concatenate(first_of), np.concatenate(last_of) + window, offsets)
         else:
             data, offsets = common.utf8(rows.column("text"))
-            covered = np.zeros(len(data), bool)
+            removed = np.zeros((2, 0), np.int64)
         spans, kept = [], []
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            c = covered[a:b]
-            if c.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], c.view(np.int8), [0]])))
-                spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
-                kept.append(data[a:b][~c].tobytes())
-            else:
-                spans.append([])
-                kept.append(data[a:b].tobytes())
+        of = np.searchsorted(removed[0], offsets)
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            own = removed[:, of[k] : of[k + 1]].T.tolist()
+            spans.append([{"start": x - a, "end": y - a} for x, y in own])
+            inner = [a, *[z for pair in own for z in pair], b]
+            kept.append(b"".join(data[x:y].tobytes() for x, y in zip(inner[::2], inner[1::2])))
         return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "spans": pa.array(spans, pa.list_(SPAN)), "kept": pa.array(kept, pa.binary())})
 
     return run

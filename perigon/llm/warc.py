@@ -56,6 +56,7 @@ SCHEMA = (
 HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_type": "content-type"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 16
+SALTS = 16
 
 
 def decide(test, header: dict[str, str]) -> bool | None:
@@ -246,8 +247,16 @@ class Written(WriterCommitMessage):
     name: str | None
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, which is Spark's default one where it names none."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 def located(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    if "://" not in path and not path.startswith("file:"):
+        raise ValueError(f"{path} names no file system")
+    return pafs.FileSystem.from_uri(path)
 
 
 class WarcReader(DataSourceReader):
@@ -381,9 +390,10 @@ class WarcDataSource(DataSource):
 
 def read_warc(spark: SparkSession, path: str, payload: str = "all", verify: bool = True, partition_bytes: int = 64 << 20) -> DataFrame:
     """Records of the archives below a path. Filters on header columns reach the reader."""
+    common.sent_to_workers(spark)
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("payload", payload).option("verify", str(verify).lower()).option("partitionBytes", partition_bytes).load(path)
+    return spark.read.format("warc").option("payload", payload).option("verify", str(verify).lower()).option("partitionBytes", partition_bytes).load(qualified(spark, path))
 
 
 def sha1_base32(data: Column) -> Column:
@@ -398,18 +408,22 @@ def with_record_types(pages: DataFrame, least: int = 0) -> DataFrame:
 
     Of pages with equal payloads of at least `least` bytes the smallest page_id keeps the payload. A
     payload that a third of the pages have is counted in each task before it is exchanged, and the
-    join back is an inner part of AQE's skew handling: no window holds the pages of a payload.
+    join back is salted by the page, the smallest page_id of a repeated payload being copied to each
+    salt: no task holds the pages of a payload.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": sha1_base32(F.col("payload"))})
     first = rows.groupBy("payload_digest").agg(F.min("page_id").alias("first__"), F.count(F.lit(1)).alias("n__")).filter(F.col("n__") > 1).drop("n__")
+    first = first.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt__", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     again = F.col("first__").isNotNull() & (F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first__"))
-    typed = rows.join(first, "payload_digest", "left").withColumn("again__", F.coalesce(again, F.lit(False)))
-    return typed.withColumns({"record_type": F.when(F.col("again__"), "revisit").otherwise("response"), "refers_to": F.when(F.col("again__"), F.col("first__"))}).drop("first__", "again__")
+    typed = rows.join(first, ["payload_digest", "salt__"], "left").withColumn("again__", F.coalesce(again, F.lit(False)))
+    return typed.withColumns({"record_type": F.when(F.col("again__"), "revisit").otherwise("response"), "refers_to": F.when(F.col("again__"), F.col("first__"))}).drop("first__", "again__", "salt__")
 
 
 def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = 0) -> None:
     """Archives of the pages: a record each, equal payloads written once."""
+    common.sent_to_workers(pages.sparkSession)
     pages.sparkSession.dataSource.register(WarcDataSource)
 
     def urn(column: str) -> Column:
@@ -425,7 +439,7 @@ def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         "payload_bytes",
         F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"),
     )
-    rows.write.format("warc").mode("append").save(path)
+    rows.write.format("warc").mode("append").save(qualified(pages.sparkSession, path))
 
 
 def report(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -84,3 +84,23 @@ def test_cuts_follow_dense_ids(spark):
     bounds = [-1, *cuts, ids[-1]]
     assert set(cuts) <= set(ids)
     assert max(sum(a < i <= b for i in ids) for a, b in zip(bounds, bounds[1:])) <= 1100 and len(cuts) >= 8
+
+
+def test_likeness_columns_against_brute_force(spark):
+    """Sets within a sketch give the exact shares; larger ones come near."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 5, 20, 60])))) for k in range(0, 400, 2)]
+    rows += [(1001, rows[7][1]), (1003, rows[7][1]), (1005, " ".join(f"v{k}" for k in range(3000))), (1007, " ".join(f"v{k}" for k in range(0, 4000)))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, part string")
+    got = {r.doc_id: r for r in fp.edited_fingerprints(df, ranges=5).collect()}
+    order = sorted(rows, reverse=True)
+    for k, (doc, text) in enumerate(order):
+        follows = order[(k + 1) % len(order)][1]
+        n = len(text)
+        own, edited, after = shingles(text), shingles(text[: n - n // 2] + follows[: n // 2]), shingles(follows)
+        for have, other in ((got[doc].near_edited, edited), (got[doc].near_next, after)):
+            want = len(own & other) / len(own | other) if own | other else 1.0
+            assert abs(have - want) <= (1e-12 if len(own | other) <= fp.K else 0.2), (doc, have, want)
+        assert len(fp.decode(got[doc].fingerprint)) == min(fp.K, len(own))
+    assert got[1001].fingerprint == got[1003].fingerprint == got[rows[7][0]].fingerprint
