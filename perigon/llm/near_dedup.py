@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perigon.llm import common, graph
@@ -46,9 +46,11 @@ DEEPER = 9
 #: Minima after the first LEAST that orders and longest common prefixes look at, 16 bits of each.
 BELOW = 4
 MISS = 1e-6
-#: Members and documents of a block.
+#: Members of a block at most, and its documents: BLOCK_DOCS, or a BLOCKS-th of a larger group's, up to MOST_DOCS.
 BLOCK_SHINGLES = 2_000_000
-BLOCK_DOCS = 512
+BLOCK_DOCS = 128
+BLOCKS = 32
+MOST_DOCS = 4096
 PIVOTS = 8
 #: Rows of (id, region, group), 24 bytes each, up to which they are sent to all tasks instead of moving the texts.
 BROADCAST_ROWS = 500_000
@@ -367,6 +369,12 @@ def centre_links(spark: SparkSession, docs: DataFrame, large: DataFrame, near: D
     return common.written(found[0].unionByName(found[1]), spark, "centre-links")
 
 
+def block_count(docs: Column, shingles: Column, block_shingles: int, block_docs: int) -> Column:
+    """Blocks of a group: as many as keep the tasks small, not so many that its documents are copied more often than needed."""
+    size = F.greatest(F.lit(block_docs), F.least(docs / BLOCKS, F.lit(max(block_docs, MOST_DOCS))))
+    return F.greatest(F.lit(1), F.ceil(F.greatest(shingles / block_shingles, docs / size))).cast("bigint")
+
+
 def paired(members: DataFrame, parts: DataFrame, block_shingles: int, block_docs: int) -> DataFrame:
     """Documents of large regions with their block, once for each pair (low, high) of blocks to compare.
 
@@ -374,7 +382,7 @@ def paired(members: DataFrame, parts: DataFrame, block_shingles: int, block_docs
     null for those apart. A group beyond a block has blocks of its own, which are not paired with each
     other; all others share blocks, a group in one, which are paired with themselves too.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("shingles") / block_shingles, F.col("docs") / block_docs))).cast("bigint")
+    blocks = block_count(F.col("docs"), F.col("shingles"), block_shingles, block_docs)
     sized = parts.withColumn("n", blocks).withColumn("own", F.when(F.col("group").isNotNull() & (F.col("n") > 1), F.col("group")).otherwise(F.lit(SHARED)))
     table = sized.groupBy("region", "own").agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).withColumn("n", blocks)
     # a region has few groups that large: each has block_docs documents, or block_shingles members, at least
@@ -402,12 +410,13 @@ def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, siz
     near = candidates(spark, classes, trees)
     regions = graph.components(spark, near.select("id", "root"), "regions").select(F.col("id").alias("doc_id"), F.col("root").alias("region"))
     sizes = regions.join(classes.select(F.col("id").alias("doc_id"), "n_shingles"), "doc_id")
-    blocks = F.ceil(F.greatest(F.sum("n_shingles") / block_shingles, F.count(F.lit(1)) / block_docs)).cast("bigint")
-    large = common.written(sizes.groupBy("region").agg(blocks.alias("n")).filter("n > 1"), spark, "large")
+    blocks = block_count(F.col("docs"), F.col("shingles"), block_shingles, block_docs)
+    totals = sizes.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
+    large = common.written(totals.filter(blocks > 1).select("region"), spark, "large")
     known, none = None, F.lit(None).cast("bigint")
     regions = regions.withColumn("group", none)
     if not large.isEmpty():
-        inside = common.written(sizes.join(large.select("region"), "region"), spark, "inside")
+        inside = common.written(sizes.join(large, "region"), spark, "inside")
         known = centre_links(spark, docs, inside.select("doc_id", "region"), near, percent, trees, size)
         groups = graph.components(spark, known, "groups").select(F.col("id").alias("doc_id"), F.col("root").alias("group"))
         regions = regions.drop("group").join(groups, "doc_id", "left")
@@ -421,8 +430,8 @@ def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, siz
         grouped = members.withColumns({"low": whole, "high": whole, "block": whole}).select(*columns)
     else:
         members = common.written(members, spark, "members")
-        small = members.join(large.select("region"), "region", "left_anti").withColumns({"low": whole, "high": whole, "block": whole}).select(*columns)
-        grouped = small.unionByName(paired(members.join(large.select("region"), "region"), parts, block_shingles, block_docs))
+        small = members.join(large, "region", "left_anti").withColumns({"low": whole, "high": whole, "block": whole}).select(*columns)
+        grouped = small.unionByName(paired(members.join(large, "region"), parts, block_shingles, block_docs))
     links = grouped.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high").mapInArrow(linker(percent), "id bigint, root bigint")
     if known is not None:
         links = graph.components(spark, links.unionByName(known), "links")
