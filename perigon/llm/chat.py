@@ -11,8 +11,8 @@ has a window to itself. The loss mask covers the texts of new assistant turns; r
 context only, so that each is a target once.
 
 Conversations are read as a stream sorted by (conv_id, turn, role, text): a task holds one window,
-however long a conversation is. (One conversation is one task's work, since its digest is a chain
-over all its turns.)
+however long a conversation is. Tokens are counted before that exchange, by all tasks. (Laying out one
+conversation and reading it back is one task's work, since its digest is a chain over all its turns.)
 
 Edge cases: null roles and texts are empty; rows with an equal turn are ordered by role and text, and
 repeated rows are turns of their own; rows without conv_id form one conversation.
@@ -76,9 +76,9 @@ class Windows:
         self.sums = [0]
         self.repeated, self.number, self.first = 0, 0, True
 
-    def add(self, role: str, text: str, count) -> Iterator[tuple]:
+    def add(self, role: str, text: str, size: int) -> Iterator[tuple]:
+        """size: tokens of the written turn."""
         written, begin, end = format_turn(role, text)
-        size = count(written)
         if self.first and role == "system":
             self.system, self.first = (written, begin, end, role, size), False
             return
@@ -128,14 +128,19 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     path = path or tokens.tokenizer_path()
     common.sent_to_workers(conversations.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The turns with their tokens, before any exchange: a conversation of most turns is counted by all tasks."""
         encoder = tokens.encoder_for(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sizes = []
+                for role, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    written = format_turn(role, text)[0]
+                    sizes.append(encoder.count(written) if len(written) <= tokens.CHUNK else tokens.count_spliced(written, encoder.pieces, encoder.margin))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64())], names=["conv_id", "turn", "role", "text", "size"])
 
-        def count(text: str) -> int:
-            if len(text) <= tokens.CHUNK:
-                return encoder.count(text)
-            return tokens.count_spliced(text, encoder.pieces, encoder.margin)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
         held, windows = object(), None
 
@@ -147,12 +152,12 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                for conv, role, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for conv, role, text, size in zip(*(part.column(c).to_pylist() for c in range(4))):
                     if windows is None or conv != held:
                         if windows:
                             ready += [(held, *w) for w in windows.finish()]
                         held, windows = conv, Windows(budget, history)
-                    ready += [(held, *w) for w in windows.add(role, text, count)]
+                    ready += [(held, *w) for w in windows.add(role, text, size)]
                 if len(ready) >= 64:
                     yield out()
         if windows:
@@ -161,8 +166,10 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
             yield out()
 
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    kind = rows.schema["turn"].dataType.simpleString()
+    counted = rows.mapInArrow(sized, f"conv_id bigint, turn {kind}, role string, text string, size bigint")
+    dealt = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text", "size").mapInArrow(run, WINDOWS)
 
 
 DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
