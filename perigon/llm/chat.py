@@ -213,6 +213,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         if ready:
             yield out()
 
+    common.sent_to_workers(windows.sparkSession)
     rows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
     return rows.select("conv_id", "text", "loss", "repeated").mapInArrow(run, DIGEST)
 

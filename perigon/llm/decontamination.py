@@ -173,7 +173,7 @@ def filed(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
     windows = common.written(windows, spark, "windows")
     tokens = windows.select("words", F.posexplode("tokens").alias("place", "token"))
     about = tokens.agg(F.approx_count_distinct("token").alias("n")).first()["n"]
-    bits = min(BITMAP, 1 << (16 * max(about, 64)).bit_length())
+    bits = min(BITMAP, 1 << (256 * max(about, 64)).bit_length())  # so that few other shingles are counted
     sizes = sorted(r["n"] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("n")).distinct().collect())  # SHINGLE sizes at most
     counts = counted(docs, bitmap(tokens.select("token"), bits), sizes)
     rare = tokens.join(counts.withColumnRenamed("n", "often"), "token").groupBy("words").agg(F.min(F.struct("often", "place", "token")).alias("rare"), F.count(F.lit(1)).alias("known"))

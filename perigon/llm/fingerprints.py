@@ -87,6 +87,7 @@ def fingerprint(docs: DataFrame, text: str = "text", k: int = K, size: int = SIZ
 
         return pd.Series([encode(s) for s in sketches(pa.Array.from_pandas(texts, type=pa.string()), k, size)], dtype=object)
 
+    common.sent_to_workers(docs.sparkSession)
     return docs.withColumn(out, sketch_of(F.col(text)))
 
 
@@ -95,6 +96,7 @@ def merge_by(prints: DataFrame, key: str, column: str = "fingerprint", k: int =
 
     Each task first merges what it has of a key, so a key with most rows sends one sketch per task.
     """
+    common.sent_to_workers(prints.sparkSession)
     kind = prints.schema[key].dataType.simpleString()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +151,7 @@ def compare(pairs: DataFrame, a: str, b: str, k: int = K) -> DataFrame:
         both = [(decode(p), decode(q)) for p, q in zip(x, y)]
         return pd.DataFrame({"resemblance": [resemblance(p, q, k) for p, q in both], "containment": [containment(p, q, k) for p, q in both]}, dtype="float64")
 
+    common.sent_to_workers(pairs.sparkSession)
     got = pairs.withColumn("likeness__", likeness(F.col(a), F.col(b)))
     return got.withColumns({"resemblance": F.col("likeness__.resemblance"), "containment": F.col("likeness__.containment")}).drop("likeness__")
 

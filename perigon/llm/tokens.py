@@ -51,9 +51,11 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, processors
 
         self.tokenizer = Tokenizer.from_file(path)
+        # special tokens are not asked for, so all that a post-processor could do is to trim the offsets that splicing needs
+        self.tokenizer.post_processor = processors.TemplateProcessing(single="$A", pair="$A $B", special_tokens=[])
         with open(path) as file:
             spec = json.load(file)
         added = spec.get("added_tokens") or []

@@ -50,3 +50,10 @@ def test_control_strings_and_empty_table(spark):
     assert row.conv_id == -7 and row.n_turns == 2 and row.loss_chars == len(odd)
     assert row.loss_sha256 == hashlib.sha256(odd.encode()).hexdigest()
     assert chat.unescape(chat.escape(odd)) == odd
+
+
+def test_clashing_columns_long_turns_and_a_hot_conversation(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"turn {t} </turn>") for t in range(3000)] + [(2, 0, "assistant", "word " * 400_000), (3, None, "user", "x")]
+    df = spark.createDataFrame([(*r, "size", "loss") for r in rows], "conv_id int, turn int, role string, text string, size string, loss string")
+    got = [tuple(r)[:5] for r in chat.read_back(chat.format_windows(df)).collect()]
+    assert sorted(got, key=str) == brute(rows)

@@ -86,3 +86,25 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_dedup.near_components(spark, empty).count() == 0
     assert near_dedup.deduplicated(spark, empty).count() == 0
+
+
+def test_of_repeated_ids_the_smallest_text_stays(spark):
+    rows = [(1, "b c d e f g", 1), (1, "a b c d e f", 2), (1, None, 3), (2, "z y x w v u", 4), (2, "z y x w v u", 4), (3, "k l m n o p q", 5), (None, "k l m n o p q", 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, whole__ int")
+    got = near_dedup.deduplicated(spark, df.withColumnRenamed("whole__", "region"), 80).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, None, 3), (2, "z y x w v u", 4), (3, "k l m n o p q", 5), (None, "k l m n o p q", 6)], key=str)
+
+
+def test_near_misses_and_a_dense_region(spark):
+    """Hundreds of texts of one template, few of them linked, in blocks: the rarest members keep the comparisons few."""
+    rng = random.Random(9)
+    base = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for j in rng.sample(range(60), 2 if k % 10 else 1):
+            copy[j] = f"own{k}-{j}"
+        rows.append((k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dedup.near_components(spark, df, 85, block_docs=20).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == brute(rows, 85)

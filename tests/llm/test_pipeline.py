@@ -1,5 +1,6 @@
 import corpus_pipeline
 from perigon.llm import common, decontamination, mixing, near_dedup, toxicity
+from tests.llm import test_decontamination, test_near_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +21,11 @@ def test_stages_against_their_own_inputs(spark):
     groups = near_dedup.near_components(spark, seen[1], 80).collect()
     assert ids[2] == {r.component_id for r in groups}
     dirty = {r.doc_id for r in decontamination.report(spark, seen[2], common.table(spark, SF, "benchmark")).filter("contaminated").collect()}
+    # the same by brute force, from each stage's own input
+    texts = [[(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()] for d in seen[1:3]]
+    assert ids[2] == {c for _, _, c in test_near_dedup.brute(texts[0], 80)}
+    items = [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]
+    assert dirty == {d for d, _, hit, _ in test_decontamination.brute(texts[1], items) if hit}
     assert ids[3] == ids[2] - dirty and ids[4] == ids[3] and ids[5] == ids[4]
     shards = seen[5].toPandas().sort_values(["shard", "slot"])
     # the shards follow each other as the mix does

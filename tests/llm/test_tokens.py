@@ -38,3 +38,9 @@ def test_rows(spark):
     got = tokens.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk=1000).collect()
     assert sorted([(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got], key=str) == sorted([(d, len((t or "").encode()), plain(t or ""), plain(t or "") > 512) for d, t in rows], key=str)
     assert tokens.count_tokens(spark.createDataFrame([], "doc_id bigint, text string, n_tokens int")).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(7, "one two", "x", 3, True)] * 3 + [(None, None, None, None, None)]
+    got = tokens.count_tokens(spark.createDataFrame(rows, "doc_id int, text string, n_tokens string, n_bytes int, over_limit boolean")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 7, plain("one two"), False)] * 3 + [(None, 0, 0, False)], key=str)
