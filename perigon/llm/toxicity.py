@@ -37,6 +37,8 @@ SAMPLE = 30_000
 #: Bound on the learned entries.
 ENTRIES = 20_000
 LIMIT = 0.7
+#: How far the ends of a step of the calibration lie towards the next steps.
+TILT = 0.02
 PREFIXES = (4, 5, 6, 7)
 NEAR = 6
 #: Common insults in four languages.
@@ -310,17 +312,21 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 
 
 def calibrated(spark: SparkSession, late: DataFrame):
-    """Isotonic regression of label on raw__, with its steps joined by lines.
+    """Isotonic regression of label on raw__, whose steps rise a little.
 
-    A step holds many raw values equal. Its level is kept at the middle of the step, and between the
-    middles of two steps the score rises, so it also orders texts within a step. `late` is a part of the sample.
+    A step holds many raw values equal. Here it begins and ends TILT of the way towards the steps
+    beside it, so the score also orders texts within a step. `late` is a part of the sample.
     """
     model = IsotonicRegression(labelCol="label", featuresCol="raw__", predictionCol="calibrated__").fit(late)
     steps: dict[float, list[float]] = {}
     for x, y in zip(model.boundaries.tolist(), model.predictions.tolist()):  # two values a step
         steps.setdefault(y, []).append(x)
-    middles = [((min(x) + max(x)) / 2, y, 1.0) for y, x in sorted(steps.items())]
-    knots = spark.createDataFrame(middles, "raw__ double, label double, weight double")
+    levels = sorted(steps)
+    points = {}
+    for y, below, above in zip(levels, [levels[0], *levels], [*levels[1:], levels[-1]]):
+        points[min(steps[y])] = y - TILT * (y - below)
+        points[max(steps[y])] = y + TILT * (above - y)
+    knots = spark.createDataFrame(sorted(points.items()), "raw__ double, label double")
     return IsotonicRegression(labelCol="label", featuresCol="raw__", predictionCol="calibrated__").fit(knots)
 
 
