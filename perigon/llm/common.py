@@ -17,13 +17,19 @@ from pyspark.sql import functions as F
 
 #: Text bytes that the array code looks at in one go; a longer text is one piece by itself.
 PIECE_BYTES = 1 << 19
+#: Bytes of an Arrow batch that a Python worker is sent.
+BATCH = "4m"
 
 
 def sent_to_workers(spark: SparkSession) -> None:
     """Sends this package to the Python workers, unless their path has it already.
 
-    Everything that starts Python on a caller's rows calls this first.
+    Everything that starts Python on a caller's rows calls this first. Where the session leaves the size of
+    Arrow batches at Spark's default, BATCH bounds it, since whole texts take much memory on both sides.
     """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) == "67108864b":
+        spark.conf.set(size, BATCH)
     root = Path(__file__).resolve().parents[2]
     paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     name = "perigon-package.zip"
