@@ -82,7 +82,7 @@ def test_rows_of_equal_sources_over_many_slots(spark):
 def brute_slots(blocks, weights):
     """The slots of all blocks by trying every source at every slot, from the definition."""
     left, done, order = dict(blocks), dict.fromkeys(blocks, 0), []
-    w = {s: Fraction(x) for s, x in weights.items()}
+    w = {s: Fraction(weights[s]) for s in blocks}
 
     def passed(v):
         return sum(min(Fraction(n), w[s] * v) for s, n in blocks.items())
@@ -114,3 +114,31 @@ def test_registered_form_against_brute_force(spark):
     for t, (s, i) in enumerate(want):
         assert {r.source for r in slots[t]} == {s} and sorted(r.place - t * mixing.BLOCK_ROWS for r in slots[t]) == list(range(min(mixing.BLOCK_ROWS, sizes[s] - i * mixing.BLOCK_ROWS)))
     assert sorted((r.doc_id, str(r.source)) for r in got) == sorted((r.doc_id, str(r.source)) for r in both.collect())
+
+
+def test_stretches_by_themselves_are_the_whole_schedule(spark, monkeypatch):
+    rng = random.Random(7)
+    cases = [({k: rng.randint(1, 120) for k in range(rng.randint(1, 9))}, 3) for _ in range(60)]
+    cases += [({k: rng.randint(1, 5) for k in range(60)}, 50), ({0: 900, 1: 1, 2: 30}, 10)]
+    for blocks, most in cases:
+        weights = {k: rng.choice([rng.random(), rng.randint(1, most), 1e-3, 0]) for k in blocks}
+        mix = mixing.Mix(blocks, weights)
+        whole = list(mix.slots(0, mix.total))
+        assert [(s, i) for _, s, i in whole] == brute_slots_with_rest(blocks, weights)
+        for first in sorted({rng.randrange(mix.total) for _ in range(12)}):
+            end = min(mix.total, first + rng.randint(1, 40))
+            assert list(mix.slots(first, end)) == whole[first:end], (blocks, weights, first)
+        assert all(p.passed(i + 1, k)[1] - p.passed(i, k)[0] <= p.longest() + 1 for p in mix.parts for k in range(len(p.names)) for i in range(p.blocks[k]))
+    monkeypatch.setattr(mixing, "STRETCH", 10)
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 50 == 1, "b").otherwise("c").alias("source"))
+    got = mixing.with_places(docs, block_rows=4).collect()
+    sizes = {s: sum(r.source == s for r in got) for s in "abc"}
+    want = mixing.Mix({s: -(-n // 4) for s, n in sizes.items()}, mixing.tempered(sizes))
+    assert want.total // want.stretch() > 5
+    assert {(r.slot, r.source) for r in got} == {(t, s) for t, s, _ in want.slots(0, want.total)}
+
+
+def brute_slots_with_rest(blocks, weights):
+    first = {s: n for s, n in blocks.items() if weights[s] > 0}
+    rest = {s: n for s, n in blocks.items() if weights[s] <= 0}
+    return brute_slots(first, weights) + brute_slots(rest, dict.fromkeys(rest, 1))
