@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigon.llm import chat, decontamination, fingerprints, mixing, near_dedup, quality_rules, sharding, substrings, tokens, toxicity, warc
+from perigon.llm import chat, decontamination, fingerprints, lexical_search, mixing, near_dedup, quality_rules, sharding, substrings, tokens, toxicity, warc
 from perigon.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(spark, table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(spark, table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_histogram_shards": op8_histogram_shards,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_substrings": op10_repeated_substrings,
+    "op11_lexical_search": op11_lexical_search,
     "op12_quality_rules": op12_quality_rules,
 }
 
@@ -72,5 +77,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_histogram_shards": sharding.ORACLE,
     "op9_near_duplicates": near_dedup.ORACLE,
     "op10_repeated_substrings": substrings.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
     "op12_quality_rules": quality_rules.ORACLE,
 }
