@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigon.llm import chat, decontamination, fingerprints, lexical_search, mixing, near_dedup, quality_rules, sharding, substrings, tokens, toxicity, warc
+from perigon.llm import chat, decontamination, fingerprints, lexical_search, mixing, near_dedup, quality_rules, sharding, substrings, tokens, toxicity, warc, whitening
 from perigon.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
@@ -69,6 +73,7 @@ QUERIES = {
     "op10_repeated_substrings": op10_repeated_substrings,
     "op11_lexical_search": op11_lexical_search,
     "op12_quality_rules": op12_quality_rules,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
