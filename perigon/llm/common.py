@@ -63,10 +63,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:
+#: For `written`: tables whose rows are some 100 KB. Parquet looks at the size of a page only every so many rows.
+LARGE_ROWS = {"parquet.page.row.count.limit": "8", "parquet.block.size": str(16 << 20)}
+
+
+def written(df: DataFrame, spark: SparkSession, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """The same rows, written once to the shared folder as Parquet; lineage ends there."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_path = path
     return found

@@ -80,6 +80,15 @@ class Index:
         common.removed(self.forward, self.maxima)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of a block in as few bytes each as the largest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}" if n else "u1").astype(np.int64)
+
+
 def _blocks(block_docs: int, block_bytes: int):
     """Arrow function: documents (id, text) to blocks of the forward index."""
 
@@ -113,8 +122,8 @@ def _blocks(block_docs: int, block_bytes: int):
                         "n_terms": pa.array([sum(r[1] for r in own)], pa.int64()),
                         "terms": pa.array([b" ".join([names[u] for u in used])], pa.binary()),
                         "starts": pa.array([starts.tobytes()], pa.binary()),
-                        "places": pa.array([place.astype(np.uint32).tobytes()], pa.binary()),
-                        "times": pa.array([np.concatenate([r[4] for r in own]).astype(np.uint32).tobytes()], pa.binary()),
+                        "places": pa.array([_packed(place)], pa.binary()),
+                        "times": pa.array([_packed(np.concatenate([r[4] for r in own]))], pa.binary()),
                     }
                 )
                 number += 1
@@ -127,7 +136,7 @@ def _impacts(lengths: list[int], starts: bytes, times: bytes, n: int, total: int
     """Impact of each entry of a block, and the document (by its place in the block) that it belongs to."""
     share = np.array([25 + 75 * x * n // total for x in lengths], np.int64)
     doc = np.repeat(np.arange(len(lengths)), np.diff(np.frombuffer(starts, np.int64)))
-    tf = np.frombuffer(times, np.uint32).astype(np.int64)
+    tf = _unpacked(times, len(doc))
     return 1_000_000_000 * tf // (1000 * tf + 8 * share[doc]), doc
 
 
@@ -135,7 +144,7 @@ def build(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
     """The index of all documents, in the shared folder; its owner removes it."""
     common.sent_to_workers(spark)
     rows = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    forward = common.written(rows.mapInArrow(_blocks(block_docs, block_bytes), FORWARD), spark, "search-forward")
+    forward = common.written(rows.mapInArrow(_blocks(block_docs, block_bytes), FORWARD), spark, "search-forward", common.LARGE_ROWS)
     n, total = forward.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +153,14 @@ def build(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
                 if not terms:
                     continue
                 impact, _ = _impacts(lengths, starts, times, n, total)
-                place = np.frombuffer(places, np.uint32)
+                place = _unpacked(places, len(impact))
                 holders = np.bincount(place)
                 top = np.zeros(len(holders), np.int64)
                 np.maximum.at(top, place, impact)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in (terms, holders.astype(np.int32).tobytes(), top.astype(np.int32).tobytes())]], names=["block", "terms", "holders", "top"])
 
     maxima = forward.select("block", "lengths", "terms", "starts", "places", "times").mapInArrow(run, MAXIMA)
-    return Index(forward, common.written(maxima, spark, "search-maxima"), n, total)
+    return Index(forward, common.written(maxima, spark, "search-maxima", common.LARGE_ROWS), n, total)
 
 
 @dataclass
@@ -336,7 +345,7 @@ def _scored(spark: SparkSession, index: Index, group: Group, wanted: DataFrame,
                     continue
                 queries = queries[open_]
                 impact, doc = _impacts(lengths, starts, times, n, total)
-                scores = _scores(own, own.numbers(terms), np.frombuffer(places, np.uint32), impact, doc, len(ids), queries, int(bounds.max()))
+                scores = _scores(own, own.numbers(terms), _unpacked(places, len(impact)), impact, doc, len(ids), queries, int(bounds.max()))
                 for q, found in zip(queries, scores):
                     best.add(int(q), found, ids)
         yield best.rows()
