@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,34 @@ def removed(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a table that `looked_up` sends to all tasks; else the keys with this share of all rows.
+FEW = 200_000
+HEAVY = 50_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, count: str, few: int = FEW, heavy: int = HEAVY) -> DataFrame:
+    """rows with the table's columns (all but `count`), null where it has not got the key.
+
+    table: written, one row for each key, with the number of rows that have the key. With at most `few` keys it is sent to all
+    tasks. Else only the keys with a `heavy`-th of the counted rows or more are, `heavy` of them at most since counts add up to no
+    more than their sum; rows of the others are exchanged by key, where no key has such a share, and rows that
+    are found already are dealt out by a hash of their own.
+    """
+    own = [c for c in table.columns if c not in (key, count)]
+    if table.count() <= few:
+        return rows.join(F.broadcast(table.drop(count)), key, "left")
+    total = table.agg(F.sum(count)).first()[0]
+    share = F.col(count) * heavy >= F.lit(total)
+    head = table.filter(share).select(key, *[F.col(c).alias(f"{c}head__") for c in own], F.lit(True).alias("head__"))
+    tail = table.filter(~share).select(F.col(key).alias("key__"), *own)
+    some = rows.join(F.broadcast(head), key, "left")
+    asked = F.when(F.col("head__").isNull(), F.col(key))
+    spread = some.withColumn("spread__", F.when(asked.isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)))
+    tail = tail.withColumn("zero__", F.lit(0).cast("bigint"))
+    joined = spread.join(tail, asked.eqNullSafe(F.col("key__")) & (F.col("spread__") == F.col("zero__")), "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"{c}head__", c).alias(c) for c in own])
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column over all rows."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column).cast("bigint")), F.lit(0)).alias("n")).first()["n"]
@@ -235,6 +264,18 @@ def shingles(word_hash: np.ndarray, row_words: np.ndarray, size: int) -> tuple[n
     return mix(found), out_offsets
 
 
+#: Longer words are hashed whole: two short ones that differ have different prefix sums but by chance, very long ones can be made alike.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[start:end]."""
+    found = SpanHash(data).spans(start, end)
+    for k in np.flatnonzero(end - start > LONG_WORD):
+        found[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), 7)
+    return found
+
+
 def word_pieces(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For rows [i, j): hashes of their words, starts and ends within their row, and the number of words before each row.
 
@@ -246,12 +287,12 @@ def word_pieces(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> Itera
             for a, b in parts(own, gap):
                 some = lower_ascii(own[a:b])
                 start, end, rows = words(some, np.array([0, b - a]), gap)
-                yield i, j, SpanHash(some).spans(start, end), start + a, end + a, rows
+                yield i, j, word_hashes(some, start, end), start + a, end + a, rows
         else:
             own = lower_ascii(own)
             start, end, rows = words(own, at, gap)
             base = np.repeat(at[:-1], np.diff(rows))
-            yield i, j, SpanHash(own).spans(start, end), start - base, end - base, rows
+            yield i, j, word_hashes(own, start, end), start - base, end - base, rows
 
 
 def shingle_rows(data: np.ndarray, offsets: np.ndarray, size: int = 5, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:

@@ -118,3 +118,18 @@ def test_ids_of_other_types(spark):
     d = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id bigint, text string")
     b = spark.createDataFrame([(1.5, "Two three"), (None, "four"), (2.5, "five")], "item_id double, text string")
     assert {r.doc_id: list(r["items"]) for r in dc.mark(spark, d, b, ["doc_id"]).collect()} == {1: [1.5], 2: [None]}
+
+
+def swapped(levels=10):
+    """Two words of 2^levels letters whose polynomial hashes modulo 2^64 are equal for any odd base."""
+    a, b = "a", "b"
+    for _ in range(levels):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_long_words_that_hash_alike_by_polynomials(spark):
+    a, b = swapped()
+    docs = [(1, f"one {a} two"), (2, f"one {b} two"), (3, f"{a}")]
+    got = dc.mark(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(5, a)], "item_id bigint, text string"), ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.n_hit) for r in got) == [(1, 1), (2, 0), (3, 1)]

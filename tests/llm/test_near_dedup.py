@@ -108,3 +108,15 @@ def test_near_misses_and_a_dense_region(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = near_dedup.near_components(spark, df, 85, block_docs=20).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == brute(rows, 85)
+
+
+def test_long_words_that_hash_alike_by_polynomials(spark):
+    from perigon.llm import fingerprints
+    from tests.llm.test_decontamination import swapped
+
+    words = swapped()
+    docs = spark.createDataFrame([(k, f"the same words around {w} and after it as well") for k, w in enumerate(words)], "doc_id bigint, text string")
+    assert {r.component_id for r in near_dedup.near_components(spark, docs, percent=85).collect()} == {0, 1}
+    assert {r.doc_id for r in near_dedup.deduplicated(spark, docs).collect()} == {0, 1}
+    prints = fingerprints.edited_fingerprints(docs).orderBy("doc_id").collect()
+    assert prints[0].fingerprint != prints[1].fingerprint
