@@ -51,12 +51,11 @@ from perigon.llm import common
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, "
-    "content_type string, http_length bigint, headers map<string,string>, payload binary, file string, offset bigint"
+    "content_type string, http_length bigint, headers map<string,string>, payload binary, file string, offset bigint, broken string"
 )
 HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_type": "content-type"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 16
-SALTS = 16
 
 
 def decide(test, header: dict[str, str]) -> bool | None:
@@ -100,140 +99,233 @@ def parse_headers(block: bytes) -> dict[str, str]:
     return found
 
 
-class Window:
-    """Bytes of a file from a position on, read in chunks as they are asked for."""
+class Content:
+    """Bytes of a file's records, read in chunks as they are asked for: each byte is copied a fixed number of times, however long a record is."""
 
+    def __init__(self, file):
+        self.file, self.have, self.start, self.gone = file, bytearray(), 0, 0
+
+    def __len__(self) -> int:
+        return len(self.have) - self.start
+
+    def more(self) -> bool:
+        """Reads on; False at the end."""
+        part = self.file.read(_CHUNK)
+        self.have += part
+        return bool(part)
+
+    def need(self, n: int) -> bool:
+        while len(self) < n:
+            if not self.more():
+                return False
+        return True
+
+    def peek(self, a: int, b: int) -> bytes:
+        return bytes(memoryview(self.have)[self.start + a : self.start + b])
+
+    def find(self, sign: bytes, begin: int = 0, most: int | None = None) -> int:
+        """Place of the sign from `begin` on, reading on until it comes or `most` bytes are there; -1 without."""
+        looked = begin
+        while True:
+            at = self.have.find(sign, self.start + looked)
+            if at >= 0:
+                return at - self.start
+            looked = max(begin, len(self) - len(sign) + 1)
+            if most is not None and len(self) >= most or not self.more():
+                return -1
+
+    def take(self, n: int) -> None:
+        """Drops n bytes that are there."""
+        self.start += n
+        self.gone += n
+        if self.start > 1 << 20 and 2 * self.start > len(self.have):
+            del self.have[: self.start]
+            self.start = 0
+
+    def skip(self, n: int) -> bool:
+        """Drops n bytes, also those that are not read yet; False if the file ends before."""
+        while n > len(self):
+            n -= len(self)
+            self.take(len(self))
+            if not self.more():
+                return False
+        self.take(n)
+        return True
+
+    def offset(self) -> int:
+        return self.gone
+
+    def cut(self) -> bool:
+        """Whether the file ends inside of what it holds."""
+        return False
+
+
+class Plain(Content):
     def __init__(self, file, size: int):
-        self.file, self.size, self.at, self.have = file, size, 0, b""
-
-    def need(self, n: int) -> bytes:
-        while len(self.have) < n and self.at + len(self.have) < self.size:
-            self.file.seek(self.at + len(self.have))
-            more = self.file.read(max(_CHUNK, n - len(self.have)))
-            if not more:
-                break
-            self.have += more
-        return self.have
-
-    def move(self, n: int) -> None:
-        self.at += n
-        self.have = self.have[n:] if n < len(self.have) else b""
-
-
-class Inflater:
-    """A gzip member's content, inflated as far as it is asked for."""
-
-    def __init__(self, window: Window):
-        self.window = window
-        head = window.need(12)
-        self.skip = None
-        if head[3] & 4:
-            extra = window.need(12 + struct.unpack("<H", head[10:12])[0])[12 : 12 + struct.unpack("<H", head[10:12])[0]]
+        super().__init__(file)
+        self.size = size
+
+    def skip(self, n: int) -> bool:
+        if n > len(self) + _CHUNK:
+            n -= len(self)
+            self.take(len(self))
+            there = min(n, self.size - self.gone)
+            self.gone += there
+            self.file.seek(self.gone)
+            return there == n
+        return super().skip(n)
+
+
+class Gzip(Content):
+    """The content of gzip members one after another; a member may hold any number of records, also parts of them."""
+
+    def __init__(self, file):
+        super().__init__(file)
+        self.raw, self.at, self.inflate = b"", 0, None
+        #: Place of the member in the file and in the content, and what it says of its lengths.
+        self.member, self.begins, self.lengths = 0, 0, None
+        self.members: list[tuple[int, int, tuple[int, int] | None]] = []
+
+    def _raw(self, n: int) -> bool:
+        while len(self.raw) < n:
+            part = self.file.read(_CHUNK)
+            if not part:
+                return False
+            self.raw += part
+        return True
+
+    def _open(self) -> bool:
+        """Begins the next member."""
+        if not self._raw(1):
+            return False
+        lengths = None
+        if self._raw(12) and self.raw[3] & 4:
+            size = struct.unpack("<H", self.raw[10:12])[0]
+            self._raw(12 + size)
+            extra = self.raw[12 : 12 + size]
             while len(extra) >= 4:
                 n = struct.unpack("<H", extra[2:4])[0]
-                if extra[:2] == b"sl" and n == 8:
-                    self.skip = struct.unpack("<I", extra[4:8])[0] or None
+                if extra[:2] == b"sl" and n == 8 and len(extra) >= 12:
+                    lengths = struct.unpack("<II", extra[4:12])
                 extra = extra[4 + n :]
+        self.members.append((self.at, self.gone + len(self), lengths))
         self.inflate = zlib.decompressobj(31)
-        self.fed, self.out = 0, b""
+        return True
 
-    def _feed(self, keep: bool) -> bool:
-        have = self.window.need(self.fed + _CHUNK)[self.fed : self.fed + _CHUNK]
-        if not have or self.inflate.eof:
+    def more(self) -> bool:
+        before = len(self.have)
+        while len(self.have) == before:
+            if self.inflate is None and not self._open() or not self._raw(1):
+                return False
+            self.have += self.inflate.decompress(self.raw)
+            rest = self.inflate.unused_data
+            self.at += len(self.raw) - len(rest)
+            self.raw = rest
+            if self.inflate.eof:
+                self.inflate = None
+        return True
+
+    def cut(self) -> bool:
+        return self.inflate is not None
+
+    def offset(self) -> int:
+        """Of the member that the next byte is in."""
+        while len(self.members) > 1 and self.members[1][1] <= self.gone:
+            del self.members[0]
+        return self.members[0][0] if self.members else self.at
+
+    def skip_member(self, length: int) -> bool:
+        """Moves on to the next member if the present one says that it holds just the `length` bytes from here on."""
+        at = self.offset()
+        place, begins, lengths = self.members[0]
+        if lengths is None or begins != self.gone or not lengths[0] or lengths[1] != length:
             return False
-        more = self.inflate.decompress(have)
-        self.fed += len(have) - len(self.inflate.unused_data)
-        if keep:
-            self.out += more
-        if self.fed > 1 << 20 and self.skip is None:  # nothing before is needed again
-            self.window.move(self.fed)
-            self.fed = 0
+        self.have, self.start, self.raw, self.inflate, self.members = bytearray(), 0, b"", None, []
+        self.gone += length
+        self.at = at + lengths[0]
+        self.file.seek(self.at)
         return True
 
-    def head(self) -> bytes | None:
-        while b"\r\n\r\n" not in self.out:
-            if not self._feed(True):
-                return None
-        head, _, self.out = self.out.partition(b"\r\n\r\n")
-        return head
-
-    def body(self, n: int) -> bytes:
-        while len(self.out) < n and self._feed(True):
-            pass
-        return self.out[:n]
-
-    def close(self) -> None:
-        """Moves to the next member."""
-        if self.skip is not None:
-            self.window.move(self.skip)
-            return
-        while not self.inflate.eof and self._feed(False):
-            pass
-        self.window.move(self.fed)
-
-
-class Plain:
-    """A record of an uncompressed file."""
-
-    def __init__(self, window: Window):
-        self.window, self.start, self.length = window, 0, 0
-
-    def head(self) -> bytes | None:
-        have = self.window.need(_CHUNK)
-        while (end := have.find(b"\r\n\r\n")) < 0:
-            if len(self.window.need(len(have) + _CHUNK)) == len(have):
-                return None
-            have = self.window.have
-        self.start = end + 4
-        return have[:end]
-
-    def body(self, n: int) -> bytes:
-        return self.window.need(self.start + n)[self.start : self.start + n]
-
-    def close(self) -> None:
-        self.window.move(self.start + self.length + 4)
-
-
-def records(file, size: int, tests: list, payload: str, verify: bool) -> Iterator[tuple[int, dict, dict, bytes | None]]:
-    """(offset, headers, HTTP headers, payload) of the records that pass the tests."""
-    window = Window(file, size)
-    while window.need(4):
-        if window.have[:2] == b"\x1f\x8b":
-            record = Inflater(window)
-        else:
-            while window.have[:2] == b"\r\n":
-                window.move(2)
-                window.need(2)
-            if not window.have:
-                return
-            record = Plain(window)
-        offset = window.at
-        head = record.head()
-        if head is None:
-            return
-        header = parse_headers(head)
-        length = int(header.get("content-length", "0"))
-        if isinstance(record, Plain):
-            record.length = length
-        if all(decide(t, header) for t in tests):
+
+class Broken(ValueError):
+    """A record that cannot be read whole."""
+
+
+def records(file, size: int, tests: list, payload: str, verify: bool, name: str = "", broken: str = "fail") -> Iterator[tuple[int, dict, dict, bytes | None, str | None]]:
+    """(offset, headers, HTTP headers, payload, what is wrong) of the records that pass the tests.
+
+    Of several records in one gzip member the offset is the member's. What is wrong is null for whole records; broken:
+    fail raises Broken for others, mark gives as much of them as there is, whatever their headers say.
+    """
+    first = file.read(2)
+    file.seek(0)
+    content = Gzip(file) if first == b"\x1f\x8b" else Plain(file, size)
+    while True:
+        try:
+            while content.need(2) and content.peek(0, 2) == b"\r\n":
+                content.take(2)
+            there = content.need(1)
+        except zlib.error:
+            there = False
+        offset = content.offset()
+        header: dict[str, str] = {}
+        body, wrong = b"", None
+        try:
+            if not there:
+                if not content.cut() and not len(content):
+                    return
+                raise Broken("no record can be read")
+            end = content.find(b"\r\n\r\n")
+            if end < 0:
+                if not content.cut() and not content.peek(0, len(content)).strip():
+                    return
+                raise Broken("the headers are cut off")
+            header = parse_headers(content.peek(0, end))
+            begin = end + 4
+            size_said = header.get("content-length", "0")
+            if not size_said.isdigit():
+                raise Broken(f"the length {size_said!r} is no number")
+            length = int(size_said)
+            if not all(decide(t, header) for t in tests):
+                if not (isinstance(content, Gzip) and content.skip_member(begin + length + 4)) and not content.skip(begin + length):
+                    raise Broken("the record is cut off")
+                continue
             kind = header.get("warc-type")
-            http, content = {}, None
             wanted = payload == "all" or payload == "response" and kind == "response"
             is_http = header.get("content-type", "").startswith("application/http")
-            if wanted or is_http:
+            http: dict[str, str] = {}
+            if wanted:
+                whole = content.need(begin + length)
+                body = content.peek(begin, begin + length)
+                if not whole:
+                    raise Broken("the record is cut off")
+            elif is_http:
                 # without a wanted payload only the HTTP headers are decoded
-                n = length if wanted else min(length, _CHUNK)
-                block = record.body(n)
-                if is_http:
-                    top, _, block = block.partition(b"\r\n\r\n")
-                    http = parse_headers(top)
-                if wanted:
-                    content = block
-                    digest = header.get("warc-payload-digest", "")
-                    if verify and kind == "response" and digest.startswith("sha1:") and digest[5:] != base64.b32encode(hashlib.sha1(content).digest()).decode():
-                        raise ValueError(f"payload of {header.get('warc-record-id')} does not have the digest {digest}")
-            yield offset, header, http, content
-        record.close()
+                top = content.find(b"\r\n\r\n", begin, begin + length)
+                body = content.peek(begin, top + 4) if begin <= top <= begin + length - 4 else b""
+        except (Broken, zlib.error, EOFError) as error:
+            wrong = f"{name}: record at {offset}: {error}"
+            if broken == "fail":
+                raise Broken(wrong) from None
+            yield offset, header, {}, body if payload != "none" else None, wrong
+            return
+        if is_http:
+            top, _, body = body.partition(b"\r\n\r\n")
+            http = parse_headers(top)
+        if wanted and verify:
+            digest = header.get("warc-payload-digest", "")
+            if kind == "response" and digest.startswith("sha1:") and digest[5:] != base64.b32encode(hashlib.sha1(body).digest()).decode():
+                wrong = f"{name}: record at {offset}: the payload does not have the digest {digest}"
+                if broken == "fail":
+                    raise Broken(wrong)
+        rest = not wanted and isinstance(content, Gzip) and content.skip_member(begin + length + 4) or content.skip(begin + length)
+        if not rest:
+            wrong = f"{name}: record at {offset}: the record is cut off"
+            if broken == "fail":
+                raise Broken(wrong)
+        yield offset, header, http, body if wanted else None, wrong
+        if not rest:
+            return
 
 
 @dataclass
@@ -265,6 +357,7 @@ class WarcReader(DataSourceReader):
         self.payload = options.get("payload", "all").lower()
         self.verify = options.get("verify", "true").lower() == "true"
         self.most = int(options.get("partitionBytes", 64 << 20))
+        self.broken = options.get("broken", "fail").lower()
         self.tests: list = []
 
     def pushFilters(self, filters):
@@ -292,7 +385,7 @@ class WarcReader(DataSourceReader):
         system, _ = located(self.path)
         rows: list[tuple] = []
         size = 0
-        kinds = [pa.string()] * 7 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.int64()]
+        kinds = [pa.string()] * 7 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.int64(), pa.string()]
         names = [part.split()[0] for part in SCHEMA.split(", ")]
 
         def out():
@@ -300,9 +393,9 @@ class WarcReader(DataSourceReader):
 
         for name, n in partition.paths:
             with system.open_input_file(name) as file:
-                for offset, header, http, payload in records(file, n, self.tests, self.payload, self.verify):
+                for offset, header, http, payload, wrong in records(file, n, self.tests, self.payload, self.verify, name, self.broken):
                     length = http.get("content-length")
-                    rows.append((*[header.get(h) for h in HEADER_OF.values()], int(length) if length and length.isdigit() else None, list(header.items()), payload, name, offset))
+                    rows.append((*[header.get(h) for h in HEADER_OF.values()], int(length) if length and length.isdigit() else None, list(header.items()), payload, name, offset, wrong))
                     size += len(payload or b"")
                     if len(rows) >= 1000 or size > 4 << 20:
                         yield out()
@@ -323,6 +416,8 @@ class WarcWriter(DataSourceArrowWriter):
         record = ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
         deflate = zlib.compressobj(self.level, zlib.DEFLATED, -15)
         data = deflate.compress(record) + deflate.flush()
+        if max(len(data) + 32, len(record)) >> 32:  # lengths that the extra field cannot hold
+            return struct.pack("<BBBBIBB", 0x1F, 0x8B, 8, 0, 0, 0, 255) + data + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
         return struct.pack("<BBBBIBBHBBHII", 0x1F, 0x8B, 8, 4, 0, 0, 255, 12, 0x73, 0x6C, 8, 24 + len(data) + 8, len(record) & 0xFFFFFFFF) + data + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
     def write(self, iterator):
@@ -388,12 +483,16 @@ class WarcDataSource(DataSource):
         return WarcWriter(self.options, overwrite)
 
 
-def read_warc(spark: SparkSession, path: str, payload: str = "all", verify: bool = True, partition_bytes: int = 64 << 20) -> DataFrame:
-    """Records of the archives below a path. Filters on header columns reach the reader."""
+def read_warc(spark: SparkSession, path: str, payload: str = "all", verify: bool = True, partition_bytes: int = 64 << 20, broken: str = "fail") -> DataFrame:
+    """Records of the archives below a path. Filters on header columns reach the reader.
+
+    broken: fail (a record that is cut off or unreadable is an error that names file and place) or mark (what there is of
+    it is a row whose column `broken` says what is wrong; the rest of its file is not read).
+    """
     common.sent_to_workers(spark)
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("payload", payload).option("verify", str(verify).lower()).option("partitionBytes", partition_bytes).load(qualified(spark, path))
+    return spark.read.format("warc").option("payload", payload).option("verify", str(verify).lower()).option("partitionBytes", partition_bytes).option("broken", broken).load(qualified(spark, path))
 
 
 def sha1_base32(data: Column) -> Column:
@@ -403,22 +502,22 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def with_record_types(pages: DataFrame, least: int = 0) -> DataFrame:
+def with_record_types(pages: DataFrame, least: int = 0, few: int = common.FEW, heavy: int = common.HEAVY) -> DataFrame:
     """Pages with payload, payload_bytes, payload_digest, record_type and refers_to.
 
-    Of pages with equal payloads of at least `least` bytes the smallest page_id keeps the payload. A
-    payload that a third of the pages have is counted in each task before it is exchanged, and the
-    join back is salted by the page, the smallest page_id of a repeated payload being copied to each
-    salt: no task holds the pages of a payload.
+    Of pages with equal payloads of at least `least` bytes the smallest page_id keeps the payload. Payloads are
+    counted in each task before anything is exchanged, and only digests that occur again are looked up: sent to all
+    tasks while they are few, so that no payload is exchanged. Beyond that, digests with a HEAVY-th of all pages
+    or more (HEAVY of them at most) are sent, and the others, none of which has that share, are exchanged.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": sha1_base32(F.col("payload"))})
-    first = rows.groupBy("payload_digest").agg(F.min("page_id").alias("first__"), F.count(F.lit(1)).alias("n__")).filter(F.col("n__") > 1).drop("n__")
-    first = first.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt__", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    first = rows.groupBy("payload_digest").agg(F.min("page_id").alias("first__"), F.count(F.lit(1)).alias("n__")).filter(F.col("n__") > 1)
+    first = common.written(first, pages.sparkSession, "warc-repeated")
+    found = common.looked_up(rows, first, "payload_digest", "n__", few, heavy)
     again = F.col("first__").isNotNull() & (F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first__"))
-    typed = rows.join(first, ["payload_digest", "salt__"], "left").withColumn("again__", F.coalesce(again, F.lit(False)))
-    return typed.withColumns({"record_type": F.when(F.col("again__"), "revisit").otherwise("response"), "refers_to": F.when(F.col("again__"), F.col("first__"))}).drop("first__", "again__", "salt__")
+    typed = found.withColumn("again__", F.coalesce(again, F.lit(False)))
+    return typed.withColumns({"record_type": F.when(F.col("again__"), "revisit").otherwise("response"), "refers_to": F.when(F.col("again__"), F.col("first__"))}).drop("first__", "again__")
 
 
 def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = 0) -> None:
