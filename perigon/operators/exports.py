@@ -1,19 +1,13 @@
-"""Point sets and tables for other tools: tab-separated slices, GPX, KML, KMZ and CSV."""
+"""Point sets and tables for other tools: tab-separated slices, GPX, KML, KMZ and CSV, each a single document of any size."""
 
 from __future__ import annotations
 
-import io
-import uuid
-import zipfile
-
-import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigon.config import DEFAULT, Config
 from perigon.functions import names
+from perigon.operators import documents
 
 
 def slice_predicates(config: Config = DEFAULT) -> dict[str, Column]:
@@ -45,9 +39,10 @@ def slices(accepted: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return accepted.select(F.explode(which).alias("slice"), "seq", line.alias("line"))
 
 
-def write_slices(accepted: DataFrame, path: str, config: Config = DEFAULT) -> None:
-    """One folder per slice with headerless tab-separated text in input order."""
-    slices(accepted, config).repartitionByRange("slice", "seq").sortWithinPartitions("slice", "seq").select("slice", "line").write.partitionBy("slice").text(path)
+def write_slices(accepted: DataFrame, folder: str, config: Config = DEFAULT) -> None:
+    """One headerless tab-separated file for each slice, in input order; a slice without points is an empty file."""
+    rows = slices(accepted, config).select(F.concat("slice", F.lit(".tsv")).alias("file"), "seq", F.col("line").alias("element"))
+    documents.write_documents(rows, folder, ["seq"], names=[f"{n}.tsv" for n in slice_predicates(config)])
 
 
 def waypoints(accepted: DataFrame, precise: bool = True) -> DataFrame:
@@ -85,61 +80,22 @@ def kml_elements(points: DataFrame) -> DataFrame:
     return points.select("seq", element.alias("element"))
 
 
-def write_document(elements: DataFrame, path: str, head: str, foot: str) -> None:
-    """Text parts in input order; the first row is the head, the last the foot."""
-    spark = elements.sparkSession
-    ends = spark.createDataFrame([(-1, head), (2**62, foot)], "seq bigint, element string")
-    elements.select("seq", "element").unionByName(ends).orderBy("seq").select("element").write.text(path)
-
-
-def write_gpx(points: DataFrame, path: str, compat: bool = False) -> None:
-    write_document(gpx_elements(points, compat), path, GPX_HEAD, "</gpx>")
-
-
-def write_kml(points: DataFrame, path: str) -> None:
-    write_document(kml_elements(points), path, KML_HEAD, "</Document></kml>")
-
-
-def kmz_parts(points: DataFrame) -> DataFrame:
-    """(part, content): the points of each partition, in the order of seq, as a KMZ archive; made in the tasks, of about a partition's size."""
-
-    def run(batches):
-        held = io.BytesIO()
-        n = 0
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(zipfile.ZipInfo("doc.kml"), "w") as file:
-            file.write((KML_HEAD + "\n").encode())
-            for batch in batches:
-                for element in batch.column(0).to_pylist():
-                    file.write((element + "\n").encode())
-                    n += 1
-            file.write(b"</Document></kml>\n")
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([held.getvalue()], pa.binary())], names=["part", "content"])
+def write_document(elements: DataFrame, folder: str, name: str, head: str, foot: str = "") -> None:
+    """One file of the elements in input order between head and foot."""
+    documents.write_documents(elements.withColumn("file", F.lit(name)), folder, ["seq"], head, foot, [name])
 
-    return kml_elements(points).repartitionByRange("seq").sortWithinPartitions("seq").select("element").mapInArrow(run, "part int, content binary")
 
+def write_gpx(points: DataFrame, folder: str, name: str = "track.gpx", compat: bool = False) -> None:
+    write_document(gpx_elements(points, compat), folder, name, GPX_HEAD, "</gpx>")
 
-def write_kmz(points: DataFrame, path: str) -> None:
-    """KMZ archives part-00000.kmz and so on below a folder: tasks write them there, nothing passes the driver.
 
-    The folder must be one that all executors reach. An archive is written under a name of its own and
-    renamed when whole, so a repeated task replaces it by the same content.
-    """
-    jvm = points.sparkSession._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(points.sparkSession._jsc.hadoopConfiguration())
-    whole = system.makeQualified(folder).toString()
-    system.mkdirs(folder)
+def write_kml(points: DataFrame, folder: str, name: str = "track.kml") -> None:
+    write_document(kml_elements(points), folder, name, KML_HEAD, "</Document></kml>")
 
-    def save(rows) -> None:
-        for row in rows:
-            target, below = pafs.FileSystem.from_uri(whole)
-            attempt = f"{below}/_{uuid.uuid4().hex}"
-            with target.open_output_stream(attempt) as out:
-                out.write(bytes(row["content"]))
-            target.move(attempt, f"{below}/part-{row['part']:05d}.kmz")
 
-    kmz_parts(points).foreachPartition(save)
+def write_kmz(points: DataFrame, folder: str, name: str = "track.kmz") -> None:
+    """The track as one KML document in one archive, deflated by the tasks that hold its points."""
+    documents.write_zip(kml_elements(points), folder, name, "doc.kml", ["seq"], KML_HEAD, "</Document></kml>")
 
 
 #: Header of the clean export.
@@ -168,5 +124,5 @@ def clean_lines(accepted: DataFrame, config: Config = DEFAULT, compat: bool = Fa
     return accepted.select("seq", F.concat_ws(",", *fields).alias("line"))
 
 
-def write_clean(accepted: DataFrame, path: str, config: Config = DEFAULT, compat: bool = False) -> None:
-    write_document(clean_lines(accepted, config, compat).withColumnRenamed("line", "element"), path, CLEAN_HEADER, "")
+def write_clean(accepted: DataFrame, folder: str, config: Config = DEFAULT, compat: bool = False, name: str = "clean.csv") -> None:
+    write_document(clean_lines(accepted, config, compat).withColumnRenamed("line", "element"), folder, name, CLEAN_HEADER)

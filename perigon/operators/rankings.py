@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from perigon.config import DEFAULT, Config
 from perigon.functions import names
+from perigon.operators import documents
 
 TIE_CELLS = 64
 
@@ -37,8 +38,10 @@ def posters_csv(accepted: DataFrame) -> DataFrame:
     return first.join(poster_counts(accepted), ["user_id", "user_login"]).select("user_id", "user_login", "n", F.col("seen").alias("first_seq"))
 
 
-def write_posters_csv(accepted: DataFrame, path: str) -> None:
-    posters_csv(accepted).orderBy("first_seq").select("user_id", "user_login", "n").write.csv(path)
+def write_posters_csv(accepted: DataFrame, folder: str, name: str = "posters.csv") -> None:
+    """One headerless file in the order of first appearance; cells with commas, quotes or line breaks are quoted."""
+    line = F.to_csv(F.struct("user_id", "user_login", F.col("n").cast("string")), {"quote": '"', "escape": '"'})
+    documents.write_documents(posters_csv(accepted).select(F.lit(name).alias("file"), "first_seq", line.alias("element")), folder, ["first_seq"], names=[name])
 
 
 def species_counts(accepted: DataFrame) -> DataFrame:

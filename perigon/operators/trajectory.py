@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from perigon.config import BLACK, CLASSES, DEFAULT, GRAY, OUTLINE, WHITE, Config
 from perigon.functions import geo, names
+from perigon.operators import documents
 
 
 def rows(accepted: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -152,13 +153,13 @@ def log_lines(dated: DataFrame) -> DataFrame:
     return walked(dated).select("user_id", "day", "clock", "seq", F.concat(head, F.lit(", "), what).alias("line"))
 
 
-def write_log(people: DataFrame, accepted: DataFrame, path: str, config: Config = DEFAULT) -> None:
-    """The log of the selected people, a banner before each, in the order of their rank."""
+def write_log(people: DataFrame, accepted: DataFrame, folder: str, config: Config = DEFAULT, name: str = "frequent-posters.log") -> None:
+    """The log of the selected people as one file, a banner before each, in the order of their rank."""
     dated = rows(accepted, config).join(people.select("user_id").distinct(), "user_id", "left_semi")
     rule = "=" * 28
     banner = summary(accepted, dated).filter(F.col("days") > 0).select(
         "user_id", F.lit("").alias("day"), F.lit("").alias("clock"), F.lit(-1).cast("bigint").alias("seq"),
         F.concat(F.lit(rule + "\n"), "label", F.lit(", active from "), F.replace("first_day", F.lit("-"), F.lit("/")), F.lit(" to "), F.replace("last_day", F.lit("-"), F.lit("/")), F.lit("\n" + rule)).alias("line"),
     )
-    lines = people.join(log_lines(dated).unionByName(banner), "user_id")
-    lines.orderBy("person_rank", "day", "clock", "seq").select("line").write.text(path)
+    lines = people.join(log_lines(dated).unionByName(banner), "user_id").withColumn("file", F.lit(name)).withColumnRenamed("line", "element")
+    documents.write_documents(lines, folder, ["person_rank", "day", "clock", "seq"], names=[name])

@@ -1,7 +1,14 @@
+import random
+import struct
 import zipfile
+import zlib
+from xml.etree import ElementTree
+
+import pytest
+from pyspark.sql import functions as F
 
 from perigon.config import Config
-from perigon.operators import exports, figures, rankings
+from perigon.operators import documents, exports, figures, rankings
 from tests.helpers import observations
 
 ROWS = [
@@ -18,7 +25,8 @@ def test_slices_use_private_columns_even_if_blank(spark, tmp_path):
     assert lines["all", 0] == '0\t1\ta"b\t\t9.5' and lines["all", 1].endswith("\t45.0\t7.0")
     assert ("obscured", 1) in lines and ("precise", 1) not in lines and ("focus_open", 1) in lines and ("focus_empty_open", 0) in lines
     exports.write_slices(obs, str(tmp_path / "s"))
-    assert spark.read.text(str(tmp_path / "s" / "slice=all")).count() == 4
+    assert (tmp_path / "s" / "all.tsv").read_text().splitlines() == [lines["all", k] for k in range(4)]
+    assert len(list((tmp_path / "s").iterdir())) == 13 and (tmp_path / "s" / "geoprivacy_obscured.tsv").read_text() == ""
 
 
 def test_waypoints(spark, tmp_path):
@@ -29,20 +37,57 @@ def test_waypoints(spark, tmp_path):
     hidden = exports.waypoints(obs, precise=False)
     assert [(r.seq, r.label) for r in hidden.collect()] == [(1, "A&B x hybrida")]
     assert "A&amp;B" in exports.gpx_elements(hidden).first().element and "A&B" in exports.gpx_elements(hidden, compat=True).first().element
-    exports.write_gpx(exports.waypoints(obs), str(tmp_path / "g"))
-    exports.write_kml(hidden, str(tmp_path / "k"))
-    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "g")).collect())
-    assert text.startswith("<?xml") and text.rstrip().endswith("</gpx>") and text.count("<wpt") == 3
-    exports.write_kmz(exports.waypoints(obs).repartition(3), str(tmp_path / "a"))
-    exports.write_kmz(hidden.limit(0), str(tmp_path / "none"))
-    assert not list((tmp_path / "none").iterdir())
-    found = ""
-    for part in sorted((tmp_path / "a").glob("part-*.kmz")):
-        with zipfile.ZipFile(part) as archive:
-            text = archive.read("doc.kml").decode()
-            assert text.startswith(exports.KML_HEAD) and text.endswith("</Document></kml>\n")
-            found += text
-    assert found.count("<Placemark>") == 3 and len(list((tmp_path / "a").iterdir())) >= 1
+
+
+def many(spark, n=3000):
+    return observations(spark, [{"latitude": f"{k % 80}.5", "taxon_genus_name": f"G&{k}"} for k in range(n)]).repartition(7)
+
+
+def test_one_document_a_track(spark, tmp_path):
+    obs = many(spark)
+    points = exports.waypoints(obs)
+    want = [(r.lat, r.label) for r in points.orderBy("seq").collect()]
+    for turn in range(2):  # a second run replaces the first one's files
+        exports.write_gpx(points, str(tmp_path / "t"))
+        exports.write_kml(points, str(tmp_path / "t"))
+        exports.write_kmz(points, str(tmp_path / "t"))
+        assert sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")) == ["track.gpx", "track.kml", "track.kmz"]
+    gpx = ElementTree.parse(tmp_path / "t" / "track.gpx").getroot()
+    space = "{http://www.topografix.com/GPX/1/1}"
+    assert [(w.get("lat"), w.find(f"{space}name").text) for w in gpx] == want and len(want) == 3000
+    kml = ElementTree.parse(tmp_path / "t" / "track.kml").getroot()[0]
+    assert [p[0].text for p in kml] == [label for _, label in want]
+    with zipfile.ZipFile(tmp_path / "t" / "track.kmz") as archive:
+        assert archive.testzip() is None and archive.namelist() == ["doc.kml"]
+        assert archive.read("doc.kml") == (tmp_path / "t" / "track.kml").read_bytes()
+
+
+def test_tracks_without_points(spark, tmp_path):
+    none = exports.waypoints(observations(spark, ROWS).limit(0))
+    exports.write_gpx(none, str(tmp_path / "t"))
+    exports.write_kmz(none, str(tmp_path / "t"))
+    assert len(ElementTree.parse(tmp_path / "t" / "track.gpx").getroot()) == 0
+    with zipfile.ZipFile(tmp_path / "t" / "track.kmz") as archive:
+        assert archive.read("doc.kml").decode() == exports.KML_HEAD + "\n</Document></kml>\n"
+
+
+def test_failures_leave_nothing(spark, tmp_path):
+    bad = exports.gpx_elements(exports.waypoints(many(spark, 50))).withColumn("element", F.when(F.col("seq") == 49, F.raise_error(F.lit("lost"))).otherwise(F.col("element")))
+    with pytest.raises(Exception, match="lost"):
+        exports.write_document(bad, str(tmp_path / "t"), "t.gpx", "head")
+    assert [p for p in (tmp_path / "t").iterdir()] == []
+
+
+def test_pieces_of_an_archive(spark, tmp_path, monkeypatch):
+    """Checksums of parts give that of the whole, and archives beyond 4 GB get the long forms."""
+    rng = random.Random(1)
+    for n in (0, 1, 100, 70_000):
+        a, b = rng.randbytes(1000), rng.randbytes(n)
+        assert documents.joined_crc(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
+    text = b"".join(documents._deflated(p, last) for p, last in ((b"abc" * 50, False), (b"", False), (b"xyz", True)))
+    assert zlib.decompress(text, -15) == b"abc" * 50 + b"xyz"
+    before, after = documents._zip_frame(b"doc.kml", 1, 5 << 30, 6 << 30)
+    assert struct.unpack("<HHQQ", before[-20:]) == (1, 16, 6 << 30, 5 << 30) and b"PK\6\6" in after and b"PK\6\7" in after
 
 
 def test_clean_lines(spark, tmp_path):
@@ -53,7 +98,7 @@ def test_clean_lines(spark, tmp_path):
     compat = {r.seq: r.line for r in exports.clean_lines(obs, compat=True).collect()}
     assert compat[2].startswith("2,in-precise,44.4,in-obscured,7.0,")
     exports.write_clean(obs, str(tmp_path / "c"))
-    assert spark.read.text(str(tmp_path / "c")).first().value == exports.CLEAN_HEADER
+    assert (tmp_path / "c" / "clean.csv").read_text().splitlines() == [exports.CLEAN_HEADER, *[lines[k] for k in range(4)]]
 
 
 def test_rankings(spark):
@@ -84,7 +129,7 @@ def test_figures(spark):
 def test_posters_csv(spark, tmp_path):
     obs = observations(spark, [{"user_id": u, "user_login": name} for u, name in [("2", "bo"), ("1", "an"), ("2", "bo"), ("1", "an-new"), ("3", "cy, x")]])
     rankings.write_posters_csv(obs, str(tmp_path / "p"))
-    lines = [r.value for part in sorted((tmp_path / "p").glob("part-*")) for r in spark.read.text(str(part)).collect()]
+    lines = (tmp_path / "p" / "posters.csv").read_text().splitlines()
     assert lines == ["2,bo,2", "1,an,1", '3,"cy, x",1']
     tags = rankings.poster_tags(obs).collect()
     assert sorted((r.user_id, r.user_login, r.place, r.tag) for r in tags) == [("1", "an", 1, "i1"), ("1", "an-new", 1, "i3"), ("2", "bo", 1, "i0"), ("2", "bo", 2, "i2"), ("3", "cy, x", 1, "i4")]
