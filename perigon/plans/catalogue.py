@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perigon.config import CLASSES, DEFAULT, OBS_COLUMNS, OPTIONAL_COLUMNS, Config
-from perigon.operators import exports, figures, ingest, invariants, powerlaw, quality, rankings, trajectory
+from perigon.operators import exports, figures, ingest, invariants, powerlaw, quality, rankings, svg, trajectory
 from perigon.sources import csv_exports, events
 
 #: The adapter's species and thresholds that its tables can show.
@@ -552,6 +552,110 @@ def figure_profile_specs_wide(spark, sf_dir):
     return _profile_specs(spark, sf_dir, wide=True)
 
 
+#: People that are drawn: the tables have few with the usual number of posts.
+DRAWN = Config(focus_species=CONFIG.focus_species, frequent_posts=11)
+
+
+def _hundredths(x: str) -> str:
+    return f"floor(({x}) * 100 + 0.5)::BIGINT"
+
+
+def _decimal(n: str) -> str:
+    return f"(({n}) // 100)::VARCHAR || '.' || lpad((({n}) % 100)::VARCHAR, 2, '0')"
+
+
+_LEAVES = """ SELECT person_rank, user_id, layer, page, leaf, count(*) AS elements, min(x0) / 100.0::DOUBLE AS x0, min(y0) / 100.0::DOUBLE AS y0, max(x1) / 100.0::DOUBLE AS x1, max(y1) / 100.0::DOUBLE AS y1,
+  sha256(string_agg(element, chr(10) ORDER BY element)) AS sha256 FROM elements GROUP BY ALL"""
+_TITLE = "'<title>' || replace(replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</title>'"
+
+
+def _profile_svg_sql(kind: str) -> str:
+    o = svg.LAYOUTS[kind]
+    base = o.height - o.bottom
+    y = f"{o.top}.0::DOUBLE + {o.inner_height}.0::DOUBLE * (1 - {{}} / (days + 1.5::DOUBLE))"
+    x = "l + (({} - low) + 0.05::DOUBLE * span) / (1.1::DOUBLE * span) * across"
+    return (
+        _MARKS
+        + f""", scale AS (
+  SELECT rank AS person_rank, r.user_id, label, days, first_day::DATE AS low, last_day::DATE AS high, split_part(last_day, '-', 1)::BIGINT - split_part(first_day, '-', 1)::BIGINT + 1 AS years,
+    ({o.left} + CASE WHEN days > 95 THEN 20 ELSE 0 END)::DOUBLE AS l, ({o.inner_width} - CASE WHEN days > 95 THEN 20 ELSE 0 END)::DOUBLE AS across, greatest(last_day::DATE - first_day::DATE, 1)::DOUBLE AS span
+  FROM ranked r JOIN people USING (user_id) JOIN active USING (user_id) WHERE n >= {DRAWN.frequent_posts}
+), placed AS (
+  SELECT s.*, m.day_idx, m.rn, m.kind, m.shape, m.fill, m.cls, {_hundredths(x.format("m.dayno::DATE") + " + CASE WHEN m.kind = 'inner' THEN m.off + 4 ELSE -4.0::DOUBLE END")} AS px, {_hundredths(y.format("m.day_idx") + " - 4")} AS py
+  FROM marks m JOIN scale s USING (user_id)
+), numbers AS (
+  SELECT *, unnest(range(0, days // unit + 1)) * unit AS v FROM (SELECT *, CASE WHEN days <= 7 THEN 1 WHEN raw <= b THEN b WHEN raw <= 2 * b THEN 2 * b WHEN raw <= 5 * b THEN 5 * b ELSE 10 * b END::BIGINT AS unit
+    FROM (SELECT *, days / 7.0::DOUBLE AS raw, pow(10, floor(log10(days / 7.0::DOUBLE))) AS b FROM scale))
+), sides AS (SELECT *, {_hundredths(y.format("v"))} AS py FROM numbers
+), months AS (
+  SELECT *, CASE WHEN years > 1 THEN (year(low) + 1) * 12 ELSE year(low) * 12 + month(low) END AS first_m, year(high) * 12 + month(high) - 1 AS last_m FROM scale
+), starts AS (
+  SELECT person_rank, m FROM (SELECT *, CASE WHEN years > 1 THEN 12 * ((years + 6) // 7) ELSE (greatest(last_m - first_m + 1, 1) + 6) // 7 END AS step FROM months), generate_series(first_m, last_m, step) AS g(m) WHERE first_m <= last_m
+), ticks AS (
+  SELECT s.*, make_date(m // 12, m % 12 + 1, 1) AS dayt FROM scale s JOIN starts USING (person_rank) UNION ALL SELECT s.*, low FROM scale s WHERE person_rank NOT IN (SELECT person_rank FROM starts)
+), below AS (SELECT *, {_hundredths(x.format("dayt"))} AS px FROM ticks
+), elements AS (
+  SELECT person_rank, user_id, 0 AS layer, 0::BIGINT AS page, 0::BIGINT AS leaf, {_TITLE} AS element, 0::BIGINT AS x0, 0::BIGINT AS y0, {o.width * 100}::BIGINT AS x1, {o.height * 100}::BIGINT AS y1 FROM scale
+  UNION ALL SELECT person_rank, user_id, 1, 0, 0, '<path d="M' || {_decimal(_hundredths("l"))} || ' ' || {_decimal("py")} || 'H' || {_decimal(_hundredths("l + across"))} || CASE WHEN v = 0 THEN '" stroke="#2a3f5f" stroke-width="1"/>' ELSE '" stroke="rgb(230,230,230)" stroke-width="0.5"/>' END
+    || '<text x="' || {_decimal(_hundredths("l - 4"))} || '" y="' || {_decimal("py")} || '" fill="#2a3f5f" text-anchor="end" dominant-baseline="middle">' || v || '</text>', {_hundredths("l")}, py, {_hundredths("l + across")}, py FROM sides
+  UNION ALL SELECT person_rank, user_id, 1, 0, 0, '<path d="M' || {_decimal("px")} || ' {o.top}V{base}" stroke="rgb(230,230,230)" stroke-width="0.5"/><text x="' || {_decimal("px")} || '" y="{o.height - 4}" fill="#2a3f5f" text-anchor="middle">' || CASE WHEN years > 1 THEN strftime(dayt, '%Y') ELSE strftime(dayt, '%m/%Y') END || '</text>',
+    px, {o.top * 100}, px, {base * 100} FROM below
+  UNION ALL SELECT person_rank, user_id, CASE WHEN kind = 'first' THEN 2 ELSE 3 END, day_idx // 100, rn // 1000,
+    CASE WHEN shape = 'circle' THEN '<circle cx="' || {_decimal("px + 400")} || '" cy="' || {_decimal("py + 400")} || '" r="4' ELSE '<rect x="' || {_decimal("px")} || '" y="' || {_decimal("py")} || '" width="8" height="8' END || '" fill="' || fill || '" stroke="'
+    || CASE WHEN cls = 'obscured' THEN CASE WHEN rn = 1 THEN 'rgb(0,0,0)' ELSE 'DarkGrey' END ELSE fill END || '" stroke-width="' || CASE WHEN cls = 'obscured' THEN '1' ELSE '0' END || '"/>', px, py, px + 800, py + 800 FROM placed
+)"""
+        + _LEAVES
+    )
+
+
+def _drawn(spark, sf_dir, kind: str) -> DataFrame:
+    accepted = _accepted(spark, sf_dir)
+    return svg.digests(svg.elements(rankings.selected_people(accepted, config=DRAWN), accepted, kind, DRAWN))
+
+
+@_register("profile_svg", _profile_svg_sql("square"))
+def profile_svg(spark, sf_dir):
+    return _drawn(spark, sf_dir, "square")
+
+
+@_register("profile_svg_wide", _profile_svg_sql("wide"))
+def profile_svg_wide(spark, sf_dir):
+    return _drawn(spark, sf_dir, "wide")
+
+
+def _histogram_svg_sql() -> str:
+    o = svg.LAYOUTS["histogram"]
+    base, slot = o.height - o.bottom, o.inner_width / 15
+    down = _hundredths(f"{o.top}.0::DOUBLE + {o.inner_height}.0::DOUBLE * (1 - {{}} / most)")
+    left = ", ".join(str(round((o.left + (k + 0.1) * slot) * 100)) for k in range(15))
+    colours = ", ".join(f"'{c}'" for c in figures.bar_colours(DRAWN))
+    wide = round(0.8 * slot * 100)
+    quoted = [(e.replace("'", "''"), b) for e, b in svg.below_bars(DRAWN)]
+    fixed = ", ".join(f"('{e}', {a}, {b}, {c}, {d})" for e, (a, b, c, d) in quoted)
+    return (
+        _WALK
+        + f""", drawn AS (
+  SELECT rank AS person_rank, user_id, label, [{", ".join(_BARS)}]::BIGINT[] AS bars, precise + obscured AS total FROM ranked JOIN hist USING (user_id) JOIN people USING (user_id) WHERE n >= {DRAWN.frequent_posts}
+), scaled AS (SELECT *, greatest(list_max(bars), 1) * 1.05::DOUBLE AS most, CASE WHEN total > 400 THEN 100 WHEN total > 200 THEN 50 WHEN total > 100 THEN 25 WHEN total > 80 THEN 20 ELSE 10 END::BIGINT AS unit FROM drawn
+), ticks AS (SELECT *, {down.format("v")} AS py FROM (SELECT *, unnest(range((total + unit - 1) // unit)) * unit AS v FROM scaled) WHERE v <= most
+), bars AS (SELECT *, (CAST([{left}] AS BIGINT[]))[k] AS px, {down.format("bars[k]")} AS py, (CAST([{colours}] AS VARCHAR[]))[k] AS colour FROM scaled, range(1, 16) AS t(k)
+), elements AS (
+  SELECT person_rank, user_id, 0 AS layer, 0::BIGINT AS page, 0::BIGINT AS leaf, {_TITLE} AS element, 0::BIGINT AS x0, 0::BIGINT AS y0, {o.width * 100}::BIGINT AS x1, {o.height * 100}::BIGINT AS y1 FROM scaled
+  UNION ALL SELECT person_rank, user_id, 1, 0, 0, '<path d="M{o.left} ' || {_decimal("py")} || 'H{o.width - o.right}" stroke="' || CASE WHEN v = 0 THEN '#2a3f5f" stroke-width="1"/>' ELSE 'rgb(230,230,230)" stroke-width="0.5"/>' END
+    || '<text x="{o.left - 4}" y="' || {_decimal("py")} || '" fill="#2a3f5f" text-anchor="end" dominant-baseline="middle">' || v || '</text>', {o.left * 100}, py, {(o.width - o.right) * 100}, py FROM ticks
+  UNION ALL SELECT person_rank, user_id, 2, 0, 0, '<rect x="' || {_decimal("px")} || '" y="' || {_decimal("py")} || '" width="{wide / 100:.2f}" height="' || {_decimal(f"{base * 100} - py")} || '" fill="' || colour || '"/>', px, py, px + {wide}, {base * 100} FROM bars
+  UNION ALL SELECT person_rank, user_id, 3, 0, 0, e, a, b, c, d FROM scaled, (VALUES {fixed}) AS f(e, a, b, c, d)
+)"""
+        + _LEAVES
+    )
+
+
+@_register("histogram_svg", _histogram_svg_sql())
+def histogram_svg(spark, sf_dir):
+    return _drawn(spark, sf_dir, "histogram")
+
+
+
 def _line_sql(title: str, log: bool) -> str:
     return f"""'{{"title":"{title}","x":' || rank || ',"y":' || n || ',"log":{str(log).lower()}}}'"""
 
