@@ -46,3 +46,10 @@ def clock(observed: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """Unrounded; null where the whole is 0."""
     return F.try_divide(part.cast("double") * 100, whole.cast("double"))
+
+
+def csv_line(columns: list[Column]) -> Column:
+    """Cells as a CSV line; those with commas, quotes or line breaks are quoted, null is blank."""
+    cells = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+    quoted = [F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cells]
+    return F.concat_ws(",", *quoted)

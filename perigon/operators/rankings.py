@@ -40,7 +40,7 @@ def posters_csv(accepted: DataFrame) -> DataFrame:
 
 def write_posters_csv(accepted: DataFrame, folder: str, name: str = "posters.csv") -> None:
     """One headerless file in the order of first appearance; cells with commas, quotes or line breaks are quoted."""
-    line = F.to_csv(F.struct("user_id", "user_login", F.col("n").cast("string")), {"quote": '"', "escape": '"'})
+    line = names.csv_line([F.col("user_id"), F.col("user_login"), F.col("n")])
     documents.write_documents(posters_csv(accepted).select(F.lit(name).alias("file"), "first_seq", line.alias("element")), folder, ["first_seq"], names=[name])
 
 

@@ -691,12 +691,12 @@ _CSV_COLUMNS = [c for c in OBS_COLUMNS if c not in OPTIONAL_COLUMNS]
     f"WITH {events.SQL} SELECT family_rank, row_number() OVER (PARTITION BY family_rank ORDER BY seq) AS place, {', '.join(_CSV_COLUMNS)}, {', '.join(f'CASE WHEN family_rank > 0 THEN {c} END AS {c}' for c in OPTIONAL_COLUMNS)} FROM obs",
 )
 def csv_exports_query(spark, sf_dir):
-    """The observations written as two families' exports and read back: files that are not there, surplus and reordered columns, one file without the private coordinates."""
+    """The observations written as two families' exports and read back in ranges: files that are not there, surplus and reordered columns, line breaks in cells, one file without the private coordinates."""
     folder = csv_exports.scratch(spark, "exports")
     obs = events.observations(spark, sf_dir)
     for rank, family in enumerate(CONFIG.families[:2]):
         columns = [*reversed(_CSV_COLUMNS), *(OPTIONAL_COLUMNS if rank else ())]
-        csv_exports.write_family(obs.filter(F.col("family_rank") == rank).withColumn("surplus", F.lit("x, y")), f"{folder}/{family}.csv", [columns[0], "surplus", *columns[1:]])
-    back = csv_exports.read_exports(spark, folder, CONFIG)
+        csv_exports.write_family(obs.filter(F.col("family_rank") == rank).withColumn("surplus", F.lit('x, "y"\nz')), folder, f"{family}.csv", [columns[0], "surplus", *columns[1:]])
+    back = csv_exports.read_exports(spark, folder, CONFIG, range_bytes=1 << 18)
     place = F.row_number().over(Window.partitionBy("family_rank").orderBy("seq"))
     return back.select("family_rank", place.cast("bigint").alias("place"), *_CSV_COLUMNS, *OPTIONAL_COLUMNS)

@@ -2,45 +2,71 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigon.config import DEFAULT, OBS_COLUMNS, OPTIONAL_COLUMNS, Config
+from perigon.functions import names
+from perigon.operators import documents
+from perigon.sources import csv_splits
 
 #: Sequence numbers of the n-th file start here times n.
 FILE_SPAN = 1 << 50
 
 
-def read_family(spark: SparkSession, path: str, rank: int) -> DataFrame:
+def found_columns(path: str, names: list[str]) -> dict[str, int]:
+    """Place of each used column in a header; of columns with one name the last counts."""
+    found = {name: k for k, name in enumerate(names) if name in OBS_COLUMNS}
+    missing = [c for c in OBS_COLUMNS if c not in found and c not in OPTIONAL_COLUMNS]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    return found
+
+
+def read_family(spark: SparkSession, path: str, rank: int, range_bytes: int = csv_splits.RANGE) -> DataFrame:
     """One export: its own header, the used columns by name, blanks as '', rows numbered in file order.
 
-    Short rows are filled with blanks, surplus cells dropped. Of columns with one name the last
-    counts. A private coordinate column that the file does not have is null, not blank.
+    Short rows are filled with blanks, surplus cells dropped. A private coordinate column that the file does not have is
+    null, not blank. Many tasks read a file, a range of `range_bytes` each, where Python workers reach its
+    file system; else one task does.
     """
+    qualified = _qualified(spark, path)
+    if not csv_splits.readable(qualified):
+        return read_family_whole(spark, path, rank)
+    found = found_columns(path, csv_splits.header(qualified)[0])
+    rows = csv_splits.read(spark, qualified, found, range_bytes)
+    return _canonical(rows, {c: c for c in found}, rank, F.col("number"))
+
+
+def read_family_whole(spark: SparkSession, path: str, rank: int) -> DataFrame:
+    """The same by Spark's reader, a task a file."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", inferSchema=False, mode="PERMISSIVE")
-    found = {}
-    for k, name in enumerate(raw.columns):
-        plain = name
-        # repeated header names come as name0, name1, ... by position
-        if name not in OBS_COLUMNS and name.endswith(str(k)) and name[: -len(str(k))] in OBS_COLUMNS:
-            plain = name[: -len(str(k))]
-        found[plain] = name
-    missing = [c for c in OBS_COLUMNS if c not in found and c not in OPTIONAL_COLUMNS]
-    if missing:
-        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    # repeated header names come as name0, name1, ... by position
+    plain = [n[: -len(str(k))] if n not in OBS_COLUMNS and n.endswith(str(k)) and n[: -len(str(k))] in OBS_COLUMNS else n for k, n in enumerate(raw.columns)]
+    found = found_columns(path, plain)
+    return _canonical(raw, {c: raw.columns[k] for c, k in found.items()}, rank, F.monotonically_increasing_id())
+
+
+def _canonical(rows: DataFrame, found: dict[str, str], rank: int, number: Column) -> DataFrame:
     cells = [F.coalesce(F.col(f"`{found[c]}`"), F.lit("")).alias(c) if c in found else F.lit(None).cast("string").alias(c) for c in OBS_COLUMNS]
-    seq = F.lit(rank).cast("bigint") * FILE_SPAN + F.monotonically_increasing_id()
-    return raw.select(*cells, F.lit(rank).alias("family_rank"), seq.alias("seq"))
+    return rows.select(*cells, F.lit(rank).alias("family_rank"), (F.lit(rank).cast("bigint") * FILE_SPAN + number).alias("seq"))
+
+
+def write_family(obs: DataFrame, folder: str, name: str, columns: list[str]) -> None:
+    """One export as a single file, as the reader expects it, rows in the order of seq; written by many tasks."""
+    head = ",".join('"' + c.replace('"', '""') + '"' if re.search('[",\r\n]', c) else c for c in columns)
+    rows = obs.select(F.lit(name).alias("file"), "seq", names.csv_line([F.col(f"`{c}`") for c in columns]).alias("element"))
+    documents.write_documents(rows, folder, ["seq"], head, names=[name])
 
 
-def write_family(obs: DataFrame, path: str, columns: list[str]) -> None:
-    """One export as a single file, as the reader expects it, rows in the order of seq. For exports of a size that one file can have."""
-    one = obs.coalesce(1).sortWithinPartitions("seq").select(*columns)
-    one.write.csv(path, header=True, quote='"', escape='"', encoding="UTF-8", emptyValue="", nullValue="")
+def _qualified(spark: SparkSession, path: str) -> str:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -58,12 +84,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def read_exports(spark: SparkSession, folder: str, config: Config = DEFAULT) -> DataFrame:
+def read_exports(spark: SparkSession, folder: str, config: Config = DEFAULT, range_bytes: int = csv_splits.RANGE) -> DataFrame:
     """All families' exports below a folder, in the configured order; files that do not exist are skipped."""
     there = [(k, p) for k, f in enumerate(config.families) if exists(spark, p := f"{folder}/{f}.csv")]
     if not there:
         raise FileNotFoundError(f"no export of the configured families in {folder}")
-    return with_points(reduce(DataFrame.unionByName, [read_family(spark, p, k) for k, p in there]))
+    return with_points(reduce(DataFrame.unionByName, [read_family(spark, p, k, range_bytes) for k, p in there]))
 
 
 def with_points(obs: DataFrame) -> DataFrame:

@@ -1,7 +1,12 @@
+import csv
+import io
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from perigon.operators import ingest, quality
-from perigon.sources import csv_exports
+from perigon.sources import csv_exports, csv_splits
 from tests.helpers import OBS_COLUMNS, observations
 
 
@@ -54,3 +59,70 @@ def test_exports_are_read_by_header(spark, tmp_path):
         csv_exports.read_exports(spark, str(tmp_path))
     with pytest.raises(FileNotFoundError):
         csv_exports.read_exports(spark, str(tmp_path / "none"))
+
+
+def tricky(rng, columns, n):
+    """Lines of cells with line breaks, doubled and stray quotes, short and long rows, blank lines."""
+    cells = ["", "a", "b c", '"q, r"', '"two\nlines"', '"a ""word"" b"', '""', '"CR\r\nLF"', '5" pot', "über", '"x,\n\n""y"""', "日本"]
+    out = []
+    for _ in range(n):
+        row = ["id"] + rng.choices(cells, k=rng.choice([columns - 1] * 4 + [columns - 3, columns + 2]))
+        out.append(",".join(row) + rng.choice(["\n", "\r\n"]))
+        if rng.random() < 0.1:
+            out.append(rng.choice(["\n", "\r\n\n"]))
+    return out
+
+
+@pytest.mark.parametrize("seed,size,end", [(1, 37, True), (2, 64, False), (3, 1000, True), (4, 1 << 20, False)])
+def test_ranges_give_the_rows_of_one_reader(spark, tmp_path, seed, size, end):
+    rng = random.Random(seed)
+    names = ["id", *[f"c{k}" for k in range(5)]]
+    text = rng.choice(["", "\ufeff"]) + rng.choice(["", "\n\n"]) + ",".join(names) + "\r\n" + "".join(tricky(rng, len(names), 120))
+    text = text if end else text.rstrip("\r\n")
+    (tmp_path / "f.csv").write_bytes(text.encode())
+    path = f"file:{tmp_path}/f.csv"
+    assert csv_splits.header(path)[0] == names
+    got = csv_splits.read(spark, path, {n: k for k, n in enumerate(names)}, size)
+    rows = sorted(tuple(r) for r in got.collect())
+    plain = text.removeprefix("\ufeff").replace("\r\n", "\n")
+    want = [r for r in csv.reader(io.StringIO(plain)) if r][1:]
+    assert rows == [(k, *[r[i] if i < len(r) else None for i in range(len(names))]) for k, r in enumerate(want)]
+    tasks = len(csv_splits.ranges(spark, path, size))
+    assert tasks == -(-(len(text.encode()) - 3 * text.startswith("\ufeff")) // size) and (size > 100_000 or got.rdd.getNumPartitions() == tasks > 1)
+
+
+def test_states_against_a_walk_byte_by_byte():
+    rng = random.Random(7)
+    for _ in range(3000):
+        data = bytes(rng.choice(b'ab,"\n\r') for _ in range(rng.randint(0, 14)))
+        found = csv_splits.outcomes(data)
+        for start in csv_splits.STATES:
+            state, ended, first = start, 0, None
+            for k, byte in enumerate(data):
+                state, more = csv_splits.step(state, byte)
+                ended += more
+                first = (k + 1, "N") if more and first is None else first
+            assert found[start] == (state, ended) and csv_splits.next_record(data, start) == first
+
+
+def test_files_without_rows(spark, tmp_path):
+    for k, text in enumerate(["", "a,b", "a,b\n", "\n\n"]):
+        (tmp_path / f"{k}.csv").write_text(text)
+        assert csv_splits.read(spark, f"file:{tmp_path}/{k}.csv", {"a": 0, "b": 1}, 2).count() == 0
+
+
+def test_both_readers_number_rows_alike(spark, tmp_path):
+    columns = list(OBS_COLUMNS)
+    cells = {c: "" for c in columns} | {"latitude": "4.5", "longitude": "7"}
+    lines = []
+    for k in range(300):
+        own = cells | {"id": str(k), "place_guess": ['"by the ""lake"",\nnear"', "plain", '"a, b"'][k % 3]}
+        lines.append(",".join(own[c] for c in columns[: len(columns) - 3 * (k % 7 == 0)]) + ",more" * (k % 5 == 0))
+    write(tmp_path / "droseraceae.csv", columns, lines)
+    path = str(tmp_path / "droseraceae.csv")
+    many = csv_exports.read_family(spark, path, 3, range_bytes=999)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, csv_exports.read_family_whole(spark, path, 3).collect()))
+    assert many.rdd.getNumPartitions() > 10
+    back = many.withColumn("other", F.lit('x\n"y"')).repartition(5)
+    csv_exports.write_family(back, str(tmp_path / "again"), "droseraceae.csv", ["other", *columns])
+    assert sorted(map(tuple, csv_exports.read_family(spark, str(tmp_path / "again/droseraceae.csv"), 3, range_bytes=500).collect())) == sorted(map(tuple, many.collect()))
