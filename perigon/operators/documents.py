@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perigon import workers
+
 CHUNK = 4 << 20
 #: Bytes of text that are deflated together.
 PIECE = 1 << 20
@@ -31,6 +33,7 @@ _POLYNOMIAL = 0xEDB88320
 
 def _staging(spark, folder: str) -> tuple[str, str]:
     """The target with its file system, and a new folder below it."""
+    workers.send(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path)

@@ -26,6 +26,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perigon import workers
+
 RANGE = 32 << 20
 CHUNK = 1 << 16
 ROWS = 4096
@@ -166,6 +168,7 @@ def _rows(data: bytes) -> Iterator[list[str]]:
 
 def ranges(spark: SparkSession, path: str, size: int = RANGE) -> list[Range]:
     """The ranges of a file with what the first pass finds, one task a range."""
+    workers.send(spark)
     _, begin, length = header(path)
     cuts = [*range(begin, length, size), length]
     pairs = list(zip(cuts, cuts[1:]))

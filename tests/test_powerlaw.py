@@ -1,6 +1,10 @@
 import math
+import random
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from perigon.operators import powerlaw
 
@@ -46,3 +50,45 @@ def test_large_narrow_counts(spark):
         alpha = 1 + len(tail) / sum(math.log(v / (r.xmin - 0.5)) for v in tail)
         ks = max(abs(sum(x >= v for x in tail) / len(tail) - ratio(alpha, v, r.xmin)) for v in set(tail))
         assert (r.n, r.alpha, r.ks) == pytest.approx((len(tail), alpha, ks), rel=1e-6)
+
+
+def power_law(rng, n, alpha=2.3, most=10**6):
+    return [min(most, int(rng.random() ** (-1 / (alpha - 1)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_search_finds_what_all_pairs_find(spark, seed):
+    """Bounds drop no candidate that is best, and halved intervals miss no gap."""
+    rng = random.Random(seed)
+    values = power_law(rng, 20_000) + [rng.randrange(50, 400) for _ in range(300 * seed)]
+    table = powerlaw.frequencies(spark.createDataFrame([(v,) for v in values], "n bigint"))
+    tails = powerlaw._tails(table)
+    every = np.arange(len(tails.v))
+    exact = []
+    for k in every[:-1]:
+        gap = np.abs(tails.model(k, every[k:]) - tails.data(k, every[k:])).max()
+        found, looked = tails.distance(int(k))
+        assert found == pytest.approx(gap, abs=1e-12) and tails.bounds(np.array([k]))[0] <= gap + 1e-12
+        exact.append((gap, k))
+    best = min(exact)[1]
+    got = powerlaw.fit(spark.createDataFrame([(v,) for v in values], "n bigint")).first()
+    assert got.xmin == tails.v[best] and got.ks == pytest.approx(min(exact)[0], abs=1e-12)
+
+
+def test_very_many_distinct_counts(spark):
+    table = spark.range(1, 100_001).select(F.col("id").alias("v"), F.greatest(F.lit(1), (1e9 / F.pow("id", F.lit(2.0))).cast("bigint")).alias("c"))
+    tails = powerlaw._tails(table)
+    began = time.perf_counter()
+    found = powerlaw._searched(table, only_best=True).collect()
+    assert time.perf_counter() - began < 60
+    best = min(found, key=lambda r: (r.ks, r.xmin))
+    at = int(np.searchsorted(tails.v, best.xmin))
+    assert best.ks == pytest.approx(np.abs(tails.model(at, np.arange(at, 100_000)) - tails.data(at, np.arange(at, 100_000))).max(), abs=1e-12)
+    assert (tails.bounds(np.arange(0, 99_999, 97)) >= 0).all() and tails.distance(at)[1] < 100_000
+
+
+def test_no_pairs_in_the_plan(spark):
+    counts = spark.createDataFrame([(v,) for v in [1] * 60 + [2] * 25 + [3] * 11 + [9]], "n bigint")
+    for xmin in (None, 2):
+        plan = powerlaw.fit(counts, xmin)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" not in plan
