@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perigon.config import CLASSES, DEFAULT, OBS_COLUMNS, OPTIONAL_COLUMNS, Config
-from perigon.operators import exports, figures, ingest, invariants, powerlaw, quality, rankings, svg, trajectory
+from perigon.operators import charts, exports, figures, ingest, invariants, powerlaw, quality, rankings, svg, trajectory
 from perigon.sources import csv_exports, events
 
 #: The adapter's species and thresholds that its tables can show.
@@ -656,6 +656,91 @@ def histogram_svg(spark, sf_dir):
 
 
 
+_CHART_ROWS = {
+    "species-alphabetical": f"SELECT row_number() OVER (ORDER BY scientific_name) AS place, {_LABEL} AS label, n FROM species",
+    "species-count": f"SELECT row_number() OVER (ORDER BY n DESC, first_seq DESC) AS place, {_LABEL} AS label, n FROM species",
+    "species-rank": "SELECT row_number() OVER (ORDER BY n DESC, first_seq DESC) AS place, scientific_name AS label, n FROM species WHERE contains(scientific_name, ' ')",
+    "posters-top": "SELECT rank AS place, user_id || '-' || user_login AS label, n FROM ranked WHERE n > 10",
+    "posters-rank": "SELECT rank AS place, user_id || '-' || user_login AS label, n FROM ranked",
+    "posters-all": "SELECT rank AS place, user_id || '-' || user_login AS label, n FROM ranked",
+}
+
+
+def _kept_sql(chart: str, name: str) -> str:
+    """Tables that end in one of the kept points: all of its rows against those that are first, last, least or largest of their pixel."""
+    o = charts.LAYOUTS[chart]
+    if chart in charts.LINES:
+        pixel = f"CASE WHEN log10(top_place) > 0 THEN floor(log10(place) / log10(top_place) * {o.inner_width - 1}) ELSE 0 END::BIGINT"
+    else:
+        pixel = f"floor(((place - 1) * {o.inner_height})::DOUBLE / top_place)::BIGINT"
+    return f"""{name}_all AS (SELECT *, max(place) OVER () AS top_place, max(n) OVER () AS top_n FROM ({_CHART_ROWS[chart]})), {name}_px AS (SELECT *, {pixel} AS pixel FROM {name}_all),
+  {name} AS (SELECT * FROM {name}_px QUALIFY row_number() OVER (PARTITION BY pixel ORDER BY place) = 1 OR row_number() OVER (PARTITION BY pixel ORDER BY place DESC) = 1
+    OR row_number() OVER (PARTITION BY pixel ORDER BY n, place) = 1 OR row_number() OVER (PARTITION BY pixel ORDER BY n DESC, place) = 1)"""
+
+
+@_register(
+    "chart_points",
+    _GATE + ", " + ", ".join(_kept_sql(c, c.replace("-", "_")) for c in charts.LAYOUTS) + " " + " UNION ALL ".join(f"SELECT '{c}' AS chart, pixel, place, label, n FROM {c.replace('-', '_')}" for c in charts.LAYOUTS),
+)
+def chart_points(spark, sf_dir):
+    accepted = _accepted(spark, sf_dir)
+    kept = [charts.kept_points(charts.points(accepted, c, CONFIG)).select(F.lit(c).alias("chart"), "pixel", "place", "label", "n") for c in charts.LAYOUTS]
+    return reduce(DataFrame.unionByName, kept)
+
+
+_PLAIN_LABEL = "replace(replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _line_svg_sql(chart: str, name: str) -> str:
+    o = charts.LAYOUTS[chart]
+    base, right = o.height - o.bottom, o.width - o.right
+    x = lambda v: _hundredths(f"{o.left}.0::DOUBLE + CASE WHEN log10(top_place) > 0 THEN log10({v}) / log10(top_place) * {o.inner_width}.0::DOUBLE ELSE 0.0 END")
+    y = lambda v: _hundredths(f"{o.top}.0::DOUBLE + {o.inner_height}.0::DOUBLE * (1 - log10({v}) / (log10(top_n) + 0.1::DOUBLE))")
+    d = _decimal
+    return f"""{name}_e AS (
+  SELECT 0 AS layer, '<path d="M{o.left} ' || {d("py")} || 'H{right}" stroke="rgb(230,230,230)"/><text x="{o.left - 6}" y="' || {d("py")} || '" fill="#2a3f5f" text-anchor="end" dominant-baseline="middle">' || v || '</text>' AS element, {o.left * 100}::BIGINT AS x0, py AS y0, {right * 100}::BIGINT AS x1, py AS y1
+    FROM (SELECT *, {y("v")} AS py FROM (SELECT DISTINCT top_place, top_n, pow(10, unnest(range(0, floor(log10(top_n) + 0.1::DOUBLE)::BIGINT + 1)))::BIGINT AS v FROM {name}_all))
+  UNION ALL SELECT 0, '<path d="M' || {d("px")} || ' {o.top}V{base}" stroke="rgb(230,230,230)"/><text x="' || {d("px")} || '" y="{o.height - 8}" fill="#2a3f5f" text-anchor="middle">' || v || '</text>', px, {o.top * 100}, px, {base * 100}
+    FROM (SELECT *, {x("v")} AS px FROM (SELECT DISTINCT top_place, top_n, pow(10, unnest(range(0, floor(log10(top_place))::BIGINT + 1)))::BIGINT AS v FROM {name}_all))
+  UNION ALL SELECT 1, '<path d="M' || {d("px")} || ' ' || {d("py")} || 'L' || {d("qx")} || ' ' || {d("qy")} || '" stroke="rgb(55,126,184)" stroke-width="4" stroke-linecap="round"/>', px, least(py, qy), qx, greatest(py, qy)
+    FROM (SELECT px, py, lead(px) OVER (ORDER BY place) AS qx, lead(py) OVER (ORDER BY place) AS qy FROM (SELECT place, {x("place")} AS px, {y("n")} AS py FROM {name})) WHERE qx IS NOT NULL
+  UNION ALL SELECT 2, '<circle cx="' || {d("px")} || '" cy="' || {d("py")} || '" r="4" fill="rgb(55,126,184)"><title>' || place || ' ' || {_PLAIN_LABEL} || ': ' || n || '</title></circle>', px - 400, py - 400, px + 400, py + 400 FROM (SELECT *, {x("place")} AS px, {y("n")} AS py FROM {name})
+)"""
+
+
+def _bar_svg_sql(chart: str, name: str) -> str:
+    o = charts.LAYOUTS[chart]
+    base = o.height - o.bottom
+    x = lambda v: _hundredths(f"{o.left}.0::DOUBLE + {v} * ({o.inner_width}.0::DOUBLE / (top_n * 1.05::DOUBLE))")
+    y = lambda part: _hundredths(f"{o.top}.0::DOUBLE + (place - {part}::DOUBLE) * ({o.inner_height}.0::DOUBLE / top_place)")
+    d = _decimal
+    label = f""" || '<text x="{o.left - 4}" y="' || {d("mid")} || '" font-size="' || {d("font")} || '" fill="#2a3f5f" text-anchor="end" dominant-baseline="middle">' || {_PLAIN_LABEL} || '</text>'""" if chart not in charts.PLAIN else ""
+    return f"""{name}_e AS (
+  SELECT 0 AS layer, '<path d="M' || {d("px")} || ' {o.top}V{base}" stroke="' || CASE WHEN v = 0 THEN '#2a3f5f' ELSE 'rgb(230,230,230)' END || '"/><text x="' || {d("px")} || '" y="{o.height - 4}" fill="#2a3f5f" text-anchor="middle">' || v || '</text>' AS element, px AS x0, {o.top * 100}::BIGINT AS y0, px AS x1, {base * 100}::BIGINT AS y1
+    FROM (SELECT *, {x("v::DOUBLE")} AS px FROM (SELECT top_n, unnest(range(0, top_n // step + 1)) * step AS v FROM (SELECT top_n, CASE WHEN top_n <= 7 THEN 1 WHEN raw <= b THEN b WHEN raw <= 2 * b THEN 2 * b WHEN raw <= 5 * b THEN 5 * b ELSE 10 * b END::BIGINT AS step
+      FROM (SELECT DISTINCT top_n, top_n / 7.0::DOUBLE AS raw, pow(10, floor(log10(top_n / 7.0::DOUBLE))) AS b FROM {name}_all))))
+  UNION ALL SELECT 1, '<rect x="{o.left}" y="' || {d("a")} || '" width="' || {d(f"px - {o.left * 100}")} || '" height="' || {d("b - a")} || '" fill="rgb(55,126,184)"><title>' || {_PLAIN_LABEL} || ': ' || n || '</title></rect><text x="' || {d("tx")} || '" y="' || {d("mid")}
+    || '" font-size="' || {d("font")} || '" fill="#2a3f5f" dominant-baseline="middle">' || n || '</text>'{label}, {o.left * 100}, a, px, b
+    FROM (SELECT *, {y("0.9")} AS a, {y("0.1")} AS b, {y("0.5")} AS mid, {x("n::DOUBLE")} AS px, {x("(n + 2.0::DOUBLE)")} AS tx, {_hundredths(f"least(20.0::DOUBLE, 0.7::DOUBLE * ({o.inner_height}.0::DOUBLE / top_place))")} AS font FROM {name})
+)"""
+
+
+def _charts_sql() -> str:
+    parts, ends = [], []
+    for chart in charts.LAYOUTS:
+        name = chart.replace("-", "_")
+        parts += [_kept_sql(chart, name), (_line_svg_sql if chart in charts.LINES else _bar_svg_sql)(chart, name)]
+        ends.append(f"SELECT '{chart}' AS chart, layer, count(*) AS elements, min(x0) / 100.0::DOUBLE AS x0, min(y0) / 100.0::DOUBLE AS y0, max(x1) / 100.0::DOUBLE AS x1, max(y1) / 100.0::DOUBLE AS y1, sha256(string_agg(element, chr(10) ORDER BY element)) AS sha256 FROM {name}_e GROUP BY layer")
+    return _GATE + ", " + ", ".join(parts) + " " + " UNION ALL ".join(ends)
+
+
+@_register("chart_svg", _charts_sql())
+def chart_svg(spark, sf_dir):
+    accepted = _accepted(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [charts.digests(charts.elements(accepted, c, CONFIG)).withColumn("chart", F.lit(c)) for c in charts.LAYOUTS])
+
+
+
 def _line_sql(title: str, log: bool) -> str:
     return f"""'{{"title":"{title}","x":' || rank || ',"y":' || n || ',"log":{str(log).lower()}}}'"""
 
