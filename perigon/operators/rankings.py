@@ -1,7 +1,6 @@
 """Posters and species: counts, ranks, half of the mass, thresholds.
 
-Ranks come without sorting all rows in one task: rows of one count are few distinct values; rows with
-larger counts are counted, and ties are numbered in cells of first_seq.
+Ranks and numbers come without sorting all rows, or all of a hot poster, in one task: see functions.ordering.
 """
 
 from __future__ import annotations
@@ -10,22 +9,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigon.config import DEFAULT, Config
-from perigon.functions import names
+from perigon.functions import names, ordering
 from perigon.operators import documents
 
-TIE_CELLS = 64
+#: Tags of a page.
+PAGE = 1000
 
 
-def posters(accepted: DataFrame) -> DataFrame:
-    """Posts of each (user_id, user_login), with the first row and all observation tags in input order."""
-    tags = F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("i"), "id").alias("tag"))))
-    return accepted.groupBy("user_id", "user_login").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.transform(tags, lambda x: x["tag"]).alias("tags"))
+def poster_tags(accepted: DataFrame) -> DataFrame:
+    """The observation tags of each poster as rows, numbered in input order; a poster of any size is many cells."""
+    rows = ordering.numbered(accepted.select("user_id", "user_login", "seq", "id"), ["user_id", "user_login"], "seq")
+    return rows.select("user_id", "user_login", "place", F.concat(F.lit("i"), "id").alias("tag"))
 
 
-def poster_tags(accepted: DataFrame) -> DataFrame:
-    """The observation tags of each poster as rows, numbered in input order; `posters` has them in one row, for reports."""
-    place = F.row_number().over(Window.partitionBy("user_id", "user_login").orderBy("seq"))
-    return accepted.select("user_id", "user_login", place.cast("bigint").alias("place"), F.concat(F.lit("i"), "id").alias("tag"))
+def tag_pages(accepted: DataFrame, size: int = PAGE) -> DataFrame:
+    """user_id, user_login, page (from 0) and the tags of each page of `size` tags, in input order."""
+    rows = poster_tags(accepted).withColumn("page", F.floor((F.col("place") - 1) / size).cast("bigint"))
+    tags = F.array_sort(F.collect_list(F.struct("place", "tag")))
+    return rows.groupBy("user_id", "user_login", "page").agg(F.transform(tags, lambda x: x["tag"]).alias("tags"))
 
 
 def poster_counts(accepted: DataFrame) -> DataFrame:
@@ -50,14 +51,7 @@ def species_counts(accepted: DataFrame) -> DataFrame:
 
 def ranked(counts: DataFrame) -> DataFrame:
     """counts (n, first_seq, ...) with `rank`: 1 for the largest n; of equal n the later first_seq ranks first."""
-    ends = counts.agg(F.min("first_seq").alias("low"), F.max("first_seq").alias("high")).first()
-    width = max(1, ((ends["high"] or 0) - (ends["low"] or 0)) // TIE_CELLS + 1)
-    rows = counts.withColumn("cell__", F.floor((F.col("first_seq") - F.lit(ends["low"] or 0)) / width).cast("bigint"))
-    cells = rows.groupBy("n", "cell__").agg(F.count(F.lit(1)).alias("c__"))  # distinct counts x TIE_CELLS rows
-    before = F.coalesce(F.sum("c__").over(Window.orderBy(F.desc("n"), F.desc("cell__")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = rows.withColumn("row__", F.row_number().over(Window.partitionBy("n", "cell__").orderBy(F.desc("first_seq"))))
-    joined = numbered.join(cells.withColumn("before__", before).drop("c__"), ["n", "cell__"])
-    return joined.withColumn("rank", (F.col("before__") + F.col("row__")).cast("bigint")).drop("cell__", "row__", "before__")
+    return ordering.ranked(counts, "n", "first_seq")
 
 
 def half_mass(counts: DataFrame) -> DataFrame:

@@ -201,9 +201,19 @@ def clean_export_compat(spark, sf_dir):
     return exports.clean_lines(_accepted(spark, sf_dir), CONFIG, compat=True)
 
 
-@_register("poster_counts", _GATE + " SELECT user_id, user_login, count(*) AS n, min(seq) AS first_seq, string_agg('i' || id, ',' ORDER BY seq) AS tags FROM acc GROUP BY user_id, user_login")
+@_register("poster_counts", _GATE + " SELECT user_id, user_login, n, first_seq FROM posters")
 def poster_counts(spark, sf_dir):
-    return rankings.posters(_accepted(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
+    return rankings.poster_counts(_accepted(spark, sf_dir))
+
+
+@_register(
+    "poster_tag_pages",
+    _GATE
+    + """ SELECT user_id, user_login, (place - 1) // 20 AS page, string_agg('i' || id, ',' ORDER BY place) AS tags
+  FROM (SELECT user_id, user_login, id, row_number() OVER (PARTITION BY user_id, user_login ORDER BY seq) AS place FROM acc) GROUP BY ALL""",
+)
+def poster_tag_pages(spark, sf_dir):
+    return rankings.tag_pages(_accepted(spark, sf_dir), 20).withColumn("tags", F.array_join("tags", ","))
 
 
 @_register("posters_csv", _GATE + ", head AS (SELECT user_id, arg_min(user_login, seq) AS user_login, min(seq) AS first_seq FROM acc GROUP BY user_id) SELECT h.user_id, h.user_login, p.n, h.first_seq FROM head h JOIN posters p ON p.user_id = h.user_id AND p.user_login = h.user_login")
