@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigon.config import DEFAULT, Config
@@ -10,19 +10,23 @@ from perigon.functions.names import percent
 from perigon.operators import ingest
 
 
-def summary(obs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """metric, value, denominator and percentage (null for a denominator of 0), from one pass over the gate."""
+def counters() -> list[Column]:
+    """Aggregates over rows of the gate (all of them, with `reason`, `seen` and `wild`), by which the report is made."""
     ok = F.col("reason").isNull()
     private = F.col("wild") & ~F.col("seen") & (F.col("geoprivacy") == "private")
     bare = private & ((F.col("latitude") == "") | (F.col("longitude") == ""))
-    one = ingest.gated(obs, config).agg(
+    return [
         F.count_if(ok).alias("total"),
         F.count_if(private).alias("private"),
         F.count_if(bare).alias("bare"),
         F.count_if(ok & (F.col("coordinates_obscured") == "true")).alias("obscured"),
         F.count_if(ok & (F.col("taxon_species_name") == "")).alias("genus_only"),
         F.count_if(ok & (F.col("quality_grade") == "research")).alias("research"),
-    )
+    ]
+
+
+def report(one: DataFrame) -> DataFrame:
+    """metric, value, denominator and percentage (null for a denominator of 0) from the one row of the counters."""
     total, all_private = F.col("total"), F.col("total") + F.col("bare")
     lines = [
         ("accepted", total, total), ("private", F.col("private"), all_private), ("private_without_coordinates", F.col("bare"), all_private),
@@ -32,6 +36,11 @@ def summary(obs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return one.select(rows).select("r.*").withColumn("pct", percent(F.col("value"), F.col("denominator")))
 
 
+def summary(obs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The report from one pass over the gate."""
+    return report(ingest.gated(obs, config).agg(*counters()))
+
+
 def value_domains(accepted: DataFrame) -> DataFrame:
     """Distinct values of the coded columns, with their counts and first row."""
     columns = ["quality_grade", "geoprivacy", "taxon_geoprivacy", "captive_cultivated"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perigon.config import CLASSES, DEFAULT, OBS_COLUMNS, OPTIONAL_COLUMNS, Config
-from perigon.operators import charts, exports, figures, ingest, invariants, powerlaw, quality, rankings, svg, trajectory
+from perigon.operators import charts, exports, figures, ingest, invariants, outputs, powerlaw, quality, rankings, svg, trajectory
 from perigon.sources import csv_exports, events
 
 #: The adapter's species and thresholds that its tables can show.
@@ -520,9 +520,57 @@ def person_file_labels(spark, sf_dir):
     return people.select("person_rank", "user_id", figures.file_label(F.col("person_rank"), F.col("label")).alias("label"))
 
 
-@_register("invariant_violations", _GATE + " SELECT 'none' AS rule, 'none' AS subject WHERE false")
+def _checks_sql() -> str:
+    classes = " + ".join(f"cls_{c}" for c, _ in CLASSES)
+    counts = {n: f"(SELECT count(*) FILTER ({p}) FROM acc)" for n, p in _SLICES.items()}
+    people = {
+        "places are observations": "precise + h.obscured = observations", "times are observations": "with_time + without_time = observations", "classes are precise": f"{classes} = precise",
+        "first is days with a precise row": "cls_first = precise_days", "dated and missed are accepted": "observations + missed = accepted",
+    }
+    sums = {
+        "precise and obscured are all": f"{counts['precise']} + {counts['obscured']} = {counts['all']}", "taxon slices are all": f"{counts['taxon_empty']} + {counts['taxon_open']} + {counts['taxon_obscured']} = {counts['all']}",
+        "privacy slices are all": f"{counts['geoprivacy_empty']} + {counts['geoprivacy_obscured']} + {counts['geoprivacy_private']} = {counts['all']}", "focus slices add up": f"{counts['focus_empty']} + {counts['focus_open']} = {counts['focus_empty_open']}",
+    }
+    return (
+        _WALK
+        + """, precise_day AS (SELECT user_id, count(DISTINCT dayno) FILTER (placed) AS precise_days FROM walk GROUP BY user_id
+), undated AS (SELECT user_id, count(*) FILTER (NOT coalesce(observed_on <> '' AND try_cast(split_part(observed_on, '-', 1) AS INTEGER) > 1950, false)) AS missed FROM acc GROUP BY user_id
+), person AS (SELECT h.*, observations, missed, accepted, precise_days FROM hist h JOIN active USING (user_id) JOIN people USING (user_id) JOIN undated USING (user_id) JOIN precise_day USING (user_id)
+), desc_n AS (SELECT n, sum(n) OVER (ORDER BY n DESC, first_seq DESC ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER () AS total FROM posters)"""
+        + " UNION ALL ".join(
+            [f" SELECT '{n}' AS rule, count(*) AS checked, count(*) FILTER (NOT ({r.replace('h.obscured', 'obscured')})) AS broken FROM person" for n, r in people.items()]
+            + [f" SELECT '{n}', 1, CASE WHEN {r} THEN 0 ELSE 1 END" for n, r in sums.items()]
+            # the largest posters that together have no more than half
+            + [" SELECT 'half of the mass', 1, CASE WHEN coalesce(max(upto) FILTER (upto <= total // 2), 0) <= max(total) // 2 THEN 0 ELSE 1 END FROM desc_n"]
+        )
+    )
+
+
+@_register("invariant_violations", _checks_sql())
 def invariant_violations(spark, sf_dir):
-    return invariants.violations(_accepted(spark, sf_dir), CONFIG)
+    """Each rule with the subjects that it was checked on and those that break it."""
+    return invariants.checks(_accepted(spark, sf_dir), CONFIG)
+
+
+_LISTED = ["3", "1", "4", "1", "999999"]
+
+
+@_register(
+    "person_walks",
+    _WALK + " SELECT k AS person_rank, user_id, seq, rn::BIGINT AS rn, cls, round(kmh, 4) AS kmh FROM (VALUES (1::BIGINT, '3'), (2, '1'), (3, '4'), (4, '1'), (5, '999999')) AS t(k, user_id) JOIN walk USING (user_id)",
+)
+def person_walks(spark, sf_dir):
+    """Profiles of a list in which a person stands twice, from the clustered table of one pass through the gate."""
+    gated = outputs.pass_gate(events.observations(spark, sf_dir), csv_exports.scratch(spark, "gate"), CONFIG)
+    walks = outputs.person_walks(gated.accepted, _LISTED, CONFIG)
+    return _rounded(walks.select("person_rank", "user_id", "seq", F.col("rn").cast("bigint").alias("rn"), "cls", "kmh"), kmh=4)
+
+
+@_register("single_pass_summary", ORACLE_SQL["quality_summary"])
+def single_pass_summary(spark, sf_dir):
+    """The quality report from counters that were taken while the gate's rows were written."""
+    gated = outputs.pass_gate(events.observations(spark, sf_dir), csv_exports.scratch(spark, "gate"), CONFIG)
+    return _rounded(gated.summary(), pct=6)
 
 
 def _json(value) -> str:

@@ -59,7 +59,8 @@ def test_against_a_walk_step_by_step(spark, seed):
     for own in by_person.values():
         for seq, cls, offset in walk(own):
             assert got[seq].cls == cls and abs(offsets[seq] - offset) < 1e-9
-    assert invariants.violations(observations(spark, rows)).count() == 0
+    checked = {r.rule: (r.checked, r.broken) for r in invariants.checks(observations(spark, rows)).collect()}
+    assert len(checked) == 10 and checked["classes are precise"] == (len(by_person), 0) and checked["half of the mass"] == (1, 0) and not any(b for _, b in checked.values())
 
 
 def test_log_and_summary(spark, tmp_path):
@@ -73,3 +74,9 @@ def test_log_and_summary(spark, tmp_path):
     lines = "\n".join(r.value for r in spark.read.text(str(tmp_path / "log")).collect())
     assert "bea, active from 2020/05/01 to 2020/05/01" in lines
     assert "iN-p1, 45.01, 7.0, 2020/05/01, 11:00:00, 3600.0s, 1112.0m, 1.1km/h" in lines and "first entry of the day" in lines
+
+
+def test_broken_rules_are_counted(spark):
+    """Values of coordinates_obscured beside true and false break the sums over slices and classes."""
+    checked = {r.rule: (r.checked, r.broken) for r in invariants.checks(observations(spark, [{}, {"coordinates_obscured": ""}, {"user_id": "2"}])).collect()}
+    assert checked["precise and obscured are all"] == (1, 1) and checked["classes are precise"] == (2, 1) and checked["times are observations"] == (2, 0)
