@@ -7,7 +7,7 @@ accepted; a copy that was rejected before does not stand in the way of a later g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigon.config import DEFAULT, Config
@@ -23,13 +23,26 @@ def eligible(config: Config = DEFAULT) -> tuple[Column, Column, Column, Column]:
     return wild, placed, named, repaired
 
 
+def repeated_ids(obs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """first_id and first_seq, its first eligible row, of the ids that more than one row has."""
+    wild, placed, named, _ = eligible(config)
+    per_id = obs.groupBy(F.col("id").alias("first_id")).agg(F.min(F.when(wild & placed & named, F.col("seq"))).alias("first_seq"), F.count(F.lit(1)).alias("n"))
+    return per_id.filter((F.col("n") > 1) & F.col("first_seq").isNotNull()).drop("n")
+
+
 def gated(obs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Every row with `reason` (null: accepted) and `seen` (an accepted row of the id came before)."""
+    """Every row with `reason` (null: accepted) and `seen` (an accepted row of the id came before).
+
+    The first eligible row of an id is a minimum, taken in each task before anything is exchanged, so an id that very
+    many rows have (blank ids of short rows) is a few partial results. Only ids that occur again are looked up, and the
+    rows stay where they are while these are few enough to be sent to them; else rows are exchanged by id
+    and Spark splits the partitions of ids that very many rows have.
+    """
     wild, placed, named, repaired = eligible(config)
-    first = F.min(F.when(wild & placed & named, F.col("seq"))).over(Window.partitionBy("id"))
-    seen = F.coalesce(F.col("seq") > first, F.lit(False))
+    found = obs.join(repeated_ids(obs, config), F.col("id").eqNullSafe(F.col("first_id")), "left")
+    seen = F.coalesce(F.col("seq") > F.col("first_seq"), F.lit(False))
     reason = F.when(~wild, "captive").when(seen, "duplicate").when(~placed, "no coordinates").when(~named, "no genus")
-    return obs.withColumns({"reason": reason, "seen": seen, "wild": wild, "placed": placed, "taxon_genus_name": repaired})
+    return found.withColumns({"reason": reason, "seen": seen, "wild": wild, "placed": placed, "taxon_genus_name": repaired}).drop("first_id", "first_seq")
 
 
 def accepted(obs: DataFrame, config: Config = DEFAULT) -> DataFrame:

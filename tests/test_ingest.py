@@ -126,3 +126,50 @@ def test_both_readers_number_rows_alike(spark, tmp_path):
     back = many.withColumn("other", F.lit('x\n"y"')).repartition(5)
     csv_exports.write_family(back, str(tmp_path / "again"), "droseraceae.csv", ["other", *columns])
     assert sorted(map(tuple, csv_exports.read_family(spark, str(tmp_path / "again/droseraceae.csv"), 3, range_bytes=500).collect())) == sorted(map(tuple, many.collect()))
+
+
+def in_order(rows):
+    """The gate, row by row: seq to reason."""
+    seen, out = set(), {}
+    for seq, r in rows:
+        if r["captive_cultivated"] == "true":
+            out[seq] = "captive"
+        elif r["id"] in seen:
+            out[seq] = "duplicate"
+        elif not r["latitude"] or not r["longitude"]:
+            out[seq] = "no coordinates"
+        elif not r["taxon_genus_name"]:
+            out[seq] = "no genus"
+        else:
+            seen.add(r["id"])
+            out[seq] = None
+    return out
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_gate_against_a_walk_in_order_with_a_hot_id(spark, broadcast):
+    rng = random.Random(11)
+    rows = [{"id": "" if rng.random() < 0.4 else str(rng.randrange(60)), "captive_cultivated": rng.choice(["true", "false", "false"]), "latitude": rng.choice(["", "1", "2"]), "longitude": "3", "taxon_genus_name": rng.choice(["", "Drosera"]), "scientific_name": "x"} for _ in range(400)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = {r.seq: r.reason for r in ingest.gated(observations(spark, rows).repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == in_order(list(enumerate(rows)))
+
+
+def test_a_hot_id_is_split(spark):
+    """A third of the rows with a blank id, beyond what is sent to all tasks: the exchange's large partition is read in parts."""
+    rows = observations(spark, [{}]).drop("id", "seq").crossJoin(spark.range(60_000)).withColumn("seq", F.col("id")).withColumn("id", F.when(F.col("id") % 3 == 0, "").otherwise((F.col("id") / 2).cast("bigint").cast("string")))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        gate = ingest.gated(rows)
+        assert gate.filter("reason is null").count() == rows.select("id").distinct().count()
+        gate.write.format("noop").mode("overwrite").save()
+        final = gate.collect() and gate._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final and "Window" not in final
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
