@@ -207,6 +207,24 @@ def below_bars(config: Config = DEFAULT) -> list[tuple[str, tuple[int, int, int,
     return found
 
 
+def layout_specs(summary: DataFrame, kind: str) -> DataFrame:
+    """user_id and the picture's frame as JSON: size, margins, font, and either the axes of a profile or the captions of a histogram.
+
+    summary: as `trajectory.summary` gives it; people without days have no picture.
+    """
+    o = LAYOUTS[kind]
+    extra = F.lit(0).cast("bigint") if kind == "histogram" else F.col("margin_extra")
+    margin = F.struct((F.lit(o.left) + extra).alias("l"), F.lit(o.right).alias("r"), F.lit(o.bottom).alias("b"), F.lit(o.top).alias("t"))
+    frame = [F.lit(o.width).alias("width"), F.lit(o.height).alias("height"), margin.alias("margin"), F.lit(o.font).alias("font"), F.col("label").alias("title")]
+    if kind == "histogram":
+        said = [F.struct(F.lit(at).alias("slot"), F.lit(" ".join(lines)).alias("text")) for at, lines in CAPTIONS]
+        own = [F.array(*said).alias("captions")]
+    else:
+        time = F.struct(F.col("tick_format").alias("tickformat"), F.col("ticks").alias("nticks"), F.array("first_day", "last_day").alias("range"))
+        own = [time.alias("x"), F.struct(F.array(F.lit(0.0), F.col("days") + 1.5).alias("range")).alias("y")]
+    return summary.filter(F.col("days") > 0).select("user_id", F.to_json(F.struct(*frame, *own)).alias("spec"))
+
+
 def head(kind: str) -> str:
     layout = LAYOUTS[kind]
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{layout.width}" height="{layout.height}" viewBox="0 0 {layout.width} {layout.height}" font-family="sans-serif" font-size="{layout.font}">'

@@ -799,6 +799,24 @@ def chart_svg(spark, sf_dir):
 
 
 
+def _layout_sql(kind: str) -> str:
+    o = svg.LAYOUTS[kind]
+    extra = "0" if kind == "histogram" else "CASE WHEN days > 95 THEN 20 ELSE 0 END"
+    if kind == "histogram":
+        rest = "'" + ',"captions":' + _json([{"slot": at, "text": " ".join(lines)} for at, lines in svg.CAPTIONS]) + "'"
+    else:
+        rest = """',"x":{"tickformat":"' || CASE WHEN split_part(last_day, '-', 1) = split_part(first_day, '-', 1) THEN '%m/%Y' ELSE '%Y' END || '","nticks":7,"range":["' || first_day || '","' || last_day || '"]},"y":{"range":[0.0,' || (days + 1.5)::DOUBLE || ']}'"""
+    return f"""SELECT '{kind}' AS kind, user_id, '{{"width":{o.width},"height":{o.height},"margin":{{"l":' || ({o.left} + {extra}) || ',"r":{o.right},"b":{o.bottom},"t":{o.top}}},"font":{o.font},"title":' || to_json(label) || {rest} || '}}' AS spec FROM people JOIN active USING (user_id)"""
+
+
+@_register("figure_layout_specs", _WALK + " " + " UNION ALL ".join(_layout_sql(k) for k in svg.LAYOUTS))
+def figure_layout_specs(spark, sf_dir):
+    """Frames of the pictures: margins, axis ranges, tick format, captions."""
+    accepted = _accepted(spark, sf_dir)
+    summary = trajectory.summary(accepted, trajectory.rows(accepted, CONFIG))
+    return reduce(DataFrame.unionByName, [svg.layout_specs(summary, k).select(F.lit(k).alias("kind"), "user_id", "spec") for k in svg.LAYOUTS])
+
+
 def _line_sql(title: str, log: bool) -> str:
     return f"""'{{"title":"{title}","x":' || rank || ',"y":' || n || ',"log":{str(log).lower()}}}'"""
 
