@@ -149,6 +149,9 @@ def sums(own: np.ndarray, at: np.ndarray, lexicon: Lexicon, insults: np.ndarray,
     follows[1:] = (own[1:] == own[:-1]) & _PUNCTUATION[own[1:]]
     inner = np.zeros(len(own), bool)
     inner[1:-1] = _SIGNS[own[1:-1]] & _LETTER[own[:-2]] & _LETTER[own[2:]]
+    # the first byte of a text follows nothing, the last one is before nothing
+    edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(own))]
+    follows[edges] = inner[edges] = inner[edges - 1] = False
     # the same text with digits and signs read as letters, other punctuation dropped
     stays = _STAYS[own]
     moved = np.concatenate([[0], np.cumsum(stays)])
