@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perigon import workers
+
 #: Text bytes that the array code looks at in one go; a longer text is one piece by itself.
 PIECE_BYTES = 1 << 19
 #: Bytes of an Arrow batch that a Python worker is sent.
@@ -23,7 +22,7 @@ BATCH = "4m"
 
 
 def sent_to_workers(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, unless their path has it already.
+    """Sends this package to the Python workers of a cluster.
 
     Everything that starts Python on a caller's rows calls this first. Where the session leaves the size of
     Arrow batches at Spark's default, BATCH bounds it, since whole texts take much memory on both sides.
@@ -31,15 +30,7 @@ def sent_to_workers(spark: SparkSession) -> None:
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(size) == "67108864b":
         spark.conf.set(size, BATCH)
-    root = Path(__file__).resolve().parents[2]
-    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    name = "perigon-package.zip"
-    if any(p and Path(p, "perigon", "llm").is_dir() for p in paths) or name in spark.sparkContext._python_includes:
-        return
-    with zipfile.ZipFile(Path(tempfile.mkdtemp(), name), "w") as archive:
-        for file in sorted(root.glob("perigon/**/*.py")):
-            archive.write(file, file.relative_to(root))
-    spark.sparkContext.addPyFile(archive.filename)
+    workers.send(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,11 +11,12 @@ words, or all of a shorter window) necessary.
     and goes; the others are filed under their rarest shingle, their prefix.
 3.  Filed windows go to the tasks, `block_windows` of them at a time: with the usual benchmark that is
     one pass over the documents. Where a document has a prefix, its place in the window fixes where the window
-    must start: the window has to lie inside the document (bounds of position and length), and then
-    all its words are compared.
+    must start: the window has to lie inside the document (bounds of position and length), then the hashes
+    of all its words are compared, and what agrees is confirmed by the words themselves, byte by byte.
+4.  Which items have a window is a table of its own: the windows that were found are joined with it, where items are asked for.
 
 The driver and the tasks hold the bitmap (BITMAP bits at most) or one block of windows, whatever the
-size of the benchmark. No document is shuffled.
+size of the benchmark and however many items share a window. No document is shuffled.
 
 Edge cases: null and empty texts have no words; items without words have no windows; repeated items
 count once for each item_id, which may be of any type and null; columns of the result replace document
@@ -24,14 +25,13 @@ columns of the same name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from perigon.llm import common
 
@@ -49,6 +49,12 @@ GAP = np.ones(256, bool)
 GAP[0x30:0x3A] = False
 GAP[0x61:0x7B] = False
 GAP[0x80:] = False
+_FOLD = bytes(32 if GAP[common.lower_ascii(np.array([b], np.uint8))[0]] else int(common.lower_ascii(np.array([b], np.uint8))[0]) for b in range(256))
+
+
+def plain(raw: bytes) -> bytes:
+    """The words of a stretch of text, folded, one space between them."""
+    return b" ".join(raw.translate(_FOLD).split())
 
 
 def hashed_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,13 +97,16 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def windows_of(width: int):
-    """Arrow function: the windows of each item as (item_id, n, words, tokens): word hashes and shingle hashes."""
+    """Arrow function: the windows of each item as (item_id, n, words, plain, tokens): word hashes, the words, and shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, hashes, _, _, rows in hashed_words(batch.column(1)):
+            data, offsets = common.utf8(batch.column(1))
+            for i, j, hashes, start, end, rows in hashed_words(batch.column(1)):
                 for row in range(i, j):
                     own = hashes[rows[row - i] : rows[row - i + 1]]
+                    first, last = start[rows[row - i] :], end[rows[row - i] :]
+                    text = data[offsets[row] : offsets[row + 1]].tobytes()
                     n = min(width, len(own))
                     for a in range(0, len(own) - n + 1 if n else 0, 4096):
                         b = min(a + 4096, len(own) - n + 1)
@@ -107,8 +116,8 @@ def windows_of(width: int):
                         each = np.lib.stride_tricks.sliding_window_view(tokens, n - size + 1)
                         count = pa.array(np.arange(len(words) + 1, dtype=np.int32) * (n - size + 1))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([batch.column(0)[row]] * len(words), batch.column(0).type), pa.array(np.full(len(words), n), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary()), pa.ListArray.from_arrays(count, pa.array(each.ravel().view(np.int64)))],
-                            names=["item_id", "n", "words", "tokens"],
+                            [pa.array([batch.column(0)[row]] * len(words), batch.column(0).type), pa.array(np.full(len(words), n), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([plain(text[first[k] : last[k + n - 1]]) for k in range(a, b)], pa.binary()), pa.ListArray.from_arrays(count, pa.array(each.ravel().view(np.int64)))],
+                            names=["item_id", "n", "words", "plain", "tokens"],
                         )
 
     return run
@@ -165,22 +174,24 @@ def counted(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
     return found
 
 
-def filed(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(words, n, token, place, items): windows that may occur, their rarest shingle, its place, and the items that have them."""
+def filed(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """(words, plain, n, token, place): windows that may occur, their rarest shingle and its place; and (plain, item_id): the items that have a window."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").mapInArrow(windows_of(width), T.StructType([benchmark.schema["item_id"], *T._parse_datatype_string("n bigint, words binary, tokens array<bigint>").fields]))
-    windows = items.groupBy("words").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.collect_set(F.struct("item_id")).alias("items"))
+    items = benchmark.select("item_id", "text").mapInArrow(windows_of(width), T.StructType([benchmark.schema["item_id"], *T._parse_datatype_string("n bigint, words binary, plain binary, tokens array<bigint>").fields]))
+    items = common.written(items, spark, "item-windows")
+    members = common.written(items.select("plain", "item_id").distinct(), spark, "window-items")
+    windows = items.groupBy("words", "plain").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     windows = common.written(windows, spark, "windows")
-    tokens = windows.select("words", F.posexplode("tokens").alias("place", "token"))
+    tokens = windows.select("words", "plain", F.posexplode("tokens").alias("place", "token"))
     about = tokens.agg(F.approx_count_distinct("token").alias("n")).first()["n"]
     bits = min(BITMAP, 1 << (256 * max(about, 64)).bit_length())  # so that few other shingles are counted
     sizes = sorted(r["n"] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("n")).distinct().collect())  # SHINGLE sizes at most
     counts = counted(docs, bitmap(tokens.select("token"), bits), sizes)
-    rare = tokens.join(counts.withColumnRenamed("n", "often"), "token").groupBy("words").agg(F.min(F.struct("often", "place", "token")).alias("rare"), F.count(F.lit(1)).alias("known"))
-    rare = windows.join(rare, "words").filter(F.col("known") == F.size("tokens"))
-    rare = common.written(rare.select("words", "n", "rare.token", "rare.place", "items"), spark, "filed")
-    common.removed(windows, counts)
-    return rare
+    rare = tokens.join(counts.withColumnRenamed("n", "often"), "token").groupBy("words", "plain").agg(F.min(F.struct("often", "place", "token")).alias("rare"), F.count(F.lit(1)).alias("known"))
+    rare = windows.join(rare, ["words", "plain"]).filter(F.col("known") == F.size("tokens"))
+    rare = common.written(rare.select("words", "plain", "n", "rare.token", "rare.place"), spark, "filed")
+    common.removed(items, windows, counts)
+    return rare, members
 
 
 class Windows:
@@ -198,7 +209,7 @@ class Windows:
         self.keys, begin = np.unique(key[self.order], return_index=True)
         self.begin = np.append(begin, n)
         self.sizes = sorted(set(np.minimum(self.length, SHINGLE).tolist()))
-        self.items = [[x["item_id"] for x in items] for items in rows.column("items").to_pylist()]
+        self.plain = rows.column("plain").to_pylist()
 
     def find(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, window) of every occurrence; rows: words before each row."""
@@ -217,6 +228,11 @@ class Windows:
                 a = b
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
+    def confirmed(self, text: Callable[[int, int], bytes], where: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences whose words are those of the window. text: bytes from one word of the rows to another."""
+        same = np.array([plain(text(a, a + n - 1)) == self.plain[w] for a, n, w in zip(where.tolist(), self.length[which].tolist(), which.tolist())], bool)
+        return where[same], which[same]
+
     def compare(self, hashes, rows, place, at, each) -> tuple[np.ndarray, np.ndarray]:
         entry = np.repeat(self.begin[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
         window = self.order[entry]
@@ -247,26 +263,18 @@ SPANS = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.S
 SPAN_ARROW = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 
 
-def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The columns `keep` (all) of each document with n_words, n_hit, spans of hit words and ids of found items.
-
-    `spans` are the maximal runs of hit words, as word numbers and byte ranges of the text.
-    """
-    common.sent_to_workers(spark)
-    item_type = benchmark.schema["item_id"].dataType
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(item_type))]
-    names = {f.name for f in added}
-    keep = [c for c in (keep or docs.columns) if c not in names]
+def hits(spark: SparkSession, docs: DataFrame, windows: DataFrame, keep: list[str], width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The columns `keep` of each document with n_words, n_hit, spans of hit words and `windows`, the words of those that were found."""
     columns = list(dict.fromkeys([*keep, "text"]))
-    rows = docs.select(*columns).withColumns({"n_words": F.lit(0).cast("bigint"), "n_hit": F.lit(0).cast("bigint"), "spans": F.array().cast(SPANS), "items": F.array().cast(T.ArrayType(item_type))})
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", SPANS), T.StructField("windows", T.ArrayType(T.BinaryType()))]
+    rows = docs.select(*columns).withColumns({"n_words": F.lit(0).cast("bigint"), "n_hit": F.lit(0).cast("bigint"), "spans": F.array().cast(SPANS), "windows": F.array().cast(T.ArrayType(T.BinaryType()))})
     schema = T.StructType([*[docs.schema[c] for c in columns], *added])
-    windows = filed(docs, benchmark, width)
     blocks = max(1, -(-windows.count() // block_windows))
     last: list[DataFrame] = []
     for k in range(blocks):
         own = windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(Windows(own.toArrow(), width))  # about block_windows rows
-        rows = rows.mapInArrow(marker(shared, columns, to_arrow_type(item_type)), schema)
+        rows = rows.mapInArrow(marker(shared, columns), schema)
         if k < blocks - 1:
             rows = common.written(rows, spark, "decontamination")
             shared.destroy()
@@ -276,43 +284,62 @@ def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[
     return rows.select(*keep, *[f.name for f in added])
 
 
-def marker(shared, columns: list[str], item_type: pa.DataType):
+def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The columns `keep` (all) of each document with n_words, n_hit, spans of hit words and ids of found items, null last.
+
+    `spans` are the maximal runs of hit words, as word numbers and byte ranges of the text.
+    """
+    common.sent_to_workers(spark)
+    keep = [c for c in (keep or docs.columns) if c not in ("n_words", "n_hit", "spans", "items")]
+    windows, members = filed(docs, benchmark, width)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], "text")
+    rows = hits(spark, named, windows, [f"c{k}" for k in range(len(keep))], width, block_windows)
+    rows = common.written(rows.withColumn("row__", F.monotonically_increasing_id()), spark, "marked")
+    found = rows.select("row__", F.explode("windows").alias("plain")).join(members, "plain")
+    items = found.groupBy("row__").agg(F.collect_set(F.struct("item_id")).alias("found__"))
+    ids = F.array_sort(F.transform(F.coalesce("found__", F.array().cast(T.ArrayType(T.StructType([benchmark.schema["item_id"]])))), lambda x: x["item_id"]))
+    return rows.join(items, "row__", "left").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "n_words", "n_hit", "spans", ids.alias("items"))
+
+
+def marker(shared, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
         for batch in batches:
+            data, offsets = common.utf8(batch.column(columns.index("text")))
             for i, j, hashes, start, end, rows in hashed_words(batch.column(columns.index("text"))):
                 part = batch.slice(i, j - i)
-                where, which = windows.find(hashes, rows)
+                base = np.repeat(offsets[i:j], np.diff(rows))
+                where, which = windows.confirmed(lambda a, b: data[base[a] + start[a] : base[b] + end[b]].tobytes(), *windows.find(hashes, rows))  # noqa: B023
                 delta = np.zeros(len(hashes) + 1, np.int32)
                 np.add.at(delta, where, 1)
                 np.add.at(delta, where + windows.length[which], -1)
                 hit = np.cumsum(delta[:-1]) > 0
-                items: list = [None] * (j - i)
+                found: list = [[] for _ in range(j - i)]
                 pairs = np.unique(np.stack([np.searchsorted(rows, where, "right") - 1, which]), axis=1)
                 for row, window in pairs.T.tolist():
-                    items[row] = (items[row] or set()) | set(windows.items[window])
+                    found[row].append(windows.plain[window])
                 # what earlier blocks found
-                for row, (old_spans, old_items) in enumerate(zip(part.column(len(columns) + 2).to_pylist(), part.column(len(columns) + 3).to_pylist())):
+                for row, (old_spans, old) in enumerate(zip(part.column(len(columns) + 2).to_pylist(), part.column(len(columns) + 3).to_pylist())):
                     for s in old_spans:
                         hit[rows[row] + s["first_word"] : rows[row] + s["end_word"]] = True
-                    if old_items:
-                        items[row] = (items[row] or set()) | set(old_items)
+                    found[row] += old
                 first, last = runs(hit, rows)
                 own = np.searchsorted(rows, first, "right") - 1
                 spans = pa.StructArray.from_arrays([pa.array(first - rows[own]), pa.array(last - rows[own]), pa.array(start[first]), pa.array(end[last - 1])], fields=list(SPAN_ARROW))
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(j - i + 1)), pa.int32()), spans)
                 total_hit = np.concatenate([[0], np.cumsum(hit)])
                 out = [part.column(k) for k in range(len(columns))]
-                out += [pa.array(np.diff(rows)), pa.array(np.diff(total_hit[rows])), spans]
-                out.append(pa.array([sorted(x, key=lambda v: (v is None, v)) if x else [] for x in items], pa.list_(item_type)))
-                yield pa.RecordBatch.from_arrays(out, names=[*columns, "n_words", "n_hit", "spans", "items"])
+                out += [pa.array(np.diff(rows)), pa.array(np.diff(total_hit[rows])), spans, pa.array(found, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(out, names=[*columns, "n_words", "n_hit", "spans", "windows"])
 
     return run
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents in which no window occurs, whole and with their own columns."""
-    marked = mark(spark, docs.withColumn("whole__", F.struct(*docs.columns)), benchmark, ["whole__"], width)
+    common.sent_to_workers(spark)
+    windows, _ = filed(docs, benchmark, width)
+    marked = hits(spark, docs.select(F.struct(*docs.columns).alias("whole__"), "text"), windows, ["whole__"], width)
     return marked.filter(F.col("n_hit") == 0).select("whole__.*")
 
 

@@ -3,6 +3,7 @@ import re
 import weakref
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from perigon.llm import decontamination as dc
 
@@ -100,20 +101,52 @@ def test_items_over_the_same_words_and_long_texts(spark, monkeypatch):
     docs = [(1, long), (2, "x " * 300 + items[40][1][200:900] + " y" * 300), (3, "a b a"), (4, "a b")]
     rows = pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}).to_batches()
     found = [r for b in dc.windows_of(10)(iter(rows)) for r in b.to_pylist()]
-    by = {}
+    by, members = {}, {}
     for r in found:
-        by.setdefault(r["words"], (r["n"], r["tokens"], []))[2].append({"item_id": r["item_id"]})
-    table = pa.table({"words": pa.array(list(by), pa.binary()), "n": [v[0] for v in by.values()], "token": [v[1][-1] for v in by.values()], "place": [len(v[1]) - 1 for v in by.values()], "items": [v[2] for v in by.values()]})
+        by[r["words"], r["plain"]] = (r["n"], r["tokens"])
+        members.setdefault(r["plain"], set()).add(r["item_id"])
+    table = pa.table({"words": pa.array([w for w, _ in by], pa.binary()), "plain": pa.array([p for _, p in by], pa.binary()), "n": [n for n, _ in by.values()], "token": [t[-1] for _, t in by.values()], "place": [len(t) - 1 for _, t in by.values()]})
+
     class Shared:
         value = dc.Windows(table)
-    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs], "n_words": [0] * 4, "n_hit": [0] * 4, "spans": pa.array([[]] * 4, pa.list_(dc.SPAN_ARROW)), "items": pa.array([[]] * 4, pa.list_(pa.string()))})
-    got = [r for b in dc.marker(Shared, ["doc_id", "text"], pa.string())(iter([batch])) for r in b.to_pylist()]
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs], "n_words": [0] * 4, "n_hit": [0] * 4, "spans": pa.array([[]] * 4, pa.list_(dc.SPAN_ARROW)), "windows": pa.array([[]] * 4, pa.list_(pa.binary()))})
+    got = [r for b in dc.marker(Shared, ["doc_id", "text"])(iter([batch])) for r in b.to_pylist()]
     want = {d: (n, h, {None if i == "None" else i for i in found}) for d, n, h, found in brute_sets(docs, items)}
-    assert {r["doc_id"]: (r["n_words"], r["n_hit"], set(r["items"])) for r in got} == want
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], set().union(*[members[w] for w in r["windows"]])) for r in got} == want
     for r in got:
         assert sum(s["end_word"] - s["first_word"] for s in r["spans"]) == r["n_hit"]
 
 
+def test_hits_are_confirmed_by_the_words(spark, monkeypatch):
+    """With a hash that takes all words of a length for one, only what is there word by word is a hit."""
+    from perigon.llm import common
+
+    monkeypatch.setattr(common, "word_hashes", lambda data, start, end: (end - start).astype("uint64"))
+    items = pa.table({"item_id": [1, 2], "text": ["one two six", "Ünd six"]}).to_batches()
+    found = [r for b in dc.windows_of(10)(iter(items)) for r in b.to_pylist()]
+    assert [r["plain"] for r in found] == [b"one two six", "Ünd six".encode()]
+    table = pa.table({"words": pa.array([r["words"] for r in found], pa.binary()), "plain": pa.array([r["plain"] for r in found], pa.binary()), "n": [r["n"] for r in found], "token": [r["tokens"][0] for r in found], "place": [0, 0]})
+
+    class Shared:
+        value = dc.Windows(table)
+
+    texts = ["ten One, TWO six. one", "one two ten six", "was Ünd-six", "xxxx ünd six"]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "n_words": [0] * 4, "n_hit": [0] * 4, "spans": pa.array([[]] * 4, pa.list_(dc.SPAN_ARROW)), "windows": pa.array([[]] * 4, pa.list_(pa.binary()))})
+    got = [r for b in dc.marker(Shared, ["text"])(iter([batch])) for r in b.to_pylist()]
+    assert [r["n_hit"] for r in got] == [3, 0, 2, 0] and [r["windows"] for r in got] == [[b"one two six"], [], ["Ünd six".encode()], []]
+
+
+def test_a_window_of_very_many_items(spark):
+    """Items are a table: nothing that goes to the tasks grows with those that share a window."""
+    b = spark.range(20_000).select(F.col("id").alias("item_id"), F.lit("the same ten words begin each of very many items").alias("text"))
+    d = spark.createDataFrame([(1, "so the same ten words begin each of very many items"), (2, "else")], "doc_id bigint, text string")
+    windows, members = dc.filed(d, b)
+    assert windows.count() == 1 and members.count() == 20_000
+    got = {r.doc_id: r for r in dc.mark(spark, d, b, ["doc_id"]).collect()}
+    assert list(got[1]["items"]) == list(range(20_000)) and got[1].n_hit == 10 and list(got[2]["items"]) == []
+
+
 def test_ids_of_other_types(spark):
     d = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id bigint, text string")
     b = spark.createDataFrame([(1.5, "Two three"), (None, "four"), (2.5, "five")], "item_id double, text string")
