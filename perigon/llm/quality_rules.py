@@ -61,8 +61,18 @@ def word_numbers(raw: bytes) -> np.ndarray:
     found = []
     for a, b in common.parts(np.frombuffer(raw, np.uint8), _BLANK):
         words = raw[a:b].split()
-        found.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+        found.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+    return np.concatenate(found) if found else np.zeros(0, np.int32)
+
+
+def _renumbered(pairs: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers from 0 on, equal for equal pairs, and how many there are."""
+    order = np.argsort(pairs, kind="stable")
+    pairs = pairs[order]
+    new = np.append(False, pairs[1:] != pairs[:-1])
+    found = np.empty(len(pairs), np.int32)
+    found[order] = np.cumsum(new, dtype=np.int32)
+    return found, int(new.sum()) + 1
 
 
 def repeated_words(numbers: np.ndarray, window: int = WINDOW) -> int:
@@ -77,18 +87,34 @@ def repeated_words(numbers: np.ndarray, window: int = WINDOW) -> int:
     while size < window:
         if len(numbers) - size < 1:
             return 0
-        pairs = numbers[:-size] * (int(numbers.max()) + 1) + numbers[size:]
-        distinct, numbers = np.unique(pairs, return_inverse=True)
-        if len(distinct) == len(pairs):
+        pairs = numbers[:-size].astype(np.int64)
+        pairs *= int(numbers.max()) + 1
+        pairs += numbers[size:]
+        numbers, distinct = _renumbered(pairs)
+        if distinct == len(numbers):
             return 0
         size *= 2
     again = np.bincount(numbers)[numbers] > 1
-    edges = np.zeros(len(again) + window, np.int64)
+    edges = np.zeros(len(again) + window, np.int32)
     edges[: len(again)] += again
     edges[window:] -= again
     return int((np.cumsum(edges) > 0).sum())
 
 
+def line_key(head: bytes, line: bytes) -> tuple[int, int]:
+    """Hash of a normalised line after `head`, and its words; long lines are walked in parts."""
+    if len(line) <= common.PIECE_BYTES:
+        parts = line.split()
+        return xxhash.xxh3_128_intdigest(head + b" ".join(parts).translate(_NORMAL)), len(parts)
+    hashed, n = xxhash.xxh3_128(head), 0
+    for a, b in common.parts(np.frombuffer(line, np.uint8), _BLANK):
+        parts = line[a:b].split()
+        if parts:
+            hashed.update((b" " if n else b"") + b" ".join(parts).translate(_NORMAL))
+            n += len(parts)
+    return hashed.intdigest(), n
+
+
 def line_keys(raw: bytes, host: str | None) -> tuple[list[int], list[int], list[int], list[bool], list[int], int]:
     """Keys of the lines with words (two halves), their words, whether the key is new in the text, their line numbers; lines equal to an earlier one.
 
@@ -99,17 +125,16 @@ def line_keys(raw: bytes, host: str | None) -> tuple[list[int], list[int], list[
     seen, whole = set(), set()
     again = 0
     for k, line in enumerate(raw.split(b"\n")):
-        parts = line.split()
-        if not parts:
+        key, n = line_key(head, line)
+        if not n:
             continue
         if line in whole:
             again += 1
         else:
             whole.add(line)
-        key = xxhash.xxh3_128_intdigest(head + b" ".join(parts).translate(_NORMAL))
         a.append((key >> 64) - (1 << 63))
         b.append((key & (1 << 64) - 1) - (1 << 63))
-        words.append(len(parts))
+        words.append(n)
         new.append(key not in seen)
         seen.add(key)
         place.append(k)

@@ -36,12 +36,26 @@ assert len(one) > 5_000_000 and len(least) == nd.tree_count(80) * nd.LEAST
 from perigon.llm import decontamination as dc
 item = " ".join(text[-500:].split()[1:-1])
 rows = [r for b in dc.windows_of(10)(iter(pa.table({"item_id": ["i"], "text": [item]}).to_batches())) for r in b.to_pylist()]
-table = pa.table({"words": pa.array([r["words"] for r in rows], pa.binary()), "n": [r["n"] for r in rows], "token": [r["tokens"][0] for r in rows], "place": [0] * len(rows), "items": [[{"item_id": "i"}]] * len(rows)})
+table = pa.table({"words": pa.array([r["words"] for r in rows], pa.binary()), "plain": pa.array([r["plain"] for r in rows], pa.binary()), "n": [r["n"] for r in rows], "token": [r["tokens"][0] for r in rows], "place": [0] * len(rows)})
 class Shared:
     value = dc.Windows(table)
-batch = pa.RecordBatch.from_pydict({"text": [text], "n_words": [0], "n_hit": [0], "spans": pa.array([[]], pa.list_(dc.SPAN_ARROW)), "items": pa.array([[]], pa.list_(pa.string()))})
-(got,) = [r for b in dc.marker(Shared, ["text"], pa.string())(iter([batch])) for r in b.to_pylist()]
-assert got["n_hit"] == len(item.split()) and got["items"] == ["i"]
+batch = pa.RecordBatch.from_pydict({"text": [text], "n_words": [0], "n_hit": [0], "spans": pa.array([[]], pa.list_(dc.SPAN_ARROW)), "windows": pa.array([[]], pa.list_(pa.binary()))})
+(got,) = [r for b in dc.marker(Shared, ["text"])(iter([batch])) for r in b.to_pylist()]
+assert got["n_hit"] == len(item.split()) and set(got["windows"]) == {r["plain"] for r in rows}
+""",
+    "quality_rules": """
+from perigon.llm import quality_rules as qr
+raw = text.encode()
+numbers = qr.word_numbers(raw)
+assert len(numbers) == len(text.split()) and qr.repeated_words(numbers) >= 0
+assert sum(qr.line_keys(raw, "h")[2]) == len(numbers)
+""",
+    "lexical_search": """
+from perigon.llm import lexical_search as ls
+ls.TaskContext = type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})())})
+batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": [text, "a short one"]})
+blocks = [r for b in ls._blocks(64, 1 << 20)(iter([batch])) for r in b.to_pylist()]
+assert sorted(i for b in blocks for i in b["ids"]) == [1, 2] and sum(b["n_terms"] for b in blocks) > 1_000_000
 """,
     "toxicity": """
 from perigon.llm import toxicity

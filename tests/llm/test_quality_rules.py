@@ -110,6 +110,13 @@ def test_one_long_text(spark):
     assert qr.repeated_words(numbers) == 1_500_000
 
 
+def test_long_lines_in_parts_have_the_key_of_the_whole(monkeypatch):
+    line = ("  Two  words\t19 " * 400).encode()
+    whole = qr.line_keys(line + b"\nend", "h")
+    monkeypatch.setattr(qr.common, "PIECE_BYTES", 300)
+    assert qr.line_keys(line + b"\nend", "h") == whole and whole[2] == [1200, 1]
+
+
 def test_query_equals_sql(spark):
     import duckdb
 
