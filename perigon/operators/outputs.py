@@ -118,6 +118,7 @@ def write_all(gated: Gated, folder: str, config: Config = DEFAULT, listed: list[
     write_table(rankings.half_mass(rankings.poster_counts(accepted)), folder, "half-of-posts.csv", ["total"])
     write_table(rankings.low_contributors(rankings.poster_counts(accepted)), folder, "low-contributors.csv", ["at_most"])
     write_table(power_laws(accepted), folder, "power-laws.csv", ["line"])
+    write_table(powerlaw.compared(rankings.poster_counts(accepted)), folder, "power-law-posters-compared.csv", ["alternative"])
     charts.write(accepted, f"{folder}/charts", config=config)
     people = rankings.selected_people(accepted, listed, config)
     own = of_people(accepted, people, listed)

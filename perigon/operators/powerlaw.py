@@ -14,6 +14,7 @@ intervals that could hold a larger gap than the largest so far are halved.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,3 +169,95 @@ def fit(counts: DataFrame, xmin: int | None = None, column: str = "n") -> DataFr
     found = _searched(table, only_best=True) if xmin is None else fits(table, xmin)
     best = F.min_by(F.struct("xmin", "n", "alpha", "sigma", "ks"), F.struct("ks", "xmin")).alias("b")
     return found.agg(best).filter("b is not null").select("b.*")
+
+
+#: Newton steps of the lognormal fit at most, and where they end.
+STEPS = 200
+CLOSE = 1e-9
+
+
+def _log_tail(z: np.ndarray) -> np.ndarray:
+    """Logarithm of the normal distribution's upper tail: by erfc, and far out by the continued fraction of Mills' ratio."""
+    out = np.empty_like(z)
+    near = z < 4
+    out[near] = np.log(0.5 * np.array([math.erfc(v / math.sqrt(2)) for v in z[near]]))
+    far = z[~near]
+    fraction = far.copy()
+    for k in range(60, 0, -1):
+        fraction = far + k / fraction
+    out[~near] = -far * far / 2 - 0.5 * math.log(2 * math.pi) - np.log(fraction)
+    return out
+
+
+def lognormal_logs(v: np.ndarray, xmin: float, mu: float, sigma: float) -> np.ndarray:
+    """Log probability of each whole number v >= xmin: the normal law of ln x between v - 1/2 and v + 1/2, given that it is above xmin - 1/2."""
+    low, high = (np.log(v - 0.5) - mu) / sigma, (np.log(v + 0.5) - mu) / sigma
+    # on the side where tails are small
+    left = low + high < 0
+    low, high = np.where(left, -high, low), np.where(left, -low, high)
+    a, b = _log_tail(low), _log_tail(high)
+    return a + np.log(-np.expm1(b - a)) - _log_tail(np.array([(math.log(xmin - 0.5) - mu) / sigma]))[0]
+
+
+def lognormal_fit(v: np.ndarray, c: np.ndarray, xmin: float) -> tuple[float, float]:
+    """mu and sigma of largest likelihood, by Newton steps on (mu, ln sigma) that are halved until they gain, along the gradient where Newton's do not rise.
+
+    Tails like a power law have no such point: their likelihood goes on rising, ever less, with mu; then the steps end where they gain CLOSE of it.
+    """
+    share, logs = c / c.sum(), np.log(v)
+    mu = float((share * logs).sum())
+    at = np.array([mu, 0.5 * math.log(max(float((share * (logs - mu) ** 2).sum()), 1e-4))])
+
+    def value(p: np.ndarray) -> float:
+        with np.errstate(all="ignore"):
+            found = float((share * lognormal_logs(v, xmin, p[0], math.exp(p[1]))).sum())
+        return found if math.isfinite(found) else -math.inf
+
+    best, h = value(at), 1e-4
+    for _ in range(STEPS):
+        e = np.eye(2) * h
+        up, down = [value(at + e[k]) for k in (0, 1)], [value(at - e[k]) for k in (0, 1)]
+        slope = np.array([(u - d) / (2 * h) for u, d in zip(up, down)])
+        mixed = (value(at + e[0] + e[1]) - value(at + e[0] - e[1]) - value(at - e[0] + e[1]) + value(at - e[0] - e[1])) / (4 * h * h)
+        bend = np.array([[(up[0] - 2 * best + down[0]) / h**2, mixed], [mixed, (up[1] - 2 * best + down[1]) / h**2]])
+        step = slope
+        if np.isfinite(bend).all() and bend[0, 0] < 0 and np.linalg.det(bend) > 0:
+            step = -np.linalg.solve(bend, slope)
+        step = step / max(1.0, float(np.abs(step).max()))
+        while (new := value(at + step)) <= best and np.abs(step).max() > 1e-12:
+            step = step / 2
+        if new - best <= CLOSE * abs(best):
+            break
+        at, best = at + step, new
+    return float(at[0]), float(math.exp(at[1]))
+
+
+def vuong(own: np.ndarray, other: np.ndarray, c: np.ndarray) -> tuple[float, float, float]:
+    """Log likelihood ratio of two laws, the same over its standard deviation, and the probability of one as far from 0 by chance."""
+    n, gap = c.sum(), own - other
+    ratio = float((c * gap).sum())
+    spread = float((c * (gap - ratio / n) ** 2).sum())
+    z = ratio / math.sqrt(spread) if spread > 0 else 0.0
+    return ratio, z, math.erfc(abs(z) / math.sqrt(2))
+
+
+def compared(counts: DataFrame, xmin: int | None = None, column: str = "n") -> DataFrame:
+    """alternative, xmin, ratio, z and p: the power law against an exponential and a lognormal law of the same tail.
+
+    ratio > 0 speaks for the power law; p is large where neither is better. Without a fit there are no rows. Everything comes from the
+    frequency table of the tail.
+    """
+    spark = counts.sparkSession
+    schema = "alternative string, xmin bigint, ratio double, z double, p double"
+    table = frequencies(counts, column)
+    best = fit(counts, xmin, column).first()
+    if best is None:
+        return spark.createDataFrame([], schema)
+    tail = table.filter(F.col("v") >= best["xmin"]).orderBy("v").toArrow()
+    v, c, low = np.asarray(tail.column("v"), float), np.asarray(tail.column("c"), float), float(best["xmin"])
+    own = -best["alpha"] * np.log(v / low) - np.log(zetas(np.array(best["alpha"]), np.array(low), np.array(low)))
+    beyond = float((c * (v - low)).sum() / c.sum())
+    rate = math.log1p(1 / beyond) if beyond > 0 else 0.0
+    exponential = math.log(-math.expm1(-rate)) - rate * (v - low) if beyond > 0 else np.zeros(len(v))  # all values equal: certain
+    laws = [("exponential", exponential), ("lognormal", lognormal_logs(v, low, *lognormal_fit(v, c, low)))]
+    return spark.createDataFrame([(name, int(low), *vuong(own, logs, c)) for name, logs in laws], schema)

@@ -297,7 +297,10 @@ def poster_low_contributors(spark, sf_dir):
     return _rounded(rankings.low_contributors(rankings.poster_counts(_accepted(spark, sf_dir))), pct=6)
 
 
-def _fit_sql(before: str, counts: str, xmin: int | None) -> str:
+_FIT_END = "SELECT xmin, n, round(alpha, 6) AS alpha, round(sigma, 6) AS sigma, round(ks, 6) AS ks FROM fits ORDER BY fits.ks, xmin LIMIT 1"
+
+
+def _fit_sql(before: str, counts: str, xmin: int | None, end: str = _FIT_END) -> str:
     zeta = " + ".join(f"pow(({{q}} + {k}) / xmin::DOUBLE, -alpha)" for k in range(powerlaw.HEAD))  # times xmin^alpha, so that nothing underflows
     a = f"({{q}} + {powerlaw.HEAD})"
     zeta += f" + pow({a} / xmin::DOUBLE, -alpha) * ({a} / (alpha - 1) + 0.5 + alpha / (12 * {a}) - alpha * (alpha + 1) * (alpha + 2) / (720 * pow({a}, 3))"
@@ -309,7 +312,7 @@ pairs AS (SELECT xmin, v, sum(c) OVER w AS n, 1 + sum(c) OVER w / sum(c * ln(v /
   FROM cand JOIN freq ON v >= xmin WINDOW w AS (PARTITION BY xmin)),
 fits AS (SELECT xmin, max(n)::BIGINT AS n, max(alpha) AS alpha, max((alpha - 1) / sqrt(n)) AS sigma,
   max(abs(below - (1 - CASE WHEN v = xmin THEN 1.0::DOUBLE ELSE ({zeta.format(q='v')}) / ({zeta.format(q='xmin')}) END))) AS ks FROM pairs GROUP BY xmin)
-SELECT xmin, n, round(alpha, 6) AS alpha, round(sigma, 6) AS sigma, round(ks, 6) AS ks FROM fits ORDER BY fits.ks, xmin LIMIT 1"""
+{end}"""
 
 
 def _fitted(counts: DataFrame, xmin: int | None = None) -> DataFrame:
@@ -359,6 +362,27 @@ def powerlaw_tokens(spark, sf_dir):
     return _fitted(tokens.filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _alternative_end() -> str:
+    """The exponential law against the power law of the best fit: ratio of their likelihoods, and the same over its standard deviation."""
+    zeta = " + ".join(f"pow((xmin + {k}) / xmin::DOUBLE, -alpha)" for k in range(powerlaw.HEAD))
+    a = f"(xmin + {powerlaw.HEAD})"
+    zeta += f" + pow({a} / xmin::DOUBLE, -alpha) * ({a} / (alpha - 1) + 0.5 + alpha / (12 * {a}) - alpha * (alpha + 1) * (alpha + 2) / (720 * pow({a}, 3)) + alpha * (alpha + 1) * (alpha + 2) * (alpha + 3) * (alpha + 4) / (30240 * pow({a}, 5)))"
+    return f""", best AS (SELECT xmin, alpha FROM fits ORDER BY ks, xmin LIMIT 1), tail AS (SELECT xmin, alpha, v, c, sum(c * (v - xmin)) OVER () / sum(c) OVER () AS beyond, sum(c) OVER () AS total FROM freq, best WHERE v >= xmin),
+  gaps AS (SELECT *, -alpha * ln(v / xmin::DOUBLE) - ln({zeta}) - (ln(1 - exp(-ln(1 + 1 / beyond))) - ln(1 + 1 / beyond) * (v - xmin)) AS gap FROM tail), mean AS (SELECT *, sum(c * gap) OVER () AS ratio FROM gaps)
+  SELECT 'exponential' AS alternative, max(xmin) AS xmin, round(max(ratio), 5) AS ratio, round(max(ratio) / sqrt(sum(c * pow(gap - ratio / total, 2))), 5) AS z FROM mean"""
+
+
+@_register("powerlaw_exponential_lineitems", _fit_sql("WITH", "SELECT count(*) AS n FROM lineitem GROUP BY l_partkey", None, _alternative_end()))
+def powerlaw_exponential_lineitems(spark, sf_dir):
+    counts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(powerlaw.compared(counts).filter("alternative = 'exponential'").drop("p"), ratio=5, z=5)
+
+
+@_register("powerlaw_exponential_posters", _fit_sql(_GATE + ",", "SELECT n FROM posters", None, _alternative_end()))
+def powerlaw_exponential_posters(spark, sf_dir):
+    return _rounded(powerlaw.compared(rankings.poster_counts(_accepted(spark, sf_dir))).filter("alternative = 'exponential'").drop("p"), ratio=5, z=5)
+
+
 _WALK = (
     _GATE
     + """, dated AS (

@@ -60,7 +60,7 @@ def test_all_outputs(spark, gated, tmp_path):
     names = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith(".")}
     assert {f"slices/{s}.tsv" for s in exports.slice_predicates(CONFIG)} <= names
     assert {f"{t}.{e}" for t in ("precise", "obscured") for e in ("gpx", "kml", "kmz")} <= names
-    assert {"clean.csv", "posters.csv", "summary.csv", "rejects.csv", "values.csv", "taxa.csv", "half-of-posts.csv", "low-contributors.csv", "power-laws.csv", "frequent-posters.log"} <= names
+    assert {"clean.csv", "posters.csv", "summary.csv", "rejects.csv", "values.csv", "taxa.csv", "half-of-posts.csv", "low-contributors.csv", "power-laws.csv", "power-law-posters-compared.csv", "frequent-posters.log"} <= names
     assert {f"charts/{c}.{e}" for c in outputs.charts.LAYOUTS for e in ("svg", "html")} <= names
     people = rankings.selected_people(found.accepted, config=CONFIG).count()
     assert people and sum(n.startswith("people/profile_") for n in names) == 3 * people

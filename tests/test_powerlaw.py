@@ -92,3 +92,60 @@ def test_no_pairs_in_the_plan(spark):
     for xmin in (None, 2):
         plan = powerlaw.fit(counts, xmin)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" not in plan
+
+
+def normal_between(a, b):
+    """Probability of the standard normal law between a and b, by fine steps."""
+    x = np.linspace(a, b, 200_001)
+    y = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    return float((y[1:] + y[:-1]).sum() / 2 * (x[1] - x[0]))
+
+
+def test_lognormal_probabilities():
+    for mu, sigma, xmin in ((1.0, 0.8, 1), (3.0, 0.5, 5), (-2.0, 2.0, 3)):
+        v = np.array([xmin, xmin + 1, xmin + 7, xmin + 60], float)
+        z = lambda x: (math.log(x) - mu) / sigma  # noqa: B023, E731
+        whole = normal_between(z(xmin - 0.5), z(xmin - 0.5) + 30)
+        want = [math.log(normal_between(z(x - 0.5), z(x + 0.5)) / whole) for x in v]
+        assert powerlaw.lognormal_logs(v, xmin, mu, sigma) == pytest.approx(want, abs=1e-5)
+        every = np.arange(xmin, 400_000, dtype=float)
+        assert np.exp(powerlaw.lognormal_logs(every, xmin, mu, sigma)).sum() == pytest.approx(1, abs=1e-3)
+    far = powerlaw._log_tail(np.array([3.999999, 4.0, 4.000001, 50.0]))
+    assert far[0] > far[1] > far[2] and abs(far[0] - far[2]) < 1e-4 and far[3] == pytest.approx(-1254.8313611, abs=1e-6)
+
+
+def test_lognormal_fit_is_the_best_of_a_grid():
+    rng = random.Random(3)
+    values = [v for v in (round(math.exp(rng.gauss(2.5, 0.7))) for _ in range(4000)) if v >= 4]
+    v, c = np.unique(values, return_counts=True)
+    mu, sigma = powerlaw.lognormal_fit(v.astype(float), c.astype(float), 4)
+    assert abs(mu - 2.5) < 0.1 and abs(sigma - 0.7) < 0.07
+    found = (c * powerlaw.lognormal_logs(v.astype(float), 4, mu, sigma)).sum()
+    for dm in (-0.05, -0.01, -0.001, 0, 0.001, 0.01, 0.05):
+        for ds in (-0.05, -0.01, -0.001, 0, 0.001, 0.01, 0.05):
+            assert (c * powerlaw.lognormal_logs(v.astype(float), 4, mu + dm, sigma + ds)).sum() <= found + 1e-6
+
+
+def test_which_law_is_better(spark):
+    rng = random.Random(9)
+
+    def rows(values, xmin):
+        return {r.alternative: r for r in powerlaw.compared(spark.createDataFrame([(v,) for v in values], "n bigint"), xmin).collect()}
+
+    power = rows(power_law(rng, 5000), 1)
+    assert power["exponential"].ratio > 0 and power["exponential"].p < 1e-3
+    short = rows([1 + int(rng.expovariate(0.15)) for _ in range(5000)], 1)
+    assert short["exponential"].ratio < 0 and short["exponential"].p < 1e-3 and short["lognormal"].ratio < 0
+    normal = rows([max(1, round(math.exp(rng.gauss(3, 0.5)))) for _ in range(5000)], 1)
+    assert normal["lognormal"].ratio < 0 and normal["lognormal"].p < 1e-3
+    # ratio, z and p by their definitions
+    values = [1] * 60 + [2] * 25 + [3] * 11 + [9]
+    got = rows(values, 1)["exponential"]
+    n, alpha, _, _ = brute(values, 1)
+    rate = math.log(1 + n / sum(v - 1 for v in values))
+    gaps = [-alpha * math.log(v) - math.log(zeta(alpha, 1)) - (math.log(1 - math.exp(-rate)) - rate * (v - 1)) for v in values]
+    mean = sum(gaps) / n
+    spread = math.sqrt(sum((g - mean) ** 2 for g in gaps))
+    assert (got.ratio, got.z, got.p) == pytest.approx((sum(gaps), sum(gaps) / spread, math.erfc(abs(sum(gaps)) / spread / math.sqrt(2))), rel=1e-6)
+    assert powerlaw.compared(spark.createDataFrame([(3,)], "n bigint")).count() == 0
+    assert set(rows([2, 2, 2, 2], 2)) == {"exponential", "lognormal"}
