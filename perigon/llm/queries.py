@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from perigon.llm import chat, decontamination, fingerprints, lexical_search, mixing, near_dedup, quality_rules, sharding, substrings, tokens, toxicity, warc, whitening
-from perigon.llm.common import table
+from perigon.llm.common import spread, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +13,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+    return tokens.count_tokens(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +49,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical_search.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return lexical_search.report(spark, spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.report(spark, table(spark, sf_dir, "documents"))
+    return quality_rules.report(spark, spread(table(spark, sf_dir, "documents")))
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

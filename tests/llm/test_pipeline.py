@@ -54,3 +54,23 @@ def test_rows_from_no_files(spark):
     docs = spark.createDataFrame([(k, f"text {k}", "s") for k in range(50)], "doc_id bigint, text string, source string")
     got = corpus_pipeline.shard(spark, docs, SF).collect()
     assert sorted(r.doc_id for r in got) == list(range(50)) and {r.shard for r in got} == set(range(16))
+
+
+def test_columns_that_clash_with_those_of_the_stages(spark):
+    docs = common.table(spark, SF, "documents").limit(80).selectExpr("*", "doc_id as shard", "text as slot", "1 as size", "'x' as score", "doc_id as place", "2 as n_words", "'y' as items")
+    seen = common.written(docs, spark, "clash")
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.written(stage(spark, seen, SF), spark, f"clash-{name}")
+        if name != "sharding":
+            assert out.columns == docs.columns
+            same = {r.doc_id: (r.slot, r.shard, r.items) for r in out.collect()}
+            assert same and all(v[1] == k and v[2] == "y" for k, v in same.items())
+        seen = out
+    assert sorted(seen.columns) == sorted(["doc_id", "source", "size", "text_crc32", "shard", "slot"]) and seen.count() == len(same)
+
+
+def test_spread_leaves_wide_scans_alone(spark):
+    n = spark.sparkContext.defaultParallelism
+    one, many = spark.range(100).coalesce(1), spark.range(100).repartition(n + 3)
+    assert common.spread(one).rdd.getNumPartitions() == n and common.spread(many).rdd.getNumPartitions() == n + 3
+    assert sorted(r.id for r in common.spread(one).collect()) == list(range(100))
