@@ -71,6 +71,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    done: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), spark, f"pipeline-{name}")
+        common.removed(*done)  # the documents of the stage before, which nothing reads any more
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
