@@ -173,9 +173,9 @@ def write(accepted: DataFrame, folder: str, which: tuple[str, ...] = tuple(LAYOU
     for chart in which:
         layout = LAYOUTS[chart]
         head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{layout.width}" height="{layout.height}" viewBox="0 0 {layout.width} {layout.height}" font-family="sans-serif" font-size="{layout.font}" fill="none">'
-        rows = elements(accepted, chart, config)
-        for name, top, end in ((f"{chart}.svg", head, "</svg>"), (f"{chart}.html", PAGE_HEAD.format(title=chart) + head, "</svg></body></html>")):
-            documents.write_documents(rows.withColumn("file", F.lit(name)), folder, ["layer", "at"], top, end, [name])
+        ends = {f"{chart}.svg": (head, "</svg>"), f"{chart}.html": (PAGE_HEAD.format(title=chart) + head, "</svg></body></html>")}
+        rows = elements(accepted, chart, config).withColumn("file", F.explode(F.array(*map(F.lit, ends))))
+        documents.write_documents(rows, folder, ["layer", "at"], {n: e[0] for n, e in ends.items()}, {n: e[1] for n, e in ends.items()}, list(ends))
 
 
 def digests(rows: DataFrame) -> DataFrame:

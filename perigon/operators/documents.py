@@ -59,11 +59,11 @@ def _placed(system: pafs.FileSystem, attempt: str, target: str) -> None:
     system.move(attempt, target)
 
 
-def write_documents(rows: DataFrame, folder: str, order: list[str | Column], head: str = "", foot: str = "", names: list[str] | None = None) -> None:
+def write_documents(rows: DataFrame, folder: str, order: list[str | Column], head: str | dict[str, str] = "", foot: str | dict[str, str] = "", names: list[str] | None = None) -> None:
     """One text file below the folder for each value of `file`: the head, a line for each row's `element` by `order`, the foot.
 
     rows: file, element and what `order` needs; a null element is left out. names: files that are written even if
-    they have no row. Head and foot end with a line break of their own, where they are not empty.
+    they have no row. Head and foot are for all files or by file; they end with a line break of their own, where they are not empty.
     """
     spark = rows.sparkSession
     whole, staging = _staging(spark, folder)
@@ -75,13 +75,17 @@ def write_documents(rows: DataFrame, folder: str, order: list[str | Column], hea
             found.setdefault(unquote(path.rsplit("/", 2)[-2].removeprefix("file=")), []).append(path)
         if not found:
             return
-        top, end = [(t + "\n").encode() if t else b"" for t in (head, foot)]
+
+        def ends(file: str) -> list[bytes]:
+            own = [t.get(file, "") if isinstance(t, dict) else t for t in (head, foot)]
+            return [(t + "\n").encode() if t else b"" for t in own]
 
         def join(documents) -> None:
             system, below = pafs.FileSystem.from_uri(whole)
             _, hidden = pafs.FileSystem.from_uri(staging)
             for row in documents:
                 attempt = f"{hidden}/{uuid.uuid4().hex}"
+                top, end = ends(row["file"])
                 with system.open_output_stream(attempt) as out:
                     out.write(top)
                     for part in row["parts"]:
