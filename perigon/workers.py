@@ -1,7 +1,8 @@
-"""The package for Python workers of a cluster."""
+"""The package for Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,10 +12,21 @@ from pyspark.sql import SparkSession
 NAME = "perigon-package.zip"
 
 
+def found_here() -> bool:
+    """Whether Python processes that start in this folder, with this environment, find the package."""
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    return any(p and Path(p, "perigon", "workers.py").is_file() for p in paths)
+
+
 def send(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session. A local master's workers are on this machine and have its path."""
+    """Sends this package to the Python workers, once a session.
+
+    Workers of a local master start in the driver's folder with its environment, and need nothing where they find it there. What the
+    driver finds says nothing about the executors of a cluster.
+    """
     context = spark.sparkContext
-    if context.master.startswith("local") and not context.master.startswith("local-cluster") or NAME in context._python_includes:
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    if NAME in context._python_includes or local and found_here():
         return
     root = Path(__file__).resolve().parents[1]
     with zipfile.ZipFile(Path(tempfile.mkdtemp(), NAME), "w") as archive:
