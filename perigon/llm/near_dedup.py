@@ -443,16 +443,23 @@ def near_components(spark: SparkSession, docs: DataFrame, percent: int = 80, siz
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = SIZE) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = SIZE, few: int = common.FEW) -> DataFrame:
     """The documents of which each near-duplicate component keeps its smallest, whole and with their own columns.
 
     Of repeated rows of a doc_id the one with the smallest text stays (null first; equal rows count as
-    one); of rows without doc_id all do.
+    one); of rows without doc_id all do. The ids that go are sent to the documents while there are at most `few`; beyond that
+    the documents with an id are exchanged by it.
     """
-    parts = near_components(spark, docs, percent, size)
-    gone = parts.filter(~F.col("kept")).select(F.col("doc_id").alias("gone__")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone__"), "left_anti")
-    if parts.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
+    parts = common.written(near_components(spark, docs, percent, size).select("doc_id", "kept"), spark, "near-kept")
+    gone = common.written(parts.filter(~F.col("kept")).select(F.col("doc_id").alias("gone__")).distinct(), spark, "near-gone")
+    same = F.col("doc_id") == F.col("gone__")
+    if gone.count() <= few:
+        kept = docs.join(F.broadcast(gone), same, "left_anti")
+    else:
+        kept = docs.filter(F.col("doc_id").isNull()).unionByName(docs.filter(F.col("doc_id").isNotNull()).join(gone, same, "left_anti"))
+    repeated = not parts.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty()
+    common.removed(parts)
+    if not repeated:
         return kept
     known = kept.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.struct(*kept.columns).alias("whole__"))
     one = known.groupBy("doc_id").agg(F.min_by("whole__", F.struct("text", F.xxhash64(F.to_json("whole__")))).alias("whole__"))

@@ -120,3 +120,12 @@ def test_long_words_that_hash_alike_by_polynomials(spark):
     assert {r.doc_id for r in near_dedup.deduplicated(spark, docs).collect()} == {0, 1}
     prints = fingerprints.edited_fingerprints(docs).orderBy("doc_id").collect()
     assert prints[0].fingerprint != prints[1].fingerprint
+
+
+def test_ids_that_go_by_either_way(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(40)) for _ in range(30)]
+    rows = [(k, texts[k % 30]) for k in range(80)] + [(None, texts[0]), (None, None), (500, None), (501, "")]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id bigint, text string, kept string")
+    both = [sorted(map(str, near_dedup.deduplicated(spark, docs, few=few).collect())) for few in (1000, 0)]
+    assert both[0] == both[1] and len(both[0]) == len({c for _, _, c in brute([r for r in rows if r[0] is not None and (r[1] or "").strip()], 80)}) + 4
