@@ -10,6 +10,7 @@ The target must be a folder that all executors reach.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -50,7 +51,13 @@ def _parts(staging: str, sign: str) -> list[str]:
     """Files of a staging folder, in the order of the ranges that tasks had."""
     system, below = pafs.FileSystem.from_uri(staging)
     found = system.get_file_info(pafs.FileSelector(below, recursive=True, allow_not_found=True))
-    return sorted((f.path for f in found if f.type == pafs.FileType.File and f.base_name.startswith("part-") and f.base_name.endswith(sign)), key=lambda p: p.rsplit("/", 1)[::-1])
+    return sorted((f.path for f in found if f.type == pafs.FileType.File and f.base_name.startswith("part-") and f.base_name.endswith(sign)), key=part_order)
+
+
+def part_order(path: str) -> tuple[int, str, str]:
+    """Number of the task that wrote a part (of any number of digits), and the part's own name."""
+    folder, name = path.rsplit("/", 1)
+    return int(re.match(r"part-(\d+)", name)[1]), name, folder
 
 
 def _placed(system: pafs.FileSystem, attempt: str, target: str) -> None:

@@ -62,6 +62,11 @@ def test_one_document_a_track(spark, tmp_path):
         assert archive.read("doc.kml") == (tmp_path / "t" / "track.kml").read_bytes()
 
 
+def test_parts_of_very_many_tasks_are_in_order():
+    names = [f"/x/file=a/part-{k:05d}-u.c000.txt" for k in (3, 99_999, 100_000, 250_000)] + ["/x/file=a/part-250000-u.c001.txt"]
+    assert sorted(reversed(names), key=documents.part_order) == names
+
+
 def test_tracks_without_points(spark, tmp_path):
     none = exports.waypoints(observations(spark, ROWS).limit(0))
     exports.write_gpx(none, str(tmp_path / "t"))
