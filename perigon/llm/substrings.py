@@ -28,7 +28,6 @@ keeps its text; rows with the same doc_id are not smaller than each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
