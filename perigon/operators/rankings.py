@@ -5,7 +5,7 @@ Ranks and numbers come without sorting all rows, or all of a hot poster, in one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigon.config import DEFAULT, Config
@@ -29,6 +29,25 @@ def tag_pages(accepted: DataFrame, size: int = PAGE) -> DataFrame:
     return rows.groupBy("user_id", "user_login", "page").agg(F.transform(tags, lambda x: x["tag"]).alias("tags"))
 
 
+def posters(accepted: DataFrame) -> DataFrame:
+    """Posts of each (user_id, user_login), with the first row and all observation tags in input order, joined by commas.
+
+    Tags are sorted and joined in cells of the order, so a task never sorts a poster; only the cells' texts meet in the poster's row.
+    """
+    key = ["user_id", "user_login"]
+    tag = F.concat(F.lit("i"), "id")
+    dealt = accepted.select(*key, "seq", tag.alias("tag"), F.shiftright("seq", ordering.SHIFT).alias("cell"))
+    tags = F.array_sort(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("seq", "tag"))))
+    cells = dealt.groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), _joined(tags).alias("tag"))
+    texts = F.array_sort(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("cell", "tag"))))
+    return cells.groupBy(*key).agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"), _joined(texts).alias("tags"))
+
+
+def _joined(tags: Column) -> Column:
+    """The tags of an array of structs; null without any."""
+    return F.nullif(F.array_join(F.transform(tags, lambda x: x["tag"]), ","), F.lit(""))
+
+
 def poster_counts(accepted: DataFrame) -> DataFrame:
     return accepted.groupBy("user_id", "user_login").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 

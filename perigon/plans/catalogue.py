@@ -201,9 +201,9 @@ def clean_export_compat(spark, sf_dir):
     return exports.clean_lines(_accepted(spark, sf_dir), CONFIG, compat=True)
 
 
-@_register("poster_counts", _GATE + " SELECT user_id, user_login, n, first_seq FROM posters")
+@_register("poster_counts", _GATE + " SELECT user_id, user_login, count(*) AS n, min(seq) AS first_seq, string_agg('i' || id, ',' ORDER BY seq) AS tags FROM acc GROUP BY user_id, user_login")
 def poster_counts(spark, sf_dir):
-    return rankings.poster_counts(_accepted(spark, sf_dir))
+    return rankings.posters(_accepted(spark, sf_dir))
 
 
 @_register(

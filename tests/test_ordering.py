@@ -32,6 +32,20 @@ def test_a_hot_group_is_spread(spark):
     assert "hashpartitioning(user_id" in plan and "cell__" in plan and "collect_list" not in plan
 
 
+def test_posters_have_all_tags_in_order(spark):
+    """Tags of a poster from many cells, in the order of seq whatever the cells' own order; rows without an id have no tag."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), None if seq % 9 == 0 else str(seq % 7), seq) for seq in rng.sample(range(-(1 << 20), 1 << 22), 700)] + [("c", None, 5)]
+    df = spark.createDataFrame([(u, "l", i, s) for u, i, s in rows], "user_id string, user_login string, id string, seq bigint").repartition(5)
+    want = {}
+    for user, name, seq in sorted(rows, key=lambda r: r[2]):
+        n, first, tags = want.setdefault(user, (0, seq, []))
+        want[user] = n + 1, first, tags + [f"i{name}"] * (name is not None)
+    got = rankings.posters(df)
+    assert {r.user_id: (r.n, r.first_seq, r.tags) for r in got.collect()} == {u: (n, first, ",".join(tags) or None) for u, (n, first, tags) in want.items()}
+    assert "cell" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ranks_scan_once_and_start_nothing(spark):
     obs = observations(spark, [{"user_id": str(k % 3)} for k in range(9)])
     obs.write.mode("overwrite").format("noop").save()
