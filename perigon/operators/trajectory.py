@@ -16,6 +16,10 @@ from perigon.functions import geo, names
 from perigon.operators import documents
 
 
+#: Spacings are added up in units of 1/UNITS pixel.
+UNITS = float(1 << 20)
+
+
 def rows(accepted: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Dated observations: tag, day, clock, seconds since 1970 (the clock on the local date), place and flags."""
     year = F.expr("try_cast(split_part(observed_on, '-', 1) AS int)")
@@ -127,7 +131,10 @@ def markers(dated: DataFrame, config: Config = DEFAULT) -> DataFrame:
     span = geo.great_circle(F.col("end.lat"), F.col("end.lon"), F.col("from.lat"), F.col("from.lon"))
     spaced = spaced.withColumn("spacing", F.when(F.col("rn") > 1, geo.log_spacing(span) / F.col("share")).otherwise(0.0))
     first = F.col("rn") == 1
-    offset = F.sum("spacing").over(_day().rowsBetween(Window.unboundedPreceding, Window.currentRow)) + config.marker * (F.col("rn") - 2)
+    # a running sum of doubles drifts on a long day, by more than rounding bears: whole units are added as whole numbers, the rest of each beside them
+    spaced = spaced.withColumn("units", F.floor(F.col("spacing") * UNITS)).withColumn("rest", F.col("spacing") * UNITS - F.col("units"))
+    so_far = _day().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offset = (F.sum("units").over(so_far) + F.sum("rest").over(so_far)) / UNITS + config.marker * (F.col("rn") - 2)
     spaced = spaced.withColumn("offset", F.when(first, 0.0).otherwise(offset))
     fill = F.when(F.col("cls") == "obscured", WHITE).when(F.col("cls") == "first", GRAY)
     for name, colour in CLASSES:

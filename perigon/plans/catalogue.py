@@ -43,7 +43,8 @@ def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
-    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+    """Doubles rounded as SQL's round does: F.round(c, n) would round the number's shortest text, which differs next to a half."""
+    return df.withColumns({c: F.round(F.col(c) * 10.0**n) / 10.0**n for c, n in digits.items()})
 
 
 _GATE = f"""WITH {events.SQL},

@@ -1,5 +1,7 @@
 """Each registered query of the observation engine against DuckDB, on the smallest tables."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -47,3 +49,11 @@ def test_walk_takes_one_exchange_after_the_gate(spark):
         assert plan.count("FileScan parquet") == 2 and "Window" not in plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rounding_next_to_a_half(spark, database):
+    """Numbers whose text ends in a 5 and their neighbours, rounded as DuckDB does."""
+    halves = [(k + 0.5) / 1e4 for k in range(40_001, 700_000_000, 233_333)]
+    numbers = [y for x in halves for y in (x, math.nextafter(x, 0), math.nextafter(x, 1e9))]
+    got = [r.x for r in catalogue._rounded(spark.createDataFrame([(k, x) for k, x in enumerate(numbers)], "k int, x double"), x=4).orderBy("k").collect()]
+    assert got == [database.execute("SELECT round(?::DOUBLE, 4)", [x]).fetchone()[0] for x in numbers]

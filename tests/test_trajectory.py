@@ -1,9 +1,10 @@
+import math
 import random
 
 import pytest
 
 from perigon.operators import invariants, trajectory
-from tests.helpers import observations, walk
+from tests.helpers import great_circle, observations, walk
 
 
 def days(spark, rows):
@@ -80,3 +81,17 @@ def test_broken_rules_are_counted(spark):
     """Values of coordinates_obscured beside true and false break the sums over slices and classes."""
     checked = {r.rule: (r.checked, r.broken) for r in invariants.checks(observations(spark, [{}, {"coordinates_obscured": ""}, {"user_id": "2"}])).collect()}
     assert checked["precise and obscured are all"] == (1, 1) and checked["classes are precise"] == (2, 1) and checked["times are observations"] == (2, 0)
+
+
+def test_offsets_of_a_long_day_do_not_drift(spark):
+    """6,000 steps of one day: each offset is the exact sum of the spacings, not a running sum of doubles."""
+    places = [(45.0, 7.0), (45.3, 7.2), (45.1, 7.3), (45.7, 7.0), (45.2, 7.1)]
+    rng = random.Random(4)
+    turns = [rng.randrange(5) for _ in range(6000)]
+    rows = [{"latitude": str(places[p][0]), "longitude": str(places[p][1])} for p in turns]
+    got = {int(m.tag[4:]): m.offset for m in trajectory.markers(trajectory.rows(observations(spark, rows))).select("tag", "offset").collect()}
+    steps = [math.log2(great_circle(places[b], places[a]) + 1) for a, b in zip(turns, turns[1:])]
+    exact, parts = 0, 1 << 60
+    for k, step in enumerate(steps, 1):
+        exact += int(step * parts)
+        assert abs(got[k] - (exact / parts + 8 * (k - 1))) < 5e-11
