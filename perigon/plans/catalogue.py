@@ -884,5 +884,4 @@ def csv_exports_query(spark, sf_dir):
         columns = [*reversed(_CSV_COLUMNS), *(OPTIONAL_COLUMNS if rank else ())]
         csv_exports.write_family(obs.filter(F.col("family_rank") == rank).withColumn("surplus", F.lit('x, "y"\nz')), folder, f"{family}.csv", [columns[0], "surplus", *columns[1:]])
     back = csv_exports.read_exports(spark, folder, CONFIG, range_bytes=1 << 18)
-    place = F.row_number().over(Window.partitionBy("family_rank").orderBy("seq"))
-    return back.select("family_rank", place.cast("bigint").alias("place"), *_CSV_COLUMNS, *OPTIONAL_COLUMNS)
+    return back.select("family_rank", csv_exports.place().alias("place"), *_CSV_COLUMNS, *OPTIONAL_COLUMNS)

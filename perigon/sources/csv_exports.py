@@ -57,6 +57,11 @@ def _canonical(rows: DataFrame, found: dict[str, str], rank: int, number: Column
     return rows.select(*cells, F.lit(rank).alias("family_rank"), (F.lit(rank).cast("bigint") * FILE_SPAN + number).alias("seq"))
 
 
+def place() -> Column:
+    """Place of a row in its file, from 1: its sequence number has it, so no task sorts a family."""
+    return F.col("seq") - F.col("family_rank").cast("bigint") * FILE_SPAN + 1
+
+
 def write_family(obs: DataFrame, folder: str, name: str, columns: list[str]) -> None:
     """One export as a single file, as the reader expects it, rows in the order of seq; written by many tasks."""
     head = ",".join('"' + c.replace('"', '""') + '"' if re.search('[",\r\n]', c) else c for c in columns)

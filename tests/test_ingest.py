@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perigon.operators import ingest, quality
+from perigon.plans import catalogue
 from perigon.sources import csv_exports, csv_splits
 from tests.helpers import OBS_COLUMNS, observations
 
@@ -173,3 +174,16 @@ def test_a_hot_id_is_split(spark):
     finally:
         for k in settings:
             spark.conf.unset(k)
+
+
+def test_places_of_exported_rows_need_no_sort_of_a_family(spark, tmp_path):
+    """Places are those of a sort by seq, with many ranges, blank lines and both readers; the query sorts and exchanges no family."""
+    path = tmp_path / "droseraceae.csv"
+    columns = [c for c in OBS_COLUMNS if not c.startswith("private_")]
+    path.write_text(",".join(columns) + "\n" + "".join(f'{k},"a\nb {k}"' + "," * (len(columns) - 2) + "\n" * (1 + (k % 5 == 0)) for k in range(300)))
+    for rank in (0, 3):
+        for rows in (csv_exports.read_family(spark, str(path), rank, range_bytes=700), csv_exports.read_family_whole(spark, str(path), rank)):
+            got = {int(r.id): r.place for r in rows.select("id", csv_exports.place().alias("place")).collect()}
+            assert got == {k: k + 1 for k in range(300)}
+    back = catalogue.QUERIES["csv_exports"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in back._jdf.queryExecution().executedPlan().toString()
